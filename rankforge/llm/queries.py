@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from ._base import table
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup_digest
 from .packing import pack
+from .simhash import simhash_groups
 from .token_counts import token_counts
 
 
@@ -19,6 +21,14 @@ def _tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer())
 
