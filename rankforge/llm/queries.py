@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from ._base import table
+from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup_digest
+from .mixing import mix
 from .packing import pack
 from .simhash import simhash_groups
 from .token_counts import token_counts
@@ -21,6 +23,10 @@ def _tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0).drop("source")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3)
 
@@ -41,6 +47,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
