@@ -14,6 +14,7 @@ from .line_dedup import line_dedup_digest
 from .mixing import mix
 from .packing import pack
 from .simhash import simhash_groups
+from .substring_dedup import substring_digest
 from .token_counts import token_counts
 
 
@@ -51,6 +52,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"), width=13)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -1,6 +1,29 @@
 """DuckDB SQL of the queries that SQL can express over whole tables."""
 
 ORACLES = {
+    "op10_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS start FROM w
+        ), g AS (
+            SELECT doc_id, start, sha256(array_to_string(words[start:start + 12], ' ')) AS gram FROM s
+        ), c AS (
+            SELECT doc_id, start FROM (SELECT doc_id, start, min(doc_id) OVER (PARTITION BY gram) AS smallest FROM g) WHERE doc_id > smallest
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(start, start + 13)) AS pos FROM c
+        ), p AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w
+        ), k AS (
+            SELECT p.doc_id, p.pos, p.word, gone.pos IS NOT NULL AS removed FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.pos = gone.pos
+        ), a AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed,
+                   coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT removed), '') AS kept
+            FROM k GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(a.n_words, 0) AS n_words, coalesce(a.n_removed, 0) AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
+    """,
     "op3_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
