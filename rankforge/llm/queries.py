@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from ._base import table
@@ -13,9 +14,11 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup_digest
 from .mixing import mix
 from .packing import pack
+from .secret_scan import labelled_findings, scan_secrets, train_forest
 from .simhash import simhash_groups
 from .substring_dedup import substring_digest
 from .token_counts import token_counts
+from .toxicity import score, train
 
 
 def _tokenizer() -> str:
@@ -52,6 +55,17 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that the forest leaves; the text itself is given as its SHA-256."""
+    found = scan_secrets(table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark))).where("secret")
+    return found.select("doc_id", "word_index", "finding_index", F.length("finding").alias("length"), F.sha2("finding", 256).alias("finding_sha256"), "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"), width=13)
 
