@@ -121,3 +121,10 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     return prints.join(of, "_fp").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the smallest id of each group; rows with a null id stay."""
+    groups = simhash_groups(docs, words, id_col, text_col)
+    losers = groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_loser"))
+    return docs.join(losers, docs[id_col] == F.col("_loser"), "left_anti")
