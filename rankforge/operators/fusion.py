@@ -53,13 +53,14 @@ def normalize_intelligent(df: DataFrame, columns: list[str], by: list[str], low:
     return step.withColumns({c: scale_to_range(F.col(f"_{c}"), by, low, high) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
-def row_zscore(columns: list[str], clip: float = 3.0) -> list[Column]:
-    """Each signal of a row against the row's other signals."""
-    values = F.array(*columns)
+def row_zscore(df: DataFrame, columns: list[str], clip: float = 3.0) -> DataFrame:
+    """Each signal of a row against the row's other signals, in place."""
+    values = F.col("_values")
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / len(columns)
     sd = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / len(columns))
-    z = lambda c: F.when(F.round(sd, 12) == 0, F.lit(0.0)).otherwise(F.try_divide(F.col(c) - mean, sd))
-    return [F.greatest(F.lit(-clip), F.least(F.lit(clip), z(c))).alias(c) for c in columns]
+    z = lambda x: F.when(F.round(sd, 12) == 0, F.lit(0.0)).otherwise(F.try_divide(x - mean, sd))
+    made = {c: F.greatest(F.lit(-clip), F.least(F.lit(clip), z(values[i]))) for i, c in enumerate(columns)}
+    return df.withColumn("_values", F.array(*columns)).withColumns(made).drop("_values")
 
 
 def combine(weights: dict[str, float]) -> Column:

@@ -41,6 +41,11 @@ def graph_enhanced(nodes: DataFrame, edges: DataFrame, decay: float = 5.0, beta:
     return edges.unionByName(both.join(edges, ["query_id", "src", "dst"], "left_anti"))
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that frames of common origin can be grouped together."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def pagerank(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, restart: np.ndarray, damping: float, tol: float, iterations: int, transition: str = "raw") -> np.ndarray:
     """Restart-biased power iteration, rescaled to sum 1; ``stochastic`` divides weights by their row sums first."""
     n = len(restart)
@@ -84,7 +89,7 @@ def ppr(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0
         return pd.DataFrame({"query_id": key[0], "chunk_id": ids, "score": p})
 
     marked = nodes.select("query_id", "chunk_id").join(seeds.select("query_id", "chunk_id", F.lit(True).alias("is_seed")), ["query_id", "chunk_id"], "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
-    return marked.groupBy("query_id").cogroup(edges.groupBy("query_id")).applyInPandas(solve, "query_id long, chunk_id long, score double")
+    return _apart(marked).groupBy("query_id").cogroup(_apart(edges).groupBy("query_id")).applyInPandas(solve, "query_id long, chunk_id long, score double")
 
 
 def l1_diff(a: DataFrame, b: DataFrame, by: list[str], key: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -132,4 +137,5 @@ def average_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         mean = total / (n * (n - 1)) if n > 1 and reached.all() else None
         return pd.DataFrame({"query_id": [key[0]], "average_path": pd.array([mean], dtype="Float64")})
 
-    return nodes.groupBy("query_id").cogroup(edges.groupBy("query_id")).applyInPandas(walk, "query_id long, average_path double")
+    own = nodes.select("query_id", "chunk_id")
+    return _apart(own).groupBy("query_id").cogroup(_apart(edges).groupBy("query_id")).applyInPandas(walk, "query_id long, average_path double")
