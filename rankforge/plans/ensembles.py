@@ -1 +1,127 @@
-"""Queries."""
+"""Queries of rank and score ensembles; two halves of each vector stand for two models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import fusion as N
+from ..operators import ranking
+from .common import vectors
+from .registry import query
+from .vectors import VEC
+
+HALF = 32
+#: The two models' weights.
+WEIGHTS = {"even": 0.571, "odd": 0.429}
+
+
+def model_scores(spark, sf):
+    """``query_id, model, chunk_id, doc, score``: every vector as a query of label 0 against all, by two half vectors.
+
+    Queries are the vectors whose id is divisible by 50, the stated query set.
+    """
+    v = vectors(spark, sf)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    half = lambda c, odd: F.filter(F.transform(c, lambda x, i: F.when(i % 2 == odd, x)), lambda x: x.isNotNull())
+    pairs = v.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 20).alias("doc"), "v").crossJoin(F.broadcast(q))  # a fiftieth of the rows, in blocks
+    both = pairs.select("query_id", "chunk_id", "doc", F.round(V.cosine(half("v", 0), half("qv", 0)), 9).alias("even"), F.round(V.cosine(half("v", 1), half("qv", 1)), 9).alias("odd"))
+    return both.unpivot(["query_id", "chunk_id", "doc"], ["even", "odd"], "model", "score")
+
+
+MODELS = f"""{VEC}, h AS (SELECT vec_id, list_filter(v, lambda x, i: i % 2 = 1) AS e, list_filter(v, lambda x, i: i % 2 = 0) AS o FROM v),
+    ms AS MATERIALIZED (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.vec_id % 20 AS doc, unnest(['even', 'odd']) AS model, round(unnest([list_cosine_similarity(c.e, q.e), list_cosine_similarity(c.o, q.o)]), 9) AS score FROM h c CROSS JOIN h q WHERE q.vec_id % 50 = 0),
+    best AS (SELECT query_id, model, doc, max(score) AS score FROM ms GROUP BY ALL), wt AS (SELECT * FROM (VALUES ('even', 0.571), ('odd', 0.429)) t(model, weight)),
+    wavg AS (SELECT query_id, doc, 100 * sum(weight * score) AS score FROM best JOIN wt USING (model) GROUP BY ALL),
+    mr AS (SELECT *, row_number() OVER (PARTITION BY query_id, model ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM ms),
+    rrf AS (SELECT query_id, doc, 100 * sum(weight / (60.0 + rank)) AS score FROM mr JOIN wt USING (model) WHERE rank <= 20 GROUP BY ALL),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY query_id, model ORDER BY round(score, 6) DESC, doc) AS rank FROM best)"""
+
+
+def _top5(name: str) -> str:
+    return f"SELECT * FROM (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc) AS rank FROM {name}) WHERE rank <= 5"
+
+
+def weights(spark):
+    return spark.createDataFrame(list(WEIGHTS.items()), "model string, weight double")
+
+
+def doc_best(spark, sf):
+    return model_scores(spark, sf).groupBy("query_id", "model", "doc").agg(F.max("score").alias("score"))
+
+
+@query("weighted_average_fusion", f"WITH {MODELS} {_top5('wavg')}", "score")
+def weighted_average_fusion(spark, sf):
+    fused = N.weighted_average_fusion(doc_best(spark, sf), weights(spark), ["query_id"])
+    return ranking.top_k(fused, 5, ["query_id"], "score", ["doc"])
+
+
+@query("rrf_fusion", f"WITH {MODELS} {_top5('rrf')}", "score")
+def rrf_fusion(spark, sf):
+    ranked = ranking.top_k(model_scores(spark, sf), 20, ["query_id", "model"])
+    return ranking.top_k(N.rrf_fusion(ranked, weights(spark), ["query_id"]), 5, ["query_id"], "score", ["doc"])
+
+
+def doc_ranked(spark, sf, k=5):
+    return ranking.top_k(doc_best(spark, sf), k, ["query_id", "model"], "score", ["doc"])
+
+
+@query("agreement", f"WITH {MODELS} SELECT query_id, 1.0 / count(DISTINCT doc) AS agreement FROM dr WHERE rank = 1 GROUP BY query_id", "agreement")
+def agreement(spark, sf):
+    return doc_ranked(spark, sf, 1).groupBy("query_id").agg((1.0 / F.countDistinct("doc")).alias("agreement"))
+
+
+@query("pairwise_top5_overlap", f"WITH {MODELS} SELECT a.model AS a, b.model AS b, avg(n) AS overlap FROM (SELECT 'even' AS model) a, (SELECT 'odd' AS model) b, (SELECT query_id, (SELECT count(*) FROM dr x JOIN dr y ON x.query_id = y.query_id AND x.doc = y.doc WHERE x.query_id = q.query_id AND x.model = 'even' AND y.model = 'odd' AND x.rank <= 5 AND y.rank <= 5) / 5.0 AS n FROM (SELECT DISTINCT query_id FROM dr) q) GROUP BY ALL", "overlap")
+def pairwise_top5_overlap(spark, sf):
+    sets = doc_ranked(spark, sf).groupBy("query_id", "model").agg(F.collect_set("doc").alias("docs"))  # five each
+    a, b = sets.select("query_id", F.col("model").alias("a"), F.col("docs").alias("x")), sets.select("query_id", F.col("model").alias("b"), F.col("docs").alias("y"))
+    return a.join(b, "query_id").where("a < b").groupBy("a", "b").agg(F.avg(F.size(F.array_intersect("x", "y")) / 5.0).alias("overlap"))
+
+
+@query("union_docs", f"WITH {MODELS} SELECT DISTINCT query_id, doc FROM dr WHERE rank <= 5")
+def union_docs(spark, sf):
+    return doc_ranked(spark, sf).select("query_id", "doc").distinct()
+
+
+@query("model_pairs", "SELECT a.m AS a, b.m AS b FROM (SELECT unnest(['even', 'odd', 'full']) AS m) a JOIN (SELECT unnest(['even', 'odd', 'full']) AS m) b ON a.m < b.m")
+def model_pairs(spark, sf):
+    m = spark.createDataFrame([("even",), ("odd",), ("full",)], "a string")
+    return m.join(m.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+
+
+@query("diversity_analysis", f"WITH {MODELS} SELECT model, count(*) AS n, count(DISTINCT doc) AS n_docs, avg(score) AS mean_score FROM dr WHERE rank = 1 GROUP BY model", "mean_score")
+def diversity_analysis(spark, sf):
+    return doc_ranked(spark, sf, 1).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("n_docs"), F.avg("score").alias("mean_score"))
+
+
+_GRID = "g AS (SELECT a.x * 0.571 AS even, b.x * 0.429 AS odd, a.x AS ax, b.x AS bx FROM (SELECT unnest([0.5, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5]) AS x) a CROSS JOIN (SELECT unnest([0.5, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5]) AS x) b)"
+#: Multipliers of the weight search.
+MULTIPLIERS = [0.5, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5]
+
+
+def grid(spark):
+    m = spark.createDataFrame([(x,) for x in MULTIPLIERS], "ax double")
+    return m.crossJoin(m.withColumnRenamed("ax", "bx")).select("ax", "bx", (F.col("ax") * WEIGHTS["even"]).alias("even"), (F.col("bx") * WEIGHTS["odd"]).alias("odd"))
+
+
+@query("weight_grid", f"WITH {_GRID} SELECT ax, bx, even / (even + odd) AS even, odd / (even + odd) AS odd FROM g", "ax bx even odd")
+def weight_grid(spark, sf):
+    total = F.col("even") + F.col("odd")
+    return grid(spark).select("ax", "bx", (F.col("even") / total).alias("even"), (F.col("odd") / total).alias("odd"))
+
+
+@query("weight_search", f"""WITH {MODELS}, {_GRID}, t AS (SELECT ax, bx, e.query_id, e.doc, (even * e.score + odd * o.score) / (even + odd) AS score FROM g CROSS JOIN (SELECT * FROM best WHERE model = 'even') e JOIN (SELECT * FROM best WHERE model = 'odd') o ON e.query_id = o.query_id AND e.doc = o.doc),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ax, bx, query_id ORDER BY round(score, 6) DESC, doc) AS rank FROM t) SELECT ax, bx, avg(CASE WHEN doc = query_id % 20 THEN 1.0 ELSE 0.0 END) AS acc1 FROM r WHERE rank = 1 GROUP BY ALL""", "ax bx acc1")
+def weight_search(spark, sf):
+    """Every grid point over the same document scores, in one job."""
+    b = doc_best(spark, sf).groupBy("query_id", "doc").pivot("model", ["even", "odd"]).agg(F.max("score"))
+    g = grid(spark).withColumnsRenamed({"even": "we", "odd": "wo"})
+    t = b.crossJoin(F.broadcast(g)).withColumn("score", (F.col("we") * F.col("even") + F.col("wo") * F.col("odd")) / (F.col("we") + F.col("wo")))
+    r = ranking.top_k(t, 1, ["ax", "bx", "query_id"], "score", ["doc"])
+    return r.groupBy("ax", "bx").agg(F.avg(F.when(F.col("doc") == F.col("query_id") % 20, 1.0).otherwise(0.0)).alias("acc1"))
+
+
+@query("param_grid", "SELECT a AS normalize, b::BIGINT AS batch FROM (SELECT a, b, row_number() OVER (ORDER BY a, b) AS r FROM (SELECT unnest(['l2', 'none', 'z']) AS a) CROSS JOIN (SELECT unnest([8, 16, 32, 64]) AS b)) WHERE r % 2 = 1")
+def param_grid(spark, sf):
+    g = spark.createDataFrame([("l2",), ("none",), ("z",)], "normalize string").crossJoin(spark.createDataFrame([(8,), (16,), (32,), (64,)], "batch int"))
+    return ranking.rank_by(g.withColumn("one", F.lit(1)), ["one"], "one", ["normalize", "batch"]).where("rank % 2 = 1").select("normalize", "batch")
