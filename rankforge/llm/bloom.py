@@ -12,8 +12,8 @@ _PROBES = 3
 
 
 def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Places of each key inside its segment of ``bits`` bits."""
-    x = keys * np.uint64(0x9E3779B97F4A7C15)
+    """Places of each key inside its segment of ``bits`` bits; the segment is in the key's lowest six."""
+    x = (keys >> np.uint64(6)) * np.uint64(0x9E3779B97F4A7C15)
     step = (x >> np.uint64(32)) | np.uint64(1)
     return [((x + np.uint64(i) * step) ^ (x >> np.uint64(29))) % np.uint64(bits) for i in range(_PROBES)]
 
@@ -32,7 +32,7 @@ class Bloom:
         """No key that was put in is ever missed; some others may be held too."""
         if self.bitmap is None:
             return np.ones(len(keys), bool)
-        base = (keys >> np.uint64(58)) * np.uint64(self.bits)
+        base = (keys & np.uint64(_SEGMENTS - 1)) * np.uint64(self.bits)
         out = np.ones(len(keys), bool)
         for p in _places(keys, self.bits):
             at = base + p
@@ -58,5 +58,5 @@ def build_bloom(keys: DataFrame, n: int, most_bytes: int = 64 << 20) -> tuple[di
             marks[p] = True
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bitmap": [np.packbits(marks, bitorder="little").tobytes()]})
 
-    made = keys.select("key", F.shiftrightunsigned("key", 58).cast("int").alias("segment")).groupBy("segment").applyInPandas(segment, "segment int, bitmap binary")
+    made = keys.select("key", F.col("key").bitwiseAND(F.lit(_SEGMENTS - 1)).cast("int").alias("segment")).groupBy("segment").applyInPandas(segment, "segment int, bitmap binary")
     return {r["segment"]: r["bitmap"] for r in made.collect()}, bits  # bounded by most_bytes
