@@ -10,10 +10,10 @@ interval of words that its making looked at. Whatever text has these same words
    highest level and then of the highest name (if there is none, itself). Equal windows pick equal symbols.
    Documents give their distinct picks, and an aggregate finds those of at least two documents.
 2. A Bloom filter of the shared picks, of bounded size, goes to every worker (it can only let too much
-   through). Windows whose pick is shared give a 96-bit hash of their words with their place; a window
-   whose words start in a document of a smaller id covers its words. Most windows are settled in one
-   exchange; those whose pick very many documents share are aggregated first and joined, where adaptive
-   execution splits what is skewed.
+   through). Windows whose pick is shared give a 96-bit hash of their words with their place, and one
+   exchange brings equal ones together: a window whose words start in a document of a smaller id covers
+   its words. Where very many documents share the pick, equal windows are dealt to salts; each salt settles
+   all but its first document, and only the salts' firsts meet in a second, small exchange.
 3. Covered places travel to their document, which drops the words.
 
 Defined results: a null or blank text has no words; a null id neither removes nor loses anything; rows that
@@ -31,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import checkpoint, text_batches, text_or_empty
+from ._base import checkpoint, release, stored, text_batches, text_or_empty
 from .bloom import Bloom, build_bloom
 
 ROUNDS = 3
 #: A pick of more documents than this is counted as frequent.
-FREQUENT = 2_000
+FREQUENT = 500
+SALTS = 64
 _BATCH = 1_000_000
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -194,38 +195,41 @@ def covered_starts(rows: DataFrame, width: int, frequent: int = FREQUENT) -> Dat
     """``_id, _crc, _starts``: starts of the windows whose words also start in a document of a smaller id."""
     spark = rows.sparkSession
     shared = checkpoint(_shared_picks(rows, width))
+    release(spark)
     often = shared.where(F.col("_n") > frequent)
     filters = spark.sparkContext.broadcast([build_bloom(shared.select("key"), shared.count()), build_bloom(often.select("key"), often.count())])
 
-    def run(batches, hot: bool):
+    def run(batches):
         known, crowd = (Bloom(*x) for x in filters.value)
         for b in _parts(batches):
             texts = b.column(1).to_pylist()
             w = Windows(texts, width)
             chosen = np.flatnonzero(known.holds(w.picks))
-            chosen = chosen[crowd.holds(w.picks[chosen]) == hot]
             if not len(chosen):
                 continue
             a, c = w.hashes(chosen)
-            crc = np.array([zlib.crc32(t.encode()) for t in texts], np.int64)[w.doc[chosen]]
-            cols = [pa.array(a.view(np.int64)), pa.array(c.view(np.int32)), b.column(0).take(pa.array(w.doc[chosen])), pa.array((crc << 32) | w.start[chosen])]
-            yield pa.RecordBatch.from_arrays(cols, ["_a", "_c", "_id", "_at"])
-
-    schema, named = "_a long, _c int, _id long, _at long", rows.where(F.col("_id").isNotNull())
-    few = named.mapInArrow(lambda x: run(x, False), schema)
-    first = F.min("_id").over(Window.partitionBy("_a", "_c"))
-    few = few.withColumn("_first", first).where("_id > _first").select("_id", "_at")
-    many = named.mapInArrow(lambda x: run(x, True), schema)
-    least = many.groupBy("_a", "_c").agg(F.min("_id").alias("_first"))
-    many = many.join(least, ["_a", "_c"]).where("_id > _first").select("_id", "_at")
-    places = few.union(many).select("_id", F.shiftrightunsigned("_at", 32).alias("_crc"), F.col("_at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("_start"))
+            doc = w.doc[chosen]
+            crc = np.array([zlib.crc32(t.encode()) for t in texts], np.int64)[doc]
+            ids = b.column(0).take(pa.array(doc))
+            salt = 1 + (_mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(_U), 9) % _U(SALTS)).astype(np.int32)
+            salt = np.where(crowd.holds(w.picks[chosen]), salt, 0).astype(np.int32)
+            cols = [pa.array(a.view(np.int64)), pa.array(c.view(np.int32)), pa.array(salt), ids, pa.array((crc << 32) | w.start[chosen])]
+            yield pa.RecordBatch.from_arrays(cols, ["_a", "_c", "_salt", "_id", "_at"])
+
+    windows = rows.where(F.col("_id").isNotNull()).mapInArrow(run, "_a long, _c int, _salt int, _id long, _at long")
+    first = windows.withColumn("_first", F.min("_id").over(Window.partitionBy("_a", "_c", "_salt")))
+    # Whoever isn't the first of its salt isn't the first of all; of a frequent window's salts the firsts are left to compare.
+    firsts = first.where("_salt > 0 AND _id = _first").withColumn("_least", F.min("_id").over(Window.partitionBy("_a", "_c")))
+    covered = first.where("_id > _first").select("_id", "_at").union(firsts.where("_id > _least").select("_id", "_at"))
+    places = covered.select("_id", F.shiftrightunsigned("_at", 32).alias("_crc"), F.col("_at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("_start"))
     return places.groupBy("_id", "_crc").agg(F.collect_list("_start").alias("_starts"))  # a document's own
 
 
 def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """A row per input row: ``id_col, n_words, n_removed, kept_text`` (kept words joined by one blank)."""
     rows = _rows(docs, id_col, text_col)
-    starts = covered_starts(rows, width, frequent).select(F.col("_id").alias("_of"), F.col("_crc").alias("_sum"), "_starts")
+    starts = stored(covered_starts(rows, width, frequent), "starts").select(F.col("_id").alias("_of"), F.col("_crc").alias("_sum"), "_starts")
+    release(docs.sparkSession)
     joined = rows.join(starts, (F.col("_id") == F.col("_of")) & (F.crc32("_text") == F.col("_sum")), "left").select("_id", "_text", "_starts")
 
     def run(batches):
