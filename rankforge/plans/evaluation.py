@@ -1 +1,245 @@
-"""Queries."""
+"""Queries of retrieval evaluation. Relevant is what holds the passage; strategies are ranked to 30."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as E
+from ..operators import ranking
+from .common import qrels
+from .fusion import SIGNALS, signals
+from .registry import query
+
+BY = ["query_id"]
+#: Strategies by the signal that ranks.
+STRATEGIES = {"embeddings": "emb", "keywords": "kw", "mrf": "mrf", "likelihood": "qlm"}
+KS = [1, 3, 5, 10, 20, 30]
+
+
+_KEPT: dict = {}
+
+
+def _kept(spark, sf, name, make):
+    """A small table that several reports read, made once a session and table folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key].persist()
+
+
+def long_ranked(spark, sf):
+    """The four signals' first 30 of every query."""
+    return _kept(spark, sf, "ranked", lambda: _long_ranked(spark, sf))
+
+
+def relevance(spark, sf):
+    return _kept(spark, sf, "relevant", lambda: qrels(spark, sf))
+
+
+def _long_ranked(spark, sf, k=30):
+    """``query_id, chunk_id, strategy, score, rank``: the four signals ranked in one pass over the pairs."""
+    s = signals(spark, sf).select("query_id", "chunk_id", *[F.col(c).alias(name) for name, c in STRATEGIES.items()])
+    long = s.unpivot(["query_id", "chunk_id"], list(STRATEGIES), "strategy", "score")
+    return ranking.top_k(long, k, ["query_id", "strategy"])
+
+
+QRELS = """rel AS (SELECT q.query_id, c.chunk_id FROM q JOIN c ON contains(c.text, q.text))"""
+RANKED = f"""{SIGNALS}, {QRELS}, lng AS (SELECT query_id, chunk_id, unnest(['embeddings', 'keywords', 'mrf', 'likelihood']) AS strategy, unnest([emb, kw, mrf, qlm]) AS score FROM s),
+    ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM lng) WHERE rank <= 30)"""
+
+
+@query("qrels", f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), c AS (SELECT doc_id AS chunk_id, text FROM documents), {QRELS} SELECT * FROM rel")
+def relevant(spark, sf):
+    return qrels(spark, sf)
+
+
+def _metrics(name: str) -> str:
+    return f"""{RANKED}, one AS (SELECT query_id, chunk_id, rank FROM ranked WHERE strategy = '{name}'), hits AS (SELECT one.query_id, rank FROM one JOIN rel USING (query_id, chunk_id)),
+    nrel AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY ALL), grid AS (SELECT query_id, k, coalesce(n_rel, 0) AS n_rel FROM (SELECT DISTINCT query_id FROM one) LEFT JOIN nrel USING (query_id) CROSS JOIN (SELECT unnest({KS}) AS k)),
+    per AS (SELECT g.query_id, g.k, any_value(n_rel) AS n_rel, count(rank) FILTER (WHERE rank <= g.k) AS hit, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= g.k), 0.0) AS dcg, min(rank) AS first FROM grid g LEFT JOIN hits ON hits.query_id = g.query_id GROUP BY g.query_id, g.k),
+    m AS (SELECT query_id, k, CASE WHEN n_rel = 0 THEN 0.0 ELSE hit::DOUBLE / n_rel END AS recall, hit::DOUBLE / k AS precision,
+        CASE WHEN n_rel = 0 THEN 0.0 ELSE dcg / list_sum(list_transform(range(1, least(n_rel, k) + 1), lambda i: 1 / log2(i + 1))) END AS ndcg, coalesce(1.0 / first, 0.0) AS mrr FROM per),
+    metrics AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0.0 END AS f1 FROM m)"""
+
+
+def metrics(spark, sf, name):
+    one = long_ranked(spark, sf).where(F.col("strategy") == name).select("query_id", "chunk_id", "rank")
+    return E.metrics_at_k(one, relevance(spark, sf), tuple(KS))
+
+
+_M = "recall precision ndcg mrr f1"
+
+
+@query("metrics_at_k", f"WITH {_metrics('likelihood')} SELECT query_id, k::BIGINT AS k, recall, precision, ndcg, mrr, f1 FROM metrics", _M)
+def metrics_at_k(spark, sf):
+    return metrics(spark, sf, "likelihood")
+
+
+@query("evaluate_reranker", f"WITH {_metrics('keywords')} SELECT query_id, k::BIGINT AS k, recall, precision, ndcg, mrr, f1 FROM metrics", _M)
+def evaluate_reranker(spark, sf):
+    return metrics(spark, sf, "keywords")
+
+
+_AGG = """, lm AS (UNPIVOT (SELECT query_id, k, recall, precision, ndcg, f1 FROM metrics) ON recall, precision, ndcg, f1 INTO NAME metric VALUE value)
+    SELECT k::BIGINT AS k, metric, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM lm GROUP BY ALL"""
+
+
+@query("metrics_aggregate", f"WITH {_metrics('likelihood')}{_AGG}", "mean std min max")
+def metrics_aggregate(spark, sf):
+    return E.metrics_aggregate(metrics(spark, sf, "likelihood"))
+
+
+@query("evaluate_multiple", f"WITH {_metrics('mrf')}{_AGG}", "mean std min max")
+def evaluate_multiple(spark, sf):
+    return E.metrics_aggregate(metrics(spark, sf, "mrf"))
+
+
+@query("improvements", f"""WITH {_metrics('likelihood')}, base AS (SELECT b.query_id, k, count(rank) FILTER (WHERE rank <= k)::DOUBLE / k AS precision FROM (SELECT DISTINCT query_id FROM ranked) b CROSS JOIN (SELECT unnest({KS}) AS k)
+    LEFT JOIN (SELECT r.query_id, r.rank FROM ranked r JOIN rel USING (query_id, chunk_id) WHERE strategy = 'embeddings') h ON h.query_id = b.query_id GROUP BY b.query_id, k)
+    SELECT query_id, k::BIGINT AS k, CASE WHEN base.precision > 0 THEN (metrics.precision - base.precision) / base.precision * 100 WHEN metrics.precision > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS change FROM metrics JOIN base USING (query_id, k)""", "change")
+def improvements(spark, sf):
+    """Change of precision against ranking by embeddings, in percent."""
+    new = metrics(spark, sf, "likelihood").select("query_id", "k", F.col("precision").alias("new"))
+    base = metrics(spark, sf, "embeddings").select("query_id", "k", F.col("precision").alias("base"))
+    return new.join(base, ["query_id", "k"]).select("query_id", "k", E.improvement(F.col("new"), F.col("base")).alias("change"))
+
+
+POSITIONS = f"""{RANKED}, pos AS (SELECT st.strategy, r.query_id, min(k.rank) AS position, any_value(top.score) AS score FROM (SELECT DISTINCT query_id FROM rel) r CROSS JOIN (SELECT DISTINCT strategy FROM ranked) st
+    LEFT JOIN (SELECT ranked.* FROM ranked JOIN rel USING (query_id, chunk_id)) k ON k.query_id = r.query_id AND k.strategy = st.strategy LEFT JOIN ranked top ON top.query_id = r.query_id AND top.strategy = st.strategy AND top.rank = 1 GROUP BY ALL)"""
+
+
+def positions(spark, sf):
+    """``strategy, query_id, position``: first relevant rank of every query that has something relevant."""
+    rel = relevance(spark, sf)
+    ranked = long_ranked(spark, sf)
+    asked = rel.select("query_id").distinct().withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
+    hit = ranked.join(rel, ["query_id", "chunk_id"], "left_semi").groupBy("strategy", "query_id").agg(F.min("rank").alias("position"))
+    return asked.join(hit, ["strategy", "query_id"], "left")
+
+
+@query("expected_rank", f"WITH {POSITIONS} SELECT strategy, query_id, position FROM pos")
+def expected_rank(spark, sf):
+    return positions(spark, sf)
+
+
+_TOP = """SELECT {by} count(*) AS n, avg(CASE WHEN position <= 1 THEN 1.0 ELSE 0.0 END) AS top1, avg(CASE WHEN position <= 3 THEN 1.0 ELSE 0.0 END) AS top3,
+    avg(CASE WHEN position <= 5 THEN 1.0 ELSE 0.0 END) AS top5, avg(coalesce(1.0 / position, 0.0)) AS mrr FROM pos {group}"""
+
+
+@query("topn_accuracy_mrr", f"WITH {POSITIONS} " + _TOP.format(by="strategy,", group="GROUP BY strategy"), "top1 top3 top5 mrr")
+def topn_accuracy_mrr(spark, sf):
+    return E.topn_accuracy(positions(spark, sf), ["strategy"])
+
+
+@query("strategy_eval", f"WITH {POSITIONS} SELECT strategy, count(*) FILTER (WHERE position = 1) AS top1_correct, count(*) FILTER (WHERE position <= 5) AS top5_correct, count(*) AS n FROM pos GROUP BY strategy")
+def strategy_eval(spark, sf):
+    p = F.col("position")
+    return positions(spark, sf).groupBy("strategy").agg(F.count(F.when(p == 1, 1)).alias("top1_correct"), F.count(F.when(p <= 5, 1)).alias("top5_correct"), F.count(F.lit(1)).alias("n"))
+
+
+_LEAD = f"WITH {POSITIONS}, board AS ({_TOP.format(by='strategy,', group='GROUP BY strategy')})"
+
+
+def board(spark, sf):
+    return E.topn_accuracy(positions(spark, sf), ["strategy"])
+
+
+@query("leaderboard_sort", f"{_LEAD} SELECT strategy, mrr, row_number() OVER (ORDER BY round(mrr, 6) DESC, strategy) AS rank FROM board", "mrr")
+def leaderboard_sort(spark, sf):
+    return ranking.rank_by(board(spark, sf).select(F.lit(1).alias("all"), "strategy", "mrr"), ["all"], "mrr", ["strategy"]).select("strategy", "mrr", "rank")
+
+
+@query("best_config", f"{_LEAD} SELECT strategy, mrr FROM board ORDER BY round(mrr, 6) DESC, strategy LIMIT 1", "mrr")
+def best_config(spark, sf):
+    return ranking.best_config(board(spark, sf).select("strategy", "mrr"), "mrr", ["strategy"])
+
+
+@query("top_models", f"{_LEAD} SELECT strategy, top5 FROM board WHERE strategy <> 'embeddings' ORDER BY round(top5, 6) DESC, strategy LIMIT 2", "top5")
+def top_models(spark, sf):
+    return board(spark, sf).where("strategy <> 'embeddings'").orderBy(F.round("top5", 6).desc(), "strategy").limit(2).select("strategy", "top5")
+
+
+_CHANGE = "CASE WHEN base.{m} > 0 THEN (board.{m} - base.{m}) / base.{m} * 100 WHEN board.{m} > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS {m}_change"
+
+
+@query("strategy_vs_baseline", f"{_LEAD} SELECT board.strategy, {_CHANGE.format(m='top1')}, {_CHANGE.format(m='top5')} FROM board CROSS JOIN (SELECT * FROM board WHERE strategy = 'embeddings') base", "top1_change top5_change")
+def strategy_vs_baseline(spark, sf):
+    b = board(spark, sf)
+    base = b.where("strategy = 'embeddings'").select(F.col("top1").alias("_1"), F.col("top5").alias("_5"))
+    return b.crossJoin(F.broadcast(base)).select("strategy", E.improvement(F.col("top1"), F.col("_1")).alias("top1_change"), E.improvement(F.col("top5"), F.col("_5")).alias("top5_change"))
+
+
+@query("strategy_summary", f"{_LEAD} SELECT count(*) AS n, max(mrr) AS max_mrr, min(mrr) AS min_mrr, avg(mrr) AS mean_mrr, max(top1) AS max_top1 FROM board", "max_mrr min_mrr mean_mrr max_top1")
+def strategy_summary(spark, sf):
+    return board(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.max("mrr").alias("max_mrr"), F.min("mrr").alias("min_mrr"), F.avg("mrr").alias("mean_mrr"), F.max("top1").alias("max_top1"))
+
+
+@query("weighted_mean_by_config", f"{_LEAD} SELECT sum(mrr * n) / sum(n) AS mrr, sum(top1 * n) / sum(n) AS top1 FROM board", "mrr top1")
+def weighted_mean_by_config(spark, sf):
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    return board(spark, sf).agg(mean("mrr"), mean("top1"))
+
+
+@query("model_leaderboard_stats", f"{_LEAD} SELECT count(*) FILTER (WHERE round(mrr, 6) > (SELECT round(mrr, 6) FROM board WHERE strategy = 'embeddings')) AS better, max(mrr) - min(mrr) AS range, avg(mrr) AS mean FROM board WHERE strategy <> 'embeddings'", "range mean")
+def model_leaderboard_stats(spark, sf):
+    b = board(spark, sf).select("strategy", "mrr")
+    base = b.where("strategy = 'embeddings'").select(F.round("mrr", 6).alias("_base"))
+    return b.where("strategy <> 'embeddings'").crossJoin(F.broadcast(base)).agg(F.count(F.when(F.round("mrr", 6) > F.col("_base"), 1)).alias("better"), (F.max("mrr") - F.min("mrr")).alias("range"), F.avg("mrr").alias("mean"))
+
+
+@query("improvement_votes", f"{_LEAD} SELECT board.strategy, ((round(board.top1, 6) > round(base.top1, 6))::INT + (round(board.top3, 6) > round(base.top3, 6))::INT + (round(board.top5, 6) > round(base.top5, 6))::INT + (round(board.mrr, 6) > round(base.mrr, 6))::INT) / 4.0 AS votes FROM board CROSS JOIN (SELECT * FROM board WHERE strategy = 'embeddings') base", "votes")
+def improvement_votes(spark, sf):
+    b = board(spark, sf)
+    names = ["top1", "top3", "top5", "mrr"]
+    base = b.where("strategy = 'embeddings'").select(*[F.round(c, 6).alias(f"_{c}") for c in names])
+    votes = sum(((F.round(c, 6) > F.col(f"_{c}")).cast("int") for c in names), F.lit(0))
+    return b.crossJoin(F.broadcast(base)).select("strategy", (votes / 4.0).alias("votes"))
+
+
+MODEL = """SELECT strategy, avg(CASE WHEN p = 1 THEN 1.0 ELSE 0.0 END) AS acc1, avg(CASE WHEN p <= 5 THEN 1.0 ELSE 0.0 END) AS acc5, avg(coalesce(1.0 / p, 0.0)) AS mrr, avg(coalesce(1.0 / p, 0.0)) AS map, avg(coalesce(1 / log2(p + 1), 0.0)) AS ndcg5,
+    coalesce(avg(CASE WHEN p IS NOT NULL THEN score END), 0.0) AS mean_similarity, count(*) FILTER (WHERE p IS NULL) AS not_found FROM (SELECT strategy, score, CASE WHEN position <= 5 THEN position END AS p FROM pos) GROUP BY strategy"""
+
+
+@query("model_metrics", f"WITH {POSITIONS} {MODEL}", "acc1 acc5 mrr map ndcg5 mean_similarity")
+def model_metrics(spark, sf):
+    first = long_ranked(spark, sf).where("rank = 1").select("strategy", "query_id", "score")
+    p = positions(spark, sf).join(first, ["strategy", "query_id"], "left")
+    p = p.withColumn("position", F.when(F.col("position") <= 5, F.col("position")))
+    return E.model_metrics(p.withColumn("score", F.when(F.col("position").isNotNull(), F.col("score"))), ["strategy"])
+
+
+_BOTH = f"WITH {POSITIONS}, ab AS (SELECT query_id, max(CASE WHEN strategy = 'keywords' THEN position END) AS a, max(CASE WHEN strategy = 'likelihood' THEN position END) AS b FROM pos GROUP BY query_id)"
+
+
+def right(spark, sf, name, most=1):
+    return positions(spark, sf).where((F.col("strategy") == name) & (F.col("position") <= most)).select("query_id")
+
+
+@query("overlap_intersect", f"{_BOTH} SELECT query_id FROM ab WHERE a = 1 AND b = 1")
+def overlap_intersect(spark, sf):
+    return right(spark, sf, "keywords").intersect(right(spark, sf, "likelihood"))
+
+
+@query("overlap_only_a", f"{_BOTH} SELECT query_id FROM ab WHERE a = 1 AND (b IS NULL OR b <> 1)")
+def overlap_only_a(spark, sf):
+    return right(spark, sf, "keywords").exceptAll(right(spark, sf, "likelihood"))
+
+
+@query("overlap_only_b", f"{_BOTH} SELECT query_id FROM ab WHERE b = 1 AND (a IS NULL OR a <> 1)")
+def overlap_only_b(spark, sf):
+    return right(spark, sf, "likelihood").exceptAll(right(spark, sf, "keywords"))
+
+
+@query("overlap_report", f"{_BOTH} SELECT count(*) AS n, count(*) FILTER (WHERE a = 1 AND b = 1) AS both1, count(*) FILTER (WHERE a = 1 AND (b IS NULL OR b <> 1)) AS only_a1, count(*) FILTER (WHERE b = 1 AND (a IS NULL OR a <> 1)) AS only_b1, count(*) FILTER (WHERE a BETWEEN 2 AND 5 AND b BETWEEN 2 AND 5) AS both5, 100.0 * count(*) FILTER (WHERE a = 1 AND b = 1) / count(*) AS both1_percent FROM ab", "both1_percent")
+def overlap_report(spark, sf):
+    """Top-1 and the bucket from 2 to 5."""
+    p = positions(spark, sf).where(F.col("strategy").isin("keywords", "likelihood")).groupBy("query_id").pivot("strategy", ["keywords", "likelihood"]).agg(F.max("position"))
+    a1, b1 = F.coalesce(F.col("keywords") == 1, F.lit(False)), F.coalesce(F.col("likelihood") == 1, F.lit(False))
+    n = lambda c: F.count(F.when(c, 1))
+    return p.agg(F.count(F.lit(1)).alias("n"), n(a1 & b1).alias("both1"), n(a1 & ~b1).alias("only_a1"), n(b1 & ~a1).alias("only_b1"), n(F.col("keywords").between(2, 5) & F.col("likelihood").between(2, 5)).alias("both5"), (100.0 * n(a1 & b1) / F.count(F.lit(1))).alias("both1_percent"))
+
+
+@query("ensemble_unique_wins", f"{_BOTH} SELECT query_id FROM pos WHERE strategy = 'mrf' AND position = 1 AND query_id NOT IN (SELECT query_id FROM pos WHERE strategy <> 'mrf' AND position = 1)")
+def ensemble_unique_wins(spark, sf):
+    others = positions(spark, sf).where("strategy <> 'mrf' AND position = 1").select("query_id")
+    return right(spark, sf, "mrf").join(others, "query_id", "left_anti")
