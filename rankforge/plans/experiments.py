@@ -1 +1,59 @@
-"""Queries."""
+"""Queries of embedding-space experiments. Noise comes from hashes, so a rerun gives the same vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import expand as X
+from .common import vectors
+from .registry import query
+
+
+def _moments(df):
+    """``n, dims, mean, sd`` of each expansion: what a check without an oracle can hold on to."""
+    e = df.select(F.size("v").alias("dims"), F.explode("v").alias("x"))
+    return e.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+
+
+def _register(family: str) -> None:
+    @query(f"expand_{family}")
+    def run(spark, sf):
+        out = None
+        for name, dims, scale in X.FAMILIES[family]:
+            made = _moments(X.expand(vectors(spark, sf), family, dims, scale)).withColumn("config", F.lit(name))
+            out = made if out is None else out.unionByName(made)
+        return out
+
+
+for _family in X.FAMILIES:
+    _register(_family)
+
+
+@query("expand_query")
+def expand_query(spark, sf):
+    """Query-side noise is drawn apart from the documents'."""
+    return _moments(X.expand(vectors(spark, sf).where("vec_id % 50 = 0"), "gaussian", 100, 0.1, side="query"))
+
+
+@query("pca")
+def pca(spark, sf):
+    """Centred projections on five components; signs make the largest loading positive."""
+    return X.pca(vectors(spark, sf), 5)[0].select("vec_id", F.posexplode("v").alias("component", "value"))
+
+
+@query("cumulative_variance")
+def cumulative_variance(spark, sf):
+    from ..operators.ranking import cumulative_share
+
+    shares = X.pca(vectors(spark, sf), 64)[1]
+    rows = spark.createDataFrame([(0, i, float(s)) for i, s in enumerate(shares)], "g int, component int, share double")
+    return cumulative_share(rows, "share", [F.col("component")], ["g"]).select("component", "share", "cumulative")
+
+
+@query("kmeans_silhouette")
+def kmeans_silhouette(spark, sf):
+    """Exact silhouette of MLlib's clusters."""
+    from ..operators.pairwise import silhouette
+
+    v = vectors(spark, sf)
+    return silhouette(v.select("vec_id", "v").join(X.kmeans(v, 8), "vec_id").withColumnRenamed("cluster", "label"))

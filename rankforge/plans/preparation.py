@@ -1 +1,76 @@
-"""Queries."""
+"""Queries of training-pair preparation over conversations (document = conversation, index = turn) and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .common import table, vectors
+from .registry import query
+
+
+@query(
+    "positives_window_join",
+    """SELECT anchor_doc, anchor, positive FROM (SELECT a.conv_id AS anchor_doc, a.turn AS anchor, b.turn AS positive, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY abs(b.turn - a.turn), b.turn) AS r
+    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn AND abs(a.turn - b.turn) <= 3) WHERE r <= 5""",
+)
+def positives_window_join(spark, sf):
+    """Turns at most 3 apart: an equi join on (conversation, turn) after spreading each turn over its reach."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn")
+    reach = c.select("conv_id", F.col("turn").alias("positive"), F.explode(F.array(*[F.col("turn") + i for i in (-3, -2, -1, 1, 2, 3)])).alias("turn"))
+    order = Window.partitionBy("conv_id", "turn").orderBy(F.abs(F.col("positive") - F.col("turn")), "positive")
+    out = c.join(reach, ["conv_id", "turn"]).withColumn("r", F.row_number().over(order)).where("r <= 5")
+    return out.select(F.col("conv_id").alias("anchor_doc"), F.col("turn").alias("anchor"), "positive")
+
+
+_SPLIT = "SELECT conv_id, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'val' ELSE 'test' END AS split FROM (SELECT DISTINCT conv_id, (conv_id * 7919) % 100 AS h FROM conversations)"
+
+
+@query("split_by_doc", _SPLIT)
+def split_by_doc(spark, sf):
+    """80/10/10 by document, from the document's id alone."""
+    h = (F.col("conv_id") * 7919) % 100
+    return table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", F.when(h < 80, "train").when(h < 90, "val").otherwise("test").alias("split"))
+
+
+@query("pair_hydrate", "SELECT a.conv_id, a.turn AS anchor, b.turn AS positive, md5(a.text) AS anchor_digest, md5(b.text) AS positive_digest FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def pair_hydrate(spark, sf):
+    c = table(spark, sf, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.md5("text").alias("positive_digest"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", F.col("turn").alias("anchor"), (F.col("turn") + 1).alias("positive"), F.md5("text").alias("anchor_digest"), "positive_digest")
+
+
+@query("valid_pair_filter", r"""SELECT a.conv_id, a.turn AS anchor FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+    WHERE a.text <> b.text AND len(list_filter(regexp_split_to_array(a.text, '\s+'), lambda x: x <> '')) >= 10 AND len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda x: x <> '')) >= 10""")
+def valid_pair_filter(spark, sf):
+    from ..functions.text import whitespace_words
+
+    c = table(spark, sf, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
+    long = lambda t: F.size(whitespace_words(F.col(t))) >= 10
+    return c.join(nxt, ["conv_id", "turn"]).where((F.col("text") != F.col("other")) & long("text") & long("other")).select("conv_id", F.col("turn").alias("anchor"))
+
+
+_BANDS = """SELECT CASE WHEN s <= 0.4 THEN 'easy' WHEN s <= 0.7 THEN 'semi-hard' ELSE 'hard' END AS pair_type, count(*) AS n FROM (
+    SELECT round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label) WHERE s <= 0.9 GROUP BY ALL"""
+
+
+def negatives(spark, sf):
+    """Pairs of different labels by similarity band; above 0.9 none."""
+    from ..operators.pairwise import pairs
+
+    v = vectors(spark, sf)
+    label = v.select("vec_id", "label")
+    p = pairs(v, "cosine").join(label.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
+    s = F.round("value", 6)
+    return p.where(s <= 0.9).withColumn("pair_type", F.when(s <= 0.4, "easy").when(s <= 0.7, "semi-hard").otherwise("hard"))
+
+
+@query("negatives_cross_doc", _BANDS)
+def negatives_cross_doc(spark, sf):
+    return negatives(spark, sf).groupBy("pair_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pair_type_counts", _BANDS)
+def pair_type_counts(spark, sf):
+    return negatives(spark, sf).groupBy("pair_type").agg(F.count(F.lit(1)).alias("n"))
