@@ -50,7 +50,7 @@ def shingle_hashes(text: str, words: int) -> list[int]:
     return [digest(joined[a:b], _SEED) for a, b in zip(starts, ends[words - 1 :])]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bit i is 1 if it is set in over half of the hashes; 0 for none."""
     n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, _BLOCK):
@@ -82,11 +82,21 @@ def _ring_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def _chain(diff: Column) -> Column:
-    """Some segment starts a chain with running sums 0, <= 1, <= 1 around the ring."""
-    d = [F.bit_count(_segment(diff, i)) for i in range(4)]
-    starts = [(d[i] == 0) & (d[i] + d[(i + 1) % 4] <= 1) & (d[i] + d[(i + 1) % 4] + d[(i + 2) % 4] <= 1) for i in range(4)]
-    return starts[0] | starts[1] | starts[2] | starts[3]
+def ring_chain(diff: Column, segments: int, far: int, longest: int) -> Column:
+    """Some segment starts a chain around the ring whose first ``longest`` running sums stay within their share.
+
+    Of ``far`` differing bits, l segments may hold l * far / segments; no pair within ``far`` fails.
+    """
+    width = 64 // segments
+    d = [F.bit_count(F.shiftrightunsigned(diff, width * i).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
+    found = F.lit(False)
+    for start in range(segments):
+        total, fits = F.lit(0), F.lit(True)
+        for n in range(1, longest + 1):
+            total = total + d[(start + n - 1) % segments]
+            fits = fits & (total <= n * far // segments)
+        found = found | fits
+    return found
 
 
 def _flips(fp: Column) -> Column:
@@ -100,7 +110,7 @@ def hamming_links(values: DataFrame, dense: int = DENSE) -> DataFrame:
     met = checkpoint(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     few = keyed.join(met.where(F.col("_n") <= dense).select("_key"), "_key")
     groups = few.groupBy("_key").agg(F.sort_array(F.collect_list("_fp")).alias("_group"))  # at most ``dense`` long
-    near = lambda a: F.filter("_group", lambda b: (a < b) & _chain(a.bitwiseXOR(b)) & (F.bit_count(a.bitwiseXOR(b)) <= 2))
+    near = lambda a: F.filter("_group", lambda b: (a < b) & ring_chain(a.bitwiseXOR(b), 4, 2, 3) & (F.bit_count(a.bitwiseXOR(b)) <= 2))
     pairs = groups.select(F.explode(F.flatten(F.transform("_group", lambda a: F.transform(near(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("_p"))
     crowded = keyed.join(met.where(F.col("_n") > dense).select("_key"), "_key").select("_fp").distinct()
     stars = crowded.select("_fp", F.explode(_flips(F.col("_fp"))).alias("_mid"))
@@ -121,10 +131,3 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     return prints.join(of, "_fp").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each group; rows with a null id stay."""
-    groups = simhash_groups(docs, words, id_col, text_col)
-    losers = groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_loser"))
-    return docs.join(losers, docs[id_col] == F.col("_loser"), "left_anti")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rankforge.llm import components, line_dedup, simhash, substring_dedup
+from rankforge.llm import components, line_dedup, near_copies, simhash, substring_dedup
 from rankforge.llm.embedding_dedup import embedding_groups
 from rankforge.llm.exact_dedup import drop_exact_copies, exact_dedup
 from rankforge.llm.mixing import mix
@@ -152,6 +152,32 @@ def test_hamming_links_dense_and_sparse(spark):
         assert {v: parts.get(v, v) for v in values} == group
 
 
+def test_near_copies_against_all_pairs(spark, docs, empty):
+    rng = np.random.default_rng(9)
+    texts = []
+    for g in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 900, int(rng.integers(40, 300)))]
+        for c in range(12):
+            own = list(base)
+            for at in rng.integers(0, len(own), int(rng.integers(0, 1 + len(own) // 30))):
+                own[at] = f"edit{g}-{c}-{at}"
+            texts.append(" ".join(own))
+    texts += ["", None, " \n", "too short", "Too  SHORT", "too shorter"]
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [words((t or "").lower())] for k in range(max(1, len(w) - 4)) if w}
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    near = [[j for j in range(len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in group]
+    for _ in range(20):
+        group = [min(group[j] for j in near[i]) for i in range(len(texts))]
+    rows = [(i, t, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (None, texts[0], 1), rows[5]], "doc_id long, text string, _id int").repartition(3)
+    got = {r["_id"]: r["component"] for r in near_copies.near_copy_groups(df).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == group and 12 < len(set(group)) < 120
+    left = near_copies.drop_near_copies(df)
+    assert sorted(r["doc_id"] for r in left.where("doc_id IS NOT NULL").collect()) == sorted(set(group)) and left.where("doc_id IS NULL").count() == 1
+    assert left.columns == df.columns and near_copies.drop_near_copies(empty).count() == 0
+
+
 def test_mixing(docs, empty):
     got = mix(docs).collect()
     again = {(r["doc_id"], r["copies"]) for r in mix(docs.repartition(1)).collect()}
