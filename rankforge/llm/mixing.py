@@ -7,10 +7,11 @@ one size in a source have one rate, so Newton's iterations run over the histogra
 one aggregate each, whatever the number of documents, with a bracket that halves where a step leaves it.
 Sums are exact decimals, so the order of rows doesn't matter and reruns agree.
 
-Rates become copies by error diffusion: documents are dealt by a hash of their id to buckets of some
-hundred within their source, and each bucket, from long to short documents, takes a copy more whenever
+Rates become copies by error diffusion: documents are dealt by a hash of their id and text to buckets of
+some hundred within their source, and each bucket, from long to short documents, takes a copy more whenever
 what it owes is at least half of the document. A bucket's rest is about the size of its shortest
-documents, and the largest source has as many more buckets as it has documents.
+documents, and the largest source has as many more buckets as it has documents. Rows that repeat both id and
+text meet in one bucket; one that grows beyond ``CROWDED`` is split by the number of the row.
 
 Defined results: a null text has size 0, and a document of size 0 is taken 0 words; null is a source of
 its own, last in order; a null id is passed through and rows that repeat an id are mixed one by one (equal
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from ._base import WORD_CLASS, checkpoint, text_or_empty
 
 BUCKET = 256
+#: Rows from which a bucket is split.
+CROWDED = 4 * BUCKET
 #: Sources up to this number are sent to every task (about 100 bytes each); more are joined by exchange.
 BROADCAST_SOURCES = 20_000
 
@@ -121,15 +124,27 @@ def _copies() -> Column:
     return F.aggregate("_docs", start, step, lambda acc: acc["extra"])
 
 
+def _split_crowded(rated: DataFrame) -> DataFrame:
+    """Adds ``_part``: 0, or in a crowded bucket one of as many parts as make it ordinary."""
+    crowded = rated.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > CROWDED)
+    crowded = checkpoint(crowded.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.ceil(F.col("_rows") / BUCKET).alias("_parts")))
+    right = F.broadcast(crowded) if crowded.count() <= BROADCAST_SOURCES else crowded
+    joined = rated.join(right, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
+    return joined.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_parts")), F.lit(0))).drop("_s", "_b", "_parts")
+
+
 def mix(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
-) -> DataFrame:
-    """A row per input row: ``id_col, source_col, size, source_size, target, rate, copies, taken``.
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """A row per input row: ``id_col, source_col, size, source_size, target, rate, copies, taken``, and its ``keep`` columns.
 
     ``weights`` go to the sources in code-point order, repeating; all targets together are ``share`` times
     all words; no document is rated above ``cap`` nor copied more than ``ceil(cap)`` times.
     """
-    rows = checkpoint(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_or_empty(text_col)).alias("_size")))
+    text = text_or_empty(text_col)
+    kept = [F.struct(*keep).alias("_keep")] if keep else []
+    rows = checkpoint(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text).alias("_size"), F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"), *kept))
     sizes = checkpoint(rows.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_n")))
     targets = checkpoint(source_targets(sizes, weights, share, cap))
     solved = solve_dual(sizes, targets, cap)
@@ -138,13 +153,14 @@ def mix(
     m = F.col("_multiplier")
     rate = F.when(m == float("inf"), F.lit(float(cap))).when(m == float("-inf"), F.lit(0.0)).otherwise(_rate(m, cap))
     rated = _same(rows, known, targets.count() <= BROADCAST_SOURCES).withColumn("_rate", F.when(F.col("_size") > 0, rate).otherwise(F.lit(0.0)))
-    rated = rated.withColumn("_bucket", F.pmod(F.xxhash64("_id"), buckets))
+    rated = _split_crowded(rated.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_hash"), buckets)))
     whole = F.floor("_rate")
-    entry = F.struct((-F.col("_size")).alias("_key"), F.col("_id").alias("id"), F.col("_size").alias("size"), F.col("_rate").alias("rate"), (F.col("_rate") - whole).alias("part"))
-    dealt = rated.groupBy("_source", "_bucket").agg(F.sort_array(F.collect_list(entry)).alias("_docs"), *[F.first(c).alias(c) for c in ("_words", "_target")])
+    entry = F.struct((-F.col("_size")).alias("_key"), F.col("_id").alias("id"), F.col("_size").alias("size"), F.col("_rate").alias("rate"), (F.col("_rate") - whole).alias("part"), "_hash", "_row", *(["_keep"] if keep else []))
+    dealt = rated.groupBy("_source", "_bucket", "_part").agg(F.sort_array(F.collect_list(entry)).alias("_docs"), *[F.first(c).alias(c) for c in ("_words", "_target")])
     each = dealt.withColumn("_extra", _copies()).select("_source", "_words", "_target", F.explode(F.arrays_zip("_docs", "_extra")).alias("_x"))
     copies = (F.floor(F.col("_x._docs.rate")) + F.col("_x._extra")).cast("int")
     return each.select(
         F.col("_x._docs.id").alias(id_col), F.col("_source").alias(source_col), F.col("_x._docs.size").alias("size"), F.col("_words").alias("source_size"),
         F.col("_target").alias("target"), F.col("_x._docs.rate").alias("rate"), copies.alias("copies"), (copies * F.col("_x._docs.size")).alias("taken"),
+        *[F.col(f"_x._docs._keep.{c}").alias(c) for c in keep],
     )
