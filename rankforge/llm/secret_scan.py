@@ -1,8 +1,10 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest; DataFrame operations only.
 
-A candidate is a run of at least 12 key-like characters with a digit. Its features are its length, shares
-of character classes, transitions between them, distinct characters, dictionary coverage, whether it stands
-in a path, and what the words around it say. The forest is trained on labelled findings: a table
+A candidate is a run of at least 12 key-like characters with a digit, with password marks (dots among them)
+between; after a key word and ``=`` or ``:``, or after Bearer, any value of 12 characters is one, with or without a
+digit. Its features are its length, shares of character classes, transitions between them, distinct characters,
+dictionary coverage, whether it stands in a path, and what stands around it: the words before and after, and of
+its own word the characters next to it, up to where the next field (``,;&{}``) begins. The forest is trained on labelled findings: a table
 ``finding, before, word, after, secret``. The tables at hand hold none, so ``labelled_findings`` makes a bounded
 set from rules (key formats on one side; card numbers, checksums, identifiers, paths and dates on the other).
 
@@ -23,20 +25,41 @@ from pyspark.sql import functions as F
 
 from ._base import SPACE_CLASS, checkpoint, text_or_empty
 
-_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}+"
+_CLASS, _MARK = r"A-Za-z0-9_+/\-", r".!@$#%^*~"
+_RUN = rf"(?<![{_CLASS}])(?<![{_CLASS}][{_MARK}]{{1,8}})(?=[A-Za-z_+/\-{_MARK}]*+[0-9])[{_CLASS}][{_CLASS}{_MARK}]{{10,}}[{_CLASS}]"
 #: Words that speak for and against a secret nearby, and common English words.
 _FOR = "password|passwd|pwd|secret|token|api|key|auth|bearer|credential|private|access"
+#: A value after a key word: more marks, no digit needed; a full stop or question mark at its end isn't part of it.
+_VALUE = rf"[{_CLASS}{_MARK}=?|]{{11,}}[{_CLASS}!@$#%^*~=|]"
+_NAME = rf"(?i:{_FOR})[A-Za-z0-9_\-]{{0,40}}[\"'`\]\\]{{0,3}}"
+_OPEN = r"[\"'`(\\]{0,3}"
+#: Within a word, at the start of a word that a key word before leads to, and in whole texts (to pass over the others).
+_IN_WORD = rf"(?:(?<=[:=]{_OPEN})(?<={_NAME}[:=]{{1,2}}>?{_OPEN}){_VALUE}|{_RUN})"
+_LED = rf"(?:(?<=^{_OPEN}){_VALUE}|{_IN_WORD})"
+_LEADS = rf"{_NAME}[:=]{{1,2}}>?$|(?i:bearer)$"
+_LEADS_APART = rf"{_NAME}[ ](?:[:=]{{1,2}}>?)$"
+_IN_TEXT = rf"{_RUN}|{_NAME}{SPACE_CLASS}*[:=]{{1,2}}>?{SPACE_CLASS}*{_OPEN}{_VALUE}|(?i:bearer){SPACE_CLASS}+{_OPEN}{_VALUE}"
+#: Characters of the word that stand next to a finding: at least so many where there are as many.
+_NEXT = 64
 _AGAINST = "commit|sha|md5|checksum|uuid|guid|card|visa|phone|order|isbn|version|revision|date|build|digest|blob|ref"
 _WORDS = "the|and|that|with|this|from|have|tion|ing|ment|house|time|year|world|school|state|point|home|water|room|mother|area|money|story|fact|month|right|study|book|word|business|issue|side|kind|head|service|friend|father|power|hour|game|line|member|city|team|minute|idea|body|back|parent|face|level|office|door|health|person|art|history|party|result|change|morning|reason|research|girl|guy|moment|air|teacher|force|education|release|image|report|final|test|user|data|file|index|page|static|assets"
 FEATURES = ["length", "digits", "uppers", "lowers", "turns", "distinct", "vowels", "hex_only", "digits_only", "marks", "prefix", "covered", "in_path", "speaks_for", "speaks_against", "assigned", "quoted"]
 
 
 def with_features(findings: DataFrame) -> DataFrame:
-    """Adds ``FEATURES`` to ``finding, before, word, after``."""
+    """Adds ``FEATURES`` to ``finding, before, word, after`` and, where the word holds more than one place for it, ``left, right``."""
+    if "left" not in findings.columns:
+        at = F.expr("instr(word, finding)")
+        findings = findings.withColumn("left", F.when(at > 0, F.substring("word", F.lit(1), at - 1)).otherwise(F.lit("")))
+        findings = findings.withColumn("right", F.when(at > 0, F.substring("word", at + F.length("finding"), F.length("word"))).otherwise(F.lit("")))
     c, n = F.col("finding"), F.length("finding").cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
-    near = F.lower(F.concat_ws(" ", "before", F.substring("word", 1, 64), "after"))
+    field = F.regexp_extract("left", "[^,;&{}]*$", 0)
+    left = F.when(field.rlike("[=:]"), field).otherwise(F.col("left"))  # a list's items share the name before it
+    right = F.regexp_extract("right", r"^[^,;&{}\[\]]*", 0)
+    name = F.regexp_extract(c, "^(?:[A-Za-z]+[_-])*", 0)  # a name glued to the value
+    near = F.lower(F.concat_ws(" ", "before", left, name, right, "after"))
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
     made = {
         "length": F.least(n, F.lit(200.0)),
@@ -44,18 +67,18 @@ def with_features(findings: DataFrame) -> DataFrame:
         "uppers": share("[A-Z]"),
         "lowers": share("[a-z]"),
         "turns": F.length(classes) / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 200), ""))) / F.least(n, F.lit(200.0)),
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "vowels": share("[aeiouAEIOU]"),
         "hex_only": flag(c.rlike("^[0-9a-f]+$")),
         "digits_only": flag(c.rlike("^[0-9]+$")),
-        "marks": share(r"[_+/\-]"),
+        "marks": share("[^A-Za-z0-9]"),
         "prefix": flag(c.rlike("^(?:[A-Z]{4}[A-Z0-9]{16}$|[a-z]{2,4}[_-])")),
         "covered": 1 - F.length(F.regexp_replace(F.lower(c), _WORDS, "")) / n,
-        "in_path": flag(F.col("word").rlike(r"://|^[./~]|/.*/|\\")),
+        "in_path": flag(F.concat(left, c, right).rlike(r"://|^[./~]|/.*/|\\")),
         "speaks_for": flag(near.rlike(_FOR)),
         "speaks_against": flag(near.rlike(_AGAINST)),
-        "assigned": flag(F.col("word").rlike("[=:]") | F.col("before").rlike("[=:]$")),
-        "quoted": flag(F.col("word").rlike("[\"'`]")),
+        "assigned": flag(F.concat(left, right).rlike("[=:]") | F.col("before").rlike("[=:]$")),
+        "quoted": flag(F.concat(left, right).rlike("[\"'`]")),
     }
     return findings.withColumns(made)
 
@@ -73,6 +96,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     keys = ["password", "passwd", "token", "secret", "api_key", "access_key", "auth_token"]
     plain = ["commit", "sha256", "md5", "checksum", "digest", "ref", "uuid", "order", "card", "build"]
     uuid = F.concat_ws("-", *[F.substring(hexes("u"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    bare = lambda salt: F.translate(letters(salt), "0123456789", "aBcDeFgHiJ")
+    part = lambda salt, k: F.substring(letters(salt), 1, k)
     kinds = [  # finding, word before, word, secret
         (F.concat(F.lit("AKIA"), F.substring(F.upper(F.translate(letters("a"), "019", "XYZ")), 1, 15), F.lit("7")), some("b"), None, 1),
         (cut(hexes("c"), 16, 40, "n"), some("b"), F.concat(name("k", keys), F.lit("=")), 1),
@@ -88,6 +113,15 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(F.lit("/static/assets/"), some("x"), F.lit("-"), F.substring(hexes("m"), 1, 8)), some("b"), F.lit("https:"), 0),
         (F.concat(some("x"), some("y"), some("z"), numbers("o", 4)), some("b"), None, 0),
         (F.concat(F.lit("2024-0"), F.substring(numbers("q", 1), 1, 1), F.lit("-11T10")), some("b"), None, 0),
+        (F.concat(F.lit("eyJ"), part("r", 17), F.lit("."), part("s", 30), F.lit("."), cut(letters("t"), 20, 40, "n")), F.lit("Authorization: Bearer"), None, 1),
+        (F.concat(part("ja", 5), name("m1", [".", "!", "@", "$"]), part("jb", 5), name("m2", [".", "!", "@", "$", "#"]), part("jc", 5)), some("b"), F.concat(name("k", keys), F.lit("=")), 1),
+        (cut(bare("v"), 14, 40, "n"), some("b"), F.concat(F.lit('{"'), name("k", keys), F.lit('":"')), 1),
+        (F.concat(some("x"), F.lit("."), some("y"), numbers("aa", 2), F.lit("@example.com")), some("b"), None, 0),
+        (F.concat(F.lit("www."), some("x"), numbers("ab", 2), F.lit("."), some("y"), F.lit(".example.org")), some("b"), None, 0),
+        (F.concat(some("x"), F.lit("-"), numbers("ac", 1), F.lit("."), numbers("ad", 2), F.lit("."), numbers("ae", 1), F.lit(".tar.gz")), some("b"), None, 0),
+        (F.concat(some("x"), some("y"), some("z"), some("w")), F.concat(name("k", keys), F.lit(":")), None, 0),
+        (F.concat(some("x"), F.lit("."), some("y"), F.lit("_"), some("z"), F.lit("."), some("w")), some("b"), F.concat(name("k", keys), F.lit("=")), 0),
+        (F.substring(hexes("j"), 1, 40), some("b"), F.concat(F.lit('{"'), name("w", plain), F.lit('":"')), 0),
     ]
     kind = F.pmod(i, F.lit(len(kinds)))
     pick = lambda column: F.element_at(F.array(*[column(k) for k in kinds]), (kind + 1).cast("int"))
@@ -110,13 +144,21 @@ def train_forest(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, word_index, finding_index, finding, before, word, after``: every candidate of every text."""
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).where(F.col("_text").rlike(_RUN))
+    """``_id, word_index, finding_index, finding, before, word, after, left, right``: every candidate of every text."""
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).where(F.col("_text").rlike(_IN_TEXT))
     rows = rows.select("_id", F.filter(F.split("_text", f"{SPACE_CLASS}+"), lambda w: w != "").alias("_words"))
     around = F.transform("_words", lambda w, i: F.struct(F.get("_words", i - 2).alias("p2"), F.get("_words", i - 1).alias("p1"), w.alias("word"), F.get("_words", i + 1).alias("after"), i.alias("word_index")))
-    hits = rows.select("_id", F.explode(F.filter(around, lambda x: x["word"].rlike(_RUN))).alias("_w"))
-    found = hits.select("_id", "_w.*", F.posexplode(F.regexp_extract_all("_w.word", F.lit(_RUN), F.lit(0))).alias("finding_index", "finding"))
-    return found.select("_id", "word_index", "finding_index", "finding", F.concat_ws(" ", "p2", "p1").alias("before"), "word", F.coalesce("after", F.lit("")).alias("after"))
+    leads = lambda p2, p1: F.coalesce(p1.rlike(_LEADS), F.lit(False)) | F.coalesce(F.concat_ws(" ", p2, p1).rlike(_LEADS_APART), F.lit(False))
+    hits = rows.select("_id", F.explode(F.filter(around, lambda x: x["word"].rlike(_IN_WORD) | (x["word"].rlike(_LED) & leads(x["p2"], x["p1"])))).alias("_w")).select("_id", "_w.*")
+
+    def parts(group: int) -> Column:
+        """The finding (2) and what stands to its left (1) and right (3), found together; the left part is read backwards from each place."""
+        whole = lambda body: rf"(?={body})(?<=(^[\s\S]{{0,{_NEXT}}}|[\s\S]{{{_NEXT},{2 * _NEXT}}}))({body})(?=([\s\S]{{0,{_NEXT}}}))"
+        every = lambda body: F.regexp_extract_all("word", F.lit(whole(body)), F.lit(group))
+        return F.when(leads(F.col("p2"), F.col("p1")), every(_LED)).otherwise(every(_IN_WORD))
+
+    found = hits.select("*", F.posexplode(F.arrays_zip(parts(2).alias("finding"), parts(1).alias("left"), parts(3).alias("right"))).alias("finding_index", "_f"))
+    return found.select("_id", "word_index", "finding_index", "_f.finding", F.concat_ws(" ", "p2", "p1").alias("before"), "word", F.coalesce("after", F.lit("")).alias("after"), "_f.left", "_f.right")
 
 
 def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
