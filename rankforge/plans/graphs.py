@@ -1,7 +1,8 @@
 """Queries of chunk graphs, PageRank and the full re-ranking.
 
-Each query's candidates are its 20 best documents by query likelihood (the feature's own limit, k'); its
-seeds are the best three.
+Each query's candidates are its k' best documents by query likelihood; its seeds are the best three. The queries
+named ``_full`` do the whole job with the reference's limits: k' = 100, the best 30 returned, iteration to 1e-6 (at most 100
+steps). Those with an oracle are short forms for comparison with SQL: k' = 20 and eight steps, unconverged.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ from .fusion import SIGNALS, _z, signals
 from .registry import query
 
 K_PRIME, SEEDS = 20, 3
+#: The reference's candidates and results of a query.
+FULL_K_PRIME, FULL_K = 100, 30
+#: Eight steps whatever the difference, so that SQL can follow; without these, the operator goes on to its tolerance.
+SHORT = {"tol": 0.0, "iterations": 8}
 
 
-def nodes(spark, sf):
+def nodes(spark, sf, k_prime=K_PRIME):
     """``query_id, chunk_id, doc, position, embedding, emb, qlm, mrf, rank``."""
-    best = ranking.top_k(signals(spark, sf), K_PRIME, ["query_id"], "qlm")
+    best = ranking.top_k(signals(spark, sf), k_prime, ["query_id"], "qlm")
     out = best.join(chunks(spark, sf).select("chunk_id", "doc", "position"), "chunk_id").join(chunk_vectors(spark, sf).withColumnRenamed("v", "embedding"), "chunk_id")
-    return out.persist()  # K_PRIME rows a query; the graph, its seeds and the scores all start from them
+    return out.persist()  # k_prime rows a query; the graph, its seeds and the scores all start from them
 
 
 def links(spark, sf):
@@ -128,9 +133,9 @@ def ppr_scores_for_candidates(spark, sf):
     return signals(spark, sf).select("query_id", "chunk_id").join(p, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def ppr_raw(spark, sf, n=None):
+def ppr_raw(spark, sf, n=None, **until):
     n = nodes(spark, sf) if n is None else n
-    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), tol=0.0, iterations=8)
+    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), **(until or SHORT))
 
 
 @query("l1_diff", f"WITH {GRAPH.replace('edge AS (', 'edge AS MATERIALIZED (')}, {_unrolled(_RESTART, 8)} SELECT query_id, sum(abs(p8.p - start.r)) AS l1 FROM p8 JOIN start USING (query_id, chunk_id) GROUP BY ALL", "l1")
@@ -152,8 +157,8 @@ def graph_metrics(spark, sf):
 
 @query("graph_average_path")
 def graph_average_path(spark, sf):
-    """Mean shortest path of each connected graph; tested against breadth-first search by hand."""
-    n = nodes(spark, sf)
+    """Mean shortest path of each connected graph of 100 candidates; tested against breadth-first search by hand."""
+    n = nodes(spark, sf, FULL_K_PRIME)
     return G.average_path(n, edges(spark, sf, n))
 
 
@@ -164,10 +169,10 @@ RERANK = f"""{GRAPH.replace('edge AS (', 'edge AS MATERIALIZED (')}, {_unrolled(
     rr AS (SELECT query_id, chunk_id, ze AS embedding_score, zp AS ppr_score, zq AS qlm_score, zm AS mrf_score, {_TOTAL} AS total_score, row_number() OVER (PARTITION BY query_id ORDER BY round({_TOTAL}, 6) DESC, chunk_id) AS rank FROM zz)"""
 
 
-def reranked(spark, sf):
+def reranked(spark, sf, k_prime=K_PRIME, **until):
     """Candidates by 0.45 embedding + 0.25 PageRank + 0.2 query likelihood + 0.1 dependence model, all z-scored."""
-    n = nodes(spark, sf)
-    raw = n.select("query_id", "chunk_id", "emb", "qlm", "mrf").join(ppr_raw(spark, sf, n).select("query_id", "chunk_id", F.round("score", 9).alias("ppr")), ["query_id", "chunk_id"])
+    n = nodes(spark, sf, k_prime)
+    raw = n.select("query_id", "chunk_id", "emb", "qlm", "mrf").join(ppr_raw(spark, sf, n, **until).select("query_id", "chunk_id", F.round("score", 9).alias("ppr")), ["query_id", "chunk_id"])
     z = N.normalize_all(raw, ["emb", "ppr", "qlm", "mrf"], ["query_id"])
     z = z.withColumn("total_score", N.combine({"emb": 0.45, "ppr": 0.25, "qlm": 0.2, "mrf": 0.1}))
     named = z.select("query_id", "chunk_id", F.col("emb").alias("embedding_score"), F.col("ppr").alias("ppr_score"), F.col("qlm").alias("qlm_score"), F.col("mrf").alias("mrf_score"), "total_score")
@@ -199,3 +204,87 @@ _PAIR_NAMES = [(a, b) for i, a in enumerate(_SCORES.split()) for b in _SCORES.sp
 @query("component_correlations", f"WITH {RERANK} SELECT query_id, " + ", ".join(f"CASE WHEN round(stddev_pop({a}) * stddev_pop({b}), 12) = 0 THEN 0.0 ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END AS {a}__{b}" for a, b in _PAIR_NAMES) + " FROM rr GROUP BY query_id", " ".join(f"{a}__{b}" for a, b in _PAIR_NAMES))
 def component_correlations(spark, sf):
     return E.component_correlations(reranked(spark, sf), _SCORES.split(), ["query_id"])
+
+
+#: The reference's tolerance and most steps.
+CONVERGED = {"tol": 1e-6, "iterations": 100}
+
+
+def _full(spark, sf, **how):
+    """Nodes of the full graph and their converged scores."""
+    n = nodes(spark, sf, FULL_K_PRIME)
+    return n, G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), **CONVERGED, **how)
+
+
+def reranked_full(spark, sf):
+    return reranked(spark, sf, FULL_K_PRIME, **CONVERGED)
+
+
+@query("build_graph_full")
+def build_graph_full(spark, sf):
+    return edges(spark, sf, nodes(spark, sf, FULL_K_PRIME))
+
+
+@query("filter_edge_weight_full")
+def filter_edge_weight_full(spark, sf):
+    return build_graph_full(spark, sf).where(F.col("weight") > 0.1).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query("graph_enhanced_full")
+def graph_enhanced_full(spark, sf):
+    n = nodes(spark, sf, FULL_K_PRIME)
+    return G.graph_enhanced(n, edges(spark, sf, n))
+
+
+@query("graph_metrics_full")
+def graph_metrics_full(spark, sf):
+    n = nodes(spark, sf, FULL_K_PRIME)
+    e = edges(spark, sf, n)
+    return G.graph_counts(n, e).join(G.clustering(n, e), "query_id")
+
+
+@query("ppr_full")
+def ppr_full(spark, sf):
+    return _full(spark, sf)[1]
+
+
+@query("ppr_teleport_full")
+def ppr_teleport_full(spark, sf):
+    return _full(spark, sf, teleport=0.1)[1]
+
+
+@query("ppr_stochastic_full")
+def ppr_stochastic_full(spark, sf):
+    return _full(spark, sf, transition="stochastic")[1]
+
+
+@query("ppr_scores_for_candidates_full")
+def ppr_scores_for_candidates_full(spark, sf):
+    """Every candidate; one outside the graph scores 0."""
+    return signals(spark, sf).select("query_id", "chunk_id").join(_full(spark, sf)[1], ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@query("l1_diff_full")
+def l1_diff_full(spark, sf):
+    n, p = _full(spark, sf)
+    return G.l1_diff(p, n.select("query_id", "chunk_id", F.when(F.col("rank") <= SEEDS, 1.0 / SEEDS).otherwise(0.0).alias("score")), ["query_id"])
+
+
+@query("rerank_full")
+def rerank_full(spark, sf):
+    return reranked_full(spark, sf).where(F.col("rank") <= FULL_K)
+
+
+@query("rerank_analysis_full")
+def rerank_analysis_full(spark, sf):
+    return reranked_full(spark, sf).where(F.col("rank") <= 10)
+
+
+@query("score_distributions_full")
+def score_distributions_full(spark, sf):
+    return E.score_distributions(reranked_full(spark, sf), _SCORES.split(), ["query_id"])
+
+
+@query("component_correlations_full")
+def component_correlations_full(spark, sf):
+    return E.component_correlations(reranked_full(spark, sf), _SCORES.split(), ["query_id"])

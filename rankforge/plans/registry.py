@@ -69,4 +69,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["rerank"](spark, sf_dir)
+    return queries()["rerank_full"](spark, sf_dir)
