@@ -18,7 +18,10 @@ ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
+from bisect import bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
@@ -28,15 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import text_batches, text_or_empty
-from .bpe import CACHE_CHARS, CACHE_ENTRIES, PRE_TOKEN, byte_symbols, spec
+from .bpe import PRE_TOKEN, byte_symbols, spec
 
 #: Pieces that wait at most; half of them are packed when it is full.
 POOL = 8192
 
 
+#: A run of white space from which the second library's pattern would outgrow its stack.
+_LONG_SPACE = re.compile(r"\s{50000}")
+
+
 def _core(path: str):
-    """The same merges for tiktoken, which is several times faster on single words; None if the file's
-    ids don't rise with its merges (ranks and ids must be the same for that) or the library is missing."""
+    """The same vocabulary for tiktoken, which is several times faster; None if the file's ids don't rise with
+    its merges (ranks and ids must be the same for that) or the library is missing."""
     try:
         import tiktoken
 
@@ -52,57 +59,32 @@ def _core(path: str):
 
 
 class Ids:
-    """Texts to little-endian unsigned 32-bit ids, as bytes, through the tokenizers library."""
+    """Whole texts to little-endian unsigned 32-bit ids, as bytes.
+
+    Texts that hold an added token or an endless run of white space go to the tokenizers library, the others
+    to tiktoken with the ranks of the same file (``fast=False``: all to the library). The ids are the same.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, fast: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.core = _core(path)
-        self.known: dict[str, bytes] = {}
+        self.core = _core(path) if fast else None
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words with the blank before them."""
-        if self.core is None:
-            return dict(zip(words, self._encode([" " + w for w in words])))
-        encode = self.core.encode_ordinary
-        return {w: np.asarray(encode(" " + w), "<u4").tobytes() for w in words}
+    def _plain(self, text: str) -> bool:
+        return not any(s in text for s in self.special) and (len(text) < 50_000 or not _LONG_SPACE.search(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Blank-separated words not met before are encoded together, once; the rest is looked up.
-
-        A word with the blank before it is a unit of its own unless other white space stands beside
-        that blank; texts where that happens, and those that hold an added token, go to the library whole.
-        """
-        split = [t.split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split)) - self.known.keys()
-        bad = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        new = list(new - bad)
-        fresh = self._words(new) if new else {}
-        if len(self.known) < CACHE_ENTRIES:
-            self.known.update(kv for kv in fresh.items() if len(kv[0]) <= CACHE_CHARS)
-        whole, heads = [], []
-        for i, (t, (head, *rest)) in enumerate(zip(texts, split)):
-            if not head or head[-1].isspace() or any(s in t for s in self.special) or (bad and not bad.isdisjoint(rest)):
-                whole.append(i)
-            else:
-                heads.append(i)
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        known = self.known
-        for i, ids in zip(heads, self._encode([split[i][0] for i in heads])):
-            rest = split[i][1:]
-            if fresh:
-                out[i] = ids + b"".join([known[w] if w in known else fresh[w] for w in rest])
-            else:
-                out[i] = ids + b"".join(map(known.__getitem__, rest))
-        return out
+        if self.core is None:
+            rest = list(range(len(texts)))
+        else:
+            rest = [i for i, t in enumerate(texts) if not self._plain(t)]
+        out: list[bytes | None] = [None] * len(texts)
+        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return [array("I", self.core.encode_ordinary(t)).tobytes() if ids is None else ids for t, ids in zip(texts, out)]
 
 
 @lru_cache(maxsize=2)
@@ -111,15 +93,19 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def best_fill(counts: dict[int, int], room: int) -> list[int]:
+def best_fill(counts: dict[int, int], room: int, rising: list[int] | None = None) -> list[int]:
     """The multiset of lengths, at most ``counts`` of each, whose sum is closest to ``room`` from below.
 
+    ``rising`` may hold the lengths in order.
+
     Lengths are taken from long to short until ``room`` itself can be reached. ``reached[k]`` is the
     bitset of sums after the first k lengths; tracing back takes as few of the later lengths as it can.
     """
     mask, bits = (1 << (room + 1)) - 1, 1
     reached, used = [bits], []
-    for length in sorted((x for x in counts if x <= room), reverse=True):
+    rising = sorted(counts) if rising is None else rising
+    for k in range(bisect_right(rising, room) - 1, -1, -1):
+        length = rising[k]
         before = bits
         left, step = counts[length], 1  # 1, 2, 4, ... copies reach every number of them
         while left and step * length <= room:
@@ -146,6 +132,8 @@ class Packer:
     def __init__(self, capacity: int, base: int, emit, pool: int = POOL):
         self.capacity, self.next, self.emit, self.limit = capacity, base, emit, pool
         self.pool: dict[int, list[tuple]] = {}
+        self.counts: dict[int, int] = {}
+        self.rising: list[int] = []  # the lengths in the pool
         self.waiting = 0
 
     def add(self, row, ids: bytes) -> None:
@@ -161,25 +149,31 @@ class Packer:
                 self._window()
 
     def _wait(self, piece: tuple) -> None:
-        self.pool.setdefault(len(piece[2]) // 4, []).append(piece)
+        n = len(piece[2]) // 4
+        if n not in self.pool:
+            self.pool[n], self.counts[n] = [], 0
+            insort(self.rising, n)
+        self.pool[n].append(piece)
+        self.counts[n] += 1
         self.waiting += 1
 
     def _take(self, length: int) -> tuple:
         pieces = self.pool[length]
         piece = pieces.pop()
+        self.counts[length] -= 1
         if not pieces:
-            del self.pool[length]
+            del self.pool[length], self.counts[length], self.rising[bisect_right(self.rising, length) - 1]
         self.waiting -= 1
         return piece
 
     def _window(self) -> None:
         """One full window: longest piece, best fill, and a cut where slack is left."""
-        chosen = [self._take(max(self.pool))]
+        chosen = [self._take(self.rising[-1])]
         room = self.capacity - len(chosen[0][2]) // 4
-        chosen += [self._take(n) for n in best_fill({k: len(v) for k, v in self.pool.items()}, room)]
+        chosen += [self._take(n) for n in best_fill(self.counts, room, self.rising)]
         slack = self.capacity - sum(len(p[2]) // 4 for p in chosen)
         while slack:
-            row, start, ids = self._take(max(self.pool))
+            row, start, ids = self._take(self.rising[-1])
             take = min(slack, len(ids) // 4)
             chosen.append((row, start, ids[: 4 * take]))
             if take < len(ids) // 4:
@@ -196,7 +190,7 @@ class Packer:
 
     def finish(self) -> None:
         """Full windows while there are ids enough, then runs of 1024, 512, ... as the rest's binary digits say."""
-        rest = sum(k * len(v) for k, v in self.pool.items())
+        rest = sum(k * n for k, n in self.counts.items())
         while rest >= self.capacity:
             self._window()
             rest -= self.capacity
@@ -207,7 +201,7 @@ class Packer:
                 continue
             chosen, need = [], size
             while need:
-                row, start, ids = self._take(max(self.pool))
+                row, start, ids = self._take(self.rising[-1])
                 take = min(need, len(ids) // 4)
                 chosen.append((row, start, ids[: 4 * take]))
                 if take < len(ids) // 4:
