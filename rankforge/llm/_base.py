@@ -65,3 +65,15 @@ def text_batches(frames, cols=2):
         step = max(1, n if size <= 4_000_000 else n * 4_000_000 // size)
         for at in range(0, n, step):
             yield batch.slice(at, step)
+
+
+def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, most: int = 10_000) -> DataFrame:
+    """Inner join of ``left`` (stored, as it is read twice) with one row per key of ``right``, whose ``size`` counts the left rows it meets.
+
+    At most ``most`` keys can hold more than a ``most``-th of all these rows each. They are broadcast, so their
+    left rows stay where they are; no other key brings more than that share to one task.
+    """
+    total = right.agg(F.sum(size)).first()[0] or 0
+    heavy = F.broadcast(right.where(F.col(size) * most > total))  # fewer than ``most`` rows
+    rest = right.where(F.col(size) * most <= total)
+    return left.join(heavy, keys).unionByName(left.join(heavy.select(*keys), keys, "left_anti").join(rest, keys))

@@ -19,19 +19,13 @@ def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 class Bloom:
-    """``None`` for the segments stands for a filter that holds everything."""
-
-    def __init__(self, segments: dict[int, bytes] | None, bits: int):
+    def __init__(self, segments: dict[int, bytes], bits: int):
+        empty = bytes(bits // 8)
         self.bits = bits
-        self.bitmap = None
-        if segments is not None:
-            empty = bytes(bits // 8)
-            self.bitmap = np.frombuffer(b"".join(segments.get(s, empty) for s in range(_SEGMENTS)), np.uint8)
+        self.bitmap = np.frombuffer(b"".join(segments.get(s, empty) for s in range(_SEGMENTS)), np.uint8)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """No key that was put in is ever missed; some others may be held too."""
-        if self.bitmap is None:
-            return np.ones(len(keys), bool)
         base = (keys & np.uint64(_SEGMENTS - 1)) * np.uint64(self.bits)
         out = np.ones(len(keys), bool)
         for p in _places(keys, self.bits):
@@ -40,16 +34,19 @@ class Bloom:
         return out
 
 
-def build_bloom(keys: DataFrame, n: int, most_bytes: int = 64 << 20) -> tuple[dict[int, bytes] | None, int]:
-    """Of ``keys(key long)``, ``n`` in number, for ``Bloom(*...)``; at most ``most_bytes`` long.
+def _bits(n: int) -> int:
+    """Bits of a segment: 8 to 16 for each of its keys, a power of two."""
+    return 1 << max(9, int(8 * max(1, n) / _SEGMENTS - 1).bit_length())
+
+
+def bloom_bytes(n: int) -> int:
+    """Size of the filter of ``n`` keys, which the caller holds against its bound."""
+    return _bits(n) * _SEGMENTS // 8
+
 
-    With more keys than 8 bits each allow, a filter is of little use: the one that holds everything is returned.
-    """
-    bits = 1 << max(9, int(16 * max(1, n) / _SEGMENTS - 1).bit_length())
-    if bits * _SEGMENTS // 8 > most_bytes:
-        bits //= 2
-        if bits * _SEGMENTS // 8 > most_bytes:
-            return None, 8
+def build_bloom(keys: DataFrame, n: int) -> tuple[dict[int, bytes], int]:
+    """Of ``keys(key long)``, ``n`` in number, for ``Bloom(*...)``; ``bloom_bytes(n)`` long."""
+    bits = _bits(n)
 
     def segment(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["key"].to_numpy(np.int64).view(np.uint64)
@@ -59,4 +56,4 @@ def build_bloom(keys: DataFrame, n: int, most_bytes: int = 64 << 20) -> tuple[di
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bitmap": [np.packbits(marks, bitorder="little").tobytes()]})
 
     made = keys.select("key", F.col("key").bitwiseAND(F.lit(_SEGMENTS - 1)).cast("int").alias("segment")).groupBy("segment").applyInPandas(segment, "segment int, bitmap binary")
-    return {r["segment"]: r["bitmap"] for r in made.collect()}, bits  # bounded by most_bytes
+    return {r["segment"]: r["bitmap"] for r in made.collect()}, bits  # bloom_bytes(n), below the caller's bound

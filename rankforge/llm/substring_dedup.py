@@ -6,14 +6,15 @@ pair, so pairs never overlap). A name is a hash of what it stands for, so all do
 content equal names without a dictionary having to travel. Beside each symbol stands its context: the
 interval of words that its making looked at. Whatever text has these same words has the symbol there.
 
-1. Every window of ``width`` words picks, among the symbols whose context lies inside it, the one of the
-   highest level and then of the highest name (if there is none, itself). Equal windows pick equal symbols.
-   Documents give their distinct picks, and an aggregate finds those of at least two documents.
-2. A Bloom filter of the shared picks, of bounded size, goes to every worker (it can only let too much
-   through). Windows whose pick is shared give a 96-bit hash of their words with their place, and one
-   exchange brings equal ones together: a window whose words start in a document of a smaller id covers
-   its words. Where very many documents share the pick, equal windows are dealt to salts; each salt settles
-   all but its first document, and only the salts' firsts meet in a second, small exchange.
+1. Every window of ``width`` words picks, among the symbols whose context (of at most ``REACH`` words) lies inside
+   it, the one of the widest context and then of the highest hash (if there is none, itself). Equal windows
+   pick equal symbols. Documents give their distinct picks, and an aggregate finds those of at least two.
+2. A Bloom filter of the shared picks goes to every worker while it stays below ``FILTER_BYTES`` (it can only let
+   too much through); beyond that, each text is joined with its own shared picks by exchange. Windows
+   whose pick is shared give a 96-bit hash of their words with their place, and one exchange brings equal ones
+   together: a window whose words start in a document of a smaller id covers its words. Where very many
+   documents share the pick, equal windows are dealt to salts; each salt settles all but its first document,
+   and only the salts' firsts meet in a second, small exchange.
 3. Covered places travel to their document, which drops the words.
 
 Defined results: a null or blank text has no words; a null id neither removes nor loses anything; rows that
@@ -31,10 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import checkpoint, release, stored, text_batches, text_or_empty
-from .bloom import Bloom, build_bloom
+from ._base import checkpoint, join_by_size, release, stored, text_batches, text_or_empty
+from .bloom import Bloom, bloom_bytes, build_bloom
 
 ROUNDS = 3
+#: Widest context of a symbol that windows pick.
+REACH = 8
+#: Bound of the filter that goes to every worker.
+FILTER_BYTES = 64 << 20
 #: A pick of more documents than this is counted as frequent.
 FREQUENT = 500
 SALTS = 64
@@ -132,27 +137,34 @@ class Windows:
         self.picks = self._picks(names, doc, has, rounds)[self.at]
 
     def _picks(self, names: np.ndarray, doc: np.ndarray, has: np.ndarray, rounds: int) -> np.ndarray:
-        symbols, levels = _Symbols(names, doc), []
+        """Each symbol bids at the left end of its context; a window takes the best bid of its first places.
+
+        Contexts are at most ``reach`` wide, so one that begins in the first ``width - reach + 1`` places of a
+        window lies inside it. Wider contexts are rarer, so they win; then the hash decides.
+        """
+        symbols, bids = _Symbols(names, doc), np.zeros(len(names) + self.width, _U)
+        reach = max(1, min(REACH, self.width - 1))
         for r in range(rounds):
             if r == 0:
                 symbols.runs(100)
             symbols.pairs(10 * r + 1)
-            fits = symbols.right - symbols.left <= self.width
-            levels.append((symbols.left[fits], symbols.right[fits], symbols.names[fits]))
-        best = np.zeros(len(names), _U)
-        for level in range(rounds, 0, -1):
-            left, right, own = levels[level - 1]
-            score = (_mix(self.spans.of(left, right) ^ own, 7) >> _U(3)) | _U(level << 61)
-            open_ = has & (best == 0)
-            if not open_.any():
+            size = symbols.right - symbols.left
+            fits = np.flatnonzero(size <= reach)
+            if not len(fits):
                 break
-            for k in range(self.width):
-                fit = (right - left <= self.width - k) & (left >= k)
-                at = left[fit] - k
-                good = open_[at] & (doc[at] == doc[left[fit]]) if len(at) else np.zeros(0, bool)
-                np.maximum.at(best, at[good], score[fit][good])
+            left, right = symbols.left[fits], symbols.right[fits]  # both rise
+            bid = (_mix(self.spans.of(left, right) ^ symbols.names[fits], 7) >> _U(4)) | (size[fits].astype(_U) << _U(60))
+            heads = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
+            at = left[heads]
+            bids[at] = np.maximum(bids[at], np.maximum.reduceat(bid, heads))
+        best, seen, places = bids, 1, self.width - reach + 1
+        while seen < places:
+            step = min(seen, places - seen)
+            best = np.maximum(best[:-step], best[step:])
+            seen += step
+        best = best[: len(names)].copy()
         alone = np.flatnonzero(has & (best == 0))
-        best[alone] = _mix(self.spans.of(alone, alone + self.width), 7) >> _U(3)
+        best[alone] = _mix(self.spans.of(alone, alone + self.width), 7) >> _U(4)
         return best
 
     def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,38 +185,78 @@ def _parts(batches, size: int = _BATCH):
             yield b.slice(at, step)
 
 
-def _shared_picks(rows: DataFrame, width: int) -> DataFrame:
-    """``key, _n``: picks of at least two documents, and of how many (a document may count once a task)."""
+def _own_picks(w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of the picks of a batch, each once a row."""
+    doc, key = w.doc, w.picks
+    moved = lambda d, k: np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
+    fresh = moved(doc, key)  # neighbours mostly share their pick
+    doc, key = doc[fresh], key[fresh]
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    fresh = moved(doc, key)
+    return doc[fresh], key[fresh].view(np.int64)
+
+
+def _picks(rows: DataFrame, width: int, sums: bool = False) -> DataFrame:
+    """``key, _id``, and with ``sums`` the text's ``_crc``: the picks of each document."""
 
     def run(batches):
         for b in _parts(batches):
-            w = Windows(b.column(1).to_pylist(), width)
+            texts = b.column(1).to_pylist()
+            w = Windows(texts, width)
             if not len(w.at):
                 continue
-            order = np.lexsort((w.picks, w.doc))
-            doc, key = w.doc[order], w.picks[order]
-            fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(key[fresh].view(np.int64)), b.column(0).take(pa.array(doc[fresh]))], ["key", "_id"])
+            doc, key = _own_picks(w)
+            cols = [pa.array(key), b.column(0).take(pa.array(doc))]
+            if sums:
+                cols.append(pa.array(np.array([zlib.crc32(t.encode()) for t in texts], np.int64)[doc]))
+            yield pa.RecordBatch.from_arrays(cols, ["key", "_id", "_crc"][: len(cols)])
+
+    return rows.mapInArrow(run, "key long, _id long" + ", _crc long" * sums)
+
 
-    picks = rows.where(F.col("_id").isNotNull()).mapInArrow(run, "key long, _id long")
-    counted = picks.groupBy("key").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b"), F.count(F.lit(1)).alias("_n"))
+def _shared_picks(rows: DataFrame, width: int) -> DataFrame:
+    """``key, _n``: picks of at least two documents, and of how many (a document may count once a task)."""
+    counted = _picks(rows, width).groupBy("key").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b"), F.count(F.lit(1)).alias("_n"))
     return counted.where("_a <> _b").select("key", "_n")
 
 
-def covered_starts(rows: DataFrame, width: int, frequent: int = FREQUENT) -> DataFrame:
-    """``_id, _crc, _starts``: starts of the windows whose words also start in a document of a smaller id."""
+def _with_shared(rows: DataFrame, shared: DataFrame, width: int, frequent: int) -> DataFrame:
+    """``_id, _text, _keys, _crowd``: texts with those of their own picks that are shared, and that are frequent.
+
+    For shared picks too many for a filter: the picks meet their counts by exchange (what a pick of very many
+    documents would send to one task is joined by broadcast), and each text gets its own.
+    """
+    picks = stored(_picks(rows, width, sums=True), "picks")
+    met = join_by_size(picks, shared, ["key"], "_n")
+    often = F.collect_set(F.when(F.col("_n") > frequent, F.col("key")))
+    own = met.groupBy(F.col("_id").alias("_of"), F.col("_crc").alias("_sum")).agg(F.collect_set("key").alias("_keys"), often.alias("_crowd"))  # a text's own
+    own = stored(own, "shared")
+    release(rows.sparkSession)
+    return rows.join(own, (F.col("_id") == F.col("_of")) & (F.crc32("_text") == F.col("_sum"))).select("_id", "_text", "_keys", "_crowd")
+
+
+def _windows(rows: DataFrame, width: int, frequent: int, filter_bytes: int) -> DataFrame:
+    """``_a, _c, _salt, _id, _at``: 96-bit hashes of the windows whose pick is shared, with their place; a salt above 0 where the pick is frequent."""
     spark = rows.sparkSession
     shared = checkpoint(_shared_picks(rows, width))
     release(spark)
-    often = shared.where(F.col("_n") > frequent)
-    filters = spark.sparkContext.broadcast([build_bloom(shared.select("key"), shared.count()), build_bloom(often.select("key"), often.count())])
+    n, sent = shared.count(), None
+    if bloom_bytes(n) <= filter_bytes:
+        often = shared.where(F.col("_n") > frequent)
+        sent = spark.sparkContext.broadcast([build_bloom(shared.select("key"), n), build_bloom(often.select("key"), often.count())])
+    source = rows if sent else _with_shared(rows, shared, width, frequent)
 
     def run(batches):
-        known, crowd = (Bloom(*x) for x in filters.value)
+        known, crowd = (Bloom(*x) for x in sent.value) if sent else (None, None)
         for b in _parts(batches):
             texts = b.column(1).to_pylist()
             w = Windows(texts, width)
-            chosen = np.flatnonzero(known.holds(w.picks))
+            if known:
+                is_shared, is_often = known.holds, crowd.holds
+            else:  # keys of any row of the batch: a superset of each row's own that is as exact
+                is_shared, is_often = (lambda k, c=b.column(i).flatten().to_numpy().view(_U): np.isin(k, c) for i in (2, 3))
+            chosen = np.flatnonzero(is_shared(w.picks))
             if not len(chosen):
                 continue
             a, c = w.hashes(chosen)
@@ -212,23 +264,33 @@ def covered_starts(rows: DataFrame, width: int, frequent: int = FREQUENT) -> Dat
             crc = np.array([zlib.crc32(t.encode()) for t in texts], np.int64)[doc]
             ids = b.column(0).take(pa.array(doc))
             salt = 1 + (_mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(_U), 9) % _U(SALTS)).astype(np.int32)
-            salt = np.where(crowd.holds(w.picks[chosen]), salt, 0).astype(np.int32)
+            salt = np.where(is_often(w.picks[chosen]), salt, 0).astype(np.int32)
             cols = [pa.array(a.view(np.int64)), pa.array(c.view(np.int32)), pa.array(salt), ids, pa.array((crc << 32) | w.start[chosen])]
             yield pa.RecordBatch.from_arrays(cols, ["_a", "_c", "_salt", "_id", "_at"])
 
-    windows = rows.where(F.col("_id").isNotNull()).mapInArrow(run, "_a long, _c int, _salt int, _id long, _at long")
-    first = windows.withColumn("_first", F.min("_id").over(Window.partitionBy("_a", "_c", "_salt")))
-    # Whoever isn't the first of its salt isn't the first of all; of a frequent window's salts the firsts are left to compare.
-    firsts = first.where("_salt > 0 AND _id = _first").withColumn("_least", F.min("_id").over(Window.partitionBy("_a", "_c")))
-    covered = first.where("_id > _first").select("_id", "_at").union(firsts.where("_id > _least").select("_id", "_at"))
-    places = covered.select("_id", F.shiftrightunsigned("_at", 32).alias("_crc"), F.col("_at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("_start"))
-    return places.groupBy("_id", "_crc").agg(F.collect_list("_start").alias("_starts"))  # a document's own
+    return source.mapInArrow(run, "_a long, _c int, _salt int, _id long, _at long")
 
 
-def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def covered_starts(rows: DataFrame, width: int, frequent: int = FREQUENT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """``_id, _crc, _starts``: starts of the windows whose words also start in a document of a smaller id."""
+    windows = _windows(rows.where(F.col("_id").isNotNull()), width, frequent, filter_bytes)
+    met = windows.withColumn("_first", F.min("_id").over(Window.partitionBy("_a", "_c", "_salt")))
+    # Whoever isn't the first of its salt isn't the first of all; of a frequent window's salts the firsts are left to compare.
+    open_ = F.col("_id") == F.col("_first")
+    met = met.where((F.col("_id") > F.col("_first")) | (F.col("_salt") > 0))
+    place = [F.shiftrightunsigned("_at", 32).alias("_crc"), F.col("_at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("_start")]
+    split = met.select("_id", *place, F.when(open_, F.col("_a")).alias("_fa"), F.when(open_, F.col("_c")).alias("_fc"))
+    lists = stored(split.groupBy("_id", "_crc", "_fa", "_fc").agg(F.collect_list("_start").alias("_starts")), "covered")  # a document's own
+    least = F.min("_id").over(Window.partitionBy("_fa", "_fc"))
+    late = lists.where("_fa IS NOT NULL").withColumn("_least", least).where("_id > _least")
+    both = lists.where("_fa IS NULL").select("_id", "_crc", "_starts").union(late.select("_id", "_crc", "_starts"))
+    return both.groupBy("_id", "_crc").agg(F.flatten(F.collect_list("_starts")).alias("_starts"))
+
+
+def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """A row per input row: ``id_col, n_words, n_removed, kept_text`` (kept words joined by one blank)."""
     rows = _rows(docs, id_col, text_col)
-    starts = stored(covered_starts(rows, width, frequent), "starts").select(F.col("_id").alias("_of"), F.col("_crc").alias("_sum"), "_starts")
+    starts = stored(covered_starts(rows, width, frequent, filter_bytes), "starts").select(F.col("_id").alias("_of"), F.col("_crc").alias("_sum"), "_starts")
     release(docs.sparkSession)
     joined = rows.join(starts, (F.col("_id") == F.col("_of")) & (F.crc32("_text") == F.col("_sum")), "left").select("_id", "_text", "_starts")
 
