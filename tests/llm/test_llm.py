@@ -50,7 +50,26 @@ def test_exact_dedup(docs, empty):
             n = norm[r["doc_id"]]
             assert r["keep_id"] == norm.index(n) and r["text_sha256"] == hashlib.sha256(n.encode()).hexdigest() and r["kept"] == (r["keep_id"] == r["doc_id"])
     assert len(got) == len(TEXTS) + 2 and exact_dedup(empty).count() == 0
-    assert {r["doc_id"] for r in drop_exact_copies(docs).collect()} == {norm.index(n) for n in norm} | {None}
+    assert {r["doc_id"] for r in drop_exact_copies(docs).collect()} == {norm.index(n) for n in norm}
+    assert drop_exact_copies(empty).columns == empty.columns and drop_exact_copies(empty).count() == 0
+
+
+@pytest.mark.parametrize("room", [1000, 0])
+def test_exact_copies_drop_row_by_row(spark, room):
+    """Ids that repeat with other texts, null ids and clashing columns: the rows dropped are those not kept."""
+    rows = [(1, "A", 0), (5, "A ", 1), (5, "unique B", 2), (None, "A", 3), (None, "only null", 4), (None, "only  null", 5), (7, None, 6), (8, "", 7), (8, " ", 8), (9, " ", 9), (2, "A", 10), (2, "A", 11), (1, "A\t", 12)]
+    rows += [(100 + i, "hot  text" if i % 2 else "hot text", 100 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _r1 int").repartition(5)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    ids = defaultdict(list)
+    for i, t, _ in rows:
+        ids[norm(t)].append(i)
+    least = {n: min((x for x in own if x is not None), default=None) for n, own in ids.items()}
+    want = Counter((i, norm(t), least[norm(t)], len(ids[norm(t)]), i == least[norm(t)]) for i, t, _ in rows)
+    sha = {hashlib.sha256(n.encode()).hexdigest(): n for n in ids}
+    assert Counter((r["doc_id"], sha[r["text_sha256"]], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(df, broadcast_rows=room).collect()) == want
+    left = drop_exact_copies(df, broadcast_rows=room)
+    assert sorted(r["_r1"] for r in left.collect()) == [k for i, t, k in rows if i == least[norm(t)]] and left.columns == df.columns
 
 
 def test_token_counts_and_packing_round_trip(docs, empty):
