@@ -19,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary one on a local master, and an error on a cluster."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankforge-ckpt-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="rankforge-ckpt-")
     spark.sparkContext.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()
 
@@ -77,3 +81,9 @@ def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str,
     heavy = F.broadcast(right.where(F.col(size) * most > total))  # fewer than ``most`` rows
     rest = right.where(F.col(size) * most <= total)
     return left.join(heavy, keys).unionByName(left.join(heavy.select(*keys), keys, "left_anti").join(rest, keys))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``join_by_size`` for a ``right`` that doesn't know how many rows of ``left`` each of its keys meets."""
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    return join_by_size(left, right.join(sizes, key), [key], "_size").drop("_size")

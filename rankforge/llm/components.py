@@ -3,7 +3,8 @@
 Each round, every node points at its smallest neighbour; pointers are followed to their roots by
 doubling, and edges are rewritten to join roots. Only nodes smaller than all their neighbours are left for
 the next round, so chains and stars of any length are gone in a few rounds. Each round's edges and pointers
-are cut off in the checkpoint folder; the driver only learns whether any are left.
+are cut off in the checkpoint folder; the driver only learns whether any are left. A root of very many nodes, or
+a node of very many edges, is joined by broadcast (``join_hot``), so it never gathers in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import checkpoint
+from ._base import checkpoint, join_hot
 
 
 def _pointers(edges: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def _pointers(edges: DataFrame) -> DataFrame:
     step = checkpoint(step)
     while True:
         ahead = step.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        moved = step.join(ahead, "root").select("node", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved"))
+        moved = join_hot(step, ahead, "root").select("node", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved"))
         moved = checkpoint(moved)
         step = moved.select("node", "root")
         if moved.where("_moved").isEmpty():
@@ -38,10 +39,12 @@ def connected_components(links: DataFrame) -> DataFrame:
             found = step.select("node", F.col("root").alias("component"))
         else:  # components of an earlier round that are joined now
             onward = step.select(F.col("node").alias("component"), "root")
-            found = checkpoint(found.join(onward, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+            onward = found.select("component").distinct().join(onward, "component", "left").select("component", F.coalesce("root", "component").alias("root"))
+            found = checkpoint(join_hot(found, onward, "component").select("node", F.col("root").alias("component")))
         to = step.select(F.col("node").alias("a"), F.col("root").alias("_a"))
         at = step.select(F.col("node").alias("b"), F.col("root").alias("_b"))
-        edges = edges.join(to, "a").join(at, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        edges = checkpoint(join_hot(edges, to, "a").select("_a", "b").distinct())
+        edges = join_hot(edges, at, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
         edges = checkpoint(edges.where("a < b").distinct())
     if found is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import checkpoint, text_batches, text_or_empty
+from ._base import checkpoint, join_by_size, join_hot, text_batches, text_or_empty
 from .components import connected_components
 
 #: A key that more fingerprints meet than this goes the star's way.
@@ -122,12 +122,13 @@ def hamming_links(values: DataFrame, dense: int = DENSE) -> DataFrame:
 def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: ``id_col, fingerprint`` (16 hex digits), ``component_id``."""
     prints = checkpoint(fingerprints(docs, words, id_col, text_col))
-    values = checkpoint(prints.groupBy("_fp").agg(F.min("_id").alias("_first")))
+    values = checkpoint(prints.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
     # A value's name in the graph is the value; its component is the smallest id over the component's values.
     parts = connected_components(hamming_links(values.select("_fp")))
     named = values.join(parts.select(F.col("node").alias("_fp"), "component"), "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
+    named = checkpoint(named)
     first = named.groupBy("component").agg(F.min("_first").alias("component_id"))
-    of = checkpoint(named.join(first, "component").select("_fp", "component_id"))
-    return prints.join(of, "_fp").select(
+    of = checkpoint(join_hot(named, first, "component").select("_fp", "_n", "component_id"))
+    return join_by_size(prints, of, ["_fp"], "_n").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"
     )
