@@ -12,7 +12,8 @@ of their id); chosen features (at most ``features``) and their occurrences in th
 driver sees. Scoring is one pass over the texts with no exchange.
 
 Defined results: a null or blank text holds no feature and is scored by the thresholds alone; labels that
-are null or belong to no document are not used; where no labelled document is toxic, nothing is; a
+are null or belong to no document are not used, an id that is labelled both ways is toxic, and of documents that
+repeat a labelled id one is learnt from (the one whose text has the smallest hash); where no labelled document is toxic, nothing is; a
 null id and repeated rows are scored like any other; an empty table gives an empty result; other
 columns are ignored (``drop_toxic`` hands them on).
 """
@@ -124,10 +125,12 @@ def severity_grades(toxic: np.ndarray, markers: np.ndarray, n_grades: int) -> np
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, n_grades: int = GRADES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
     """Fits the model on at most ``sample`` labelled documents of each class."""
     known = labels.select(F.col(id_col).alias("_of"), (F.col(label_col) > 0).alias("_toxic")).where("_of IS NOT NULL AND _toxic IS NOT NULL")
+    known = known.groupBy("_of").agg(F.max("_toxic").alias("_toxic"))
     order = [F.xxhash64("_of"), F.col("_of")]
     chosen = known.where("_toxic").orderBy(*order).limit(sample).union(known.where("NOT _toxic").orderBy(*order).limit(sample))
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    texts = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select("_id", "_toxic", "_text")  # at most 2 * sample rows
+    texts = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_of"))  # at most 2 * sample ids
+    texts = texts.groupBy("_id", "_toxic").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))  # a row for each
 
     def extract(batches):
         for b in text_batches(batches):
