@@ -39,13 +39,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared checkpoint folder and reads it back.
+    """Writes ``df`` as Parquet under the shared checkpoint folder, until the session's JVM ends, and reads it back.
 
     Used where the columnar, compressed form is much smaller than a row checkpoint.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    name = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 def release(spark: SparkSession) -> None:
