@@ -1,56 +1,82 @@
-"""Score normalisation and fusion. Statistics of a group are window aggregates, so a score table is exchanged once."""
+"""Score normalisation and fusion.
+
+Statistics of a group are aggregates (partial before the exchange) that return to its rows by a join on the group,
+so no group of any size passes through one task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keep import stored
+
+#: Groups up to this number (a few numbers each) are sent to every task.
+SMALL_GROUPS = 100_000
+
+
+def _with_stats(df: DataFrame, columns: list[str], by: list[str], made: dict) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``made``'s statistics (name -> aggregate of a column) of each column, as ``_<column>_<name>``."""
+    names = {f"_{c}_{n}": f(c) for c in columns for n, f in made.items()}
+    stats = stored(df.groupBy(*by).agg(*[x.alias(n) for n, x in names.items()]), "stats")
+    return df.join(F.broadcast(stats) if stats.count() <= SMALL_GROUPS else stats, by), list(names)
+
+
+_RANGE = {"min": F.min, "max": F.max}
+_QUARTILES = {**_RANGE, "p25": lambda c: F.percentile(c, 0.25), "p75": lambda c: F.percentile(c, 0.75)}
+
+
+def _span(c: str, x: Column, constant: float, low: float = 0.0, high: float = 1.0, edge=lambda v: v) -> Column:
+    least, most = edge(F.col(f"_{c}_min")), edge(F.col(f"_{c}_max"))
+    return F.when(most == least, F.lit(constant)).otherwise(low + F.try_divide((x - least) * (high - low), most - least))
+
 
-def zscore(score: Column, by: list[str], clip: float | None = 3.0) -> Column:
-    """Population z-score; 0 for constants; clipped after scaling."""
-    w = Window.partitionBy(*by)
-    sd = F.stddev_pop(score).over(w)
-    z = F.when(F.round(sd, 12) == 0, F.lit(0.0)).otherwise(F.try_divide(score - F.avg(score).over(w), sd))
-    return z if clip is None else F.greatest(F.lit(-float(clip)), F.least(F.lit(float(clip)), z))
+def zscore(df: DataFrame, columns: list[str], by: list[str], clip: float | None = 3.0) -> DataFrame:
+    """Population z-scores; 0 for constants; clipped after scaling."""
+    rows, extra = _with_stats(df, columns, by, {"mean": F.avg, "sd": F.stddev_pop})
 
+    def z(c):
+        sd = F.col(f"_{c}_sd")
+        made = F.when(F.round(sd, 12) == 0, F.lit(0.0)).otherwise(F.try_divide(F.col(c) - F.col(f"_{c}_mean"), sd))
+        return made if clip is None else F.greatest(F.lit(-float(clip)), F.least(F.lit(float(clip)), made))
 
-def minmax(score: Column, by: list[str], constant: float = 0.5) -> Column:
-    w = Window.partitionBy(*by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high == low, F.lit(constant)).otherwise(F.try_divide(score - low, high - low))
+    return rows.withColumns({c: z(c) for c in columns}).drop(*extra)
 
 
-def robust(score: Column, by: list[str], clip: float = 2.0) -> Column:
+def minmax(df: DataFrame, columns: list[str], by: list[str], constant: float = 0.5) -> DataFrame:
+    rows, extra = _with_stats(df, columns, by, _RANGE)
+    return rows.withColumns({c: _span(c, F.col(c), constant) for c in columns}).drop(*extra)
+
+
+def _robust(c: str, x: Column, clip: float = 2.0) -> Column:
+    p25, p75 = F.col(f"_{c}_p25"), F.col(f"_{c}_p75")
+    scaled = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.try_divide(x - p25, p75 - p25)))
+    return F.when(p75 == p25, _span(c, x, 0.0)).otherwise(scaled)
+
+
+def robust(df: DataFrame, columns: list[str], by: list[str], clip: float = 2.0) -> DataFrame:
     """(x - p25) / IQR, clipped; min-max where the IQR is 0; 0 for constants."""
-    w = Window.partitionBy(*by)
-    p25, p75 = F.percentile(score, 0.25).over(w), F.percentile(score, 0.75).over(w)
-    scaled = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.try_divide(score - p25, p75 - p25)))
-    return F.when(p75 == p25, minmax(score, by, 0.0)).otherwise(scaled)
+    rows, extra = _with_stats(df, columns, by, _QUARTILES)
+    return rows.withColumns({c: _robust(c, F.col(c), clip) for c in columns}).drop(*extra)
 
 
-def scale_to_range(score: Column, by: list[str], low: float = 0.3, high: float = 0.7) -> Column:
-    w = Window.partitionBy(*by)
-    least, most = F.min(score).over(w), F.max(score).over(w)
-    return F.when(most == least, F.lit((low + high) / 2)).otherwise(low + F.try_divide((score - least) * (high - low), most - least))
+def scale_to_range(df: DataFrame, columns: list[str], by: list[str], low: float = 0.3, high: float = 0.7) -> DataFrame:
+    rows, extra = _with_stats(df, columns, by, _RANGE)
+    return rows.withColumns({c: _span(c, F.col(c), (low + high) / 2, low, high) for c in columns}).drop(*extra)
 
 
-def normalize(score: Column, by: list[str], method: str = "zscore", clip: float | None = 3.0) -> Column:
-    if method == "none":
-        return score
-    made = {"zscore": lambda: zscore(score, by, clip), "minmax": lambda: minmax(score, by), "robust": lambda: robust(score, by)}
+def normalize_all(df: DataFrame, columns: list[str], by: list[str], method: str = "zscore", clip: float | None = 3.0) -> DataFrame:
+    made = {"none": lambda: df, "zscore": lambda: zscore(df, columns, by, clip), "minmax": lambda: minmax(df, columns, by), "robust": lambda: robust(df, columns, by)}
     if method not in made:
         raise ValueError(f"unknown normalisation: {method}")
     return made[method]()
 
 
-def normalize_all(df: DataFrame, columns: list[str], by: list[str], method: str = "zscore", clip: float | None = 3.0) -> DataFrame:
-    return df.withColumns({c: normalize(F.col(c), by, method, clip) for c in columns})
-
-
 def normalize_intelligent(df: DataFrame, columns: list[str], by: list[str], low: float = 0.3, high: float = 0.7) -> DataFrame:
-    """Robust, then scaled to a range."""
-    step = df.withColumns({f"_{c}": robust(F.col(c), by) for c in columns})
-    return step.withColumns({c: scale_to_range(F.col(f"_{c}"), by, low, high) for c in columns}).drop(*[f"_{c}" for c in columns])
+    """Robust, then scaled to a range. The first step keeps the order, so its extremes are those of the scores."""
+    rows, extra = _with_stats(df, columns, by, _QUARTILES)
+    both = lambda c: _span(c, _robust(c, F.col(c)), (low + high) / 2, low, high, edge=lambda v: _robust(c, v))
+    return rows.withColumns({c: both(c) for c in columns}).drop(*extra)
 
 
 def row_zscore(df: DataFrame, columns: list[str], clip: float = 3.0) -> DataFrame:

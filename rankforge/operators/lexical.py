@@ -1,78 +1,131 @@
 """Lexical relevance: many queries against all chunks at once, by inverted-index joins.
 
-``Index`` holds what the scorers share: query terms, the postings of query terms alone, chunk lengths and
-corpus statistics. Every scorer returns ``query_id, chunk_id, score`` for all pairs; what a pair without a
-common term scores follows from lengths and constants, so only common terms are joined.
+``Index`` holds what the scorers share: query terms, the chunks' tokens (stored once), the counts of query terms in
+chunks, lengths and corpus statistics. A scorer is a few sums over what a query and a chunk have in common, by term or
+by pair of terms; ``gather`` brings all sums that a score needs together with the pairs themselves in one exchange.
+What a pair without a common term scores follows from lengths and constants. Scorers return ``query_id, chunk_id, score``
+for all pairs: the stated query set against all rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bigrams_ordered, bigrams_unordered
 from . import stats
+from .keep import stored
 
 #: Query tables up to this many rows are sent to every task; larger ones are joined by exchange.
 SMALL_ROWS = 200_000
 
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
-
-
 @dataclass
 class Index:
     queries: DataFrame  # query_id, tokens
-    chunks: DataFrame  # chunk_id, tokens
-
-    def __post_init__(self):
-        self.query_terms = stats.chunk_term_freqs(self.queries, "query_id").withColumnRenamed("tf", "qn")
-        self.n_query_rows = self.query_terms.count()
-        self.query_length = self.queries.select("query_id", F.size("tokens").alias("n"))
-        terms = _sent(self.query_terms.select("term").distinct(), self.n_query_rows)
-        self.hits = stats.postings(self.chunks).join(terms, "term", "left_semi")  # chunk_id, pos, term
-        self.tf = self.hits.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self.lengths = stats.chunk_lengths(self.chunks)
-        self.corpus = self.lengths.agg(F.greatest(F.sum("dl"), F.lit(1)).alias("total"), F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl"))
-        self.cf = self.tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    source: DataFrame  # chunk_id, tokens
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return stored(self.source, "tokens")
+
+    @cached_property
+    def query_terms(self) -> DataFrame:
+        return stats.chunk_term_freqs(self.queries, "query_id").withColumnRenamed("tf", "qn")
+
+    @cached_property
+    def n_query_rows(self) -> int:
+        return self.query_terms.count()
+
+    @cached_property
+    def query_length(self) -> DataFrame:
+        return self.queries.select("query_id", F.size("tokens").alias("n"))
+
+    def sent(self, df: DataFrame, times: int = 1) -> DataFrame:
+        """Broadcast, if the queries (``df`` has up to ``times`` rows for each of theirs) are few enough."""
+        return F.broadcast(df) if times * self.n_query_rows <= SMALL_ROWS else df
+
+    @cached_property
+    def tf(self) -> DataFrame:
+        """``chunk_id, term, tf`` of the queries' terms."""
+        terms = self.sent(self.query_terms.select("term").distinct())
+        hits = stats.postings(self.chunks).join(terms, "term", "left_semi")
+        return stored(hits.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return stats.chunk_lengths(self.chunks)
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        return self.lengths.agg(F.greatest(F.sum("dl"), F.lit(1)).alias("total"), F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl"))
+
+    @cached_property
+    def cf(self) -> DataFrame:
+        return self.tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
     def pairs(self) -> DataFrame:
-        """Every query with every chunk: the stated query set against all rows."""
-        return self.lengths.crossJoin(_sent(self.query_length, self.n_query_rows))
+        """``chunk_id, dl, query_id, n``: every query with every chunk."""
+        return self.lengths.crossJoin(self.sent(self.query_length))
 
     def matches(self) -> DataFrame:
         """``query_id, chunk_id, term, qn, tf, cf, df`` of the terms a query and a chunk share."""
-        named = self.query_terms.join(self.cf, "term")
-        return self.tf.join(_sent(named, self.n_query_rows), "term")
+        return self.tf.join(self.sent(self.query_terms.join(self.cf, "term")), "term")
 
     def with_p(self) -> DataFrame:
         """Query terms with their corpus probability."""
         return self.query_terms.join(self.cf, "term").crossJoin(F.broadcast(self.corpus)).withColumn("p", F.col("cf") / F.col("total"))
 
+    def gather(self, *parts: DataFrame, most: tuple[str, ...] = ()) -> DataFrame:
+        """``query_id, chunk_id, n, dl`` of every pair with the sums of all other columns of ``parts`` (0 where nothing is added; the largest for those in ``most``)."""
+        names = [c for p in parts for c in p.columns if c not in ("query_id", "chunk_id")]
+        rows = self.pairs().select("query_id", "chunk_id", "n", "dl")
+        for p in parts:
+            rows = rows.unionByName(p, allowMissingColumns=True)
+        sums = [(F.max if c in most else F.sum)(c) for c in names]
+        return rows.groupBy("query_id", "chunk_id").agg(F.max("n").alias("n"), F.max("dl").alias("dl"), *[F.coalesce(x, F.lit(0)).alias(c) for x, c in zip(sums, names)])
+
 
 FLOOR = 1e-6
 
 
-def qlm_dirichlet(index: Index, mu: float = 1500.0) -> DataFrame:
-    """Sum of ln(max((tf + mu p) / (dl + mu), 1e-6)) over the query's tokens that the corpus knows.
+def _ask(index: Index, base: DataFrame) -> DataFrame:
+    """One row a query, for the join with pairs."""
+    return index.sent(base)
+
 
-    Without the floor this is a constant of the query, the chunk's length and the shared terms. The floor only
-    acts for terms a long chunk lacks (dl > mu p / 1e-6 - mu); for those pairs it is added term by term.
+def likelihood_parts(index: Index, mu: float = 1500.0) -> tuple[list[DataFrame], DataFrame]:
+    """What ``gather`` needs for Dirichlet smoothing (``gain``, ``lift``), and each query's ``c, known``.
+
+    Without the floor the score is a constant of the query, the chunk's length and the shared terms. The floor only acts for terms a
+    long chunk lacks (dl > mu p / 1e-6 - mu); lengths and terms meet in powers of two, so that is an equi join.
     """
-    terms = index.with_p()
+    terms = stored(index.with_p().select("query_id", "term", "qn", "p"), "terms")
     base = terms.groupBy("query_id").agg(F.sum(F.col("qn") * F.ln(mu * F.col("p"))).alias("c"), F.sum("qn").alias("known"))
-    shared = index.tf.join(_sent(terms.select("query_id", "term", "qn", "p"), index.n_query_rows), "term")
-    gain = shared.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qn") * (F.ln(F.col("tf") + mu * F.col("p")) - F.ln(mu * F.col("p")))).alias("gain"))
-    rare = terms.select("query_id", "term", "qn", "p")
-    long = index.lengths.where(F.col("dl") + mu > 0).join(_sent(rare, index.n_query_rows), (mu * F.col("p")) < FLOOR * (F.col("dl") + mu))
+    shared = index.tf.join(index.sent(terms), "term")
+    gain = shared.select("query_id", "chunk_id", (F.col("qn") * (F.ln(F.col("tf") + mu * F.col("p")) - F.ln(mu * F.col("p")))).alias("gain"))
+    power = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1.0)))).cast("int")
+    from_ = power(mu * F.col("p") / FLOOR - mu)
+    rare = terms.where(from_ <= 40).withColumn("_power", F.explode(F.sequence(from_, F.lit(40))))
+    long = index.lengths.withColumn("_power", power(F.col("dl").cast("double"))).join(index.sent(rare, 40), "_power").where(mu * F.col("p") < FLOOR * (F.col("dl") + mu))
     lacking = long.join(index.tf, ["chunk_id", "term"], "left")
     have = (F.coalesce("tf", F.lit(0)) + mu * F.col("p")) / (F.col("dl") + mu)
-    lift = lacking.where(have < FLOOR).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qn") * (F.lit(FLOOR).cast("double") * 0 + F.ln(F.lit(FLOOR)) - F.ln(have))).alias("lift"))
-    pairs = index.pairs().join(_sent(base, index.n_query_rows), "query_id", "left").join(gain, ["query_id", "chunk_id"], "left").join(lift, ["query_id", "chunk_id"], "left")
-    score = F.col("c") - F.col("known") * F.ln(F.col("dl") + mu) + F.coalesce("gain", F.lit(0.0)) + F.coalesce("lift", F.lit(0.0))
-    return pairs.select("query_id", "chunk_id", F.when((F.col("dl") == 0) | F.col("c").isNull(), F.lit(0.0)).otherwise(score).alias("score"))
+    lift = lacking.where(have < FLOOR).select("query_id", "chunk_id", (F.col("qn") * (F.ln(F.lit(FLOOR)) - F.ln(have))).alias("lift"))
+    return [gain, lift], base
+
+
+def likelihood(mu: float = 1500.0) -> Column:
+    """The score from ``dl, c, known, gain, lift``."""
+    return F.when((F.col("dl") == 0) | F.col("c").isNull(), F.lit(0.0)).otherwise(F.col("c") - F.col("known") * F.ln(F.col("dl") + mu) + F.col("gain") + F.col("lift"))
+
+
+def qlm_dirichlet(index: Index, mu: float = 1500.0) -> DataFrame:
+    """Sum of ln(max((tf + mu p) / (dl + mu), 1e-6)) over the query's tokens that the corpus knows."""
+    parts, base = likelihood_parts(index, mu)
+    return index.gather(*parts).join(_ask(index, base), "query_id", "left").select("query_id", "chunk_id", likelihood(mu).alias("score"))
 
 
 def qlm_jelinek_mercer(index: Index, lam: float = 0.5) -> DataFrame:
@@ -80,11 +133,10 @@ def qlm_jelinek_mercer(index: Index, lam: float = 0.5) -> DataFrame:
     terms = index.with_p()
     alone = F.ln(F.greatest((1 - lam) * F.col("p"), F.lit(FLOOR)))
     base = terms.groupBy("query_id").agg(F.sum(F.col("qn") * alone).alias("c"))
-    shared = index.tf.join(_sent(terms.select("query_id", "term", "qn", "p"), index.n_query_rows), "term").join(index.lengths, "chunk_id")
+    shared = index.tf.join(index.sent(terms.select("query_id", "term", "qn", "p")), "term").join(index.lengths, "chunk_id")
     both = F.ln(F.greatest(lam * F.col("tf") / F.col("dl") + (1 - lam) * F.col("p"), F.lit(FLOOR)))
-    gain = shared.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qn") * (both - alone)).alias("gain"))
-    pairs = index.pairs().join(_sent(base, index.n_query_rows), "query_id", "left").join(gain, ["query_id", "chunk_id"], "left")
-    return pairs.select("query_id", "chunk_id", F.when((F.col("dl") == 0) | F.col("c").isNull(), F.lit(0.0)).otherwise(F.col("c") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    pairs = index.gather(shared.select("query_id", "chunk_id", (F.col("qn") * (both - alone)).alias("gain"))).join(_ask(index, base), "query_id", "left")
+    return pairs.select("query_id", "chunk_id", F.when((F.col("dl") == 0) | F.col("c").isNull(), F.lit(0.0)).otherwise(F.col("c") + F.col("gain")).alias("score"))
 
 
 def qlm_score(index: Index, method: str = "dirichlet", **options) -> DataFrame:
@@ -106,11 +158,9 @@ def qlm_weighted(index: Index, mu: float = 1500.0, true_df: bool = False) -> Dat
     weights = query_term_weights(index, true_df).select("query_id", "term", "weight")
     terms = index.with_p().join(weights, ["query_id", "term"])
     base = terms.groupBy("query_id").agg(F.sum(F.col("weight") * F.ln(mu * F.col("p"))).alias("c"), F.sum("weight").alias("known"))
-    shared = index.tf.join(_sent(terms.select("query_id", "term", "weight", "p"), index.n_query_rows), "term")
-    gain = shared.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * (F.ln(F.col("tf") + mu * F.col("p")) - F.ln(mu * F.col("p")))).alias("gain"))
-    pairs = index.pairs().join(_sent(base, index.n_query_rows), "query_id", "left").join(gain, ["query_id", "chunk_id"], "left")
-    score = F.col("c") - F.col("known") * F.ln(F.col("dl") + mu) + F.coalesce("gain", F.lit(0.0))
-    return pairs.select("query_id", "chunk_id", F.when((F.col("dl") == 0) | F.col("c").isNull(), F.lit(0.0)).otherwise(score).alias("score"))
+    shared = index.tf.join(index.sent(terms.select("query_id", "term", "weight", "p")), "term")
+    gain = shared.select("query_id", "chunk_id", (F.col("weight") * (F.ln(F.col("tf") + mu * F.col("p")) - F.ln(mu * F.col("p")))).alias("gain"), F.lit(0.0).alias("lift"))
+    return index.gather(gain).join(_ask(index, base), "query_id", "left").select("query_id", "chunk_id", likelihood(mu).alias("score"))
 
 
 def bm25(index: Index, k1: float = 1.2, b: float = 0.75, compat: bool = False) -> DataFrame:
@@ -120,99 +170,113 @@ def bm25(index: Index, k1: float = 1.2, b: float = 0.75, compat: bool = False) -
     ratio = (n - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.when(ratio > 0, F.ln(F.when(ratio > 0, ratio)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    found = m.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return index.pairs().join(found, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return index.gather(m.select("query_id", "chunk_id", part.alias("score"))).select("query_id", "chunk_id", F.col("score").cast("double").alias("score"))
 
 
-def mrf_unigram(index: Index) -> DataFrame:
+def unigram_part(index: Index) -> DataFrame:
+    return index.matches().select("query_id", "chunk_id", F.col("qn").alias("hit"), (F.col("tf") * F.col("qn")).alias("freq"))
+
+
+def unigram() -> Column:
     """Share of query tokens that occur, plus min(0.1, ln(1 + all tf)/10), at most 1."""
-    m = index.matches().groupBy("query_id", "chunk_id").agg(F.sum("qn").alias("hit"), F.sum(F.col("tf") * F.col("qn")).alias("tf"))
-    pairs = index.pairs().join(m, ["query_id", "chunk_id"], "left")
-    raw = F.try_divide(F.col("hit"), F.col("n")) + F.least(F.lit(0.1), F.ln(1 + F.col("tf")) / 10)
-    return pairs.select("query_id", "chunk_id", F.coalesce(F.least(F.lit(1.0), raw), F.lit(0.0)).alias("score"))
+    return F.when(F.col("n") > 0, F.least(F.lit(1.0), F.try_divide("hit", "n") + F.least(F.lit(0.1), F.ln(1 + F.col("freq")) / 10))).otherwise(F.lit(0.0))
 
 
-def _query_bigrams(index: Index) -> DataFrame:
-    """``query_id, a, b, times, n_pairs``: adjacent pairs of the query, with duplicates counted."""
-    from ..functions.text import bigrams_ordered
+def mrf_unigram(index: Index) -> DataFrame:
+    return index.gather(unigram_part(index)).select("query_id", "chunk_id", unigram().alias("score"))
 
+
+def _query_bigrams(index: Index) -> DataFrame:
+    """``query_id, a, b, times``: adjacent pairs of the query, with duplicates counted."""
     each = index.queries.select("query_id", F.explode(bigrams_ordered(F.col("tokens"))).alias("g")).select("query_id", "g.a", "g.b")
     return each.groupBy("query_id", "a", "b").agg(F.count(F.lit(1)).alias("times"))
 
 
-def mrf_ordered(index: Index) -> DataFrame:
-    """Share of the query's adjacent pairs that are adjacent, in order, in the chunk."""
+def ordered_part(index: Index, name: str = "ordered") -> DataFrame:
+    """Of the query's adjacent pairs, in order, the share that each one adds where a chunk has it."""
     wanted = _query_bigrams(index)
     total = wanted.groupBy("query_id").agg(F.sum("times").alias("n_pairs"))
-    h = index.hits
-    nexts = h.select("chunk_id", (F.col("pos") - 1).alias("pos"), F.col("term").alias("b"))
-    seen = h.withColumnRenamed("term", "a").join(nexts, ["chunk_id", "pos"]).select("chunk_id", "a", "b").distinct()
-    found = seen.join(_sent(wanted, index.n_query_rows), ["a", "b"]).groupBy("query_id", "chunk_id").agg(F.sum("times").alias("hit"))
-    pairs = index.pairs().join(_sent(total, index.n_query_rows), "query_id", "left").join(found, ["query_id", "chunk_id"], "left")
-    return pairs.select("query_id", "chunk_id", F.coalesce(F.col("hit") / F.col("n_pairs"), F.lit(0.0)).alias("score"))
+    wanted = wanted.join(total, "query_id").select("query_id", "a", "b", (F.col("times") / F.col("n_pairs")).alias(name))
+    ahead = F.transform(F.slice("tokens", F.lit(2), F.size("tokens")), lambda y, i: F.struct(F.get("tokens", i).alias("a"), y.alias("b")))
+    seen = index.chunks.select("chunk_id", F.explode(ahead).alias("g")).select("chunk_id", "g.a", "g.b")
+    seen = seen.join(index.sent(wanted.select("a", "b").distinct()), ["a", "b"], "left_semi").distinct()
+    return seen.join(index.sent(wanted), ["a", "b"]).select("query_id", "chunk_id", name)
+
+
+def mrf_ordered(index: Index) -> DataFrame:
+    """Share of the query's adjacent pairs that are adjacent, in order, in the chunk."""
+    return index.gather(ordered_part(index)).select("query_id", "chunk_id", F.col("ordered").cast("double").alias("score"))
 
 
 def query_pairs(index: Index, window: int) -> DataFrame:
     """``query_id, a, b``: the query's own distinct sorted pairs at most ``window`` apart."""
-    from ..functions.text import bigrams_unordered
-
     return index.queries.select("query_id", F.explode(bigrams_unordered(F.col("tokens"), window)).alias("g")).select("query_id", "g.a", "g.b").distinct()
 
 
 def min_gaps(index: Index, window: int) -> DataFrame:
-    """``chunk_id, a, b, gap``: the least distance, up to ``window``, of each sorted pair of query terms in a chunk.
+    """``chunk_id, a, b, gap``: the least distance, up to ``window``, in a chunk of each sorted pair that some query asks for.
 
-    Each posting meets the later ones of its chunk through buckets of ``window`` places, its own and the next,
-    so the range join is an equi join and no chunk's postings meet all.
+    Each token names the ``window`` after it, inside its own row; only pairs that are asked for are exchanged.
     """
-    h = index.hits.withColumn("bucket", F.floor(F.col("pos") / window))
-    later = index.hits.select("chunk_id", F.col("pos").alias("pos2"), F.col("term").alias("term2"), F.explode(F.array(F.floor(F.col("pos") / window), F.floor(F.col("pos") / window) - 1)).alias("bucket"))
-    near = h.join(later, ["chunk_id", "bucket"]).where((F.col("pos2") > F.col("pos")) & (F.col("pos2") - F.col("pos") <= window))
-    return near.groupBy("chunk_id", F.least("term", "term2").alias("a"), F.greatest("term", "term2").alias("b")).agg(F.min(F.col("pos2") - F.col("pos")).alias("gap"))
+    asked = index.sent(query_pairs(index, window).select("a", "b").distinct(), window)
+    ahead = lambda x, i: F.transform(F.slice("tokens", i + 2, F.lit(window)), lambda y, j: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (j + 1).alias("gap")))
+    near = index.chunks.select("chunk_id", F.explode(F.transform("tokens", ahead)).alias("g")).select("chunk_id", F.inline("g"))
+    near = near.join(asked, ["a", "b"], "left_semi")
+    return near.groupBy("chunk_id", "a", "b").agg(F.min("gap").alias("gap"))
+
+
+def window_parts(index: Index, windows: tuple[int, ...], gaps: DataFrame | None = None) -> list[DataFrame]:
+    """``w<size>``: for each window, what each pair of the query's own adds where it comes within it."""
+    gaps = stored(min_gaps(index, max(windows)), "gaps") if gaps is None else gaps
+    out = []
+    for w in windows:
+        wanted = query_pairs(index, w)
+        total = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+        share = wanted.join(total, "query_id").select("query_id", "a", "b", (1 / F.col("n_pairs")).alias(f"w{w}"))
+        out.append(gaps.where(F.col("gap") <= w).join(index.sent(share, w), ["a", "b"]).select("query_id", "chunk_id", f"w{w}"))
+    return out
 
 
-def mrf_unordered(index: Index, window: int = 8, gaps: DataFrame | None = None) -> DataFrame:
+def mrf_unordered(index: Index, window: int = 8) -> DataFrame:
     """Share of the query's windowed pairs that come within ``window`` in the chunk."""
-    wanted = query_pairs(index, window)
-    total = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    gaps = min_gaps(index, window) if gaps is None else gaps
-    found = gaps.where(F.col("gap") <= window).join(_sent(wanted, 8 * index.n_query_rows), ["a", "b"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hit"))
-    pairs = index.pairs().join(_sent(total, index.n_query_rows), "query_id", "left").join(found, ["query_id", "chunk_id"], "left")
-    return pairs.select("query_id", "chunk_id", F.coalesce(F.col("hit") / F.col("n_pairs"), F.lit(0.0)).alias("score"))
+    return index.gather(*window_parts(index, (window,))).select("query_id", "chunk_id", F.col(f"w{window}").cast("double").alias("score"))
 
 
 def mrf_windows(index: Index, sizes: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
     """``query_id, chunk_id, window, score``: every size from one table of least distances."""
-    gaps = min_gaps(index, max(sizes))
-    made = [mrf_unordered(index, w, gaps).withColumn("window", F.lit(w)) for w in sizes]
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    return out
+    made = index.gather(*window_parts(index, sizes))
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"w{w}").cast("double").alias("score")) for w in sizes])).alias("x")
+    return made.select("query_id", "chunk_id", each).select("query_id", "chunk_id", "x.score", "x.window")
 
 
-def _same_grain(index: Index, **parts: DataFrame) -> DataFrame:
-    out = index.pairs().select("query_id", "chunk_id", "n", "dl")
-    for name, df in parts.items():
-        out = out.join(df.withColumnRenamed("score", name), ["query_id", "chunk_id"])
-    return out
+def mrf_features(index: Index, windows: tuple[int, ...] = (8,), *more: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, n, dl, hit, unigram, ordered, w<size>...``: what every mixture of MRF features needs, once."""
+    made = index.gather(unigram_part(index), ordered_part(index), *window_parts(index, windows), *more)
+    return made.withColumn("unigram", unigram())
+
+
+def mixed(weights: tuple[float, float, float] = (0.8, 0.1, 0.1), window: int = 8) -> Column:
+    return weights[0] * F.col("unigram") + weights[1] * F.col("ordered") + weights[2] * F.col(f"w{window}")
 
 
 def mrf_sd(index: Index, weights: tuple[float, float, float] = (0.8, 0.1, 0.1), window: int = 8) -> DataFrame:
     """Weighted sum of the three features."""
-    parts = _same_grain(index, u=mrf_unigram(index), o=mrf_ordered(index), w=mrf_unordered(index, window))
-    return parts.select("query_id", "chunk_id", (weights[0] * F.col("u") + weights[1] * F.col("o") + weights[2] * F.col("w")).alias("score"))
+    return mrf_features(index, (window,)).select("query_id", "chunk_id", mixed(weights, window).alias("score"))
 
 
-def mrf_position(index: Index, window: int = 8) -> DataFrame:
-    """Mean over the query's adjacent pairs of 1 / (1 + least distance), 0 beyond the window; a pair (t, t) is at distance 0."""
+def position_part(index: Index, window: int = 8, gaps: DataFrame | None = None) -> DataFrame:
+    """``position``: over the query's adjacent pairs, 1 / (1 + least distance) by their number; a pair (t, t) is at distance 0."""
     wanted = _query_bigrams(index)
     total = wanted.groupBy("query_id").agg(F.sum("times").alias("n_pairs"))
-    sorted_ = wanted.select("query_id", "times", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    gaps = min_gaps(index, window).where("a <> b").unionByName(index.tf.select("chunk_id", F.col("term").alias("a"), F.col("term").alias("b"), F.lit(0).alias("gap")))
-    found = gaps.join(_sent(sorted_, index.n_query_rows), ["a", "b"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") / (1 + F.col("gap"))).alias("hit"))
-    pairs = index.pairs().join(_sent(total, index.n_query_rows), "query_id", "left").join(found, ["query_id", "chunk_id"], "left")
-    return pairs.select("query_id", "chunk_id", F.coalesce(F.col("hit") / F.col("n_pairs"), F.lit(0.0)).alias("score"))
+    sorted_ = wanted.join(total, "query_id").select("query_id", (F.col("times") / F.col("n_pairs")).alias("share"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    gaps = min_gaps(index, window) if gaps is None else gaps
+    gaps = gaps.where("a <> b").where(F.col("gap") <= window).unionByName(index.tf.select("chunk_id", F.col("term").alias("a"), F.col("term").alias("b"), F.lit(0).alias("gap")))
+    return gaps.join(index.sent(sorted_), ["a", "b"]).select("query_id", "chunk_id", (F.col("share") / (1 + F.col("gap"))).alias("position"))
+
+
+def mrf_position(index: Index, window: int = 8) -> DataFrame:
+    """Mean over the query's adjacent pairs of 1 / (1 + least distance), 0 beyond the window."""
+    return index.gather(position_part(index, window)).select("query_id", "chunk_id", F.col("position").cast("double").alias("score"))
 
 
 def adaptive_feature_weights(n: Column, coverage: Column, base: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> list[Column]:
@@ -226,44 +290,49 @@ def adaptive_feature_weights(n: Column, coverage: Column, base: tuple[float, flo
     return [u / total, o / total, w / total]
 
 
-def keyword_match(index: Index, words: DataFrame, min_chars: int = 3) -> DataFrame:
-    """``query_id, chunk_id, matches, unique, frequency, coverage`` over the query's words of ``min_chars`` and more.
+def keyword_part(index: Index, words: DataFrame, min_chars: int = 3) -> DataFrame:
+    """``matches, unique, frequencies, coverage`` by the query's words of ``min_chars`` and more.
 
     ``words(chunk_id, n_words)`` has the white-space words of each chunk, by which frequencies are taken.
     """
     wanted = index.query_terms.where(F.length("term") >= min_chars)
     total = wanted.groupBy("query_id").agg(F.sum("qn").alias("n_wanted"))
-    m = index.tf.join(_sent(wanted, index.n_query_rows), "term").join(words, "chunk_id")
-    found = m.groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("matches"), F.count(F.lit(1)).alias("unique"), F.avg(F.col("tf") / F.col("n_words")).alias("frequency"))
-    pairs = index.pairs().join(_sent(total, index.n_query_rows), "query_id", "left").join(found, ["query_id", "chunk_id"], "left")
-    zero = lambda c, z: F.coalesce(F.col(c), F.lit(z)).alias(c)
-    return pairs.select("query_id", "chunk_id", zero("matches", 0), zero("unique", 0), zero("frequency", 0.0), F.coalesce(F.col("unique") / F.col("n_wanted"), F.lit(0.0)).alias("coverage"))
+    wanted = wanted.join(total, "query_id").select("query_id", "term", (1 / F.col("n_wanted")).alias("coverage"))
+    m = index.tf.join(index.sent(wanted), "term").join(words, "chunk_id")
+    return m.select("query_id", "chunk_id", F.col("tf").alias("matches"), F.lit(1).cast("long").alias("unique"), (F.col("tf") / F.col("n_words")).alias("frequencies"), "coverage")
 
 
-def keyword_score(index: Index, words: DataFrame) -> DataFrame:
+def keyword_frequency() -> Column:
+    return F.coalesce(F.try_divide("frequencies", "unique"), F.lit(0.0))
+
+
+def keyword() -> Column:
     """0.4 matches + 0.4 distinct words + 20 times the mean frequency."""
-    k = keyword_match(index, words)
-    return k.select("query_id", "chunk_id", (0.4 * F.col("matches") + 0.4 * F.col("unique") + 20 * F.col("frequency")).alias("score"))
+    return 0.4 * F.col("matches") + 0.4 * F.col("unique") + 20 * keyword_frequency()
+
+
+def keyword_match(index: Index, words: DataFrame, min_chars: int = 3) -> DataFrame:
+    """``query_id, chunk_id, matches, unique, frequency, coverage``."""
+    k = index.gather(keyword_part(index, words, min_chars))
+    return k.select("query_id", "chunk_id", "matches", "unique", keyword_frequency().alias("frequency"), F.col("coverage").cast("double").alias("coverage"))
 
 
-def mrf_features(index: Index, windows: tuple[int, ...] = (8,)) -> DataFrame:
-    """``query_id, chunk_id, n, unigram, ordered, w<size>...``: what every mixture of MRF features needs, once."""
-    gaps = min_gaps(index, max(windows))
-    return _same_grain(index, unigram=mrf_unigram(index), ordered=mrf_ordered(index), **{f"w{w}": mrf_unordered(index, w, gaps) for w in windows})
+def keyword_score(index: Index, words: DataFrame) -> DataFrame:
+    return index.gather(keyword_part(index, words)).select("query_id", "chunk_id", keyword().alias("score"))
 
 
 def mrf_coverage(index: Index) -> DataFrame:
     """Share of query tokens that the chunk has."""
-    m = index.matches().groupBy("query_id", "chunk_id").agg(F.sum("qn").alias("hit"))
-    pairs = index.pairs().join(m, ["query_id", "chunk_id"], "left")
-    return pairs.select("query_id", "chunk_id", F.coalesce(F.try_divide("hit", "n"), F.lit(0.0)).alias("score"))
+    return index.gather(unigram_part(index)).select("query_id", "chunk_id", "n", F.coalesce(F.try_divide("hit", "n"), F.lit(0.0)).alias("score"))
 
 
 def mrf_enhanced(index: Index, window: int = 8) -> DataFrame:
     """Adaptive feature weights, plus a tenth of the position score."""
-    parts = _same_grain(index, u=mrf_unigram(index), o=mrf_ordered(index), w=mrf_unordered(index, window), c=mrf_coverage(index), p=mrf_position(index, window))
-    weight = adaptive_feature_weights(F.col("n"), F.col("c"))
-    return parts.select("query_id", "chunk_id", (weight[0] * F.col("u") + weight[1] * F.col("o") + weight[2] * F.col("w") + 0.1 * F.col("p")).alias("score"))
+    gaps = stored(min_gaps(index, window), "gaps")
+    parts = index.gather(unigram_part(index), ordered_part(index), *window_parts(index, (window,), gaps), position_part(index, window, gaps))
+    parts = parts.withColumn("unigram", unigram())
+    weight = adaptive_feature_weights(F.col("n"), F.coalesce(F.try_divide("hit", "n"), F.lit(0.0)))
+    return parts.select("query_id", "chunk_id", (weight[0] * F.col("unigram") + weight[1] * F.col("ordered") + weight[2] * F.col(f"w{window}") + 0.1 * F.col("position")).alias("score"))
 
 
 #: Windows by query length with their weights, and the mixtures of the ensemble.
@@ -280,17 +349,28 @@ def _by_length(length: Column, table, make) -> Column:
     return out.otherwise(make(table[-1][1]))
 
 
-def mrf_optimized_windows(index: Index) -> DataFrame:
+OPTIMIZED_SIZES = tuple(sorted({w for _, own in WINDOWS_BY_LENGTH for w in own}))
+ENSEMBLE_SIZES = tuple(sorted({w for *_, w in ENSEMBLE}))
+
+
+def optimized() -> Column:
     """Three windows around a size that follows the query's length, the middle one weighing most."""
-    sizes = tuple(sorted({w for _, own in WINDOWS_BY_LENGTH for w in own}))
-    f = mrf_features(index, sizes)
-    mixed = lambda own: sum(c * (0.8 * F.col("unigram") + 0.1 * F.col("ordered") + 0.1 * F.col(f"w{w}")) for c, w in zip(WINDOW_WEIGHTS, own))
-    return f.select("query_id", "chunk_id", _by_length(F.col("n"), WINDOWS_BY_LENGTH, mixed).alias("score"))
+    made = lambda own: sum(c * mixed(window=w) for c, w in zip(WINDOW_WEIGHTS, own))
+    return _by_length(F.col("n"), WINDOWS_BY_LENGTH, made)
+
+
+def mrf_optimized_windows(index: Index) -> DataFrame:
+    return mrf_features(index, OPTIMIZED_SIZES).select("query_id", "chunk_id", optimized().alias("score"))
+
+
+def ensemble() -> Column:
+    """Five mixtures, weighed by the query's white-space words, ``n_words``."""
+    each = [mixed((u, o, w), size) for u, o, w, size in ENSEMBLE]
+    made = lambda weights: sum(c * e for c, e in zip(weights, each))
+    return _by_length(F.col("n_words"), ENSEMBLE_WEIGHTS, made)
 
 
 def mrf_ensemble(index: Index, query_words: DataFrame) -> DataFrame:
-    """Five mixtures, weighed by the query's white-space words (``query_words(query_id, n_words)``)."""
-    f = mrf_features(index, tuple(sorted({w for *_, w in ENSEMBLE}))).join(_sent(query_words, index.n_query_rows), "query_id")
-    each = [u * F.col("unigram") + o * F.col("ordered") + w * F.col(f"w{size}") for u, o, w, size in ENSEMBLE]
-    mixed = lambda weights: sum(c * e for c, e in zip(weights, each))
-    return f.select("query_id", "chunk_id", _by_length(F.col("n_words"), ENSEMBLE_WEIGHTS, mixed).alias("score"))
+    """``query_words(query_id, n_words)`` has each query's white-space words."""
+    f = mrf_features(index, ENSEMBLE_SIZES).join(index.sent(query_words), "query_id")
+    return f.select("query_id", "chunk_id", ensemble().alias("score"))

@@ -70,10 +70,10 @@ def toks(column: str) -> str:
 
 #: Common table expressions of the oracles.
 CTE = f"""
-    c AS (SELECT doc_id AS chunk_id, source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, text, {toks('text')} AS toks FROM documents),
+    c AS MATERIALIZED (SELECT doc_id AS chunk_id, source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, text, {toks('text')} AS toks FROM documents),
     q AS (SELECT item_id AS query_id, text, {toks('text')} AS toks FROM benchmark),
-    post AS (SELECT chunk_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM c),
-    tf AS (SELECT chunk_id, term, count(*) AS tf FROM post GROUP BY ALL),
+    post AS MATERIALIZED (SELECT chunk_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM c),
+    tf AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM post GROUP BY ALL),
     dl AS (SELECT chunk_id, len(toks) AS dl FROM c),
     cf AS (SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM tf GROUP BY term),
     tot AS (SELECT greatest(sum(dl), 1)::DOUBLE AS total, count(*) AS n_chunks, avg(dl) AS avg_dl FROM dl),
@@ -81,29 +81,32 @@ CTE = f"""
     ql AS (SELECT query_id, len(toks) AS n FROM q),
     pairs AS (SELECT query_id, n, chunk_id, dl FROM ql CROSS JOIN dl)
 """
-#: Query bigrams, chunk pairs and features of the dependence model; ``gaps`` reaches to 32 places.
-MRF_CTE = (
-    CTE
-    + """,
-    qp AS (SELECT query_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM q),
-    qterms AS (SELECT DISTINCT term FROM qt),
-    hit AS (SELECT post.* FROM post JOIN qterms USING (term)),
+
+
+def mrf_cte(*windows: int) -> str:
+    """Query bigrams, chunk pairs and features of the dependence model for these windows."""
+    reach = max(windows)
+    return (
+        CTE
+        + f""",
+    qp AS MATERIALIZED (SELECT query_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM q),
+    hit AS MATERIALIZED (SELECT post.* FROM post SEMI JOIN qp USING (term)),
     qb AS (SELECT a.query_id, a.term AS a, b.term AS b, count(*) AS times FROM qp a JOIN qp b ON a.query_id = b.query_id AND b.pos = a.pos + 1 GROUP BY ALL),
     qbn AS (SELECT query_id, sum(times) AS n_pairs FROM qb GROUP BY ALL),
-    cb AS (SELECT DISTINCT a.chunk_id, a.term AS a, b.term AS b FROM hit a JOIN hit b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1),
-    gaps AS (SELECT a.chunk_id, least(a.term, b.term) AS a, greatest(a.term, b.term) AS b, min(b.pos - a.pos) AS gap
-             FROM hit a JOIN hit b ON a.chunk_id = b.chunk_id AND b.pos > a.pos AND b.pos <= a.pos + 32 GROUP BY ALL),
+    near AS MATERIALIZED (SELECT chunk_id, term AS x, d, lead_term AS y FROM (SELECT chunk_id, term, pos, unnest(range(1, {reach + 1})) AS d FROM hit) h
+        JOIN (SELECT chunk_id AS c2, term AS lead_term, pos AS p2 FROM hit) l ON l.c2 = h.chunk_id AND l.p2 = h.pos + h.d),
+    cb AS (SELECT DISTINCT chunk_id, x AS a, y AS b FROM near WHERE d = 1),
+    gaps AS MATERIALIZED (SELECT chunk_id, least(x, y) AS a, greatest(x, y) AS b, min(d) AS gap FROM near GROUP BY ALL),
     uni AS (SELECT query_id, chunk_id, sum(qn) AS hit, sum(qn * tf) AS f FROM qt JOIN tf USING (term) GROUP BY ALL),
-    unigram AS (SELECT query_id, chunk_id, coalesce(least(1.0, hit::DOUBLE / n + least(0.1, ln(1.0 + f) / 10)), 0.0) AS u, coalesce(hit::DOUBLE / n, 0.0) AS cov FROM pairs LEFT JOIN uni USING (query_id, chunk_id)),
-    ordered AS (SELECT query_id, chunk_id, coalesce(hit::DOUBLE / n_pairs, 0.0) AS o FROM pairs LEFT JOIN qbn USING (query_id)
-                LEFT JOIN (SELECT query_id, chunk_id, sum(times) AS hit FROM qb JOIN cb USING (a, b) GROUP BY ALL) USING (query_id, chunk_id)),
-    wins AS (SELECT unnest([3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 32]) AS w),
-    qu AS (SELECT DISTINCT w, a.query_id, least(a.term, b.term) AS a, greatest(a.term, b.term) AS b FROM wins, qp a JOIN qp b ON a.query_id = b.query_id AND b.pos > a.pos WHERE b.pos - a.pos <= w),
+    unigram AS MATERIALIZED (SELECT query_id, chunk_id, n, least(1.0, coalesce(hit::DOUBLE / n, 0.0) + least(0.1, ln(1.0 + coalesce(f, 0)) / 10)) AS u, coalesce(hit::DOUBLE / n, 0.0) AS cov FROM pairs LEFT JOIN uni USING (query_id, chunk_id)),
+    oh AS (SELECT query_id, chunk_id, sum(times) AS hit FROM qb JOIN cb USING (a, b) GROUP BY ALL),
+    ordered AS MATERIALIZED (SELECT query_id, chunk_id, coalesce(hit::DOUBLE / n_pairs, 0.0) AS o FROM pairs LEFT JOIN qbn USING (query_id) LEFT JOIN oh USING (query_id, chunk_id)),
+    wins AS (SELECT unnest({list(windows)}) AS w),
+    qu AS MATERIALIZED (SELECT DISTINCT w, a.query_id, least(a.term, b.term) AS a, greatest(a.term, b.term) AS b FROM wins, qp a JOIN qp b ON a.query_id = b.query_id AND b.pos > a.pos AND b.pos <= a.pos + {reach} WHERE b.pos - a.pos <= w),
     qun AS (SELECT w, query_id, count(*) AS n_pairs FROM qu GROUP BY ALL),
-    wh AS (SELECT qu.w, query_id, chunk_id, count(*) AS hit FROM qu JOIN gaps ON qu.a = gaps.a AND qu.b = gaps.b AND gap <= qu.w GROUP BY ALL),
-    feat AS (SELECT wins.w, p.query_id, p.chunk_id, p.n, u, cov, o, coalesce(wh.hit::DOUBLE / qun.n_pairs, 0.0) AS x FROM wins CROSS JOIN pairs p
-             JOIN unigram USING (query_id, chunk_id) JOIN ordered USING (query_id, chunk_id)
+    wh AS MATERIALIZED (SELECT qu.w, query_id, chunk_id, count(*) AS hit FROM qu JOIN gaps ON qu.a = gaps.a AND qu.b = gaps.b WHERE gap <= qu.w GROUP BY ALL),
+    feat AS (SELECT wins.w, p.query_id, p.chunk_id, p.n, u, cov, o, coalesce(wh.hit::DOUBLE / qun.n_pairs, 0.0) AS x FROM unigram p JOIN ordered USING (query_id, chunk_id) CROSS JOIN wins
              LEFT JOIN qun ON qun.w = wins.w AND qun.query_id = p.query_id
              LEFT JOIN wh ON wh.w = wins.w AND wh.query_id = p.query_id AND wh.chunk_id = p.chunk_id)
 """
-)
+    )

@@ -12,32 +12,55 @@ from ..functions import vectors as V
 from ..operators import fusion as N
 from ..operators import lexical as L
 from ..operators import ranking
-from .common import CTE, MRF_CTE, chunk_vectors, chunks, index, table
+from ..operators.keep import stored
+from .common import CTE, asked, chunk_vectors, chunks, index, mrf_cte, table
 from .lexical import ENSEMBLE, KEYWORDS, OPTIMIZED, chunk_words, query_words
 from .registry import query
 from .vectors import QUERY_VECTOR, VEC, constant
 
 BY = ["query_id"]
+#: Embedding scores alone.
+EMBEDDINGS = f"""{CTE}, {VEC}, s AS (SELECT query_id, doc_id AS chunk_id, round(coalesce(list_cosine_similarity(v, {QUERY_VECTOR}), 0.1), 9) AS emb FROM q CROSS JOIN documents LEFT JOIN v ON vec_id = doc_id)"""
 
 
-def signals(spark, sf):
-    """``query_id, chunk_id, doc, emb, qlm, mrf, kw, n``: raw signals of every passage and document."""
-    i = index(spark, sf)
-    emb = chunk_vectors(spark, sf).select("chunk_id", F.round(F.coalesce(V.cosine(F.col("v"), constant()), F.lit(0.1)), 9).alias("emb"))
-    out = i.pairs().select("query_id", "chunk_id", "n").join(emb, "chunk_id")
-    for name, df in (("qlm", L.qlm_dirichlet(i)), ("mrf", L.mrf_sd(i)), ("kw", L.keyword_score(i, chunk_words(spark, sf)))):
-        out = out.join(df.select("query_id", "chunk_id", F.round("score", 9).alias(name)), ["query_id", "chunk_id"])
-    return out
+def embedding_scores(spark, sf):
+    """``chunk_id, emb``: cosine to the constant query vector, 0.1 without a vector."""
+    return chunk_vectors(spark, sf).select("chunk_id", F.round(F.coalesce(V.cosine(F.col("v"), constant()), F.lit(0.1)), 9).alias("emb"))
+
+
+def embedding_pairs(spark, sf):
+    """``query_id, chunk_id, emb``: one score for all queries, so nothing lexical is worked out."""
+    return asked(spark, sf).select("query_id").crossJoin(embedding_scores(spark, sf))
 
 
-SIGNALS = f"""{MRF_CTE}, {VEC}, {KEYWORDS},
+def signals(spark, sf, score=None, windows=(8,)):
+    """``query_id, chunk_id, emb, qlm, mrf, kw, n``: raw signals of every passage and document, from one gather, stored.
+
+    ``score`` makes ``mrf`` of the features (the usual mixture unless given).
+    """
+    i = index(spark, sf)
+    parts, base = L.likelihood_parts(i)
+    f = L.mrf_features(i, windows, *parts, L.keyword_part(i, chunk_words(spark, sf)))
+    f = f.join(i.sent(base), "query_id", "left").join(embedding_scores(spark, sf), "chunk_id")
+    if score is not None:
+        f = f.join(i.sent(query_words(spark, sf)), "query_id")
+    mrf = L.mixed() if score is None else score
+    nine = lambda c, name: F.round(c, 9).alias(name)
+    return stored(f.select("query_id", "chunk_id", "emb", nine(L.likelihood(), "qlm"), nine(mrf, "mrf"), nine(L.keyword(), "kw"), "n"), "signals")
+
+
+def signals_cte(*windows: int) -> str:
+    return f"""{mrf_cte(*windows)}, {VEC}, {KEYWORDS},
     emb AS (SELECT doc_id AS chunk_id, source AS doc, round(coalesce(list_cosine_similarity(v, {QUERY_VECTOR}), 0.1), 9) AS emb FROM documents LEFT JOIN v ON vec_id = doc_id),
     qlm AS (SELECT p.query_id, p.chunk_id, round(coalesce(sum(CASE WHEN dl > 0 THEN qn * ln(greatest((coalesce(tf, 0) + 1500.0 * cf / total) / (dl + 1500.0), 1e-6)) END), 0.0), 9) AS qlm
         FROM pairs p LEFT JOIN (SELECT * FROM qt JOIN cf USING (term) CROSS JOIN tot) t ON p.query_id = t.query_id LEFT JOIN tf ON tf.chunk_id = p.chunk_id AND tf.term = t.term GROUP BY ALL),
-    s AS (SELECT query_id, chunk_id, n, doc, emb, qlm, round(0.8 * u + 0.1 * o + 0.1 * x, 9) AS mrf, round(0.4 * matches + 0.4 * "unique" + 20 * frequency, 9) AS kw
+    s AS MATERIALIZED (SELECT query_id, chunk_id, n, doc, emb, qlm, round(0.8 * u + 0.1 * o + 0.1 * x, 9) AS mrf, round(0.4 * matches + 0.4 * "unique" + 20 * frequency, 9) AS kw
         FROM feat JOIN emb USING (chunk_id) JOIN qlm USING (query_id, chunk_id) JOIN keywords USING (query_id, chunk_id) WHERE feat.w = 8)"""
 
 
+SIGNALS = signals_cte(8)
+
+
 def _z(c: str) -> str:
     w = "OVER (PARTITION BY query_id)"
     return f"CASE WHEN round(stddev_pop({c}) {w}, 12) = 0 THEN 0.0 ELSE greatest(-3.0, least(3.0, ({c} - avg({c}) {w}) / stddev_pop({c}) {w})) END"
@@ -55,19 +78,23 @@ def _range(c: str) -> str:
     return f"CASE WHEN max({c}) {w} = min({c}) {w} THEN 0.5 ELSE 0.3 + ({c} - min({c}) {w}) * (0.7 - 0.3) / (max({c}) {w} - min({c}) {w}) END"
 
 
+def one(spark, sf, name):
+    return signals(spark, sf).select("query_id", "chunk_id", F.col(name).alias("score"))
+
+
 @query("normalize_zscore", f"WITH {SIGNALS} SELECT query_id, chunk_id, {_z('mrf')} AS score FROM s", "score")
 def normalize_zscore(spark, sf):
-    return signals(spark, sf).select("query_id", "chunk_id", N.zscore(F.col("mrf"), BY).alias("score"))
+    return N.zscore(one(spark, sf, "mrf"), ["score"], BY)
 
 
 @query("normalize_minmax", f"WITH {SIGNALS} SELECT query_id, chunk_id, CASE WHEN max(qlm) OVER w = min(qlm) OVER w THEN 0.5 ELSE (qlm - min(qlm) OVER w) / (max(qlm) OVER w - min(qlm) OVER w) END AS score FROM s WINDOW w AS (PARTITION BY query_id)", "score")
 def normalize_minmax(spark, sf):
-    return signals(spark, sf).select("query_id", "chunk_id", N.minmax(F.col("qlm"), BY).alias("score"))
+    return N.minmax(one(spark, sf, "qlm"), ["score"], BY)
 
 
 @query("normalize_none", f"WITH {SIGNALS} SELECT query_id, chunk_id, qlm AS score FROM s", "score")
 def normalize_none(spark, sf):
-    return signals(spark, sf).select("query_id", "chunk_id", N.normalize(F.col("qlm"), BY, "none").alias("score"))
+    return N.normalize_all(one(spark, sf, "qlm"), ["score"], BY, "none")
 
 
 @query("normalize_all", f"WITH {SIGNALS} SELECT query_id, chunk_id, {', '.join(f'{_z(c)} AS {c}' for c in ('emb', 'qlm', 'mrf', 'kw'))} FROM s", "emb qlm mrf kw")
@@ -77,12 +104,12 @@ def normalize_all(spark, sf):
 
 @query("normalize_robust", f"WITH {SIGNALS} SELECT query_id, chunk_id, {_robust('mrf')} AS score FROM s", "score")
 def normalize_robust(spark, sf):
-    return signals(spark, sf).select("query_id", "chunk_id", N.robust(F.col("mrf"), BY).alias("score"))
+    return N.robust(one(spark, sf, "mrf"), ["score"], BY)
 
 
 @query("scale_to_range", f"WITH {SIGNALS} SELECT query_id, chunk_id, {_range('qlm')} AS score FROM s", "score")
 def scale_to_range(spark, sf):
-    return signals(spark, sf).select("query_id", "chunk_id", N.scale_to_range(F.col("qlm"), BY).alias("score"))
+    return N.scale_to_range(one(spark, sf, "qlm"), ["score"], BY)
 
 
 _INTELLIGENT = f"{SIGNALS}, r AS (SELECT query_id, chunk_id, {_robust('mrf')} AS rm, {_robust('emb')} AS re FROM s), i AS (SELECT query_id, chunk_id, {_range('rm')} AS mrf, {_range('re')} AS emb FROM r)"
@@ -134,9 +161,9 @@ def rank_by_score(spark, sf):
     return ranking.rank_by(signals(spark, sf).select("query_id", "chunk_id", "qlm"), BY, "qlm").select("query_id", "chunk_id", "rank")
 
 
-@query("argsort_rank", f"WITH {SIGNALS} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(emb, 6) DESC, chunk_id) AS rank FROM s")
+@query("argsort_rank", f"WITH {EMBEDDINGS} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(emb, 6) DESC, chunk_id) AS rank FROM s")
 def argsort_rank(spark, sf):
-    return ranking.rank_by(signals(spark, sf).select("query_id", "chunk_id", "emb"), BY, "emb").select("query_id", "chunk_id", "rank")
+    return ranking.rank_by(embedding_pairs(spark, sf), BY, "emb").select("query_id", "chunk_id", "rank")
 
 
 @query("top_k", f"WITH {SIGNALS} {ranked_sql('qlm', 's', 10)}", "score")
@@ -154,19 +181,19 @@ def adaptive_weights(spark, sf):
     return index(spark, sf).query_length.select("query_id", m.alias("mrf_weight"), e.alias("emb_weight"))
 
 
-@query("search_embeddings", f"WITH {SIGNALS} {ranked_sql('emb', 's', 5)}", "score")
+@query("search_embeddings", f"WITH {EMBEDDINGS} {ranked_sql('emb', 's', 5)}", "score")
 def search_embeddings(spark, sf):
-    return _top(signals(spark, sf), F.col("emb"), 5)
+    return _top(embedding_pairs(spark, sf), F.col("emb"), 5)
 
 
-@query("baseline_ranking", f"WITH {SIGNALS} {ranked_sql('emb', 's', 30)}", "score")
+@query("baseline_ranking", f"WITH {EMBEDDINGS} {ranked_sql('emb', 's', 30)}", "score")
 def baseline_ranking(spark, sf):
-    return _top(signals(spark, sf), F.col("emb"), 30)
+    return _top(embedding_pairs(spark, sf), F.col("emb"), 30)
 
 
-@query("search_single_model", f"WITH {SIGNALS} {ranked_sql('100 * emb', 's', 5)}", "score")
+@query("search_single_model", f"WITH {EMBEDDINGS} {ranked_sql('100 * emb', 's', 5)}", "score")
 def search_single_model(spark, sf):
-    return _top(signals(spark, sf), 100 * F.col("emb"), 5)
+    return _top(embedding_pairs(spark, sf), 100 * F.col("emb"), 5)
 
 
 @query("search_mrf", f"WITH {SIGNALS} {ranked_sql('mrf', 's', 5)}", "score")
@@ -200,23 +227,18 @@ def search_mrf_emb_adaptive(spark, sf):
     return _top(z_scored(signals(spark, sf)), m * F.col("mrf") + e * F.col("emb"), 5)
 
 
-def _with(spark, sf, scores):
-    s = signals(spark, sf).select("query_id", "chunk_id", "n", "emb")
-    return s.join(scores.select("query_id", "chunk_id", F.round("score", 9).alias("mrf")), ["query_id", "chunk_id"])
-
-
-def _other_mrf(name: str, cte: str) -> str:
-    return f"{SIGNALS}, {cte}, s2 AS (SELECT query_id, chunk_id, n, emb, round(score, 9) AS mrf FROM s JOIN {name} USING (query_id, chunk_id)), z AS (SELECT query_id, chunk_id, n, {_z('mrf')} AS zm, {_z('emb')} AS ze FROM s2)"
+def _other_mrf(name: str, cte: str, *windows: int) -> str:
+    return f"{signals_cte(*windows)}, {cte}, s2 AS (SELECT query_id, chunk_id, n, emb, round(score, 9) AS mrf FROM s JOIN {name} USING (query_id, chunk_id)), z AS (SELECT query_id, chunk_id, n, {_z('mrf')} AS zm, {_z('emb')} AS ze FROM s2)"
 
 
-@query("search_mrf_emb_windows", f"WITH {_other_mrf('optimized', OPTIMIZED)} {ranked_sql('(0.6 * zm + 0.4 * ze)', 'z', 5)}", "score")
+@query("search_mrf_emb_windows", f"WITH {_other_mrf('optimized', OPTIMIZED, 3, 4, 5, 6, 7, 8, 9)} {ranked_sql('(0.6 * zm + 0.4 * ze)', 'z', 5)}", "score")
 def search_mrf_emb_windows(spark, sf):
-    return _top(z_scored(_with(spark, sf, L.mrf_optimized_windows(index(spark, sf)))), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
+    return _top(z_scored(signals(spark, sf, L.optimized(), L.OPTIMIZED_SIZES)), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
 
 
-@query("search_mrf_emb_ensemble", f"WITH {_other_mrf('ensemble', ENSEMBLE)} {ranked_sql('(0.6 * zm + 0.4 * ze)', 'z', 5)}", "score")
+@query("search_mrf_emb_ensemble", f"WITH {_other_mrf('ensemble', ENSEMBLE, 4, 6, 8, 10, 12)} {ranked_sql('(0.6 * zm + 0.4 * ze)', 'z', 5)}", "score")
 def search_mrf_emb_ensemble(spark, sf):
-    return _top(z_scored(_with(spark, sf, L.mrf_ensemble(index(spark, sf), query_words(spark, sf)))), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
+    return _top(z_scored(signals(spark, sf, L.ensemble(), L.ENSEMBLE_SIZES)), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
 
 
 @query("search_mrf_emb_robust", f"WITH {_INTELLIGENT} {ranked_sql('(0.6 * mrf + 0.4 * emb)', 'i', 5)}", "score")
@@ -238,4 +260,4 @@ def doc_max_pool(spark, sf):
 
 @query("z_events", "SELECT event_id, CASE WHEN round(stddev_pop(value) OVER w, 12) = 0 THEN 0.0 ELSE greatest(-3.0, least(3.0, (value - avg(value) OVER w) / stddev_pop(value) OVER w)) END AS z FROM events WINDOW w AS (PARTITION BY event_type)", "z")
 def z_events(spark, sf):
-    return table(spark, sf, "events").select("event_id", N.zscore(F.col("value"), ["event_type"]).alias("z"))
+    return N.zscore(table(spark, sf, "events").select("event_id", "event_type", F.col("value").alias("z")), ["z"], ["event_type"]).select("event_id", "z")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_words
 from ..operators import lexical as L
-from .common import CTE, MRF_CTE, asked, index, texts
+from .common import CTE, asked, index, mrf_cte, texts
 from .registry import query
 
 _DIRICHLET = f"""
@@ -67,27 +67,27 @@ def bm25_term(spark, sf):
     return L.bm25(index(spark, sf))
 
 
-@query("mrf_unigram", f"WITH {MRF_CTE} SELECT query_id, chunk_id, u AS score FROM unigram", "score")
+@query("mrf_unigram", f"WITH {mrf_cte(8)} SELECT query_id, chunk_id, u AS score FROM unigram", "score")
 def mrf_unigram(spark, sf):
     return L.mrf_unigram(index(spark, sf))
 
 
-@query("mrf_ordered", f"WITH {MRF_CTE} SELECT query_id, chunk_id, o AS score FROM ordered", "score")
+@query("mrf_ordered", f"WITH {mrf_cte(8)} SELECT query_id, chunk_id, o AS score FROM ordered", "score")
 def mrf_ordered(spark, sf):
     return L.mrf_ordered(index(spark, sf))
 
 
-@query("mrf_unordered", f"WITH {MRF_CTE} SELECT query_id, chunk_id, x AS score FROM feat WHERE w = 8", "score")
+@query("mrf_unordered", f"WITH {mrf_cte(8)} SELECT query_id, chunk_id, x AS score FROM feat WHERE w = 8", "score")
 def mrf_unordered(spark, sf):
     return L.mrf_unordered(index(spark, sf), 8)
 
 
-@query("mrf_sd", f"WITH {MRF_CTE} SELECT query_id, chunk_id, 0.8 * u + 0.1 * o + 0.1 * x AS score FROM feat WHERE w = 8", "score")
+@query("mrf_sd", f"WITH {mrf_cte(8)} SELECT query_id, chunk_id, 0.8 * u + 0.1 * o + 0.1 * x AS score FROM feat WHERE w = 8", "score")
 def mrf_sd(spark, sf):
     return L.mrf_sd(index(spark, sf))
 
 
-@query("mrf_windows", f"WITH {MRF_CTE} SELECT query_id, chunk_id, x AS score, w::BIGINT AS \"window\" FROM feat WHERE w IN (4, 8, 16, 32)", "score")
+@query("mrf_windows", f"WITH {mrf_cte(4, 8, 16, 32)} SELECT query_id, chunk_id, x AS score, w::BIGINT AS \"window\" FROM feat", "score")
 def mrf_windows(spark, sf):
     return L.mrf_windows(index(spark, sf))
 
@@ -99,7 +99,7 @@ _POSITION = """position AS (
             ) g ON g.a = least(qb.a, qb.b) AND g.b = greatest(qb.a, qb.b) GROUP BY ALL) USING (query_id, chunk_id))"""
 
 
-@query("mrf_position", f"WITH {MRF_CTE}, {_POSITION} SELECT query_id, chunk_id, pos AS score FROM position", "score")
+@query("mrf_position", f"WITH {mrf_cte(8)}, {_POSITION} SELECT query_id, chunk_id, pos AS score FROM position", "score")
 def mrf_position(spark, sf):
     return L.mrf_position(index(spark, sf))
 
@@ -109,20 +109,20 @@ _ADAPTIVE = """adapted AS (
             SELECT query_id, chunk_id, CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 0.3 ELSE 0.8 END * CASE WHEN cov < 0.5 THEN 1.5 ELSE 1.0 END AS wu,
                    CASE n WHEN 1 THEN 0.0 WHEN 2 THEN 0.6 ELSE 0.1 END * CASE WHEN cov < 0.5 THEN 0.5 ELSE 1.0 END AS wo,
                    CASE n WHEN 1 THEN 0.0 WHEN 2 THEN 0.1 ELSE 0.1 END * CASE WHEN cov < 0.5 THEN 0.5 ELSE 1.0 END AS wx
-            FROM pairs JOIN unigram USING (query_id, chunk_id)))"""
+            FROM unigram))"""
 
 
-@query("mrf_adaptive_weights", f"WITH {MRF_CTE}, {_ADAPTIVE} SELECT query_id, chunk_id, wu AS w_unigram, wo AS w_ordered, wx AS w_unordered FROM adapted", "w_unigram w_ordered w_unordered")
+@query("mrf_adaptive_weights", f"WITH {mrf_cte(8)}, {_ADAPTIVE} SELECT query_id, chunk_id, wu AS w_unigram, wo AS w_ordered, wx AS w_unordered FROM adapted", "w_unigram w_ordered w_unordered")
 def mrf_adaptive_weights(spark, sf):
     i = index(spark, sf)
-    c = L.mrf_coverage(i).join(i.query_length, "query_id")
+    c = L.mrf_coverage(i)
     u, o, w = L.adaptive_feature_weights(F.col("n"), F.col("score"))
     return c.select("query_id", "chunk_id", u.alias("w_unigram"), o.alias("w_ordered"), w.alias("w_unordered"))
 
 
 @query(
     "mrf_enhanced",
-    f"""WITH {MRF_CTE}, {_POSITION}, {_ADAPTIVE} SELECT query_id, chunk_id, wu * u + wo * o + wx * x + 0.1 * pos AS score
+    f"""WITH {mrf_cte(8)}, {_POSITION}, {_ADAPTIVE} SELECT query_id, chunk_id, wu * u + wo * o + wx * x + 0.1 * pos AS score
     FROM (SELECT * FROM feat WHERE w = 8) JOIN adapted USING (query_id, chunk_id) JOIN position USING (query_id, chunk_id)""",
     "score",
 )
@@ -143,7 +143,7 @@ ENSEMBLE = """qw AS (SELECT item_id AS query_id, len(list_filter(regexp_split_to
         ON feat.w = v.w AND v.band = CASE WHEN n_words <= 3 THEN 0 WHEN n_words <= 6 THEN 1 ELSE 2 END GROUP BY ALL)"""
 
 
-@query("mrf_optimized_windows", f"WITH {MRF_CTE}, {OPTIMIZED} SELECT * FROM optimized", "score")
+@query("mrf_optimized_windows", f"WITH {mrf_cte(3, 4, 5, 6, 7, 8, 9)}, {OPTIMIZED} SELECT * FROM optimized", "score")
 def mrf_optimized_windows(spark, sf):
     return L.mrf_optimized_windows(index(spark, sf))
 
@@ -156,7 +156,7 @@ def chunk_words(spark, sf):
     return texts(spark, sf).select("chunk_id", F.size(whitespace_words(F.col("text"))).alias("n_words"))
 
 
-@query("mrf_ensemble", f"WITH {MRF_CTE}, {ENSEMBLE} SELECT * FROM ensemble", "score")
+@query("mrf_ensemble", f"WITH {mrf_cte(4, 6, 8, 10, 12)}, {ENSEMBLE} SELECT * FROM ensemble", "score")
 def mrf_ensemble(spark, sf):
     return L.mrf_ensemble(index(spark, sf), query_words(spark, sf))
 

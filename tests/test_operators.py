@@ -55,11 +55,12 @@ def test_likelihood_floor_and_unknown_terms(spark):
 
 def test_zscore_constant_clip_and_minmax(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 0.0), (2, 10.0)], "query_id int, s double")
-    rows = df.select("query_id", "s", N.zscore(F.col("s"), ["query_id"], 0.5).alias("z"), N.minmax(F.col("s"), ["query_id"]).alias("m")).collect()
+    both = df.select("query_id", F.col("s").alias("z"), F.col("s").alias("m"))
+    rows = N.minmax(N.zscore(both, ["z"], ["query_id"], 0.5), ["m"], ["query_id"]).collect()
     assert [r["z"] for r in rows if r["query_id"] == 1] == [0, 0] and [r["m"] for r in rows if r["query_id"] == 1] == [0.5, 0.5]
     assert sorted(r["z"] for r in rows if r["query_id"] == 2) == [-0.5, 0.5] and sorted(r["m"] for r in rows if r["query_id"] == 2) == [0, 1]
     with pytest.raises(ValueError):
-        N.normalize(F.col("s"), ["query_id"], "nothing")
+        N.normalize_all(df, ["s"], ["query_id"], "nothing")
 
 
 def test_pagerank_disconnected_and_single():
