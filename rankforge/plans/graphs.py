@@ -1,8 +1,7 @@
 """Queries of chunk graphs, PageRank and the full re-ranking.
 
-Each query's candidates are its k' best documents by query likelihood; its seeds are the best three. The queries
-named ``_full`` do the whole job with the reference's limits: k' = 100, the best 30 returned, iteration to 1e-6 (at most 100
-steps). Those with an oracle are short forms for comparison with SQL: k' = 20 and eight steps, unconverged.
+Each query's candidates are its best 100 documents by query likelihood (k'); its seeds are the best three. PageRank goes on to a
+difference of 1e-6, at most 100 steps; re-ranking returns the best 30. The oracles iterate in the same way, in SQL.
 """
 
 from __future__ import annotations
@@ -14,22 +13,20 @@ from ..operators import evaluate as E
 from ..operators import fusion as N
 from ..operators import graph as G
 from ..operators import ranking
+from ..operators.keep import stored
 from .common import chunk_vectors, chunks, table
 from .fusion import SIGNALS, _z, signals
 from .registry import query
 
-K_PRIME, SEEDS = 20, 3
-#: The reference's candidates and results of a query.
-FULL_K_PRIME, FULL_K = 100, 30
-#: Eight steps whatever the difference, so that SQL can follow; without these, the operator goes on to its tolerance.
-SHORT = {"tol": 0.0, "iterations": 8}
+#: The reference's candidates, seeds and results of a query.
+K_PRIME, SEEDS, K = 100, 3, 30
 
 
 def nodes(spark, sf, k_prime=K_PRIME):
-    """``query_id, chunk_id, doc, position, embedding, emb, qlm, mrf, rank``."""
-    best = ranking.top_k(signals(spark, sf), k_prime, ["query_id"], "qlm")
-    out = best.join(chunks(spark, sf).select("chunk_id", "doc", "position"), "chunk_id").join(chunk_vectors(spark, sf).withColumnRenamed("v", "embedding"), "chunk_id")
-    return out.persist()  # k_prime rows a query; the graph, its seeds and the scores all start from them
+    """``query_id, chunk_id, doc, position, embedding, emb, qlm, mrf, rank``, stored: the graph, its seeds and the scores all start from them."""
+    best = stored(ranking.top_k(signals(spark, sf), k_prime, ["query_id"], "qlm"), "best")
+    placed = chunks(spark, sf).select("chunk_id", "doc", "position")
+    return stored(best.join(placed, "chunk_id").join(chunk_vectors(spark, sf).withColumnRenamed("v", "embedding"), "chunk_id"), "nodes")
 
 
 def links(spark, sf):
@@ -43,14 +40,14 @@ def edges(spark, sf, n=None):
 
 
 GRAPH = f"""{SIGNALS},
-    node AS (SELECT query_id, chunk_id, doc, position, v AS embedding, emb, qlm, mrf, rank FROM (SELECT query_id, chunk_id, emb, qlm, mrf, row_number() OVER (PARTITION BY query_id ORDER BY round(qlm, 6) DESC, chunk_id) AS rank FROM s)
+    node AS MATERIALIZED (SELECT query_id, chunk_id, doc, position, v AS embedding, emb, qlm, mrf, rank FROM (SELECT query_id, chunk_id, emb, qlm, mrf, row_number() OVER (PARTITION BY query_id ORDER BY round(qlm, 6) DESC, chunk_id) AS rank FROM s)
         JOIN (SELECT chunk_id, doc, position FROM c) USING (chunk_id) LEFT JOIN v ON v.vec_id = chunk_id WHERE rank <= {K_PRIME}),
     link AS (SELECT a.doc_id AS src, b.doc_id AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 7),
-    half AS (SELECT * FROM (SELECT a.query_id, a.chunk_id AS src, b.chunk_id AS dst, round(0.6 * coalesce(list_cosine_similarity(a.embedding, b.embedding), 0.0)
+    half AS MATERIALIZED (SELECT * FROM (SELECT a.query_id, a.chunk_id AS src, b.chunk_id AS dst, round(0.6 * coalesce(list_cosine_similarity(a.embedding, b.embedding), 0.0)
             + 0.25 * CASE WHEN a.doc = b.doc THEN exp(-abs(a.position - b.position) / 5.0) ELSE 0.0 END
             + 0.15 * (SELECT count(*) FROM link WHERE link.src = a.chunk_id AND link.dst = b.chunk_id), 9) AS weight
         FROM node a JOIN node b ON a.query_id = b.query_id AND a.chunk_id < b.chunk_id) WHERE weight > 0.01),
-    edge AS (SELECT * FROM half UNION ALL SELECT query_id, dst, src, weight FROM half)"""
+    edge AS MATERIALIZED (SELECT * FROM half UNION ALL SELECT query_id, dst, src, weight FROM half)"""
 
 
 @query("build_graph", f"WITH {GRAPH} SELECT * FROM edge", "weight")
@@ -87,58 +84,58 @@ def graph_enhanced(spark, sf):
     return G.graph_enhanced(n, edges(spark, sf, n))
 
 
-def _unrolled(restart: str, steps: int, weight: str = "edge") -> str:
-    """Power iteration as a chain of list expressions over each query's dense matrix; ``p8(query_id, chunk_id, p)``."""
-    out = f"""start AS MATERIALIZED (SELECT query_id, chunk_id, ({restart})::DOUBLE AS r FROM node),
+def _iterated(restart: str, weight: str = "edge") -> str:
+    """Power iteration over each query's dense matrix, to 1e-6 or 100 steps; ``pr(query_id, chunk_id, p)``."""
+    return f"""start AS MATERIALIZED (SELECT query_id, chunk_id, ({restart})::DOUBLE AS r FROM node),
         mat AS MATERIALIZED (SELECT a.query_id, a.chunk_id, list(coalesce(e.weight, 0.0)::DOUBLE ORDER BY b.chunk_id) AS w FROM node a JOIN node b ON a.query_id = b.query_id
             LEFT JOIN {weight} e ON e.query_id = a.query_id AND e.src = b.chunk_id AND e.dst = a.chunk_id GROUP BY a.query_id, a.chunk_id),
-        q0 AS MATERIALIZED (SELECT start.query_id, list(start.chunk_id ORDER BY start.chunk_id) AS ids, list(r ORDER BY start.chunk_id) AS r, list(w ORDER BY start.chunk_id) AS w, list(r ORDER BY start.chunk_id) AS p
-            FROM start JOIN mat ON mat.query_id = start.query_id AND mat.chunk_id = start.chunk_id GROUP BY start.query_id)"""
-    for i in range(steps):
-        out += f""", u{i} AS (SELECT query_id, ids, r, w, list_transform(range(1, len(ids) + 1), lambda i: 0.15 * r[i] + 0.85 * list_inner_product(w[i], p)) AS u FROM q{i}),
-        q{i + 1} AS MATERIALIZED (SELECT query_id, ids, r, w, list_transform(u, lambda x: x / list_sum(u)) AS p FROM u{i})"""
-    return out + f", p8 AS MATERIALIZED (SELECT query_id, unnest(ids) AS chunk_id, unnest(p) AS p FROM q{steps})"
+        q0 AS MATERIALIZED (SELECT start.query_id, list(start.chunk_id ORDER BY start.chunk_id) AS ids, list(r ORDER BY start.chunk_id) AS r, list(w ORDER BY start.chunk_id) AS w
+            FROM start JOIN mat ON mat.query_id = start.query_id AND mat.chunk_id = start.chunk_id GROUP BY start.query_id),
+        it AS (SELECT query_id, 0 AS step, r AS p, 1.0::DOUBLE AS gap FROM q0 UNION ALL
+            SELECT query_id, step + 1, new, list_sum(list_transform(list_zip(new, p), lambda x: abs(x[1] - x[2]))) FROM (
+                SELECT query_id, step, p, list_transform(u, lambda x: x / list_sum(u)) AS new FROM (
+                    SELECT it.query_id, step, p, list_transform(range(1, len(ids) + 1), lambda i: 0.15 * r[i] + 0.85 * list_inner_product(w[i], p)) AS u FROM it JOIN q0 ON q0.query_id = it.query_id WHERE gap >= 1e-6 AND step < 100))),
+        pr AS MATERIALIZED (SELECT query_id, unnest(ids) AS chunk_id, unnest(p) AS p FROM (SELECT query_id, arg_max(p, step) AS p FROM it GROUP BY query_id) JOIN q0 USING (query_id))"""
 
 
 _RESTART = "CASE WHEN rank <= 3 THEN 1.0 / 3 ELSE 0.0 END"
 
 
-@query("ppr", f"WITH {GRAPH.replace('edge AS (', 'edge AS MATERIALIZED (')}, {_unrolled(_RESTART, 8)} SELECT query_id, chunk_id, p AS score FROM p8", "score")
+@query("ppr", f"WITH RECURSIVE {GRAPH}, {_iterated(_RESTART)} SELECT query_id, chunk_id, p AS score FROM pr", "score")
 def ppr(spark, sf):
-    """Eight steps, so that SQL can follow; the operator itself goes on to a tolerance."""
     n = nodes(spark, sf)
-    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), tol=0.0, iterations=8)
+    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS))
 
 
-@query("ppr_teleport", f"WITH {GRAPH.replace('edge AS (', 'edge AS MATERIALIZED (')}, {_unrolled('CASE WHEN rank <= 3 THEN 0.9 / 3 ELSE 0.1 / 17 END', 8)} SELECT query_id, chunk_id, p AS score FROM p8", "score")
+@query("ppr_teleport", f"WITH RECURSIVE {GRAPH}, {_iterated('CASE WHEN rank <= 3 THEN 0.9 / 3 ELSE 0.1 / 97 END')} SELECT query_id, chunk_id, p AS score FROM pr", "score")
 def ppr_teleport(spark, sf):
     n = nodes(spark, sf)
-    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), tol=0.0, iterations=8, teleport=0.1)
+    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), teleport=0.1)
 
 
 _ROWS = """stoch AS MATERIALIZED (SELECT query_id, src, dst, weight / sum(weight) OVER (PARTITION BY query_id, src) AS weight FROM edge
     UNION ALL SELECT query_id, chunk_id, chunk_id, 1.0 FROM node WHERE NOT EXISTS (SELECT 1 FROM edge WHERE edge.query_id = node.query_id AND edge.src = node.chunk_id))"""
 
 
-@query("ppr_stochastic", f"WITH {GRAPH.replace('edge AS (', 'edge AS MATERIALIZED (')}, {_ROWS}, {_unrolled(_RESTART, 8, 'stoch')} SELECT query_id, chunk_id, p AS score FROM p8", "score")
+@query("ppr_stochastic", f"WITH RECURSIVE {GRAPH}, {_ROWS}, {_iterated(_RESTART, 'stoch')} SELECT query_id, chunk_id, p AS score FROM pr", "score")
 def ppr_stochastic(spark, sf):
     n = nodes(spark, sf)
-    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), tol=0.0, iterations=8, transition="stochastic")
+    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), transition="stochastic")
 
 
-@query("ppr_scores_for_candidates", f"WITH {GRAPH.replace('edge AS (', 'edge AS MATERIALIZED (')}, {_unrolled(_RESTART, 8)} SELECT query_id, chunk_id, coalesce(p, 0.0) AS score FROM s LEFT JOIN p8 USING (query_id, chunk_id)", "score")
+@query("ppr_scores_for_candidates", f"WITH RECURSIVE {GRAPH}, {_iterated(_RESTART)} SELECT query_id, chunk_id, coalesce(p, 0.0) AS score FROM s LEFT JOIN pr USING (query_id, chunk_id)", "score")
 def ppr_scores_for_candidates(spark, sf):
     """Every candidate; one outside the graph scores 0."""
     p = ppr_raw(spark, sf)
     return signals(spark, sf).select("query_id", "chunk_id").join(p, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def ppr_raw(spark, sf, n=None, **until):
+def ppr_raw(spark, sf, n=None):
     n = nodes(spark, sf) if n is None else n
-    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), **(until or SHORT))
+    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS))
 
 
-@query("l1_diff", f"WITH {GRAPH.replace('edge AS (', 'edge AS MATERIALIZED (')}, {_unrolled(_RESTART, 8)} SELECT query_id, sum(abs(p8.p - start.r)) AS l1 FROM p8 JOIN start USING (query_id, chunk_id) GROUP BY ALL", "l1")
+@query("l1_diff", f"WITH RECURSIVE {GRAPH}, {_iterated(_RESTART)} SELECT query_id, sum(abs(pr.p - start.r)) AS l1 FROM pr JOIN start USING (query_id, chunk_id) GROUP BY ALL", "l1")
 def l1_diff(spark, sf):
     n = nodes(spark, sf)
     restart = n.select("query_id", "chunk_id", F.when(F.col("rank") <= SEEDS, 1.0 / SEEDS).otherwise(0.0).alias("score"))
@@ -157,22 +154,22 @@ def graph_metrics(spark, sf):
 
 @query("graph_average_path")
 def graph_average_path(spark, sf):
-    """Mean shortest path of each connected graph of 100 candidates; tested against breadth-first search by hand."""
-    n = nodes(spark, sf, FULL_K_PRIME)
+    """Mean shortest path of each connected graph; tests hold it against a search by hand."""
+    n = nodes(spark, sf)
     return G.average_path(n, edges(spark, sf, n))
 
 
 _TOTAL = "(0.45 * ze + 0.25 * zp + 0.2 * zq + 0.1 * zm)"
-RERANK = f"""{GRAPH.replace('edge AS (', 'edge AS MATERIALIZED (')}, {_unrolled(_RESTART, 8)},
-    raw AS MATERIALIZED (SELECT query_id, chunk_id, emb, round(p, 9) AS ppr, qlm, mrf FROM node JOIN p8 USING (query_id, chunk_id)),
+RERANK = f"""{GRAPH}, {_iterated(_RESTART)},
+    raw AS MATERIALIZED (SELECT query_id, chunk_id, emb, round(p, 9) AS ppr, qlm, mrf FROM node JOIN pr USING (query_id, chunk_id)),
     zz AS (SELECT query_id, chunk_id, {_z('emb')} AS ze, {_z('ppr')} AS zp, {_z('qlm')} AS zq, {_z('mrf')} AS zm FROM raw),
     rr AS (SELECT query_id, chunk_id, ze AS embedding_score, zp AS ppr_score, zq AS qlm_score, zm AS mrf_score, {_TOTAL} AS total_score, row_number() OVER (PARTITION BY query_id ORDER BY round({_TOTAL}, 6) DESC, chunk_id) AS rank FROM zz)"""
 
 
-def reranked(spark, sf, k_prime=K_PRIME, **until):
+def reranked(spark, sf):
     """Candidates by 0.45 embedding + 0.25 PageRank + 0.2 query likelihood + 0.1 dependence model, all z-scored."""
-    n = nodes(spark, sf, k_prime)
-    raw = n.select("query_id", "chunk_id", "emb", "qlm", "mrf").join(ppr_raw(spark, sf, n, **until).select("query_id", "chunk_id", F.round("score", 9).alias("ppr")), ["query_id", "chunk_id"])
+    n = nodes(spark, sf)
+    raw = n.select("query_id", "chunk_id", "emb", "qlm", "mrf").join(ppr_raw(spark, sf, n).select("query_id", "chunk_id", F.round("score", 9).alias("ppr")), ["query_id", "chunk_id"])
     z = N.normalize_all(raw, ["emb", "ppr", "qlm", "mrf"], ["query_id"])
     z = z.withColumn("total_score", N.combine({"emb": 0.45, "ppr": 0.25, "qlm": 0.2, "mrf": 0.1}))
     named = z.select("query_id", "chunk_id", F.col("emb").alias("embedding_score"), F.col("ppr").alias("ppr_score"), F.col("qlm").alias("qlm_score"), F.col("mrf").alias("mrf_score"), "total_score")
@@ -182,17 +179,17 @@ def reranked(spark, sf, k_prime=K_PRIME, **until):
 _SCORES = "embedding_score ppr_score qlm_score mrf_score total_score"
 
 
-@query("rerank", f"WITH {RERANK} SELECT * FROM rr", _SCORES)
+@query("rerank", f"WITH RECURSIVE {RERANK} SELECT * FROM rr WHERE rank <= {K}", _SCORES)
 def rerank(spark, sf):
-    return reranked(spark, sf)
+    return reranked(spark, sf).where(F.col("rank") <= K)
 
 
-@query("rerank_analysis", f"WITH {RERANK} SELECT * FROM rr WHERE rank <= 10", _SCORES)
+@query("rerank_analysis", f"WITH RECURSIVE {RERANK} SELECT * FROM rr WHERE rank <= 10", _SCORES)
 def rerank_analysis(spark, sf):
     return reranked(spark, sf).where(F.col("rank") <= 10)
 
 
-@query("score_distributions", f"""WITH {RERANK}, u AS (UNPIVOT (SELECT query_id, {_SCORES.replace(' ', ', ')} FROM rr) ON {_SCORES.replace(' ', ', ')} INTO NAME signal VALUE value)
+@query("score_distributions", f"""WITH RECURSIVE {RERANK}, u AS (UNPIVOT (SELECT query_id, {_SCORES.replace(' ', ', ')} FROM rr) ON {_SCORES.replace(' ', ', ')} INTO NAME signal VALUE value)
     SELECT query_id, signal, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.5) AS median FROM u GROUP BY ALL""", "mean std min max median")
 def score_distributions(spark, sf):
     return E.score_distributions(reranked(spark, sf), _SCORES.split(), ["query_id"])
@@ -201,90 +198,6 @@ def score_distributions(spark, sf):
 _PAIR_NAMES = [(a, b) for i, a in enumerate(_SCORES.split()) for b in _SCORES.split()[i + 1 :]]
 
 
-@query("component_correlations", f"WITH {RERANK} SELECT query_id, " + ", ".join(f"CASE WHEN round(stddev_pop({a}) * stddev_pop({b}), 12) = 0 THEN 0.0 ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END AS {a}__{b}" for a, b in _PAIR_NAMES) + " FROM rr GROUP BY query_id", " ".join(f"{a}__{b}" for a, b in _PAIR_NAMES))
+@query("component_correlations", f"WITH RECURSIVE {RERANK} SELECT query_id, " + ", ".join(f"CASE WHEN round(stddev_pop({a}) * stddev_pop({b}), 12) = 0 THEN 0.0 ELSE covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END AS {a}__{b}" for a, b in _PAIR_NAMES) + " FROM rr GROUP BY query_id", " ".join(f"{a}__{b}" for a, b in _PAIR_NAMES))
 def component_correlations(spark, sf):
     return E.component_correlations(reranked(spark, sf), _SCORES.split(), ["query_id"])
-
-
-#: The reference's tolerance and most steps.
-CONVERGED = {"tol": 1e-6, "iterations": 100}
-
-
-def _full(spark, sf, **how):
-    """Nodes of the full graph and their converged scores."""
-    n = nodes(spark, sf, FULL_K_PRIME)
-    return n, G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS), **CONVERGED, **how)
-
-
-def reranked_full(spark, sf):
-    return reranked(spark, sf, FULL_K_PRIME, **CONVERGED)
-
-
-@query("build_graph_full")
-def build_graph_full(spark, sf):
-    return edges(spark, sf, nodes(spark, sf, FULL_K_PRIME))
-
-
-@query("filter_edge_weight_full")
-def filter_edge_weight_full(spark, sf):
-    return build_graph_full(spark, sf).where(F.col("weight") > 0.1).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_edges"))
-
-
-@query("graph_enhanced_full")
-def graph_enhanced_full(spark, sf):
-    n = nodes(spark, sf, FULL_K_PRIME)
-    return G.graph_enhanced(n, edges(spark, sf, n))
-
-
-@query("graph_metrics_full")
-def graph_metrics_full(spark, sf):
-    n = nodes(spark, sf, FULL_K_PRIME)
-    e = edges(spark, sf, n)
-    return G.graph_counts(n, e).join(G.clustering(n, e), "query_id")
-
-
-@query("ppr_full")
-def ppr_full(spark, sf):
-    return _full(spark, sf)[1]
-
-
-@query("ppr_teleport_full")
-def ppr_teleport_full(spark, sf):
-    return _full(spark, sf, teleport=0.1)[1]
-
-
-@query("ppr_stochastic_full")
-def ppr_stochastic_full(spark, sf):
-    return _full(spark, sf, transition="stochastic")[1]
-
-
-@query("ppr_scores_for_candidates_full")
-def ppr_scores_for_candidates_full(spark, sf):
-    """Every candidate; one outside the graph scores 0."""
-    return signals(spark, sf).select("query_id", "chunk_id").join(_full(spark, sf)[1], ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-@query("l1_diff_full")
-def l1_diff_full(spark, sf):
-    n, p = _full(spark, sf)
-    return G.l1_diff(p, n.select("query_id", "chunk_id", F.when(F.col("rank") <= SEEDS, 1.0 / SEEDS).otherwise(0.0).alias("score")), ["query_id"])
-
-
-@query("rerank_full")
-def rerank_full(spark, sf):
-    return reranked_full(spark, sf).where(F.col("rank") <= FULL_K)
-
-
-@query("rerank_analysis_full")
-def rerank_analysis_full(spark, sf):
-    return reranked_full(spark, sf).where(F.col("rank") <= 10)
-
-
-@query("score_distributions_full")
-def score_distributions_full(spark, sf):
-    return E.score_distributions(reranked_full(spark, sf), _SCORES.split(), ["query_id"])
-
-
-@query("component_correlations_full")
-def component_correlations_full(spark, sf):
-    return E.component_correlations(reranked_full(spark, sf), _SCORES.split(), ["query_id"])

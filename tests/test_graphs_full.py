@@ -16,7 +16,7 @@ def test_full_graph_and_ranks(spark, tmp_path):
     pd.DataFrame({"vec_id": range(130), "embedding": [x.tolist() for x in rng.standard_normal((130, 64)).astype("float32")], "label": [0] * 130}).to_parquet(tmp_path / "embeddings.parquet")
     q = queries()
     ask = lambda name: q[name](spark, str(tmp_path)).toPandas()
-    edges, scores, ranks = ask("build_graph_full"), ask("ppr_full"), ask("rerank_full")
+    edges, scores, ranks = ask("build_graph"), ask("ppr"), ask("rerank")
     for query_id, own in scores.groupby("query_id"):
         ids = sorted(own["chunk_id"])
         assert len(ids) == 100
