@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 KS = (1, 3, 5, 10, 20, 30)
 
 
-def metrics_at_k(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """``query_id, k, recall, precision, ndcg, f1, mrr`` for ``ranked(query_id, chunk_id, rank)``; precision divides by k."""
+def metrics_at_k(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS, first: DataFrame | None = None) -> DataFrame:
+    """``query_id, k, recall, precision, ndcg, f1, mrr`` for ``ranked(query_id, chunk_id, rank)``; precision divides by k.
+
+    Where ``ranked`` was cut, ``first(query_id, first)`` gives the first relevant rank of all.
+    """
     total = relevant.select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
     hits = ranked.join(relevant.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi").select("query_id", "rank")
     asked = ranked.select("query_id").distinct().join(total, "query_id", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
     grid = asked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    first = hits.groupBy("query_id").agg(F.min("rank").alias("first"))
+    first = hits.groupBy("query_id").agg(F.min("rank").alias("first")) if first is None else first
     inside = F.col("rank") <= F.col("k")
     per = grid.join(hits, "query_id", "left").groupBy("query_id", "k", "n_rel").agg(
         F.sum(F.when(inside, 1).otherwise(0)).alias("hit"), F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg")

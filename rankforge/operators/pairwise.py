@@ -107,3 +107,26 @@ def silhouette(vectors: DataFrame) -> DataFrame:
     per = mean.groupBy("a").agg(F.max(F.when(F.col("own"), F.col("mean"))).alias("inside"), F.min(F.when(~F.col("own"), F.col("mean"))).alias("outside"))
     s = F.coalesce(F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside")), F.lit(0.0))
     return per.agg(F.avg(F.when(F.col("inside").isNull() | F.col("outside").isNull(), 0.0).otherwise(s)).alias("silhouette"), F.avg("inside").alias("mean_own"), F.avg("outside").alias("mean_other"))
+
+
+def query_cosines(queries: DataFrame, vectors: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """``query_id, by..., chunk_id, cosine`` of each query vector with every vector of its group: blocks of both sides meet in one matrix product each."""
+    sides = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // block))
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    own = lambda n, name: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)
+    again = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  new identities: both may be of one origin
+    left = again(queries.select("vec_id", "v", *by, own(sides[0], "_i"), spread(sides[1], "_j")))
+    right = again(vectors.select("vec_id", "v", *by, spread(sides[0], "_i"), own(sides[1], "_j")))
+
+    def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", *by, "chunk_id", "cosine"]
+        if not len(q) or not len(c):
+            return pd.DataFrame({n: [] for n in names})
+        x, y = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(c["v"].to_numpy()).astype(np.float64)
+        size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+        cosine = np.divide(x @ y.T, size, out=np.zeros(size.shape), where=size > 0)
+        made = {"query_id": np.repeat(q["vec_id"].to_numpy(), len(c)), "chunk_id": np.tile(c["vec_id"].to_numpy(), len(q)), "cosine": cosine.ravel()}
+        return pd.DataFrame(made | dict(zip(by, key)))[names]
+
+    kinds = "".join(f", {b} {vectors.schema[b].dataType.simpleString()}" for b in by)
+    return left.groupBy(*by, "_i", "_j").cogroup(right.groupBy(*by, "_i", "_j")).applyInPandas(run, f"query_id long{kinds}, chunk_id long, cosine double")

@@ -58,7 +58,8 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = lambda words, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
     inner = lambda w: F.slice(w, 2, 8)  # noqa: E731  the first word may be glued to what stands before it
     ask = q.where(F.size(head(F.col("text"))) >= 10).select("query_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(inner(head(F.col("text"))), " ")).alias("h"))
-    has = d.select("chunk_id", F.explode(F.array_distinct(grams(head(F.col("text")), 8))).alias("h")).join(F.broadcast(ask.select("h").distinct()), "h", "left_semi")
+    once = d.select("chunk_id", F.explode(F.array(head(F.col("text")))).alias("w"))  # a generator's output isn't worked out again for each window
+    has = once.select("chunk_id", F.explode(F.array_distinct(grams(F.col("w"), 8))).alias("h")).join(ask.select("h").distinct(), "h", "left_semi")
     found = has.join(ask, "h").join(d, "chunk_id").where(F.contains("text", "passage")).select("query_id", "chunk_id")
     rest = d.join(F.broadcast(short.select("query_id", F.col("text").alias("passage"))), F.contains("text", F.col("passage"))).select("query_id", "chunk_id")
     return found.unionByName(rest).distinct()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..operators import fusion as N
 from ..operators import ranking
+from ..operators.keep import stored
+from ..operators.pairwise import query_cosines
 from .common import vectors
 from .registry import query
 from .vectors import VEC
@@ -17,19 +18,18 @@ WEIGHTS = {"even": 0.571, "odd": 0.429}
 
 
 def model_scores(spark, sf):
-    """``query_id, model, chunk_id, doc, score``: every vector as a query of label 0 against all, by two half vectors.
+    """``query_id, model, chunk_id, doc, score``, stored: every fiftieth vector (the stated query set) against all, by two half vectors.
 
-    Queries are the vectors whose id is divisible by 50, the stated query set.
+    Halves and lengths are cut once; vectors meet in blocks, each pair of blocks one matrix product.
     """
     v = vectors(spark, sf)
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    half = lambda c, odd: F.filter(F.transform(c, lambda x, i: F.when(i % 2 == odd, x)), lambda x: x.isNotNull())
-    pairs = v.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 20).alias("doc"), "v").crossJoin(F.broadcast(q))  # a fiftieth of the rows, in blocks
-    both = pairs.select("query_id", "chunk_id", "doc", F.round(V.cosine(half("v", 0), half("qv", 0)), 9).alias("even"), F.round(V.cosine(half("v", 1), half("qv", 1)), 9).alias("odd"))
-    return both.unpivot(["query_id", "chunk_id", "doc"], ["even", "odd"], "model", "score")
+    half = lambda odd: F.filter("v", lambda x, i: i % 2 == odd)
+    both = v.select("vec_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), half(k).alias("v")) for k, m in enumerate(("even", "odd"))])).alias("m")).select("vec_id", "m.model", "m.v")
+    made = query_cosines(both.where("vec_id % 50 = 0"), both, ["model"])
+    return stored(made.select("query_id", "model", "chunk_id", (F.col("chunk_id") % 20).alias("doc"), F.round("cosine", 9).alias("score")), "models")
 
 
-MODELS = f"""{VEC}, h AS (SELECT vec_id, list_filter(v, lambda x, i: i % 2 = 1) AS e, list_filter(v, lambda x, i: i % 2 = 0) AS o FROM v),
+MODELS = f"""{VEC}, h AS MATERIALIZED (SELECT vec_id, label, list_filter(v, lambda x, i: i % 2 = 1) AS e, list_filter(v, lambda x, i: i % 2 = 0) AS o FROM v),
     ms AS MATERIALIZED (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.vec_id % 20 AS doc, unnest(['even', 'odd']) AS model, round(unnest([list_cosine_similarity(c.e, q.e), list_cosine_similarity(c.o, q.o)]), 9) AS score FROM h c CROSS JOIN h q WHERE q.vec_id % 50 = 0),
     best AS (SELECT query_id, model, doc, max(score) AS score FROM ms GROUP BY ALL), wt AS (SELECT * FROM (VALUES ('even', 0.571), ('odd', 0.429)) t(model, weight)),
     wavg AS (SELECT query_id, doc, 100 * sum(weight * score) AS score FROM best JOIN wt USING (model) GROUP BY ALL),
@@ -89,11 +89,6 @@ def model_pairs(spark, sf):
     return m.join(m.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
 
 
-@query("diversity_analysis", f"WITH {MODELS} SELECT model, count(*) AS n, count(DISTINCT doc) AS n_docs, avg(score) AS mean_score FROM dr WHERE rank = 1 GROUP BY model", "mean_score")
-def diversity_analysis(spark, sf):
-    return doc_ranked(spark, sf, 1).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("n_docs"), F.avg("score").alias("mean_score"))
-
-
 _GRID = "g AS (SELECT a.x * 0.571 AS even, b.x * 0.429 AS odd, a.x AS ax, b.x AS bx FROM (SELECT unnest([0.5, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5]) AS x) a CROSS JOIN (SELECT unnest([0.5, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5]) AS x) b)"
 #: Multipliers of the weight search.
 MULTIPLIERS = [0.5, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5]
@@ -125,3 +120,78 @@ def weight_search(spark, sf):
 def param_grid(spark, sf):
     g = spark.createDataFrame([("l2",), ("none",), ("z",)], "normalize string").crossJoin(spark.createDataFrame([(8,), (16,), (32,), (64,)], "batch int"))
     return ranking.rank_by(g.withColumn("one", F.lit(1)), ["one"], "one", ["normalize", "batch"]).where("rank % 2 = 1").select("normalize", "batch")
+
+
+#: A model is right where the best vector other than the query's own has the query's label; ``fused`` is the weighted average.
+_OUTCOMES = f"""{MODELS}, fs AS (SELECT query_id, chunk_id, 'fused' AS model, sum(weight * score) AS score FROM ms JOIN wt USING (model) GROUP BY ALL),
+    lr AS (SELECT *, row_number() OVER (PARTITION BY query_id, model ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, model, score FROM ms UNION ALL SELECT query_id, chunk_id, model, score FROM fs) WHERE chunk_id <> query_id),
+    pos AS (SELECT lr.query_id, lr.model, min(rank) AS position FROM lr JOIN h q ON q.vec_id = lr.query_id JOIN h c ON c.vec_id = lr.chunk_id WHERE q.label = c.label GROUP BY ALL),
+    ab AS (SELECT query_id, max(CASE WHEN model = 'even' THEN position END) AS a, max(CASE WHEN model = 'odd' THEN position END) AS b, max(CASE WHEN model = 'fused' THEN position END) AS f FROM pos GROUP BY query_id)"""
+
+
+def outcomes(spark, sf):
+    """``query_id, even, odd, fused``, stored: the rank of the first other vector of the query's label, by model."""
+    one = model_scores(spark, sf)
+    fused = one.join(F.broadcast(weights(spark)), "model").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
+    every = one.select("query_id", "chunk_id", "model", "score").unionByName(fused.withColumn("model", F.lit("fused"))).where("chunk_id <> query_id")
+    label = vectors(spark, sf).select("vec_id", "label")
+    every = every.join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_l")), "query_id").join(label.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
+    order = F.struct(F.round("score", 6).alias("s"), (-F.col("chunk_id")).alias("t"))
+    best = every.where("_l = label").groupBy("query_id", "model").agg(F.max(order).alias("best"))
+    ahead = every.join(best, ["query_id", "model"]).where(order >= F.col("best"))
+    return stored(ahead.groupBy("query_id").pivot("model", ["even", "odd", "fused"]).agg(F.count(F.lit(1))), "outcomes")
+
+
+def _right(p, name):
+    return p.where(F.col(name) == 1).select("query_id")
+
+
+@query("overlap_intersect", f"WITH {_OUTCOMES} SELECT query_id FROM ab WHERE a = 1 AND b = 1")
+def overlap_intersect(spark, sf):
+    p = outcomes(spark, sf)
+    return _right(p, "even").intersect(_right(p, "odd"))
+
+
+@query("overlap_only_a", f"WITH {_OUTCOMES} SELECT query_id FROM ab WHERE a = 1 AND b IS DISTINCT FROM 1")
+def overlap_only_a(spark, sf):
+    p = outcomes(spark, sf)
+    return _right(p, "even").exceptAll(_right(p, "odd"))
+
+
+@query("overlap_only_b", f"WITH {_OUTCOMES} SELECT query_id FROM ab WHERE b = 1 AND a IS DISTINCT FROM 1")
+def overlap_only_b(spark, sf):
+    p = outcomes(spark, sf)
+    return _right(p, "odd").exceptAll(_right(p, "even"))
+
+
+@query("overlap_report", f"WITH {_OUTCOMES} SELECT count(*) AS n, count(*) FILTER (WHERE a = 1 AND b = 1) AS both1, count(*) FILTER (WHERE a = 1 AND b IS DISTINCT FROM 1) AS only_a1, count(*) FILTER (WHERE b = 1 AND a IS DISTINCT FROM 1) AS only_b1, count(*) FILTER (WHERE a BETWEEN 2 AND 5 AND b BETWEEN 2 AND 5) AS both5, 100.0 * count(*) FILTER (WHERE a = 1 AND b = 1) / count(*) AS both1_percent FROM ab", "both1_percent")
+def overlap_report(spark, sf):
+    """Top-1 and the bucket from 2 to 5."""
+    a, b = F.coalesce(F.col("even") == 1, F.lit(False)), F.coalesce(F.col("odd") == 1, F.lit(False))
+    n = lambda c: F.count(F.when(c, 1))
+    both5 = n(F.col("even").between(2, 5) & F.col("odd").between(2, 5))
+    return outcomes(spark, sf).agg(F.count(F.lit(1)).alias("n"), n(a & b).alias("both1"), n(a & ~b).alias("only_a1"), n(b & ~a).alias("only_b1"), both5.alias("both5"), (100.0 * n(a & b) / F.count(F.lit(1))).alias("both1_percent"))
+
+
+@query("ensemble_unique_wins", f"WITH {_OUTCOMES} SELECT query_id FROM ab WHERE f = 1 AND a IS DISTINCT FROM 1 AND b IS DISTINCT FROM 1")
+def ensemble_unique_wins(spark, sf):
+    """Queries that the fused scores get right while both models are wrong."""
+    p = outcomes(spark, sf)
+    members = _right(p, "even").union(_right(p, "odd"))
+    return _right(p, "fused").join(members, "query_id", "left_anti")
+
+
+@query("diversity_analysis", f"""WITH {_OUTCOMES} SELECT (SELECT avg(agreement) FROM (SELECT 1.0 / count(DISTINCT doc) AS agreement FROM dr WHERE rank = 1 GROUP BY query_id)) AS agreement,
+    (SELECT avg(n / 5.0) FROM (SELECT count(y.doc) AS n FROM (SELECT * FROM dr WHERE model = 'even' AND rank <= 5) x LEFT JOIN (SELECT * FROM dr WHERE model = 'odd' AND rank <= 5) y ON x.query_id = y.query_id AND x.doc = y.doc GROUP BY x.query_id)) AS top5_overlap,
+    count(*) FILTER (WHERE a = 1) AS even_right, count(*) FILTER (WHERE b = 1) AS odd_right, count(*) FILTER (WHERE f = 1) AS fused_right, count(*) FILTER (WHERE a = 1 AND b IS DISTINCT FROM 1) AS even_alone, count(*) FILTER (WHERE b = 1 AND a IS DISTINCT FROM 1) AS odd_alone,
+    count(*) FILTER (WHERE f = 1 AND a IS DISTINCT FROM 1 AND b IS DISTINCT FROM 1) AS unique_wins FROM ab""", "agreement top5_overlap")
+def diversity_analysis(spark, sf):
+    """Agreement and overlap of the models, what each contributes alone, and what only their ensemble gets right."""
+    best = stored(doc_ranked(spark, sf), "ranked")
+    agreed = best.where("rank = 1").groupBy("query_id").agg((1.0 / F.countDistinct("doc")).alias("x")).agg(F.avg("x").alias("agreement"))
+    top = lambda m: best.where(F.col("model") == m).select("query_id", "doc")
+    shared = top("even").join(top("odd").withColumn("_both", F.lit(1)), ["query_id", "doc"], "left").groupBy("query_id").agg((F.count("_both") / 5.0).alias("x")).agg(F.avg("x").alias("top5_overlap"))
+    a, b, f = (F.coalesce(F.col(m) == 1, F.lit(False)) for m in ("even", "odd", "fused"))
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    counts = outcomes(spark, sf).agg(n(a, "even_right"), n(b, "odd_right"), n(f, "fused_right"), n(a & ~b, "even_alone"), n(b & ~a, "odd_alone"), n(f & ~a & ~b, "unique_wins"))
+    return agreed.crossJoin(shared).crossJoin(counts)  # one row each

@@ -1,4 +1,8 @@
-"""Queries of retrieval evaluation. Relevant is what holds the passage; strategies are ranked to 30."""
+"""Queries of retrieval evaluation. Relevant is what holds the passage; every document is ranked.
+
+The position of the first relevant document is one more than the number of documents before it, so it is counted by an aggregate
+and no ranking of all documents is made; metrics at k need the first 30 alone.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import ranking
+from ..operators.keep import stored
 from .common import qrels
 from .fusion import SIGNALS, signals
 from .registry import query
@@ -14,38 +19,28 @@ BY = ["query_id"]
 #: Strategies by the signal that ranks.
 STRATEGIES = {"embeddings": "emb", "keywords": "kw", "mrf": "mrf", "likelihood": "qlm"}
 KS = [1, 3, 5, 10, 20, 30]
+#: Rows of one per relevant pair, or per query and strategy, that are sent to every task.
+SMALL = 100_000
 
 
-_KEPT: dict = {}
-
-
-def _kept(spark, sf, name, make):
-    """A small table that several reports read, made once a session and table folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key].persist()
-
-
-def long_ranked(spark, sf):
-    """The four signals' first 30 of every query."""
-    return _kept(spark, sf, "ranked", lambda: _long_ranked(spark, sf))
-
-
-def relevance(spark, sf):
-    return _kept(spark, sf, "relevant", lambda: qrels(spark, sf))
+def long_scores(spark, sf):
+    """``query_id, chunk_id, strategy, score``, stored: the four signals of every pair."""
+    s = signals(spark, sf).select("query_id", "chunk_id", *[F.col(c).alias(name) for name, c in STRATEGIES.items()])
+    return stored(s.unpivot(["query_id", "chunk_id"], list(STRATEGIES), "strategy", "score"), "long")
 
 
-def _long_ranked(spark, sf, k=30):
-    """``query_id, chunk_id, strategy, score, rank``: the four signals ranked in one pass over the pairs."""
-    s = signals(spark, sf).select("query_id", "chunk_id", *[F.col(c).alias(name) for name, c in STRATEGIES.items()])
-    long = s.unpivot(["query_id", "chunk_id"], list(STRATEGIES), "strategy", "score")
-    return ranking.top_k(long, k, ["query_id", "strategy"])
+def first_relevant(long, rel):
+    """``strategy, query_id, position`` of the queries of ``rel`` among all documents: ties by id."""
+    order = lambda c: F.struct(F.round(c, 6).alias("s"), (-F.col("chunk_id")).alias("t"))
+    best = long.join(F.broadcast(rel) if rel.count() <= SMALL else rel, ["query_id", "chunk_id"], "left_semi").groupBy("strategy", "query_id").agg(F.max(order("score")).alias("best"))
+    best = stored(best, "best")
+    ahead = long.join(F.broadcast(best) if best.count() <= SMALL else best, ["strategy", "query_id"]).where(order("score") >= F.col("best"))
+    return ahead.groupBy("strategy", "query_id").agg(F.count(F.lit(1)).alias("position"))
 
 
-QRELS = """rel AS (SELECT q.query_id, c.chunk_id FROM q JOIN c ON contains(c.text, q.text))"""
+QRELS = """rel AS MATERIALIZED (SELECT q.query_id, c.chunk_id FROM q JOIN c ON contains(c.text, q.text))"""
 RANKED = f"""{SIGNALS}, {QRELS}, lng AS (SELECT query_id, chunk_id, unnest(['embeddings', 'keywords', 'mrf', 'likelihood']) AS strategy, unnest([emb, kw, mrf, qlm]) AS score FROM s),
-    ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM lng) WHERE rank <= 30)"""
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM lng)"""
 
 
 @query("qrels", f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), c AS (SELECT doc_id AS chunk_id, text FROM documents), {QRELS} SELECT * FROM rel")
@@ -62,9 +57,13 @@ def _metrics(name: str) -> str:
     metrics AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0.0 END AS f1 FROM m)"""
 
 
-def metrics(spark, sf, name):
-    one = long_ranked(spark, sf).where(F.col("strategy") == name).select("query_id", "chunk_id", "rank")
-    return E.metrics_at_k(one, relevance(spark, sf), tuple(KS))
+def metrics(spark, sf, *names):
+    """Metrics of each of the strategies, from one table of scores."""
+    long, rel = long_scores(spark, sf).where(F.col("strategy").isin(*names)), stored(qrels(spark, sf), "relevant")
+    top = ranking.top_k(long, max(KS), ["query_id", "strategy"]).select("query_id", "strategy", "chunk_id", "rank")
+    first = first_relevant(long, rel)
+    made = [E.metrics_at_k(top.where(F.col("strategy") == n), rel, tuple(KS), first.where(F.col("strategy") == n).select("query_id", F.col("position").alias("first"))) for n in names]
+    return made[0] if len(made) == 1 else made
 
 
 _M = "recall precision ndcg mrr f1"
@@ -99,8 +98,8 @@ def evaluate_multiple(spark, sf):
     SELECT query_id, k::BIGINT AS k, CASE WHEN base.precision > 0 THEN (metrics.precision - base.precision) / base.precision * 100 WHEN metrics.precision > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS change FROM metrics JOIN base USING (query_id, k)""", "change")
 def improvements(spark, sf):
     """Change of precision against ranking by embeddings, in percent."""
-    new = metrics(spark, sf, "likelihood").select("query_id", "k", F.col("precision").alias("new"))
-    base = metrics(spark, sf, "embeddings").select("query_id", "k", F.col("precision").alias("base"))
+    new, base = metrics(spark, sf, "likelihood", "embeddings")
+    new, base = new.select("query_id", "k", F.col("precision").alias("new")), base.select("query_id", "k", F.col("precision").alias("base"))
     return new.join(base, ["query_id", "k"]).select("query_id", "k", E.improvement(F.col("new"), F.col("base")).alias("change"))
 
 
@@ -108,13 +107,9 @@ POSITIONS = f"""{RANKED}, pos AS (SELECT st.strategy, r.query_id, min(k.rank) AS
     LEFT JOIN (SELECT ranked.* FROM ranked JOIN rel USING (query_id, chunk_id)) k ON k.query_id = r.query_id AND k.strategy = st.strategy LEFT JOIN ranked top ON top.query_id = r.query_id AND top.strategy = st.strategy AND top.rank = 1 GROUP BY ALL)"""
 
 
-def positions(spark, sf):
+def positions(spark, sf, long=None):
     """``strategy, query_id, position``: first relevant rank of every query that has something relevant."""
-    rel = relevance(spark, sf)
-    ranked = long_ranked(spark, sf)
-    asked = rel.select("query_id").distinct().withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
-    hit = ranked.join(rel, ["query_id", "chunk_id"], "left_semi").groupBy("strategy", "query_id").agg(F.min("rank").alias("position"))
-    return asked.join(hit, ["strategy", "query_id"], "left")
+    return first_relevant(long_scores(spark, sf) if long is None else long, stored(qrels(spark, sf), "relevant"))
 
 
 @query("expected_rank", f"WITH {POSITIONS} SELECT strategy, query_id, position FROM pos")
@@ -202,44 +197,8 @@ MODEL = """SELECT strategy, avg(CASE WHEN p = 1 THEN 1.0 ELSE 0.0 END) AS acc1,
 
 @query("model_metrics", f"WITH {POSITIONS} {MODEL}", "acc1 acc5 mrr map ndcg5 mean_similarity")
 def model_metrics(spark, sf):
-    first = long_ranked(spark, sf).where("rank = 1").select("strategy", "query_id", "score")
-    p = positions(spark, sf).join(first, ["strategy", "query_id"], "left")
+    long = long_scores(spark, sf)
+    first = ranking.top_k(long, 1, ["strategy", "query_id"]).select("strategy", "query_id", "score")
+    p = positions(spark, sf, long).join(first, ["strategy", "query_id"], "left")
     p = p.withColumn("position", F.when(F.col("position") <= 5, F.col("position")))
     return E.model_metrics(p.withColumn("score", F.when(F.col("position").isNotNull(), F.col("score"))), ["strategy"])
-
-
-_BOTH = f"WITH {POSITIONS}, ab AS (SELECT query_id, max(CASE WHEN strategy = 'keywords' THEN position END) AS a, max(CASE WHEN strategy = 'likelihood' THEN position END) AS b FROM pos GROUP BY query_id)"
-
-
-def right(spark, sf, name, most=1):
-    return positions(spark, sf).where((F.col("strategy") == name) & (F.col("position") <= most)).select("query_id")
-
-
-@query("overlap_intersect", f"{_BOTH} SELECT query_id FROM ab WHERE a = 1 AND b = 1")
-def overlap_intersect(spark, sf):
-    return right(spark, sf, "keywords").intersect(right(spark, sf, "likelihood"))
-
-
-@query("overlap_only_a", f"{_BOTH} SELECT query_id FROM ab WHERE a = 1 AND (b IS NULL OR b <> 1)")
-def overlap_only_a(spark, sf):
-    return right(spark, sf, "keywords").exceptAll(right(spark, sf, "likelihood"))
-
-
-@query("overlap_only_b", f"{_BOTH} SELECT query_id FROM ab WHERE b = 1 AND (a IS NULL OR a <> 1)")
-def overlap_only_b(spark, sf):
-    return right(spark, sf, "likelihood").exceptAll(right(spark, sf, "keywords"))
-
-
-@query("overlap_report", f"{_BOTH} SELECT count(*) AS n, count(*) FILTER (WHERE a = 1 AND b = 1) AS both1, count(*) FILTER (WHERE a = 1 AND (b IS NULL OR b <> 1)) AS only_a1, count(*) FILTER (WHERE b = 1 AND (a IS NULL OR a <> 1)) AS only_b1, count(*) FILTER (WHERE a BETWEEN 2 AND 5 AND b BETWEEN 2 AND 5) AS both5, 100.0 * count(*) FILTER (WHERE a = 1 AND b = 1) / count(*) AS both1_percent FROM ab", "both1_percent")
-def overlap_report(spark, sf):
-    """Top-1 and the bucket from 2 to 5."""
-    p = positions(spark, sf).where(F.col("strategy").isin("keywords", "likelihood")).groupBy("query_id").pivot("strategy", ["keywords", "likelihood"]).agg(F.max("position"))
-    a1, b1 = F.coalesce(F.col("keywords") == 1, F.lit(False)), F.coalesce(F.col("likelihood") == 1, F.lit(False))
-    n = lambda c: F.count(F.when(c, 1))
-    return p.agg(F.count(F.lit(1)).alias("n"), n(a1 & b1).alias("both1"), n(a1 & ~b1).alias("only_a1"), n(b1 & ~a1).alias("only_b1"), n(F.col("keywords").between(2, 5) & F.col("likelihood").between(2, 5)).alias("both5"), (100.0 * n(a1 & b1) / F.count(F.lit(1))).alias("both1_percent"))
-
-
-@query("ensemble_unique_wins", f"{_BOTH} SELECT query_id FROM pos WHERE strategy = 'mrf' AND position = 1 AND query_id NOT IN (SELECT query_id FROM pos WHERE strategy <> 'mrf' AND position = 1)")
-def ensemble_unique_wins(spark, sf):
-    others = positions(spark, sf).where("strategy <> 'mrf' AND position = 1").select("query_id")
-    return right(spark, sf, "mrf").join(others, "query_id", "left_anti")

@@ -76,8 +76,8 @@ _CONV = """cn AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id
 
 
 @query("graph_enhanced", f"""WITH {GRAPH}, place AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY position, chunk_id) AS rn FROM node),
-    near AS (SELECT a.query_id, a.chunk_id AS src, b.chunk_id AS dst, 0.25 * exp(-abs(a.position - b.position) / 5.0) AS weight FROM place a JOIN place b ON a.query_id = b.query_id AND a.doc = b.doc AND b.rn - a.rn BETWEEN 1 AND 2),
-    more AS (SELECT * FROM near UNION ALL SELECT query_id, dst, src, weight FROM near)
+    beside AS (SELECT a.query_id, a.chunk_id AS src, b.chunk_id AS dst, 0.25 * exp(-abs(a.position - b.position) / 5.0) AS weight FROM place a JOIN place b ON a.query_id = b.query_id AND a.doc = b.doc AND b.rn - a.rn BETWEEN 1 AND 2),
+    more AS (SELECT * FROM beside UNION ALL SELECT query_id, dst, src, weight FROM beside)
     SELECT * FROM edge UNION ALL SELECT * FROM more ANTI JOIN edge USING (query_id, src, dst)""", "weight")
 def graph_enhanced(spark, sf):
     n = nodes(spark, sf)
