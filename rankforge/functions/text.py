@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ def tokenize(text: Column, lowercase: bool = True) -> Column:
     return F.filter(F.split(F.lower(text) if lowercase else text, SEPARATORS), lambda x: x != "")
 
 
+def strip_accents(text: Column) -> Column:
+    """Letters without their marks (canonical decomposition of the Latin letters that carry them)."""
+    made = {}
+    for code in range(0xC0, 0x250):
+        plain = unicodedata.normalize("NFKD", chr(code))[0]
+        if plain != chr(code) and plain.isalpha():
+            made[chr(code)] = plain
+    return F.translate(F.regexp_replace(text, "[\u0300-\u036f]", ""), "".join(made), "".join(made.values()))
+
+
 def whitespace_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
 

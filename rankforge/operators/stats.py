@@ -72,12 +72,18 @@ def chunk_specific_stats(tokens: DataFrame, corpus: DataFrame, id_col: str = "ch
     return out.select(id_col, "dl", *[F.coalesce(c, F.lit(z)).alias(c) for c, z in (("n_unique", 0), ("n_unseen", 0), ("mean_p", 0.0))])
 
 
-def tfidf_smooth(tokens: DataFrame, id_col: str = "chunk_id", min_df: int = 1, max_df: float = 0.95, max_features: int = 5000) -> DataFrame:
-    """Sublinear tf, smoothed idf, unit rows: ``id_col, term, weight`` over the most frequent terms (ties by term)."""
+def tfidf_smooth(tokens: DataFrame, id_col: str = "chunk_id", min_df: int | None = None, max_df: float = 0.95, max_features: int | None = None) -> DataFrame:
+    """Sublinear tf, smoothed idf, unit rows: ``id_col, term, weight`` over the most frequent terms (ties by term).
+
+    Unless given, a term must be in two chunks where there are over 1000 (else in one), and half as many terms as chunks are
+    taken, 5000 at most. Tokens should come without accents (``strip_accents``).
+    """
     tf = chunk_term_freqs(tokens, id_col)
     n = chunk_lengths(tokens, id_col).agg(F.count(F.lit(1)).alias("n"))
     terms = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
-    kept = terms.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).orderBy(F.desc("cf"), "term").limit(max_features)
+    least = F.when(F.col("n") > 1000, 2).otherwise(1) if min_df is None else F.lit(min_df)
+    most = max(1, min(5000, tokens.count() // 2)) if max_features is None else max_features
+    kept = terms.where((F.col("df") >= least) & (F.col("df") <= max_df * F.col("n"))).orderBy(F.desc("cf"), "term").limit(most)
     idf = kept.select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(F.broadcast(idf), "term").select(id_col, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))  # at most max_features rows
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))

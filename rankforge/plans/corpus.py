@@ -89,19 +89,29 @@ def chunk_specific_stats(spark, sf):
     return stats.chunk_specific_stats(own, stats.term_probabilities(tokens(spark, sf)), "query_id").where("dl > 0")
 
 
-_TFIDF = f"""{CTE}, kept AS (SELECT term, ln((1.0 + n_chunks) / (1.0 + df)) + 1 AS idf FROM cf CROSS JOIN tot WHERE df <= 0.95 * n_chunks ORDER BY cf DESC, term LIMIT 5000),
+_PLAIN = r"list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
+_TFIDF = f"""a AS (SELECT doc_id AS chunk_id, unnest({_PLAIN}) AS term FROM documents), tf AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM a GROUP BY ALL), total AS (SELECT count(*) AS n FROM documents),
+    terms AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term),
+    kept AS MATERIALIZED (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1 AS idf FROM (SELECT *, row_number() OVER (ORDER BY cf DESC, term) AS r FROM terms CROSS JOIN total WHERE df <= 0.95 * n AND df >= CASE WHEN n > 1000 THEN 2 ELSE 1 END) WHERE r <= least(5000, n // 2)),
     w AS (SELECT chunk_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN kept USING (term)),
     tfidf AS (SELECT chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS weight FROM w)"""
 
 
+def plain_tokens(spark, sf):
+    """Lower-cased tokens without accents."""
+    from ..functions.text import strip_accents, tokenize
+
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), tokenize(strip_accents(F.coalesce("text", F.lit("")))).alias("tokens"))
+
+
 @query("tfidf_sklearn", f"WITH {_TFIDF} SELECT * FROM tfidf", "weight")
 def tfidf_sklearn(spark, sf):
-    return stats.tfidf_smooth(tokens(spark, sf))
+    return stats.tfidf_smooth(plain_tokens(spark, sf))
 
 
 @query("top_unique_terms", f"WITH {_TFIDF} SELECT * FROM (SELECT chunk_id, term, weight, row_number() OVER (PARTITION BY chunk_id ORDER BY round(weight, 6) DESC, term) AS rank FROM tfidf WHERE weight > 0) WHERE rank <= 5", "weight")
 def top_unique_terms(spark, sf):
-    return stats.top_unique_terms(stats.tfidf_smooth(tokens(spark, sf)))
+    return stats.top_unique_terms(stats.tfidf_smooth(plain_tokens(spark, sf)))
 
 
 @query("group_chunks_by_doc", "SELECT source AS doc, count(*) AS n_chunks, min(doc_id) AS first_chunk, max(doc_id) AS last_chunk FROM documents GROUP BY source")
@@ -123,12 +133,3 @@ def last_n_per_key(spark, sf):
 @query("position_histogram", "SELECT turn AS position, count(*) AS n FROM conversations GROUP BY turn")
 def position_histogram(spark, sf):
     return table(spark, sf, "conversations").groupBy(F.col("turn").alias("position")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("prep_report", r"""SELECT count(*) AS n_docs, sum(n)::BIGINT AS total_words, avg(n) AS mean_words, stddev_pop(n) AS std_words, min(n) AS min_words, max(n) AS max_words, quantile_cont(n::DOUBLE, 0.5) AS median_words
-    FROM (SELECT len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents)""", "mean_words std_words median_words")
-def prep_report(spark, sf):
-    from ..functions.text import whitespace_words
-
-    n = table(spark, sf, "documents").select(F.size(whitespace_words(F.col("text"))).cast("long").alias("n"))
-    return n.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("total_words"), F.avg("n").alias("mean_words"), F.stddev_pop("n").alias("std_words"), F.min("n").alias("min_words"), F.max("n").alias("max_words"), F.percentile("n", 0.5).alias("median_words"))

@@ -164,15 +164,37 @@ def strategy_vs_baseline(spark, sf):
     return b.crossJoin(F.broadcast(base)).select("strategy", E.improvement(F.col("top1"), F.col("_1")).alias("top1_change"), E.improvement(F.col("top5"), F.col("_5")).alias("top5_change"))
 
 
-@query("strategy_summary", f"{_LEAD} SELECT count(*) AS n, max(mrr) AS max_mrr, min(mrr) AS min_mrr, avg(mrr) AS mean_mrr, max(top1) AS max_top1 FROM board", "max_mrr min_mrr mean_mrr max_top1")
+#: Two languages stand in by the parity of the query's id.
+_BY_LANG = f"""WITH {POSITIONS}, lp AS (SELECT strategy, CASE WHEN query_id % 2 = 0 THEN 'ca' ELSE 'es' END AS lang, position FROM pos),
+    lb AS (SELECT strategy, lang, count(*) AS n, avg(CASE WHEN position <= 1 THEN 1.0 ELSE 0.0 END) AS top1, avg(CASE WHEN position <= 3 THEN 1.0 ELSE 0.0 END) AS top3, avg(1.0 / position) AS mrr, avg(position) AS position FROM lp GROUP BY ALL)"""
+
+
+def by_language(spark, sf):
+    """``strategy, lang, n, top1, top3, mrr, position``, stored."""
+    p = positions(spark, sf).withColumn("lang", F.when(F.col("query_id") % 2 == 0, "ca").otherwise("es"))
+    share = lambda k: F.avg(F.when(F.col("position") <= k, 1.0).otherwise(0.0)).alias(f"top{k}")
+    return stored(p.groupBy("strategy", "lang").agg(F.count(F.lit(1)).alias("n"), share(1), share(3), F.avg(1 / F.col("position")).alias("mrr"), F.avg("position").alias("position")), "languages")
+
+
+@query("strategy_summary", f"{_LEAD} SELECT CASE WHEN strategy = 'embeddings' THEN 'dense' ELSE 'lexical' END AS family, count(*) AS n, max(mrr) AS max_mrr, min(mrr) AS min_mrr, avg(mrr) AS mean_mrr, max(top1) AS max_top1 FROM board GROUP BY ALL", "max_mrr min_mrr mean_mrr max_top1")
 def strategy_summary(spark, sf):
-    return board(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.max("mrr").alias("max_mrr"), F.min("mrr").alias("min_mrr"), F.avg("mrr").alias("mean_mrr"), F.max("top1").alias("max_top1"))
+    """A row for each family of strategies: methods, best, worst and mean MRR, best top-1."""
+    family = F.when(F.col("strategy") == "embeddings", "dense").otherwise("lexical").alias("family")
+    return board(spark, sf).groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.max("mrr").alias("max_mrr"), F.min("mrr").alias("min_mrr"), F.avg("mrr").alias("mean_mrr"), F.max("top1").alias("max_top1"))
 
 
-@query("weighted_mean_by_config", f"{_LEAD} SELECT sum(mrr * n) / sum(n) AS mrr, sum(top1 * n) / sum(n) AS top1 FROM board", "mrr top1")
+@query("weighted_mean_by_config", f"{_BY_LANG} SELECT strategy, sum(top1 * n) / sum(n) AS top1, sum(top3 * n) / sum(n) AS top3, sum(mrr * n) / sum(n) AS mrr FROM lb GROUP BY strategy", "top1 top3 mrr")
 def weighted_mean_by_config(spark, sf):
+    """Both languages' metrics weighed by their questions, for each configuration."""
     mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
-    return board(spark, sf).agg(mean("mrr"), mean("top1"))
+    return by_language(spark, sf).groupBy("strategy").agg(mean("top1"), mean("top3"), mean("mrr"))
+
+
+@query("config_rank_lang_avg", f"{_BY_LANG} SELECT strategy, top1, row_number() OVER (ORDER BY round(top1, 6) DESC, strategy) AS rank, top1 >= 1 AS reached FROM (SELECT strategy, avg(top1) AS top1 FROM lb GROUP BY strategy)", "top1")
+def config_rank_lang_avg(spark, sf):
+    """Mean of the languages' top-1 by configuration, best first; ``reached`` where it is 100 %."""
+    mean = by_language(spark, sf).groupBy("strategy").agg(F.avg("top1").alias("top1")).withColumn("all", F.lit(1))
+    return ranking.rank_by(mean, ["all"], "top1", ["strategy"]).select("strategy", "top1", "rank", (F.col("top1") >= 1).alias("reached"))
 
 
 @query("model_leaderboard_stats", f"{_LEAD} SELECT count(*) FILTER (WHERE round(mrr, 6) > (SELECT round(mrr, 6) FROM board WHERE strategy = 'embeddings')) AS better, max(mrr) - min(mrr) AS range, avg(mrr) AS mean FROM board WHERE strategy <> 'embeddings'", "range mean")
@@ -182,13 +204,15 @@ def model_leaderboard_stats(spark, sf):
     return b.where("strategy <> 'embeddings'").crossJoin(F.broadcast(base)).agg(F.count(F.when(F.round("mrr", 6) > F.col("_base"), 1)).alias("better"), (F.max("mrr") - F.min("mrr")).alias("range"), F.avg("mrr").alias("mean"))
 
 
-@query("improvement_votes", f"{_LEAD} SELECT board.strategy, ((round(board.top1, 6) > round(base.top1, 6))::INT + (round(board.top3, 6) > round(base.top3, 6))::INT + (round(board.top5, 6) > round(base.top5, 6))::INT + (round(board.mrr, 6) > round(base.mrr, 6))::INT) / 4.0 AS votes FROM board CROSS JOIN (SELECT * FROM board WHERE strategy = 'embeddings') base", "votes")
+@query("improvement_votes", f"""{_BY_LANG} SELECT lb.strategy, 100.0 * sum((round(lb.top1, 6) > round(base.top1, 6))::INT + (round(lb.top3, 6) > round(base.top3, 6))::INT + (round(lb.mrr, 6) > round(base.mrr, 6))::INT + (round(lb.position, 6) < round(base.position, 6))::INT) / 8 AS votes
+    FROM lb JOIN (SELECT * FROM lb WHERE strategy = 'embeddings') base USING (lang) GROUP BY lb.strategy""", "votes")
 def improvement_votes(spark, sf):
-    b = board(spark, sf)
-    names = ["top1", "top3", "top5", "mrr"]
-    base = b.where("strategy = 'embeddings'").select(*[F.round(c, 6).alias(f"_{c}") for c in names])
-    votes = sum(((F.round(c, 6) > F.col(f"_{c}")).cast("int") for c in names), F.lit(0))
-    return b.crossJoin(F.broadcast(base)).select("strategy", (votes / 4.0).alias("votes"))
+    """Of eight comparisons with the baseline (top-1, top-3, MRR and mean position in two languages), the share improved, in percent."""
+    b = by_language(spark, sf)
+    names = ["top1", "top3", "mrr", "position"]
+    base = b.where("strategy = 'embeddings'").select("lang", *[F.round(c, 6).alias(f"_{c}") for c in names])
+    better = sum(((F.round(c, 6) < F.col(f"_{c}") if c == "position" else F.round(c, 6) > F.col(f"_{c}")).cast("int") for c in names), F.lit(0))
+    return b.join(F.broadcast(base), "lang").groupBy("strategy").agg((100.0 * F.sum(better) / 8).alias("votes"))
 
 
 MODEL = """SELECT strategy, avg(CASE WHEN p = 1 THEN 1.0 ELSE 0.0 END) AS acc1, avg(CASE WHEN p <= 5 THEN 1.0 ELSE 0.0 END) AS acc5, avg(coalesce(1.0 / p, 0.0)) AS mrr, avg(coalesce(1.0 / p, 0.0)) AS map, avg(coalesce(1 / log2(p + 1), 0.0)) AS ndcg5,

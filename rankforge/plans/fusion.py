@@ -246,9 +246,13 @@ def search_mrf_emb_robust(spark, sf):
     return _top(N.normalize_intelligent(signals(spark, sf).select("query_id", "chunk_id", "mrf", "emb"), ["mrf", "emb"], BY), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
 
 
-@query("search_lexical_hybrid", f"WITH {SIGNALS}, {_ROW} {ranked_sql('(0.4 * kw + 0.3 * emb + 0.2 * mrf + 0.1 * qlm)', 'rz', 5)}", "score")
+_HYBRID = f"{SIGNALS}, h AS (SELECT query_id, chunk_id, emb, qlm, kw, round(0.7 * u + 0.2 * o + 0.1 * x, 9) AS mrf FROM s JOIN feat USING (query_id, chunk_id)), {_ROW.replace('FROM s)', 'FROM h)')}"
+
+
+@query("search_lexical_hybrid", f"WITH {_HYBRID} {ranked_sql('(0.4 * kw + 0.3 * emb + 0.2 * mrf + 0.1 * qlm)', 'rz', 5)}", "score")
 def search_lexical_hybrid(spark, sf):
-    s = signals(spark, sf).select("query_id", "chunk_id", "emb", "qlm", "mrf", "kw")
+    """Keywords .4, embedding .3, dependence model .2 (its features at .7, .2, .1) and likelihood .1, each z-scored within its row."""
+    s = signals(spark, sf, L.mixed((0.7, 0.2, 0.1))).select("query_id", "chunk_id", "emb", "qlm", "mrf", "kw")
     return _top(N.row_zscore(s, ["emb", "qlm", "mrf", "kw"]), N.combine({"kw": 0.4, "emb": 0.3, "mrf": 0.2, "qlm": 0.1}), 5)
 
 

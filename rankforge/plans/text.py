@@ -158,9 +158,9 @@ def text_preview(spark, sf):
 
 
 #: Lexicons of the query features, lower-cased words.
-MEDICAL = ["paciente", "tratamiento", "hospital", "dosis", "sangre", "the", "of"]
-QUESTION = ["que", "como", "cuando", "donde", "what", "how", "when", "is"]
-TECHNICAL = ["protocolo", "procedimiento", "sistema", "protocol", "system", "and"]
+MEDICAL = ["paciente", "medicamento", "administración", "dosis"]
+QUESTION = ["qué", "cómo", "cuándo", "dónde", "quién"]
+TECHNICAL = ["hipoxemia", "nebulización", "intravenosa", "subcutánea"]
 _FLAGS = ", ".join(f"list_has_any(w, {words!r}) AS {name}" for name, words in (("has_medical", MEDICAL), ("has_question", QUESTION), ("has_technical", TECHNICAL)))
 _FEATURES = rf"""SELECT query_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w), 0.0) AS mean_length, {_FLAGS} FROM (
     SELECT item_id AS query_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''), lambda x: lower(x)) AS w FROM benchmark)"""
@@ -179,16 +179,16 @@ def query_features(spark, sf):
     return features(spark, sf)
 
 
-PATTERN_SQL = f"""SELECT query_id, n_words, has_medical, has_question, has_technical, CASE WHEN n_words <= 20 THEN 'short' WHEN n_words <= 40 THEN 'medium' ELSE 'long' END || '_' || CASE WHEN has_medical THEN 'med' ELSE 'nomed' END
-    || '_' || CASE WHEN has_question THEN 'quest' ELSE 'noquest' END || '_' || CASE WHEN has_technical THEN 'tech' ELSE 'notech' END AS pattern, mean_length FROM ({_FEATURES})"""
+PATTERN_SQL = f"""SELECT query_id, n_words, has_medical, has_question, has_technical, CASE WHEN n_words <= 3 THEN 'short' WHEN n_words <= 6 THEN 'medium' ELSE 'long' END || '_' || CASE WHEN has_medical THEN 'med' ELSE 'no_med' END
+    || '_' || CASE WHEN has_question THEN 'q' ELSE 'no_q' END || '_' || CASE WHEN has_technical THEN 'tech' ELSE 'no_tech' END AS pattern, mean_length FROM ({_FEATURES})"""
 
 
 def patterns(spark, sf):
-    """Pattern keys whose parts hold no separator, so that features can be read back."""
+    """Pattern keys; the features stand beside them, so none has to be read back from a key."""
     f = features(spark, sf)
-    word = lambda flag, name: F.when(F.col(flag), name).otherwise("no" + name)
-    length = F.when(F.col("n_words") <= 20, "short").when(F.col("n_words") <= 40, "medium").otherwise("long")
-    return f.withColumn("pattern", F.concat_ws("_", length, word("has_medical", "med"), word("has_question", "quest"), word("has_technical", "tech")))
+    word = lambda flag, name: F.when(F.col(flag), name).otherwise("no_" + name)
+    length = F.when(F.col("n_words") <= 3, "short").when(F.col("n_words") <= 6, "medium").otherwise("long")
+    return f.withColumn("pattern", F.concat_ws("_", length, word("has_medical", "med"), word("has_question", "q"), word("has_technical", "tech")))
 
 
 @query("pattern_key", f"SELECT query_id, pattern FROM ({PATTERN_SQL})")
