@@ -1,13 +1,24 @@
-"""Queries of training-pair preparation over conversations (document = conversation, index = turn) and vectors."""
+"""Queries of training-pair preparation.
+
+Positives and splits go over conversations (document = conversation, index = turn). Pairs with negatives go over the documents
+that have a vector: ten in a row are a document, their place in it is the index. Anchors are the stated query set, every
+row whose id is divisible by 50, against all rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import pairwise, ranking
+from ..operators.keep import shared_folder, stored
+from ..operators.stats import tfidf_smooth, top_unique_terms
 from .common import table, vectors
+from .corpus import _TFIDF, plain_tokens
 from .registry import query
 
+PICKED, POSITIVES, NEGATIVES = 10, 3, 5
+
 
 @query(
     "positives_window_join",
@@ -33,44 +44,205 @@ def split_by_doc(spark, sf):
     return table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", F.when(h < 80, "train").when(h < 90, "val").otherwise("test").alias("split"))
 
 
-@query("pair_hydrate", "SELECT a.conv_id, a.turn AS anchor, b.turn AS positive, md5(a.text) AS anchor_digest, md5(b.text) AS positive_digest FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
-def pair_hydrate(spark, sf):
-    c = table(spark, sf, "conversations")
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.md5("text").alias("positive_digest"))
-    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", F.col("turn").alias("anchor"), (F.col("turn") + 1).alias("positive"), F.md5("text").alias("anchor_digest"), "positive_digest")
-
+_CHUNKS = f"""ck AS MATERIALIZED (SELECT vec_id AS id, vec_id // 10 AS doc, vec_id % 10 AS i, embedding::DOUBLE[] AS v, text FROM embeddings JOIN documents ON doc_id = vec_id),
+    sim AS MATERIALIZED (SELECT a.id AS anchor, b.id AS negative, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM ck a JOIN ck b ON a.doc <> b.doc WHERE a.id % 50 = 0),
+    neg AS MATERIALIZED (SELECT anchor, negative, s AS similarity, CASE WHEN s >= 0.7 THEN 'hard' WHEN s >= 0.4 THEN 'semi-hard' ELSE 'easy' END AS pair_type FROM sim WHERE s <= 0.9)"""
 
-@query("valid_pair_filter", r"""SELECT a.conv_id, a.turn AS anchor FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-    WHERE a.text <> b.text AND len(list_filter(regexp_split_to_array(a.text, '\s+'), lambda x: x <> '')) >= 10 AND len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda x: x <> '')) >= 10""")
-def valid_pair_filter(spark, sf):
-    from ..functions.text import whitespace_words
 
-    c = table(spark, sf, "conversations")
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
-    long = lambda t: F.size(whitespace_words(F.col(t))) >= 10
-    return c.join(nxt, ["conv_id", "turn"]).where((F.col("text") != F.col("other")) & long("text") & long("other")).select("conv_id", F.col("turn").alias("anchor"))
+def chunk_table(spark, sf):
+    """``id, doc, i, v, text``."""
+    v = vectors(spark, sf).select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 10).alias("doc"), (F.col("vec_id") % 10).alias("i"), "v")
+    return v.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
 
 
-_BANDS = """SELECT CASE WHEN s <= 0.4 THEN 'easy' WHEN s <= 0.7 THEN 'semi-hard' ELSE 'hard' END AS pair_type, count(*) AS n FROM (
-    SELECT round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label) WHERE s <= 0.9 GROUP BY ALL"""
+def _band(s):
+    return F.when(s >= 0.7, "hard").when(s >= 0.4, "semi-hard").otherwise("easy")
 
 
 def negatives(spark, sf):
-    """Pairs of different labels by similarity band; above 0.9 none."""
-    from ..operators.pairwise import pairs
+    """``anchor, negative, similarity, pair_type``: chunks of other documents; above 0.9 none."""
+    c = chunk_table(spark, sf)
+    v = c.select(F.col("id").alias("vec_id"), "v")
+    p = pairwise.query_cosines(v.where("vec_id % 50 = 0"), v, [])
+    doc = lambda name, to: c.select(F.col("id").alias(name), F.col("doc").alias(to))
+    p = p.join(doc("query_id", "_a"), "query_id").join(doc("chunk_id", "_b"), "chunk_id").where("_a <> _b")
+    s = F.round("cosine", 9)
+    return p.select(F.col("query_id").alias("anchor"), F.col("chunk_id").alias("negative"), s.alias("similarity"), _band(s).alias("pair_type")).where("similarity <= 0.9")
 
-    v = vectors(spark, sf)
-    label = v.select("vec_id", "label")
-    p = pairs(v, "cosine").join(label.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-    s = F.round("value", 6)
-    return p.where(s <= 0.9).withColumn("pair_type", F.when(s <= 0.4, "easy").when(s <= 0.7, "semi-hard").otherwise("hard"))
 
-
-@query("negatives_cross_doc", _BANDS)
+@query("negatives_cross_doc", f"WITH {_CHUNKS} SELECT * FROM neg", "similarity")
 def negatives_cross_doc(spark, sf):
-    return negatives(spark, sf).groupBy("pair_type").agg(F.count(F.lit(1)).alias("n"))
+    return negatives(spark, sf)
 
 
-@query("pair_type_counts", _BANDS)
+@query("pair_type_counts", f"WITH {_CHUNKS} SELECT pair_type, count(*) AS n FROM neg GROUP BY pair_type")
 def pair_type_counts(spark, sf):
     return negatives(spark, sf).groupBy("pair_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def diverse(found, terms, most=PICKED, first=64):
+    """``anchor, negative, similarity, pair_type, place``: in order of similarity, each that shares fewer than two terms with those picked before.
+
+    A fold over each anchor's best ``first`` candidates; anchors that are not full by then take four times as many, until
+    all are full or have no more.
+    """
+    found, done = stored(found.join(terms, found["negative"] == terms["id"], "left").select("anchor", "negative", "similarity", "pair_type", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "candidates"), None
+    k, open_ = first, found.select("anchor").distinct()
+    start = F.struct(F.array().cast("array<struct<negative:bigint,similarity:double,pair_type:string>>").alias("picked"), F.array().cast("array<string>").alias("used"))
+
+    def take(acc, x):
+        ok = (F.size(acc["picked"]) < most) & (F.size(F.array_intersect(x["terms"], acc["used"])) < 2)
+        one = F.array(F.struct(x["negative"].alias("negative"), x["similarity"].alias("similarity"), x["pair_type"].alias("pair_type")))
+        return F.struct(F.when(ok, F.concat(acc["picked"], one)).otherwise(acc["picked"]).alias("picked"), F.when(ok, F.array_union(acc["used"], x["terms"])).otherwise(acc["used"]).alias("used"))
+
+    while True:
+        best = ranking.top_k(found.join(open_, "anchor", "left_semi"), k, ["anchor"], "similarity", ["negative"], digits=9)
+        each = F.struct("rank", "negative", "similarity", "pair_type", "terms")
+        lists = best.groupBy("anchor").agg(F.sort_array(F.collect_list(each)).alias("xs"))  # at most k
+        made = stored(lists.select("anchor", F.size("xs").alias("seen"), F.aggregate("xs", start, take, lambda acc: acc["picked"]).alias("picked")), "diverse")
+        full = made.where((F.size("picked") >= most) | (F.col("seen") < k))
+        done = full if done is None else done.unionByName(full)
+        open_ = made.where((F.size("picked") < most) & (F.col("seen") >= k)).select("anchor")
+        if open_.isEmpty():
+            return done.select("anchor", F.posexplode("picked").alias("place", "p")).select("anchor", "p.negative", "p.similarity", "p.pair_type", F.col("place").cast("long").alias("place"))
+        k *= 4
+
+
+def unique_terms(spark, sf):
+    top = top_unique_terms(tfidf_smooth(plain_tokens(spark, sf)))
+    return top.groupBy(F.col("chunk_id").alias("id")).agg(F.collect_set("term").alias("terms"))  # five each
+
+
+_DIVERSE = f"""{_CHUNKS}, {_TFIDF}, ut AS MATERIALIZED (SELECT chunk_id AS id, list(term) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(weight, 6) DESC, term) AS r FROM tfidf) WHERE r <= 5 GROUP BY chunk_id),
+    cand AS MATERIALIZED (SELECT anchor, negative, similarity, pair_type, coalesce(terms, []::VARCHAR[]) AS terms, row_number() OVER (PARTITION BY anchor ORDER BY similarity DESC, negative) AS r FROM neg LEFT JOIN ut ON ut.id = neg.negative),
+    walk AS (SELECT DISTINCT anchor, 0::BIGINT AS r, []::BIGINT[] AS picked, []::VARCHAR[] AS used FROM cand UNION ALL
+        SELECT w.anchor, c.r, CASE WHEN len(list_intersect(c.terms, used)) < 2 THEN list_append(picked, c.negative) ELSE picked END, CASE WHEN len(list_intersect(c.terms, used)) < 2 THEN list_concat(used, c.terms) ELSE used END
+        FROM walk w JOIN cand c ON c.anchor = w.anchor AND c.r = w.r + 1 WHERE len(picked) < {PICKED}),
+    picks AS (SELECT anchor, unnest(picked) AS negative, generate_subscripts(picked, 1) - 1 AS place FROM (SELECT anchor, arg_max(picked, r) AS picked FROM walk GROUP BY anchor)),
+    dv AS MATERIALIZED (SELECT anchor, negative, similarity, pair_type, place FROM picks JOIN cand USING (anchor, negative))"""
+
+
+@query("negatives_diverse", f"WITH RECURSIVE {_DIVERSE} SELECT * FROM dv", "similarity")
+def negatives_diverse(spark, sf):
+    return diverse(negatives(spark, sf), unique_terms(spark, sf))
+
+
+def positives(c, most):
+    """``anchor, positive``: of the anchor's document, at most three places away, the first ones."""
+    a = c.where("id % 50 = 0").select(F.col("id").alias("anchor"), "doc", F.col("i").alias("_i"))
+    near = a.join(c.select("doc", "i", F.col("id").alias("positive")), "doc").where("anchor <> positive AND abs(i - _i) <= 3")
+    return ranking.top_k(near, most, ["anchor"], "i", ["positive"], descending=False).select("anchor", "positive")
+
+
+_POSITIVES = "pp AS (SELECT anchor, positive, r FROM (SELECT a.id AS anchor, b.id AS positive, row_number() OVER (PARTITION BY a.id ORDER BY b.i, b.id) AS r FROM ck a JOIN ck b ON a.doc = b.doc AND a.id <> b.id AND abs(a.i - b.i) <= 3 WHERE a.id % 50 = 0))"
+_GENERATED = f"{_DIVERSE}, {_POSITIVES}, tp AS MATERIALIZED (SELECT anchor, positive, negative, similarity AS difficulty, pair_type FROM pp JOIN dv USING (anchor) WHERE r <= {POSITIVES} AND place < {NEGATIVES})"
+
+
+def generated(spark, sf):
+    few = diverse(negatives(spark, sf), unique_terms(spark, sf)).where(F.col("place") < NEGATIVES)
+    return positives(chunk_table(spark, sf), POSITIVES).join(few, "anchor").select("anchor", "positive", "negative", F.col("similarity").alias("difficulty"), "pair_type")
+
+
+@query("pairs_generate", f"WITH RECURSIVE {_GENERATED} SELECT * FROM tp", "difficulty")
+def pairs_generate(spark, sf):
+    """At most three positives by five diverse negatives for each anchor."""
+    return generated(spark, sf)
+
+
+#: Shares of a balanced training set, and its largest size.
+RATIOS, MOST_PAIRS = {"hard": 0.5, "semi-hard": 0.3, "easy": 0.2}, 200_000
+
+
+def balanced(pairs):
+    """At most each type's share of the total, chosen by a hash of the pair, so that reruns agree."""
+    pairs = stored(pairs, "pairs")
+    quota = pairs.agg(F.least(F.lit(MOST_PAIRS), F.count(F.lit(1))).alias("total"))
+    ratio = F.create_map(*[F.lit(x) for kv in RATIOS.items() for x in kv])[F.col("pair_type")]
+    order = F.md5(F.concat_ws("-", "anchor", "positive", "negative"))
+    ranked = ranking.top_k(pairs.withColumn("_h", order).withColumn("_one", F.lit(0)), MOST_PAIRS, ["pair_type"], "_one", ["_h"])
+    return ranked.crossJoin(F.broadcast(quota)).where(F.col("rank") <= F.floor(F.col("total") * ratio)).select(*pairs.columns)
+
+
+@query("pairs_balance", f"WITH RECURSIVE {_GENERATED} SELECT anchor, positive, negative, difficulty, pair_type FROM (SELECT *, row_number() OVER (PARTITION BY pair_type ORDER BY md5(anchor || '-' || positive || '-' || negative)) AS r, least(200000, count(*) OVER ()) AS total FROM tp) WHERE r <= floor(total * CASE pair_type WHEN 'hard' THEN 0.5 WHEN 'semi-hard' THEN 0.3 ELSE 0.2 END)", "difficulty")
+def pairs_balance(spark, sf):
+    return balanced(generated(spark, sf))
+
+
+_BLOCKED = f"{_CHUNKS}, {_POSITIVES}, bp AS MATERIALIZED (SELECT anchor, positive, negative, similarity AS difficulty, pair_type FROM pp JOIN (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY similarity DESC, negative) AS nr FROM neg) USING (anchor) WHERE r <= 2 AND nr <= 3)"
+
+
+def blocked(spark, sf):
+    best = ranking.top_k(negatives(spark, sf), 3, ["anchor"], "similarity", ["negative"], digits=9)
+    return positives(chunk_table(spark, sf), 2).join(best, "anchor").select("anchor", "positive", "negative", F.col("similarity").alias("difficulty"), "pair_type")
+
+
+@query("pairs_blocked", f"WITH {_BLOCKED} SELECT * FROM bp", "difficulty")
+def pairs_blocked(spark, sf):
+    """Two positives by the three most similar negatives; blocks of vectors meet in bounded tasks, with no cap on pairs."""
+    return blocked(spark, sf)
+
+
+_TEXTS = "ht AS (SELECT bp.*, a.text AS ta, p.text AS tp, n.text AS tn, a.doc FROM bp JOIN ck a ON a.id = anchor JOIN ck p ON p.id = positive JOIN ck n ON n.id = negative)"
+
+
+def hydrated(spark, sf):
+    """Pairs with their three texts ``ta, tp, tn`` and the anchor's ``doc``; unknown ids go."""
+    c = chunk_table(spark, sf)
+    text = lambda of, name: c.select(F.col("id").alias(of), F.col("text").alias(name))
+    return blocked(spark, sf).join(text("anchor", "ta"), "anchor").join(text("positive", "tp"), "positive").join(text("negative", "tn"), "negative").join(c.select(F.col("id").alias("anchor"), "doc"), "anchor")
+
+
+@query("pair_hydrate", f"WITH {_BLOCKED}, {_TEXTS} SELECT anchor, positive, negative, md5(ta) AS anchor_digest, md5(tp) AS positive_digest, md5(tn) AS negative_digest FROM ht")
+def pair_hydrate(spark, sf):
+    return hydrated(spark, sf).select("anchor", "positive", "negative", F.md5("ta").alias("anchor_digest"), F.md5("tp").alias("positive_digest"), F.md5("tn").alias("negative_digest"))
+
+
+_VALID = r"ta <> tp AND ta <> tn AND tp <> tn AND " + " AND ".join(rf"len(list_filter(regexp_split_to_array({t}, '\s+'), lambda x: x <> '')) >= 10" for t in ("ta", "tp", "tn"))
+
+
+def valid(pairs):
+    from ..functions.text import whitespace_words
+
+    long = [F.size(whitespace_words(F.col(t))) >= 10 for t in ("ta", "tp", "tn")]
+    return pairs.where("ta <> tp AND ta <> tn AND tp <> tn").where(long[0] & long[1] & long[2])
+
+
+@query("valid_pair_filter", f"WITH {_BLOCKED}, {_TEXTS} SELECT anchor, positive, negative FROM ht WHERE {_VALID}")
+def valid_pair_filter(spark, sf):
+    """Three different texts of at least ten words each."""
+    return valid(hydrated(spark, sf)).select("anchor", "positive", "negative")
+
+
+def _split(doc):
+    h = (doc * 7919) % 100
+    return F.when(h < 80, "train").when(h < 90, "val").otherwise("test")
+
+
+@query("sink_training_jsonl", f"WITH {_BLOCKED}, {_TEXTS} SELECT CASE WHEN (doc * 7919) % 100 < 80 THEN 'train' WHEN (doc * 7919) % 100 < 90 THEN 'val' ELSE 'test' END AS split, anchor AS anchor_id, positive AS positive_id, negative AS negative_id, md5(ta) AS anchor, md5(tp) AS positive, md5(tn) AS negative, difficulty, pair_type AS type FROM ht WHERE {_VALID}", "difficulty")
+def sink_training_jsonl(spark, sf):
+    """Valid pairs written as JSON lines, a folder for each split (of the anchor's document), and read back."""
+    import uuid
+
+    ids = F.struct(F.col("anchor").alias("anchor"), F.col("positive").alias("positive"), F.col("negative").alias("negative")).alias("ids")
+    rows = valid(hydrated(spark, sf)).select(_split(F.col("doc")).alias("split"), F.col("ta").alias("anchor"), F.col("tp").alias("positive"), F.col("tn").alias("negative"), "difficulty", F.col("pair_type").alias("type"), ids)
+    path = f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
+    rows.write.partitionBy("split").json(path)
+    back = spark.read.schema("anchor string, positive string, negative string, difficulty double, type string, ids struct<anchor:bigint,positive:bigint,negative:bigint>, split string").json(path)
+    return back.select("split", F.col("ids.anchor").alias("anchor_id"), F.col("ids.positive").alias("positive_id"), F.col("ids.negative").alias("negative_id"), F.md5("anchor").alias("anchor"), F.md5("positive").alias("positive"), F.md5("negative").alias("negative"), "difficulty", "type")
+
+
+@query("prep_report", rf"""WITH {_BLOCKED}, l AS (SELECT len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents)
+    SELECT (SELECT count(*) FROM l) AS n_docs, (SELECT sum(n)::BIGINT FROM l) AS total_words, (SELECT avg(n) FROM l) AS mean_words, (SELECT stddev_pop(n) FROM l) AS std_words, (SELECT min(n) FROM l) AS min_words, (SELECT max(n) FROM l) AS max_words, (SELECT quantile_cont(n::DOUBLE, 0.5) FROM l) AS median_words,
+    count(*) AS n_pairs, avg(difficulty) AS mean_difficulty, stddev_pop(difficulty) AS std_difficulty, min(difficulty) AS min_difficulty, max(difficulty) AS max_difficulty, quantile_cont(difficulty, 0.5) AS median_difficulty,
+    (SELECT count(*) FROM (SELECT anchor FROM bp UNION SELECT positive FROM bp UNION SELECT negative FROM bp))::DOUBLE / (SELECT count(*) FROM ck) AS coverage FROM bp""", "mean_words std_words median_words mean_difficulty std_difficulty min_difficulty max_difficulty median_difficulty coverage")
+def prep_report(spark, sf):
+    """Lengths of the texts, difficulty of the pairs, and the share of chunks that some pair uses."""
+    from ..functions.text import whitespace_words
+
+    five = lambda c, name: [F.avg(c).alias(f"mean_{name}"), F.stddev_pop(c).alias(f"std_{name}"), F.min(c).alias(f"min_{name}"), F.max(c).alias(f"max_{name}"), F.percentile(c, 0.5).alias(f"median_{name}")]
+    n = table(spark, sf, "documents").select(F.size(whitespace_words(F.col("text"))).cast("long").alias("n"))
+    pairs = stored(blocked(spark, sf), "pairs")
+    used = pairs.select(F.explode(F.array("anchor", "positive", "negative")).alias("id")).distinct().agg(F.count(F.lit(1)).alias("_used"))
+    every = chunk_table(spark, sf).agg(F.count(F.lit(1)).alias("_all"))
+    out = n.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("total_words"), *five("n", "words")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("n_pairs"), *five("difficulty", "difficulty"))).crossJoin(used).crossJoin(every)  # one row each
+    return out.withColumn("coverage", F.col("_used") / F.col("_all")).drop("_used", "_all")
