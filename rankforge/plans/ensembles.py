@@ -43,7 +43,7 @@ def _top5(name: str) -> str:
 
 
 def weights(spark):
-    return spark.createDataFrame(list(WEIGHTS.items()), "model string, weight double")
+    return spark.createDataFrame(list(WEIGHTS.items()), "model string, weight double").coalesce(1)
 
 
 def doc_best(spark, sf):
@@ -95,7 +95,7 @@ MULTIPLIERS = [0.5, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5]
 
 
 def grid(spark):
-    m = spark.createDataFrame([(x,) for x in MULTIPLIERS], "ax double")
+    m = spark.createDataFrame([(x,) for x in MULTIPLIERS], "ax double").coalesce(1)
     return m.crossJoin(m.withColumnRenamed("ax", "bx")).select("ax", "bx", (F.col("ax") * WEIGHTS["even"]).alias("even"), (F.col("bx") * WEIGHTS["odd"]).alias("odd"))
 
 
