@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keep import stored
+
+#: Groups up to this number (a few numbers each) are sent to every task.
+SMALL_GROUPS = 100_000
+
 
 def _order(score: str, tie: list[str], digits: int, descending: bool = True) -> list[Column]:
     rounded = F.round(score, digits)
@@ -21,10 +26,16 @@ def top_k(df: DataFrame, k: int, by: list[str], score: str = "score", tie: list[
     return rank_by(df, by, score, tie, digits, descending).where(F.col("rank") <= k)
 
 
-def expected_rank(ranked: DataFrame, relevant: DataFrame, by: list[str], on: list[str]) -> DataFrame:
-    """``by, position``: the first rank of something relevant; null if nothing relevant is ranked."""
-    hit = ranked.join(relevant.select(*by, *on).distinct(), [*by, *on], "left_semi").groupBy(*by).agg(F.min("rank").alias("position"))
-    return relevant.select(*by).distinct().join(hit, by, "left")
+def first_position(scores: DataFrame, relevant: DataFrame, by: list[str], score: str = "score", key: str = "chunk_id", digits: int = 6) -> DataFrame:
+    """``by, position``: the rank, among all scores of its group, of the first relevant key; ties by key.
+
+    It is one more than the number of scores before it, which an aggregate counts; nothing is sorted.
+    """
+    order = F.struct(F.round(score, digits).alias("s"), (-F.col(key)).alias("t"))
+    named = relevant.select(*[c for c in by if c in relevant.columns], key).distinct()
+    best = stored(scores.join(named, [c for c in by if c in relevant.columns] + [key], "left_semi").groupBy(*by).agg(F.max(order).alias("best")), "best")
+    ahead = scores.join(F.broadcast(best) if best.count() <= SMALL_GROUPS else best, by).where(order >= F.col("best"))
+    return ahead.groupBy(*by).agg(F.count(F.lit(1)).alias("position"))
 
 
 def doc_max_pool(df: DataFrame, by: list[str], doc: str = "doc", score: str = "score", tie: str = "chunk_id", digits: int = 6) -> DataFrame:

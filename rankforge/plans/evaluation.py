@@ -19,8 +19,6 @@ BY = ["query_id"]
 #: Strategies by the signal that ranks.
 STRATEGIES = {"embeddings": "emb", "keywords": "kw", "mrf": "mrf", "likelihood": "qlm"}
 KS = [1, 3, 5, 10, 20, 30]
-#: Rows of one per relevant pair, or per query and strategy, that are sent to every task.
-SMALL = 100_000
 
 
 def long_scores(spark, sf):
@@ -30,12 +28,8 @@ def long_scores(spark, sf):
 
 
 def first_relevant(long, rel):
-    """``strategy, query_id, position`` of the queries of ``rel`` among all documents: ties by id."""
-    order = lambda c: F.struct(F.round(c, 6).alias("s"), (-F.col("chunk_id")).alias("t"))
-    best = long.join(F.broadcast(rel) if rel.count() <= SMALL else rel, ["query_id", "chunk_id"], "left_semi").groupBy("strategy", "query_id").agg(F.max(order("score")).alias("best"))
-    best = stored(best, "best")
-    ahead = long.join(F.broadcast(best) if best.count() <= SMALL else best, ["strategy", "query_id"]).where(order("score") >= F.col("best"))
-    return ahead.groupBy("strategy", "query_id").agg(F.count(F.lit(1)).alias("position"))
+    """``strategy, query_id, position`` of the queries of ``rel`` among all documents."""
+    return ranking.first_position(long, rel, ["strategy", "query_id"])
 
 
 QRELS = """rel AS MATERIALIZED (SELECT q.query_id, c.chunk_id FROM q JOIN c ON contains(c.text, q.text))"""
