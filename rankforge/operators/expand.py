@@ -67,63 +67,167 @@ def normal(seed: str, *keys: Column) -> Column:
     return F.sqrt(-2 * F.ln(uniform(seed + "/r", *keys))) * F.cos(2 * math.pi * uniform(seed + "/a", *keys))
 
 
-#: Families of noise dimensions, as (name, dimensions, scale).
+class Noise:
+    """Independent draws for one dimension of one vector; ``row`` names the vector's own statistics."""
+
+    def __init__(self, seed: str, i: Column):
+        self.seed, self.i, self.n = seed, i, 0
+
+    def _key(self) -> str:
+        self.n += 1
+        return f"{self.seed}/{self.n}"
+
+    def flat(self, half, middle=0.0) -> Column:
+        return middle + half * (2 * uniform(self._key(), F.col("vec_id"), self.i) - 1)
+
+    def between(self, low, high) -> Column:
+        return low + (high - low) * uniform(self._key(), F.col("vec_id"), self.i)
+
+    def bell(self, middle, sd) -> Column:
+        return middle + sd * normal(self._key(), F.col("vec_id"), self.i)
+
+    def double(self, scale) -> Column:
+        """Exponential with either sign."""
+        key = self._key()
+        sign = F.when(uniform(key + "/sign", F.col("vec_id"), self.i) < 0.5, -1.0).otherwise(1.0)
+        return -sign * scale * F.ln(uniform(key, F.col("vec_id"), self.i))
+
+    def beside(self, column: str, k: int, half, weight) -> Column:
+        """A draw for each of ``k`` neighbours, weighed by ``weight(similarity)``; 0 for one that isn't there."""
+        return sum((F.coalesce(self.flat(half) * weight(F.get(F.col(column), j)), F.lit(0.0)) for j in range(k)), F.lit(0.0))
+
+
+def _row():
+    return F.col("_mean"), F.col("_sd"), F.col("_least"), F.col("_most")
+
+
+def _uniform(x: Noise, s: float) -> Column:
+    mean, sd, _, _ = _row()
+    return x.flat(s * sd, mean)
+
+
+def _gaussian(x: Noise, s: float) -> Column:
+    mean, sd, _, _ = _row()
+    return x.bell(mean, s * sd)
+
+
+def _wide(x: Noise, s: float) -> Column:
+    return x.flat(s) + x.flat(0.5 * _row()[1]) + x.flat(0.5 * s)
+
+
+def _bells(x: Noise, s: float) -> Column:
+    mean, sd, _, _ = _row()
+    return x.bell(0.0, s) + x.bell(0.1 * mean, 0.2 * sd) + x.bell(0.0, 0.8 * s)
+
+
+def _own(spread: float, feature: tuple[float, float], extra: float, reach: float = 0.0):
+    """Around a scale that grows with the vector's own deviation; its mean and deviation, and its range, show through."""
+
+    def made(x: Noise, s: float) -> Column:
+        mean, sd, least, most = _row()
+        out = x.flat(s * (1 + spread * sd)) + x.bell(feature[0] * mean, feature[1] * sd) + x.flat(extra * s)
+        return out + x.between(reach * least, reach * most) if reach else out
+
+    return made
+
+
+def _beside(base: float, half: float, weight: float, k: int = 3, far: tuple[float, float] | None = None, more=None):
+    """The closer a neighbour, the more noise sets the vector apart from it; far vectors add to it the less alike they are."""
+
+    def made(x: Noise, s: float) -> Column:
+        out = x.flat(base * s) + x.beside("_near", k, half * s, lambda sim: weight * sim)
+        if far is not None:
+            out = out + x.beside("_far", 3, far[0] * s, lambda sim: far[1] * (1 - sim))
+        return out if more is None else out + more(x, s)
+
+    return made
+
+
+def _ranked(x: Noise, s: float) -> Column:
+    return x.flat(s) + sum((0.3 * (j + 1) * x.flat(0.5 * s) for j in range(3)), F.lit(0.0))
+
+
+def _cluster(x: Noise, s: float) -> Column:
+    """A draw for each other member of the cluster; their sum is drawn at once, as a normal of the same variance."""
+    members = F.col("_members")
+    inside = x.bell(0.0, 0.2 * 0.3 * s * F.sqrt(F.greatest(members - 1, F.lit(0)) / 3.0))
+    return x.flat(s * (1 + 0.1 * members)) + inside + sum((0.1 * x.flat(0.2 * s) for _ in range(3)), F.lit(0.0))
+
+
+def _steps(first: float, step: float, n: int):
+    return [lambda x, s, k=k: x.flat(s * (first + step * k)) for k in range(n)]
+
+
+def _scales(*own: float):
+    mean = lambda x: x.bell(0.02 * F.col("_mean"), 0.01)
+    return [lambda x, s, c=c, k=k: x.flat(c * s) + (mean(x) if k else F.lit(0.0)) for k, c in enumerate(own)]
+
+
+_extra = lambda x, s: x.bell(0.0, 0.3 * s) + x.bell(0.03 * F.col("_mean"), 0.05 * F.col("_sd"))
+_content = lambda x, s: x.bell(0.03 * F.col("_mean"), 0.08 * F.col("_sd")) + x.between(0.02 * F.col("_least"), 0.02 * F.col("_most")) + x.flat(0.3 * s * F.col("_sd"))
+#: Families as (configurations of dimensions and scale; kernels of equal sections, one after another; what the mean so far adds).
 FAMILIES = {
-    "uniform": [("uniform_100", 100, 0.1), ("uniform_200", 200, 0.1)],
-    "gaussian": [("gaussian_100", 100, 0.1), ("gaussian_200", 200, 0.1)],
-    "mixed": [("mixed_100", 100, 0.1), ("mixed_200", 200, 0.1)],
-    "extreme_uniform": [("extreme_uniform_500", 500, 0.5)],
-    "extreme_gaussian": [("extreme_gaussian_500", 500, 0.5), ("extreme_gaussian_1000", 1000, 0.5)],
-    "extreme_hybrid": [("extreme_hybrid_700", 700, 0.5)],
-    "extreme_cluster": [("extreme_cluster_500", 500, 0.5)],
-    "extreme_sequential": [("extreme_sequential_500", 500, 0.5)],
-    "extreme_adaptive": [("extreme_adaptive_600", 600, 0.5)],
-    "ultra_semantic": [("ultra_semantic_300", 300, 0.3)],
-    "ultra_progressive": [("ultra_progressive_400", 400, 0.3)],
-    "ultra_document": [("ultra_document_500", 500, 0.3)],
-    "ultra_balance": [("ultra_balance_600", 600, 0.3)],
-    "ultra_cluster": [("ultra_cluster_700", 700, 0.3)],
-    "ultra_sequential": [("ultra_sequential_800", 800, 0.3)],
-    "ultra_hybrid": [("ultra_hybrid_900", 900, 0.3)],
-    "ultra_max": [("ultra_max_1000", 1000, 0.3)],
-    "final_similarity": [("final_similarity_200", 200, 0.1)],
-    "final_fingerprint": [("final_fingerprint_300", 300, 0.1)],
-    "final_progressive": [("final_progressive_400", 400, 0.1)],
-    "final_balance": [("final_balance_500", 500, 0.1)],
-    "final_content": [("final_content_600", 600, 0.1)],
+    "uniform": ([(100, 0.3), (150, 0.4), (200, 0.5)], [_uniform], 0.0),
+    "gaussian": ([(100, 0.25), (150, 0.35), (200, 0.45)], [_gaussian], 0.0),
+    "mixed": ([(150, 0.3), (200, 0.4)], [_uniform, _gaussian], 0.0),
+    "extreme_uniform": ([(500, 0.8), (1000, 1.0)], [_wide], 0.0),
+    "extreme_gaussian": ([(500, 0.7), (1000, 0.9)], [_bells], 0.0),
+    "extreme_hybrid": ([(750, 0.8)], [lambda x, s: _wide(x, 1.2 * s), lambda x, s: _bells(x, 1.1 * s), lambda x, s: x.double(s)], 0.0),
+    "extreme_cluster": ([(600, 0.9)], [_ranked], 0.0),
+    "extreme_sequential": ([(800, 0.85)], [_wide, lambda x, s: _bells(x, 1.1 * s), lambda x, s: x.double(0.8 * s), lambda x, s: x.flat(1.5 * s)], 0.0),
+    "extreme_adaptive": ([(900, 0.95)], [_own(0.5, (0.1, 0.3), 0.6, 0.1)], 0.0),
+    "ultra_semantic": ([(300, 0.3)], [_beside(0.5, 0.3, 0.5)], 0.0),
+    "ultra_progressive": ([(400, 0.4)], _steps(0.5, 0.2, 4), 0.1),
+    "ultra_document": ([(500, 0.5)], [_own(0.3, (0.05, 0.1), 0.3, 0.05)], 0.0),
+    "ultra_balance": ([(600, 0.6)], [_beside(0.6, 0.4, 0.3, far=(0.2, 0.2))], 0.0),
+    "ultra_cluster": ([(700, 0.7)], [_cluster], 0.0),
+    "ultra_sequential": ([(800, 0.8)], _scales(0.3, 0.5, 0.7, 0.9, 0.6), 0.0),
+    "ultra_hybrid": ([(900, 0.9)], [lambda x, s: x.flat(0.6 * s), lambda x, s: x.bell(0.0, 0.5 * s), lambda x, s: x.double(0.4 * s), lambda x, s: x.flat(0.8 * s) * (1 + 0.2 * F.col("_sd"))], 0.0),
+    "ultra_max": ([(1000, 1.0)], [_beside(1.0, 1.2, 0.8, k=5, more=_extra)], 0.0),
+    "final_similarity": ([(200, 0.1)], [_beside(0.3, 0.4, 0.6)], 0.0),
+    "final_fingerprint": ([(300, 0.15)], [_own(0.2, (0.02, 0.05), 0.5)], 0.0),
+    "final_progressive": ([(400, 0.2)], _steps(0.3, 0.15, 5), 0.05),
+    "final_balance": ([(500, 0.25)], [_beside(0.4, 0.5, 0.4, far=(0.2, 0.3))], 0.0),
+    "final_content": ([(600, 0.3)], [_beside(1.0, 0.6, 0.5, more=_content)], 0.0),
 }
+CLUSTERS = 5
 
 
-def expand(vectors: DataFrame, family: str, dims: int, scale: float, group: Column | None = None, side: str = "doc") -> DataFrame:
-    """``vectors`` with ``dims`` more dimensions of noise whose mean and deviation follow the vector's own.
+def described(vectors: DataFrame, neighbours: bool = True) -> DataFrame:
+    """``vectors`` with what the kernels read: ``_mean, _sd, _least, _most``, cosines ``_near`` and ``_far``, and ``_members`` of the cluster."""
+    from .pairwise import extremes
 
-    Uniform, gaussian and alternating noise; cluster families share most of it inside a ``group``; progressive and
-    sequential ones grow with the dimension; document and fingerprint ones weigh it by the vector's own values.
-    """
-    v, n = F.col("v"), F.size("v")
+    n = F.size("v")
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n
     sd = F.sqrt(F.greatest(F.lit(0.0), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean))
-    key = F.col("vec_id")
-    own = group if group is not None else F.coalesce(F.col("label"), F.lit(-1)) if "label" in vectors.columns else key
-    seed = f"{side}:{family}:{dims}"
-    flat = lambda i, *k: (uniform(seed, *k, i) - 0.5) * math.sqrt(12)  # noqa: E731  unit deviation
-    bell = lambda i, *k: normal(seed, *k, i)
-
-    def noise(i: Column) -> Column:
-        if "uniform" in family:
-            return flat(i, key)
-        if "mixed" in family or "hybrid" in family or "balance" in family:
-            return F.when(i % 2 == 0, flat(i, key)).otherwise(bell(i, key))
-        if "cluster" in family or "semantic" in family or "similarity" in family:
-            return 0.9 * bell(i, own.cast("long")) + 0.1 * bell(i, key)
-        if "progressive" in family or "sequential" in family:
-            return bell(i, key) * (0.5 + i / float(dims))
-        if "document" in family or "fingerprint" in family or "content" in family or "adaptive" in family:
-            return bell(i, key) * (1 + F.abs(F.element_at(v, (i % n + 1).cast("int"))))
-        return bell(i, key)
-
-    extra = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: mean + scale * sd * noise(i))
-    return vectors.select(*[c for c in vectors.columns if c != "v"], F.concat(v, extra).alias("v"))
+    out = vectors.withColumns({"_mean": mean, "_sd": sd, "_least": F.array_min("v"), "_most": F.array_max("v")})
+    if neighbours:
+        out = out.join(extremes(vectors, 5), "vec_id", "left")
+        groups = kmeans(vectors, max(1, min(CLUSTERS, vectors.count() // 3)))
+        sizes = F.broadcast(groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("_members")))  # at most CLUSTERS rows
+        return out.join(groups.join(sizes, "cluster").drop("cluster"), "vec_id", "left")
+    nothing = F.array().cast("array<double>")
+    return out.withColumns({"_near": nothing, "_far": nothing, "_members": F.lit(1)})
+
+
+def _drawn(kernel, seed: str, scale: float):
+    return lambda i: kernel(Noise(seed, i), scale)
+
+
+def expand(rows: DataFrame, family: str, dims: int, scale: float, side: str = "doc") -> DataFrame:
+    """``described`` vectors with ``dims`` more dimensions of the family's noise, from hashes: ``vec_id, label, v``."""
+    _, kernels, carry = FAMILIES[family]
+    each, noise = dims // len(kernels), None
+    for k, kernel in enumerate(kernels):
+        first, last = k * each, (dims if k == len(kernels) - 1 else (k + 1) * each) - 1
+        section = F.transform(F.sequence(F.lit(first), F.lit(last)), _drawn(kernel, f"{side}:{family}:{dims}:{k}", scale))
+        rows = rows.withColumn("_section", section)
+        if noise is not None and carry:
+            shift = carry * F.aggregate("_noise", F.lit(0.0), lambda a, x: a + x) / F.size("_noise")
+            rows = rows.withColumn("_section", F.transform("_section", lambda x: x + shift))
+        noise = F.col("_section") if noise is None else F.concat("_noise", "_section")
+        rows = rows.withColumn("_noise", noise)
+    return rows.select("vec_id", "label", F.concat("v", "_noise").alias("v"))
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, iterations: int = 20) -> DataFrame:

@@ -36,25 +36,6 @@ def _products(pdf: pd.DataFrame):
     return left, right, cosine, np.sqrt(np.maximum(nx[:, None] + ny[None, :] - 2 * dots, 0.0))
 
 
-def pairs(vectors: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
-    """``a < b, value`` (or ``cosine, euclidean`` for ``kind`` both) of all pairs of ``vectors(vec_id, v)``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, cosine, far = _products(pdf)
-        names = ["a", "b", "cosine", "euclidean"] if kind == "both" else ["a", "b", "value"]
-        if cosine is None:
-            return pd.DataFrame({c: pd.Series([], dtype="int64" if c in "ab" else "float64") for c in names})
-        a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        at, to = np.nonzero(a[:, None] < b[None, :]) if pdf["_i"].iloc[0] == pdf["_j"].iloc[0] else np.nonzero(a[:, None] != b[None, :])
-        low, high = np.minimum(a[at], b[to]), np.maximum(a[at], b[to])
-        if kind == "both":
-            return pd.DataFrame({"a": low, "b": high, "cosine": cosine[at, to], "euclidean": far[at, to]})
-        return pd.DataFrame({"a": low, "b": high, "value": (cosine if kind == "cosine" else far)[at, to]})
-
-    schema = "a long, b long, cosine double, euclidean double" if kind == "both" else "a long, b long, value double"
-    return _block_pairs(vectors, ["v"], block).groupBy("_i", "_j").applyInPandas(run, schema)
-
-
 def nearest(vectors: DataFrame, k: int, farthest: bool = False, block: int = BLOCK) -> DataFrame:
     """``a, b, value, rank``: the k nearest (or farthest) others by Euclidean distance, ties by id."""
     from .ranking import top_k
@@ -78,12 +59,18 @@ def nearest(vectors: DataFrame, k: int, farthest: bool = False, block: int = BLO
     return top_k(found, k, ["a"], "value", ["b"], descending=farthest)
 
 
-def separation(vectors: DataFrame) -> DataFrame:
-    """One row about all distances between different vectors."""
-    d, c = F.col("euclidean"), F.col("cosine")
-    return pairs(vectors, "both").agg(
-        F.avg(d).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"), F.stddev_pop(d).alias("std"), F.try_divide(F.min(d), F.avg(d)).alias("least_mean"),
-        F.try_divide(F.stddev_pop(d), F.avg(d)).alias("std_mean"), F.avg(c).alias("mean_cosine"), F.try_divide(F.min(d), F.avg(c) + 1e-8).alias("discrimination"),
+def separation(vectors: DataFrame, original: DataFrame | None = None) -> DataFrame:
+    """One row about all distances between different vectors, and how their cosines go with those of ``original``."""
+    spread_all = vectors.select(F.explode("v").alias("x")).agg(F.var_pop("x").alias("_var"))
+    m = moments(vectors, vectors if original is None else original).crossJoin(spread_all)  # one row each
+    n = F.col("n")
+    mean, var = F.col("d") / n, F.greatest(F.lit(0.0), F.col("dd") / n - (F.col("d") / n) * (F.col("d") / n))
+    cosine, std = F.col("c") / n, F.sqrt(var)
+    cov = F.col("co") / n - F.col("c") / n * F.col("o") / n
+    spread = F.sqrt((F.col("cc") / n - cosine * cosine) * (F.col("oo") / n - (F.col("o") / n) * (F.col("o") / n)))
+    return m.select(
+        mean.alias("mean"), F.col("least"), F.col("most"), std.alias("std"), F.try_divide(var, F.col("_var")).alias("variance_ratio"), F.try_divide(F.col("least"), mean).alias("least_mean"),
+        F.try_divide(std, mean).alias("std_mean"), cosine.alias("mean_cosine"), F.try_divide(F.col("least"), cosine + 1e-8).alias("discrimination"), F.coalesce(F.try_divide(cov, spread), F.lit(0.0)).alias("correlation"),
     )
 
 
@@ -130,3 +117,73 @@ def query_cosines(queries: DataFrame, vectors: DataFrame, by: list[str], block:
 
     kinds = "".join(f", {b} {vectors.schema[b].dataType.simpleString()}" for b in by)
     return left.groupBy(*by, "_i", "_j").cogroup(right.groupBy(*by, "_i", "_j")).applyInPandas(run, f"query_id long{kinds}, chunk_id long, cosine double")
+
+
+def extremes(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``vec_id, _near, _far``: cosines of the ``k`` most and least alike others, best first; each block pair gives its own ``k``, which a fold merges."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, cosine, _ = _products(pdf)
+        out = []
+        if cosine is not None:
+            same = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+            for own, c in [(left, cosine)] if same else [(left, cosine), (right, cosine.T)]:
+                c = np.where(np.eye(*c.shape, dtype=bool), np.nan, c) if same else c
+                order = np.sort(c, axis=1)  # NaN last
+                n = c.shape[1] - same
+                near, far = order[:, max(0, n - k) : n][:, ::-1], order[:, : min(k, n)]
+                out.append(pd.DataFrame({"vec_id": own["vec_id"].to_numpy(), "_near": list(near), "_far": list(far)}))
+        return pd.concat(out) if out else pd.DataFrame({"vec_id": pd.Series([], dtype="int64"), "_near": [], "_far": []})
+
+    found = _block_pairs(vectors, ["v"], block).groupBy("_i", "_j").applyInPandas(run, "vec_id long, _near array<double>, _far array<double>")
+    merged = found.groupBy("vec_id").agg(F.flatten(F.collect_list("_near")).alias("_near"), F.flatten(F.collect_list("_far")).alias("_far"))  # k for each block
+    return merged.select("vec_id", F.slice(F.sort_array("_near", asc=False), 1, k).alias("_near"), F.slice(F.sort_array("_far"), 1, k).alias("_far"))
+
+
+def reduced(vectors: DataFrame, schema: str, reduce, columns: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """All pairs ``a < b``, reduced inside each pair of blocks: ``reduce(a, b, cosine, distance)`` gets flat arrays (rows of ``a`` and ``b`` as frames) and returns a frame of ``schema``."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, cosine, far = _products(pdf)
+        if cosine is not None:
+            a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            same = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+            at, to = np.nonzero(a[:, None] < b[None, :]) if same else np.nonzero(a[:, None] != b[None, :])
+            if len(at):
+                return reduce(left.iloc[at], right.iloc[to], cosine[at, to], far[at, to])[names]
+        return pd.DataFrame({n: [] for n in names})
+
+    return _block_pairs(vectors, ["v", *columns], block).groupBy("_i", "_j").applyInPandas(run, schema)
+
+
+def by_smaller(vectors: DataFrame) -> DataFrame:
+    """``a, n, cosine, most_cosine, euclidean, most_euclidean``: for each vector, over the pairs in which it has the smaller id."""
+
+    def reduce(left, right, cosine, far):
+        frame = pd.DataFrame({"a": np.minimum(left["vec_id"].to_numpy(), right["vec_id"].to_numpy()), "c": cosine, "d": far})
+        made = frame.groupby("a").agg(n=("c", "size"), cosine=("c", "sum"), most_cosine=("c", "max"), euclidean=("d", "sum"), most_euclidean=("d", "max"))
+        return made.reset_index()
+
+    part = reduced(vectors, "a long, n long, cosine double, most_cosine double, euclidean double, most_euclidean double", reduce)
+    return part.groupBy("a").agg(F.sum("n").alias("n"), F.sum("cosine").alias("cosine"), F.max("most_cosine").alias("most_cosine"), F.sum("euclidean").alias("euclidean"), F.max("most_euclidean").alias("most_euclidean"))
+
+
+def moments(vectors: DataFrame, original: DataFrame | None = None) -> DataFrame:
+    """One row about all pairs: count, sums and squares of distances and cosines, extremes; with ``original``, products with its cosines."""
+    rows, columns = vectors, ()
+    if original is not None:
+        rows, columns = vectors.join(original.select("vec_id", F.col("v").alias("o")), "vec_id"), ("o",)
+
+    def reduce(left, right, cosine, far):
+        own = {"n": len(far), "d": far.sum(), "dd": (far * far).sum(), "least": far.min(), "most": far.max(), "c": cosine.sum(), "cc": (cosine * cosine).sum(), "o": 0.0, "oo": 0.0, "co": 0.0}
+        if columns:
+            x, y = np.stack(left["o"].to_numpy()).astype(float), np.stack(right["o"].to_numpy()).astype(float)
+            size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            o = np.divide((x * y).sum(1), size, out=np.zeros(len(size)), where=size > 0)
+            own |= {"o": o.sum(), "oo": (o * o).sum(), "co": (cosine * o).sum()}
+        return pd.DataFrame([own])
+
+    part = reduced(rows, "n long, d double, dd double, least double, most double, c double, cc double, o double, oo double, co double", reduce, columns, block=BLOCK if not columns else 512)
+    sums = ("n", "d", "dd", "c", "cc", "o", "oo", "co")
+    return part.agg(*[F.sum(x).alias(x) for x in sums], F.min("least").alias("least"), F.max("most").alias("most"))

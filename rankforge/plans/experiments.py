@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluate as E
 from ..operators import expand as X
+from ..operators.keep import stored
+from ..operators.pairwise import query_cosines
+from ..operators.ranking import first_position
 from .common import vectors
 from .registry import query
 
 
-def _moments(df):
-    """``n, dims, mean, sd`` of each expansion: what a check without an oracle can hold on to."""
-    e = df.select(F.size("v").alias("dims"), F.explode("v").alias("x"))
-    return e.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+def described(spark, sf):
+    return stored(X.described(vectors(spark, sf)), "described")
 
 
 def _register(family: str) -> None:
     @query(f"expand_{family}")
     def run(spark, sf):
-        out = None
-        for name, dims, scale in X.FAMILIES[family]:
-            made = _moments(X.expand(vectors(spark, sf), family, dims, scale)).withColumn("config", F.lit(name))
+        """The expanded vectors of each configuration."""
+        rows, out = described(spark, sf), None
+        for dims, scale in X.FAMILIES[family][0]:
+            made = X.expand(rows, family, dims, scale).select(F.lit(f"{family}_{dims}").alias("config"), "vec_id", "v")
             out = made if out is None else out.unionByName(made)
         return out
 
@@ -29,10 +32,35 @@ for _family in X.FAMILIES:
     _register(_family)
 
 
+def configurations(rows, side="doc"):
+    """``config, vec_id, label, v``: the first configuration of every family."""
+    out = None
+    for family, (configs, _, _) in X.FAMILIES.items():
+        dims, scale = configs[0]
+        made = X.expand(rows, family, dims, scale, side).select(F.lit(f"{family}_{dims}").alias("config"), "vec_id", "label", "v")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def asked(spark, sf):
+    """Every fiftieth vector as a query; its noise is drawn apart from the documents'."""
+    return described(spark, sf).where("vec_id % 50 = 0")
+
+
 @query("expand_query")
 def expand_query(spark, sf):
-    """Query-side noise is drawn apart from the documents'."""
-    return _moments(X.expand(vectors(spark, sf).where("vec_id % 50 = 0"), "gaussian", 100, 0.1, side="query"))
+    return configurations(asked(spark, sf), "query").select("config", "vec_id", "v")
+
+
+@query("expansion_eval")
+def expansion_eval(spark, sf):
+    """Each configuration by language (the parity of the label): how well an expanded query finds its own expanded vector."""
+    rows = described(spark, sf)
+    docs, queries = stored(configurations(rows), "docs"), stored(configurations(rows.where("vec_id % 50 = 0"), "query"), "queries")
+    scores = stored(query_cosines(queries, docs, ["config"]).withColumnRenamed("cosine", "score"), "scores")
+    relevant = queries.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("chunk_id"))
+    lang = queries.select("config", F.col("vec_id").alias("query_id"), F.when(F.col("label") % 2 == 0, "ca").otherwise("es").alias("lang"))
+    return E.topn_accuracy(first_position(scores, relevant, ["config", "query_id"]).join(lang, ["config", "query_id"]), ["config", "lang"])
 
 
 @query("pca")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import pairwise, ranking
+from ..operators import pairwise
+from ..operators.expand import standard_scale as scaled
+from ..operators.keep import stored
 from .common import table, vectors
 from .registry import query
 
@@ -22,19 +24,22 @@ def constant(dim: int = 64):
     return F.array(*[F.lit(0.5)] * dim)
 
 
-def adjacent(spark, sf) -> DataFrame:
-    """``a, b, x, y``: each vector with the next one by id, a bounded set of pairs for the costly distances."""
-    v = vectors(spark, sf)
-    other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("y"))
-    return v.join(other, "vec_id").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("v").alias("x"), "y")
+def queried(spark, sf) -> DataFrame:
+    """``a, b, x, y``: every fiftieth vector (the stated query set) with every other one; blocks of queries meet all rows by an equi join."""
+    v = vectors(spark, sf).select("vec_id", "v")
+    q = v.where("vec_id % 50 = 0")
+    n = max(1, -(-q.count() // 64))
+    left = q.select(F.col("vec_id").alias("a"), F.col("v").alias("x"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("_block"))
+    right = v.select(F.col("vec_id").alias("b"), F.col("v").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_block"))
+    return left.join(right, "_block").where("a <> b").select("a", "b", "x", "y")
 
 
-_NEXT = f"{VEC}, n AS (SELECT s.vec_id AS a, t.vec_id AS b, s.v AS x, t.v AS y FROM v s JOIN v t ON t.vec_id = s.vec_id + 1)"
+_NEXT = f"{VEC}, n AS (SELECT s.vec_id AS a, t.vec_id AS b, s.v AS x, t.v AS y FROM v s JOIN v t ON s.vec_id % 50 = 0 AND s.vec_id <> t.vec_id)"
 
 
 @query("cosine_similarity", f"WITH {_NEXT} SELECT a, b, list_cosine_similarity(x, y) AS cosine FROM n", "cosine")
 def cosine_similarity(spark, sf):
-    return adjacent(spark, sf).select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("cosine"))
+    return queried(spark, sf).select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("cosine"))
 
 
 @query("embedding_score", f"WITH {VEC} SELECT doc_id AS chunk_id, coalesce(list_cosine_similarity(v, {QUERY_VECTOR}), 0.1) AS score FROM documents LEFT JOIN v ON vec_id = doc_id", "score")
@@ -52,58 +57,63 @@ def l2_normalize(spark, sf):
 
 @query("percent_similarity", f"WITH {_NEXT} SELECT a, b, 100 * list_cosine_similarity(x, y) AS percent FROM n", "percent")
 def percent_similarity(spark, sf):
-    return adjacent(spark, sf).select("a", "b", (100 * V.cosine(F.col("x"), F.col("y"))).alias("percent"))
+    return queried(spark, sf).select("a", "b", (100 * V.cosine(F.col("x"), F.col("y"))).alias("percent"))
 
 
 @query("wasserstein_1d", f"""WITH {_NEXT}, s AS (SELECT a, b, list_sort(list_transform(x, lambda e: e / list_sum(x))) AS x, list_sort(list_transform(y, lambda e: e / list_sum(y))) AS y FROM n)
     SELECT a, b, list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2]))) / len(x) AS distance FROM s""", "distance")
 def wasserstein_1d(spark, sf):
-    return adjacent(spark, sf).select("a", "b", V.wasserstein_1d(F.col("x"), F.col("y")).alias("distance"))
+    return queried(spark, sf).select("a", "b", V.wasserstein_1d(F.col("x"), F.col("y")).alias("distance"))
 
 
 @query("optimal_transport_1d", f"""WITH {_NEXT}, e AS (SELECT a, b, unnest(range(1, 65)) AS i, unnest(x) AS x, unnest(y) AS y FROM n),
-    m AS (SELECT a, b, i, abs(x) / sum(abs(x)) OVER (PARTITION BY a) - abs(y) / sum(abs(y)) OVER (PARTITION BY a) AS gap FROM e),
-    c AS (SELECT a, b, sum(gap) OVER (PARTITION BY a ORDER BY i) AS run FROM m) SELECT a, b, sum(abs(run)) AS distance FROM c GROUP BY ALL""", "distance")
+    m AS (SELECT a, b, i, abs(x) / sum(abs(x)) OVER (PARTITION BY a, b) - abs(y) / sum(abs(y)) OVER (PARTITION BY a, b) AS gap FROM e),
+    c AS (SELECT a, b, sum(gap) OVER (PARTITION BY a, b ORDER BY i) AS run FROM m) SELECT a, b, sum(abs(run)) AS distance FROM c GROUP BY ALL""", "distance")
 def optimal_transport_1d(spark, sf):
-    return adjacent(spark, sf).select("a", "b", V.optimal_transport_1d(F.col("x"), F.col("y")).alias("distance"))
+    return queried(spark, sf).select("a", "b", V.optimal_transport_1d(F.col("x"), F.col("y")).alias("distance"))
 
 
 @query("dtw_distance")
 def dtw_distance(spark, sf):
-    """Dynamic time warping between neighbours by id; tested against the plain recurrence."""
-    return adjacent(spark, sf).select("a", "b", V.dtw(F.col("x"), F.col("y")).alias("distance"))
+    """Dynamic time warping; tested against the plain recurrence."""
+    return queried(spark, sf).select("a", "b", V.dtw(F.col("x"), F.col("y")).alias("distance"))
 
 
 @query("hybrid_distance_scalar", f"WITH {_NEXT} SELECT a, b, 1 - list_cosine_similarity(x, y) + CASE WHEN list_distance(x, y) > 0 THEN 1 ELSE 0 END AS distance FROM n", "distance")
 def hybrid_distance_scalar(spark, sf):
-    return adjacent(spark, sf).select("a", "b", V.hybrid_distance_scalar(F.col("x"), F.col("y")).alias("distance"))
+    return queried(spark, sf).select("a", "b", V.hybrid_distance_scalar(F.col("x"), F.col("y")).alias("distance"))
 
 
 @query("pairwise_cosine", f"WITH {_PAIRS} SELECT a, count(*) AS n, sum(cosine) AS total, max(cosine) AS most FROM p GROUP BY a", "total most")
 def pairwise_cosine(spark, sf):
-    """All pairs by blocked matrix products, reduced to a row for each vector."""
-    p = pairwise.pairs(vectors(spark, sf), "cosine")
-    return p.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
+    """All pairs by blocked matrix products, reduced to a row for each vector inside the blocks."""
+    return pairwise.by_smaller(vectors(spark, sf)).select("a", "n", F.col("cosine").alias("total"), F.col("most_cosine").alias("most"))
 
 
 @query("pairwise_euclidean", f"WITH {_PAIRS} SELECT a, count(*) AS n, sum(euclidean) AS total, max(euclidean) AS most FROM p GROUP BY a", "total most")
 def pairwise_euclidean(spark, sf):
-    p = pairwise.pairs(vectors(spark, sf), "euclidean")
-    return p.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
+    return pairwise.by_smaller(vectors(spark, sf)).select("a", "n", F.col("euclidean").alias("total"), F.col("most_euclidean").alias("most"))
 
 
 @query("hybrid_distance", f"WITH {_PAIRS} SELECT a, sum(0.6 * (cosine + 1) / 2 + 0.4 * euclidean / (SELECT max(euclidean) FROM p)) AS total FROM p GROUP BY a", "total")
 def hybrid_distance(spark, sf):
     """0.6 (cos + 1)/2 + 0.4 d / max d, as the reference adds a similarity to a distance."""
-    c = pairwise.pairs(vectors(spark, sf), "both")
-    most = c.agg(F.max("euclidean").alias("most"))
-    return c.crossJoin(F.broadcast(most)).groupBy("a").agg(F.sum(0.6 * (F.col("cosine") + 1) / 2 + 0.4 * F.col("euclidean") / F.col("most")).alias("total"))
+    c = stored(pairwise.by_smaller(vectors(spark, sf)), "pairs")
+    most = c.agg(F.max("most_euclidean").alias("most"))
+    return c.crossJoin(F.broadcast(most)).select("a", (0.6 * (F.col("cosine") + F.col("n")) / 2 + 0.4 * F.col("euclidean") / F.col("most")).alias("total"))  # one row
+
+
+_SCALED = f"""{VEC}, ze AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM v), zs AS (SELECT dim, avg(x) AS mean, stddev_pop(x) AS sd FROM ze GROUP BY dim),
+    zv AS MATERIALIZED (SELECT vec_id, list(CASE WHEN sd = 0 THEN 0 ELSE (x - mean) / sd END ORDER BY dim) AS v FROM ze JOIN zs USING (dim) GROUP BY vec_id),
+    zp AS MATERIALIZED (SELECT list_cosine_similarity(a.v, b.v) AS cosine, list_distance(a.v, b.v) AS euclidean, list_cosine_similarity(x.v, y.v) AS o FROM zv a JOIN zv b ON a.vec_id < b.vec_id JOIN v x ON x.vec_id = a.vec_id JOIN v y ON y.vec_id = b.vec_id)"""
 
 
-@query("separation_stats", f"""WITH {_PAIRS} SELECT avg(euclidean) AS mean, min(euclidean) AS least, max(euclidean) AS most, stddev_pop(euclidean) AS std, min(euclidean) / avg(euclidean) AS least_mean,
-    stddev_pop(euclidean) / avg(euclidean) AS std_mean, avg(cosine) AS mean_cosine, min(euclidean) / (avg(cosine) + 1e-8) AS discrimination FROM p""", "mean least most std least_mean std_mean mean_cosine discrimination")
+@query("separation_stats", f"""WITH {_SCALED} SELECT avg(euclidean) AS mean, min(euclidean) AS least, max(euclidean) AS most, stddev_pop(euclidean) AS std, var_pop(euclidean) / (SELECT var_pop(x) FROM (SELECT unnest(v) AS x FROM zv)) AS variance_ratio, min(euclidean) / avg(euclidean) AS least_mean,
+    stddev_pop(euclidean) / avg(euclidean) AS std_mean, avg(cosine) AS mean_cosine, min(euclidean) / (avg(cosine) + 1e-8) AS discrimination, corr(cosine, o) AS correlation FROM zp""", "mean least most std variance_ratio least_mean std_mean mean_cosine discrimination correlation")
 def separation_stats(spark, sf):
-    return pairwise.separation(vectors(spark, sf))
+    """Of the standardised vectors, against the original ones."""
+    v = vectors(spark, sf)
+    return pairwise.separation(scaled(v), v)
 
 
 _BOTH = f"{_PAIRS}, d AS (SELECT a AS i, b AS j, euclidean FROM p UNION ALL SELECT b, a, euclidean FROM p)"
@@ -128,16 +138,21 @@ def silhouette(spark, sf):
     return pairwise.silhouette(vectors(spark, sf))
 
 
-@query("discrimination_quality", f"""WITH {_BOTH}, n AS (SELECT i, min(euclidean) AS least FROM d GROUP BY i) SELECT (SELECT avg(least) FROM n) AS mean_least, (SELECT var_pop(euclidean) FROM p) AS variance""", "mean_least variance")
+@query("discrimination_quality", f"""WITH {_SCALED}, d AS (SELECT a.vec_id AS i, x.label AS li, y.label AS lj, list_distance(a.v, b.v) AS euclidean FROM zv a JOIN zv b ON a.vec_id <> b.vec_id JOIN v x ON x.vec_id = a.vec_id JOIN v y ON y.vec_id = b.vec_id),
+    m AS (SELECT i, li, lj, avg(euclidean) AS mean FROM d GROUP BY ALL), s AS (SELECT i, max(CASE WHEN li = lj THEN mean END) AS own, min(CASE WHEN li <> lj THEN mean END) AS other FROM m GROUP BY i)
+    SELECT (SELECT avg(least) FROM (SELECT min(euclidean) AS least FROM d GROUP BY i)) AS mean_least, (SELECT var_pop(x) FROM (SELECT unnest(v) AS x FROM zv)) / (SELECT var_pop(x) FROM ze) AS variance_ratio,
+    (SELECT avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END) FROM s) AS silhouette""", "mean_least variance_ratio silhouette")
 def discrimination_quality(spark, sf):
+    """Of the standardised vectors: mean distance to the nearest, variance against the original's, silhouette of the labels."""
     v = vectors(spark, sf)
-    least = pairwise.nearest(v, 1).agg(F.avg("value").alias("mean_least"))
-    return least.crossJoin(pairwise.pairs(v, "euclidean").agg(F.var_pop("value").alias("variance")))
+    z = stored(scaled(v), "scaled")
+    var = lambda d, name: d.select(F.explode("v").alias("x")).agg(F.var_pop("x").alias(name))
+    least = pairwise.nearest(z.select("vec_id", "v"), 1).agg(F.avg("value").alias("mean_least"))
+    out = least.crossJoin(var(z, "_new")).crossJoin(var(v, "_old")).crossJoin(pairwise.silhouette(z).select("silhouette"))  # one row each
+    return out.select("mean_least", (F.col("_new") / F.col("_old")).alias("variance_ratio"), "silhouette")
 
 
 @query("standard_scale", """WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), s AS (SELECT dim, avg(x) AS mean, stddev_pop(x) AS sd FROM e GROUP BY dim)
     SELECT vec_id, dim, CASE WHEN sd = 0 THEN 0 ELSE (x - mean) / sd END AS z FROM e JOIN s USING (dim)""", "z")
 def standard_scale(spark, sf):
-    from ..operators.expand import standard_scale as scale
-
-    return scale(vectors(spark, sf)).select("vec_id", F.posexplode("v").alias("dim", "z"))
+    return scaled(vectors(spark, sf)).select("vec_id", F.posexplode("v").alias("dim", "z"))
