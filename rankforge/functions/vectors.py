@@ -50,21 +50,3 @@ def optimal_transport_1d(a: Column, b: Column) -> Column:
     gaps = F.zip_with(mass(a), mass(b), lambda x, y: x - y)
     start = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("cost"))
     return F.aggregate(gaps, start, lambda s, g: F.struct((s["at"] + g).alias("at"), (s["cost"] + F.abs(s["at"] + g)).alias("cost")), lambda s: s["cost"])
-
-
-def dtw(a: Column, b: Column) -> Column:
-    """Dynamic time warping on absolute differences: a fold over ``a`` that carries one row of costs."""
-    far = F.lit(float("inf"))
-    first = F.concat(F.array(F.lit(0.0)), F.transform(b, lambda _: far))
-
-    def row(before, x):
-        start = F.struct(F.array(far).alias("row"), far.alias("last"))
-        steps = F.zip_with(F.zip_with(b, F.slice(before, 2, F.size(b)), lambda y, up: F.struct(y.alias("y"), up.alias("up"))), F.slice(before, 1, F.size(b)), lambda s, diag: F.struct(s["y"].alias("y"), s["up"].alias("up"), diag.alias("diag")))
-
-        def cell(acc, s):
-            cost = F.abs(x - s["y"]) + F.least(s["up"], s["diag"], acc["last"])
-            return F.struct(F.concat(acc["row"], F.array(cost)).alias("row"), cost.alias("last"))
-
-        return F.aggregate(steps, start, cell, lambda acc: acc["row"])
-
-    return F.aggregate(a, first, row, lambda r: F.element_at(r, -1))

@@ -187,3 +187,30 @@ def moments(vectors: DataFrame, original: DataFrame | None = None) -> DataFrame:
     part = reduced(rows, "n long, d double, dd double, least double, most double, c double, cc double, o double, oo double, co double", reduce, columns, block=BLOCK if not columns else 512)
     sums = ("n", "d", "dd", "c", "cc", "o", "oo", "co")
     return part.agg(*[F.sum(x).alias(x) for x in sums], F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def dtw(pairs: DataFrame, block: int = 2048) -> DataFrame:
+    """``a, b, distance`` of ``pairs(a, b, x, y)``: dynamic time warping, one cell of the recurrence for a batch of pairs at a time."""
+
+    def run(frames):
+        for pdf in frames:
+            out = np.zeros(len(pdf))
+            sizes = list(zip(pdf["x"].map(len), pdf["y"].map(len)))
+            for n, m in set(sizes):
+                at = np.array([k for k, s in enumerate(sizes) if s == (n, m)])
+                for part in np.array_split(at, -(-len(at) // block)):
+                    if not n or not m:
+                        out[part] = 0.0 if n == m else np.inf
+                        continue
+                    x, y = np.stack(pdf["x"].iloc[part].to_numpy()), np.stack(pdf["y"].iloc[part].to_numpy())
+                    before = np.full((m + 1, len(part)), np.inf)
+                    before[0] = 0.0
+                    for i in range(n):
+                        row = np.full((m + 1, len(part)), np.inf)
+                        for j in range(m):
+                            row[j + 1] = np.abs(x[:, i] - y[:, j]) + np.minimum(np.minimum(before[j], before[j + 1]), row[j])
+                        before = row
+                    out[part] = before[m]
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "distance": out})
+
+    return pairs.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, distance double")

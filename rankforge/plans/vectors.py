@@ -76,7 +76,7 @@ def optimal_transport_1d(spark, sf):
 @query("dtw_distance")
 def dtw_distance(spark, sf):
     """Dynamic time warping; tested against the plain recurrence."""
-    return queried(spark, sf).select("a", "b", V.dtw(F.col("x"), F.col("y")).alias("distance"))
+    return pairwise.dtw(queried(spark, sf))
 
 
 @query("hybrid_distance_scalar", f"WITH {_NEXT} SELECT a, b, 1 - list_cosine_similarity(x, y) + CASE WHEN list_distance(x, y) > 0 THEN 1 ELSE 0 END AS distance FROM n", "distance")

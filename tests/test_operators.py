@@ -10,6 +10,7 @@ from rankforge.functions import text as T
 from rankforge.functions import vectors as V
 from rankforge.operators import evaluate as E
 from rankforge.operators import fusion as N
+from rankforge.operators import pairwise
 from rankforge.operators import lexical as L
 from rankforge.operators.graph import pagerank
 
@@ -85,8 +86,9 @@ def test_dtw_against_recurrence(spark):
     for i in range(4):
         for j in range(3):
             d[i + 1, j + 1] = abs(a[i] - b[j]) + min(d[i, j], d[i, j + 1], d[i + 1, j])
-    got = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(V.dtw(F.col("a"), F.col("b"))).first()[0]
-    assert got == pytest.approx(d[4, 3])
+    rows = [(1, 2, a, b), (1, 3, a, a), (2, 1, b, a), (4, 5, [], a), (4, 6, [], [])]
+    got = {(r["a"], r["b"]): r["distance"] for r in pairwise.dtw(spark.createDataFrame(rows, "a long, b long, x array<double>, y array<double>")).collect()}
+    assert got[1, 2] == got[2, 1] == pytest.approx(d[4, 3]) and got[1, 3] == got[4, 6] == 0 and got[4, 5] == float("inf")
 
 
 def test_entry_points_load():
