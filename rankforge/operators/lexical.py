@@ -30,7 +30,9 @@ class Index:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return stored(self.source, "tokens")
+        """Stored, in at least as many files as there are cores: few input splits would otherwise mean few tasks for the work on pairs."""
+        made, cores = stored(self.source, "tokens"), self.source.sparkSession.sparkContext.defaultParallelism
+        return made if len(made.inputFiles()) >= cores else stored(made.repartition(cores), "tokens")
 
     @cached_property
     def query_terms(self) -> DataFrame:
