@@ -12,19 +12,22 @@ from ._base import table
 from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup_digest
+from .merkle import manifest_digest
 from .mixing import mix
 from .packing import pack
+from .sentence_pieces import piece_digest
 from .secret_scan import labelled_findings, scan_secrets, train_forest
 from .simhash import simhash_groups
 from .substring_dedup import substring_digest
 from .token_counts import token_counts
 from .toxicity import score, train
+from .whitening import whiten
 
 
-def _tokenizer() -> str:
+def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"), width=13)
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
