@@ -6,15 +6,17 @@ the same ties and constants.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.text import tokenize, whitespace_words
 from ..operators import fusion as N
-from ..operators import lexical as L
 from ..operators import ranking
+from ..operators import retrieval as R
 from ..operators.keep import stored
-from .common import CTE, asked, chunk_vectors, chunks, index, mrf_cte, table
-from .lexical import ENSEMBLE, KEYWORDS, OPTIMIZED, chunk_words, query_words
+from .common import CTE, asked, chunk_vectors, chunks, index, mrf_cte, spread, table, texts, vectors
+from .lexical import ENSEMBLE, KEYWORDS, OPTIMIZED
 from .registry import query
 from .vectors import QUERY_VECTOR, VEC, constant
 
@@ -33,20 +35,24 @@ def embedding_pairs(spark, sf):
     return asked(spark, sf).select("query_id").crossJoin(embedding_scores(spark, sf))
 
 
-def signals(spark, sf, score=None, windows=(8,)):
-    """``query_id, chunk_id, emb, qlm, mrf, kw, n``: raw signals of every passage and document, from one gather, stored.
+ALL = ["emb", "qlm", "mrf", "kw"]
 
-    ``score`` makes ``mrf`` of the features (the usual mixture unless given).
+
+def retrieval(spark, sf, more=None):
+    """The benchmark's passages against all documents, with ``emb`` and ``has`` (a vector exists) of each; ``more(query_id, numbers...)`` goes with the queries."""
+    queries = asked(spark, sf).select("query_id", tokenize(F.col("text")).alias("tokens"), F.size(whitespace_words(F.col("text"))).alias("n_words"))
+    queries = queries if more is None else queries.join(more, "query_id")
+    docs = spread(texts(spark, sf)).select("chunk_id", tokenize(F.col("text")).alias("tokens"), F.size(whitespace_words(F.col("text"))).alias("n_words"))
+    cosines = vectors(spark, sf).select(F.col("vec_id").alias("chunk_id"), F.round(F.coalesce(V.cosine(F.col("v"), constant()), F.lit(0.1)), 9).alias("emb"), F.col("v").isNotNull().cast("int").alias("has"))
+    return R.Retrieval(queries, docs.join(cosines, "chunk_id", "left").fillna({"emb": 0.1, "has": 0}))
+
+
+def signals(spark, sf, mixture=None, names=ALL):
+    """``query_id, chunk_id, names..., n``: raw signals of every passage and document, made where the documents are, stored.
+
+    ``mixture`` makes ``mrf`` of the features (the usual mixture unless given).
     """
-    i = index(spark, sf)
-    parts, base = L.likelihood_parts(i)
-    f = L.mrf_features(i, windows, *parts, L.keyword_part(i, chunk_words(spark, sf)))
-    f = f.join(i.sent(base), "query_id", "left").join(embedding_scores(spark, sf), "chunk_id")
-    if score is not None:
-        f = f.join(i.sent(query_words(spark, sf)), "query_id")
-    mrf = L.mixed() if score is None else score
-    nine = lambda c, name: F.round(c, 9).alias(name)
-    return stored(f.select("query_id", "chunk_id", "emb", nine(L.likelihood(), "qlm"), nine(mrf, "mrf"), nine(L.keyword(), "kw"), "n"), "signals")
+    return stored(retrieval(spark, sf).signals(list(names), mixture or R.plain_mixture()), "signals")
 
 
 def signals_cte(*windows: int) -> str:
@@ -79,7 +85,7 @@ def _range(c: str) -> str:
 
 
 def one(spark, sf, name):
-    return signals(spark, sf).select("query_id", "chunk_id", F.col(name).alias("score"))
+    return signals(spark, sf, names=[name]).select("query_id", "chunk_id", F.col(name).alias("score"))
 
 
 @query("normalize_zscore", f"WITH {SIGNALS} SELECT query_id, chunk_id, {_z('mrf')} AS score FROM s", "score")
@@ -117,7 +123,7 @@ _INTELLIGENT = f"{SIGNALS}, r AS (SELECT query_id, chunk_id, {_robust('mrf')} AS
 
 @query("normalize_intelligent", f"WITH {_INTELLIGENT} SELECT * FROM i", "mrf emb")
 def normalize_intelligent(spark, sf):
-    return N.normalize_intelligent(signals(spark, sf).select("query_id", "chunk_id", "mrf", "emb"), ["mrf", "emb"], BY)
+    return N.normalize_intelligent(signals(spark, sf, names=["mrf", "emb"]).select("query_id", "chunk_id", "mrf", "emb"), ["mrf", "emb"], BY)
 
 
 _ROW = """m AS (SELECT *, (emb + qlm + mrf + kw) / 4 AS mean FROM s), d AS (SELECT *, sqrt(((emb - mean) ** 2 + (qlm - mean) ** 2 + (mrf - mean) ** 2 + (kw - mean) ** 2) / 4) AS sd FROM m),
@@ -158,7 +164,7 @@ def ranked_sql(score: str, source: str, k: int) -> str:
 
 @query("rank_by_score", f"WITH {SIGNALS} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(qlm, 6) DESC, chunk_id) AS rank FROM s")
 def rank_by_score(spark, sf):
-    return ranking.rank_by(signals(spark, sf).select("query_id", "chunk_id", "qlm"), BY, "qlm").select("query_id", "chunk_id", "rank")
+    return ranking.rank_by(signals(spark, sf, names=["qlm"]), BY, "qlm").select("query_id", "chunk_id", "rank")
 
 
 @query("argsort_rank", f"WITH {EMBEDDINGS} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(emb, 6) DESC, chunk_id) AS rank FROM s")
@@ -168,7 +174,36 @@ def argsort_rank(spark, sf):
 
 @query("top_k", f"WITH {SIGNALS} {ranked_sql('qlm', 's', 10)}", "score")
 def top_k(spark, sf):
-    return _top(signals(spark, sf), F.col("qlm"), 10)
+    return found(retrieval(spark, sf).top(10, only("qlm"), ["qlm"], rising="qlm"))
+
+
+def only(name):
+    return lambda signals, queries: signals[name]
+
+
+def found(df):
+    return df.select("query_id", "chunk_id", "score", "rank")
+
+
+def blended(spark, sf, weigh, mixture=None, more=None, k=5):
+    """The k best by two z-scored signals, mrf and emb; ``weigh(queries)`` gives the weights of both, by query or for all.
+
+    Means and deviations take a pass of their own; with them a score never falls as mrf grows, so the second pass can leave out most documents.
+    """
+    r, mixture = retrieval(spark, sf, more), mixture or R.plain_mixture()
+    m = r.moments("mrf", mixture)
+    mean, sd = r.stored_docs.agg(F.avg("emb"), F.stddev_pop("emb")).first()
+
+    def z(x, mean, sd):
+        flat = np.round(sd, 12) == 0
+        return np.where(flat, 0.0, np.clip((x - mean) / np.where(flat, 1.0, sd), -3, 3))
+
+    def score(signals, queries):
+        own = np.array([m[i] for i in queries.ids]).reshape(-1, 2)
+        wm, we = (np.reshape(w, (-1, 1)) for w in weigh(queries))
+        return wm * z(signals["mrf"], own[:, :1], own[:, 1:]) + we * z(signals["emb"], mean or 0.0, sd or 0.0)
+
+    return found(r.top(k, score, ["mrf", "emb"], mixture, rising="mrf"))
 
 
 def _top(df, score, k):
@@ -198,24 +233,23 @@ def search_single_model(spark, sf):
 
 @query("search_mrf", f"WITH {SIGNALS} {ranked_sql('mrf', 's', 5)}", "score")
 def search_mrf(spark, sf):
-    return _top(signals(spark, sf), F.col("mrf"), 5)
+    return found(retrieval(spark, sf).top(5, only("mrf"), ["mrf"], rising="mrf"))
 
 
 @query("search_keywords", f"WITH {SIGNALS} {ranked_sql('kw', 's', 5)}", "score")
 def search_keywords(spark, sf):
-    return _top(signals(spark, sf), F.col("kw"), 5)
+    return found(retrieval(spark, sf).top(5, only("kw"), ["kw"]))
 
 
 _ZME = f"z AS (SELECT query_id, chunk_id, n, {_z('mrf')} AS zm, {_z('emb')} AS ze FROM s)"
 
 
-def z_scored(df, mrf="mrf"):
-    return N.normalize_all(df, [mrf, "emb"], BY)
+SIX_FOUR = lambda queries: (0.6, 0.4)
 
 
 @query("search_mrf_emb", f"WITH {SIGNALS}, {_ZME} {ranked_sql('(0.6 * zm + 0.4 * ze)', 'z', 5)}", "score")
 def search_mrf_emb(spark, sf):
-    return _top(z_scored(signals(spark, sf)), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
+    return blended(spark, sf, SIX_FOUR)
 
 
 _AW = "(CASE WHEN n <= 3 THEN 0.4 WHEN n <= 6 THEN 0.5 WHEN n <= 10 THEN 0.7 ELSE 0.8 END * zm + CASE WHEN n <= 3 THEN 0.6 WHEN n <= 6 THEN 0.5 WHEN n <= 10 THEN 0.3 ELSE 0.2 END * ze)"
@@ -224,7 +258,8 @@ _AW = "(CASE WHEN n <= 3 THEN 0.4 WHEN n <= 6 THEN 0.5 WHEN n <= 10 THEN 0.7 ELS
 @query("search_mrf_emb_adaptive", f"WITH {SIGNALS}, {_ZME} {ranked_sql(_AW, 'z', 5)}", "score")
 def search_mrf_emb_adaptive(spark, sf):
     m, e = N.adaptive_weights(F.col("n"))
-    return _top(z_scored(signals(spark, sf)), m * F.col("mrf") + e * F.col("emb"), 5)
+    lengths = asked(spark, sf).select("query_id", F.size(tokenize(F.col("text"))).alias("n"))
+    return blended(spark, sf, lambda queries: (queries.extra["wm"], queries.extra["we"]), more=lengths.select("query_id", m.alias("wm"), e.alias("we")))
 
 
 def _other_mrf(name: str, cte: str, *windows: int) -> str:
@@ -233,17 +268,17 @@ def _other_mrf(name: str, cte: str, *windows: int) -> str:
 
 @query("search_mrf_emb_windows", f"WITH {_other_mrf('optimized', OPTIMIZED, 3, 4, 5, 6, 7, 8, 9)} {ranked_sql('(0.6 * zm + 0.4 * ze)', 'z', 5)}", "score")
 def search_mrf_emb_windows(spark, sf):
-    return _top(z_scored(signals(spark, sf, L.optimized(), L.OPTIMIZED_SIZES)), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
+    return blended(spark, sf, SIX_FOUR, R.optimized_mixture)
 
 
 @query("search_mrf_emb_ensemble", f"WITH {_other_mrf('ensemble', ENSEMBLE, 4, 6, 8, 10, 12)} {ranked_sql('(0.6 * zm + 0.4 * ze)', 'z', 5)}", "score")
 def search_mrf_emb_ensemble(spark, sf):
-    return _top(z_scored(signals(spark, sf, L.ensemble(), L.ENSEMBLE_SIZES)), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
+    return blended(spark, sf, SIX_FOUR, R.ensemble_mixture)
 
 
 @query("search_mrf_emb_robust", f"WITH {_INTELLIGENT} {ranked_sql('(0.6 * mrf + 0.4 * emb)', 'i', 5)}", "score")
 def search_mrf_emb_robust(spark, sf):
-    return _top(N.normalize_intelligent(signals(spark, sf).select("query_id", "chunk_id", "mrf", "emb"), ["mrf", "emb"], BY), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
+    return _top(N.normalize_intelligent(signals(spark, sf, names=["mrf", "emb"]).select("query_id", "chunk_id", "mrf", "emb"), ["mrf", "emb"], BY), N.combine({"mrf": 0.6, "emb": 0.4}), 5)
 
 
 _HYBRID = f"{SIGNALS}, h AS (SELECT query_id, chunk_id, emb, qlm, kw, round(0.7 * u + 0.2 * o + 0.1 * x, 9) AS mrf FROM s JOIN feat USING (query_id, chunk_id)), {_ROW.replace('FROM s)', 'FROM h)')}"
@@ -252,8 +287,15 @@ _HYBRID = f"{SIGNALS}, h AS (SELECT query_id, chunk_id, emb, qlm, kw, round(0.7
 @query("search_lexical_hybrid", f"WITH {_HYBRID} {ranked_sql('(0.4 * kw + 0.3 * emb + 0.2 * mrf + 0.1 * qlm)', 'rz', 5)}", "score")
 def search_lexical_hybrid(spark, sf):
     """Keywords .4, embedding .3, dependence model .2 (its features at .7, .2, .1) and likelihood .1, each z-scored within its row."""
-    s = signals(spark, sf, L.mixed((0.7, 0.2, 0.1))).select("query_id", "chunk_id", "emb", "qlm", "mrf", "kw")
-    return _top(N.row_zscore(s, ["emb", "qlm", "mrf", "kw"]), N.combine({"kw": 0.4, "emb": 0.3, "mrf": 0.2, "qlm": 0.1}), 5)
+
+    def score(signals, queries):
+        rows = np.stack([signals[c] for c in ALL])
+        mean, sd = rows.mean(0), rows.std(0)
+        flat = np.round(sd, 12) == 0
+        e, q, m, w = np.where(flat, 0.0, np.clip((rows - mean) / np.where(flat, 1.0, sd), -3, 3))
+        return 0.4 * w + 0.3 * e + 0.2 * m + 0.1 * q
+
+    return found(retrieval(spark, sf).top(5, score, ALL, R.plain_mixture(0.7, 0.2, 0.1)))
 
 
 @query("doc_max_pool", f"WITH {SIGNALS} SELECT query_id, doc, score, chunk_id FROM (SELECT query_id, doc, qlm AS score, chunk_id, row_number() OVER (PARTITION BY query_id, doc ORDER BY round(qlm, 6) DESC, chunk_id) AS r FROM s) WHERE r = 1", "score")

@@ -14,8 +14,8 @@ from ..operators import fusion as N
 from ..operators import graph as G
 from ..operators import ranking
 from ..operators.keep import stored
-from .common import chunk_vectors, chunks, table
-from .fusion import SIGNALS, _z, signals
+from .common import asked, chunk_vectors, chunks, table
+from .fusion import SIGNALS, _z, only, retrieval
 from .registry import query
 
 #: The reference's candidates, seeds and results of a query.
@@ -24,7 +24,7 @@ K_PRIME, SEEDS, K = 100, 3, 30
 
 def nodes(spark, sf, k_prime=K_PRIME):
     """``query_id, chunk_id, doc, position, embedding, emb, qlm, mrf, rank``, stored: the graph, its seeds and the scores all start from them."""
-    best = stored(ranking.top_k(signals(spark, sf), k_prime, ["query_id"], "qlm"), "best")
+    best = stored(retrieval(spark, sf).top(k_prime, only("qlm"), ["qlm"], rising="qlm", carry=["emb", "qlm", "mrf"]).drop("score"), "best")
     placed = chunks(spark, sf).select("chunk_id", "doc", "position")
     return stored(best.join(placed, "chunk_id").join(chunk_vectors(spark, sf).withColumnRenamed("v", "embedding"), "chunk_id"), "nodes")
 
@@ -67,12 +67,9 @@ def link_edges(spark, sf):
 
 @query("seed_semi_join", f"WITH {GRAPH} SELECT query_id, chunk_id FROM node WHERE rank <= 3")
 def seed_semi_join(spark, sf):
+    """Seeds that are nodes of their query's graph."""
     n = nodes(spark, sf)
-    wanted = signals(spark, sf).select("query_id", "chunk_id")
-    return wanted.join(n.where(F.col("rank") <= SEEDS), ["query_id", "chunk_id"], "left_semi")
-
-
-_CONV = """cn AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)"""
+    return n.where(F.col("rank") <= SEEDS).select("query_id", "chunk_id").join(n.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
 
 
 @query("graph_enhanced", f"""WITH {GRAPH}, place AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY position, chunk_id) AS rn FROM node),
@@ -127,7 +124,8 @@ def ppr_stochastic(spark, sf):
 def ppr_scores_for_candidates(spark, sf):
     """Every candidate; one outside the graph scores 0."""
     p = ppr_raw(spark, sf)
-    return signals(spark, sf).select("query_id", "chunk_id").join(p, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    every = asked(spark, sf).select("query_id").crossJoin(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id")))
+    return every.join(p, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def ppr_raw(spark, sf, n=None):

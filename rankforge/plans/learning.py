@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion as N
 from ..operators import learning
-from ..operators import lexical as L
+from ..operators import retrieval as R
 from ..operators.keep import stored
-from .common import chunk_vectors
 from .evaluation import POSITIONS, positions
-from .fusion import _other_mrf, _top, ranked_sql, signals
+from .fusion import _other_mrf, found, ranked_sql, retrieval
 from .lexical import ENSEMBLE
 from .registry import query
 from .text import PATTERN_SQL, patterns
@@ -71,6 +70,8 @@ def search_mrf_emb_learning(spark, sf):
     seen = F.col("n_similar") > 0
     weights = learning.history_weights(features, known_patterns(spark), none).join(features.select("query_id", "n_words"), "query_id")
     weights = weights.select("query_id", F.when(seen, F.col("mrf_weight")).otherwise(m).alias("wm"), F.when(seen, F.col("emb_weight")).otherwise(e).alias("we"))
-    has = chunk_vectors(spark, sf).select("chunk_id", F.col("v").isNotNull().alias("has"))
-    s = signals(spark, sf, L.ensemble(), L.ENSEMBLE_SIZES).join(weights, "query_id").join(has, "chunk_id")
-    return _top(s, F.col("wm") * F.col("mrf") + F.col("we") * F.when(F.col("has"), F.col("emb")).otherwise(0.0), 5)
+
+    def score(signals, queries):
+        return queries.extra["wm"][:, None] * signals["mrf"] + queries.extra["we"][:, None] * signals["emb"] * signals["has"]
+
+    return found(retrieval(spark, sf, weights).top(5, score, ["mrf", "emb", "has"], R.ensemble_mixture, rising="mrf"))
