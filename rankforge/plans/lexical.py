@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import whitespace_words
+from ..functions.text import tokenize, whitespace_words
 from ..operators import lexical as L
-from .common import CTE, asked, index, mrf_cte, texts
+from ..operators import subwords as S
+from .common import CTE, asked, index, mrf_cte, spread, texts
 from .registry import query
 
 _DIRICHLET = f"""
@@ -176,3 +177,23 @@ def keyword_match(spark, sf):
 @query("keyword_score", f'WITH {CTE}, {KEYWORDS} SELECT query_id, chunk_id, 0.4 * matches + 0.4 * "unique" + 20 * frequency AS score FROM keywords', "score")
 def keyword_score(spark, sf):
     return L.keyword_score(index(spark, sf), chunk_words(spark, sf))
+
+
+_RUNS = r"""r AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS n_words, regexp_extract_all(lower(text), '([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)') AS runs FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, n_words, unnest(runs) AS word, unnest(range(1, len(runs) + 1)) AS i FROM r),
+    p AS (SELECT doc_id, n_words, word, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS place FROM u),
+    a AS (SELECT DISTINCT query_id, term AS word FROM (SELECT query_id, unnest(toks) AS term FROM q WHERE query_id % 50 = 0) WHERE length(term) > 2)"""
+
+
+@query(
+    "keyword_places",
+    f"""WITH {CTE}, {_RUNS} SELECT query_id, doc_id AS chunk_id, word, count(*) AS count, count(*)::DOUBLE / n_words AS frequency, array_to_string(list(place::BIGINT ORDER BY place), ' ') AS places
+    FROM p JOIN a USING (word) GROUP BY query_id, doc_id, word, n_words""",
+    "frequency",
+)
+def keyword_places(spark, sf):
+    """Where each word of a query stands in each text, for every query whose id is divisible by 50 against all texts."""
+    few = asked(spark, sf).where(F.col("query_id") % 50 == 0)
+    words = few.select(F.explode(tokenize(F.col("text"))).alias("word")).where(F.length("word") > 2)
+    made = S.keyword_places(few, S.word_places(spread(texts(spark, sf)), words), tokenize(F.col("text")))
+    return made.withColumn("places", F.array_join(F.col("places").cast("array<string>"), " "))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import asked, table, texts, tokens, toks
+from ..operators import subwords as S
+from .common import asked, spread, table, texts, tokens, toks
 from .registry import query
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')"
@@ -104,6 +105,14 @@ def chunk_model_tokens(spark, sf):
     return e.select("chunk_id", F.col("x.position").alias("position"), F.array_join("x.items", " ").alias("text"), "chunk_index", "total_chunks", rel.alias("rel_position"))
 
 
+@query("chunk_subword_tokens")
+def chunk_subword_tokens(spark, sf):
+    """Windows of 384 sub-words, 128 shared, with their places in the raw text; tests hold it against a plain loop."""
+    import public_tokenizers
+
+    return S.subword_windows(S.piece_offsets(spread(texts(spark, sf)), str(public_tokenizers.path("byte_bpe_50k.json"))))
+
+
 @query(
     "chunk_sentences",
     rf"""WITH RECURSIVE s AS (SELECT doc_id, {_SENTENCES} AS parts FROM documents),
