@@ -10,20 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keep import stored
+from .quantiles import exact_quantiles
 
 #: Groups up to this number (a few numbers each) are sent to every task.
 SMALL_GROUPS = 100_000
 
 
-def _with_stats(df: DataFrame, columns: list[str], by: list[str], made: dict) -> tuple[DataFrame, list[str]]:
-    """``df`` with ``made``'s statistics (name -> aggregate of a column) of each column, as ``_<column>_<name>``."""
+def _with_stats(df: DataFrame, columns: list[str], by: list[str], made: dict, shares: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``made``'s statistics (name -> aggregate of a column) and the quantiles ``shares`` of each column, as ``_<column>_<name>``."""
     names = {f"_{c}_{n}": f(c) for c in columns for n, f in made.items()}
-    stats = stored(df.groupBy(*by).agg(*[x.alias(n) for n, x in names.items()]), "stats")
+    stats = df.groupBy(*by).agg(*[x.alias(n) for n, x in names.items()])
+    if shares:
+        quantiles = exact_quantiles(df, columns, by, shares)
+        quantiles = quantiles.select(*by, *[F.col(f"{c}_{n}").alias(f"_{c}_{n}") for c in columns for n in shares])
+        stats, names = stats.join(quantiles, by), {**names, **{f"_{c}_{n}": None for c in columns for n in shares}}
+    stats = stored(stats, "stats")
     return df.join(F.broadcast(stats) if stats.count() <= SMALL_GROUPS else stats, by), list(names)
 
 
 _RANGE = {"min": F.min, "max": F.max}
-_QUARTILES = {**_RANGE, "p25": lambda c: F.percentile(c, 0.25), "p75": lambda c: F.percentile(c, 0.75)}
+_QUARTILES = {"p25": 0.25, "p75": 0.75}
 
 
 def _span(c: str, x: Column, constant: float, low: float = 0.0, high: float = 1.0, edge=lambda v: v) -> Column:
@@ -56,7 +62,7 @@ def _robust(c: str, x: Column, clip: float = 2.0) -> Column:
 
 def robust(df: DataFrame, columns: list[str], by: list[str], clip: float = 2.0) -> DataFrame:
     """(x - p25) / IQR, clipped; min-max where the IQR is 0; 0 for constants."""
-    rows, extra = _with_stats(df, columns, by, _QUARTILES)
+    rows, extra = _with_stats(df, columns, by, _RANGE, _QUARTILES)
     return rows.withColumns({c: _robust(c, F.col(c), clip) for c in columns}).drop(*extra)
 
 
@@ -74,7 +80,7 @@ def normalize_all(df: DataFrame, columns: list[str], by: list[str], method: str
 
 def normalize_intelligent(df: DataFrame, columns: list[str], by: list[str], low: float = 0.3, high: float = 0.7) -> DataFrame:
     """Robust, then scaled to a range. The first step keeps the order, so its extremes are those of the scores."""
-    rows, extra = _with_stats(df, columns, by, _QUARTILES)
+    rows, extra = _with_stats(df, columns, by, _RANGE, _QUARTILES)
     both = lambda c: _span(c, _robust(c, F.col(c)), (low + high) / 2, low, high, edge=lambda v: _robust(c, v))
     return rows.withColumns({c: both(c) for c in columns}).drop(*extra)
 

@@ -21,6 +21,28 @@ def rank_by(df: DataFrame, by: list[str], score: str = "score", tie: list[str] |
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*_order(score, tie or ["chunk_id"], digits, descending))))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """1..n inside each ``by`` in ``order`` (total, but for rows that may change places), without a group in one task.
+
+    Rows are dealt to ranges of (by, order), so a large group is spread over many of them; each range numbers its own rows, and the counts
+    of the ranges before, a row for each range and group, move the numbers on.
+    """
+    first = [F.col(b).asc_nulls_first() for b in by]
+    dealt = df.repartitionByRange(*first, *order, F.monotonically_increasing_id()).sortWithinPartitions(*first, *order)
+    dealt = stored(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    counts = dealt.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = stored(counts.select(F.col("_range").alias("_r"), *[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], (before - F.col("_first") + 1).alias("_move")), "moves")
+    same = [F.col("_range") == F.col("_r"), *[F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]]
+    joined = dealt.join(F.broadcast(moved) if moved.count() <= SMALL_GROUPS else moved, same)
+    return joined.select(*[F.col(c) for c in df.columns if c != name], (F.col("_at") + F.col("_move")).alias(name))
+
+
+def rank_all(df: DataFrame, by: list[str], score: str = "score", tie: list[str] | None = None, digits: int = 6, descending: bool = True, name: str = "rank") -> DataFrame:
+    """``rank_by`` for groups of any size, where every row is asked for."""
+    return numbered(df, by, _order(score, tie or ["chunk_id"], digits, descending), name)
+
+
 def top_k(df: DataFrame, k: int, by: list[str], score: str = "score", tie: list[str] | None = None, digits: int = 6, descending: bool = True) -> DataFrame:
     """The first ``k`` of each ``by``; Spark keeps only k rows a task and group before the exchange."""
     return rank_by(df, by, score, tie, digits, descending).where(F.col("rank") <= k)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..operators.lexical import Index
+from ..operators.ranking import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``chunk_id, doc, position, text``: a document is a chunk of its source."""
-    d = table(spark, sf_dir, "documents")
-    position = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), position.alias("position"), "text")
+    """``chunk_id, doc, text``: a document is a chunk of its source."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), "text")
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunk_id, doc, position``: chunks numbered from 0 inside their source."""
+    made = numbered(chunks(spark, sf_dir).select("chunk_id", "doc"), ["doc"], [F.col("chunk_id")], "position")
+    return made.withColumn("position", F.col("position") - 1)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

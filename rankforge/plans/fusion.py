@@ -164,12 +164,12 @@ def ranked_sql(score: str, source: str, k: int) -> str:
 
 @query("rank_by_score", f"WITH {SIGNALS} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(qlm, 6) DESC, chunk_id) AS rank FROM s")
 def rank_by_score(spark, sf):
-    return ranking.rank_by(signals(spark, sf, names=["qlm"]), BY, "qlm").select("query_id", "chunk_id", "rank")
+    return ranking.rank_all(signals(spark, sf, names=["qlm"]), BY, "qlm").select("query_id", "chunk_id", "rank")
 
 
 @query("argsort_rank", f"WITH {EMBEDDINGS} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(emb, 6) DESC, chunk_id) AS rank FROM s")
 def argsort_rank(spark, sf):
-    return ranking.rank_by(embedding_pairs(spark, sf), BY, "emb").select("query_id", "chunk_id", "rank")
+    return ranking.rank_all(embedding_pairs(spark, sf), BY, "emb").select("query_id", "chunk_id", "rank")
 
 
 @query("top_k", f"WITH {SIGNALS} {ranked_sql('qlm', 's', 10)}", "score")

@@ -14,7 +14,7 @@ from ..operators import fusion as N
 from ..operators import graph as G
 from ..operators import ranking
 from ..operators.keep import stored
-from .common import asked, chunk_vectors, chunks, table
+from .common import asked, chunk_vectors, placed, table
 from .fusion import SIGNALS, _z, only, retrieval
 from .registry import query
 
@@ -25,8 +25,7 @@ K_PRIME, SEEDS, K = 100, 3, 30
 def nodes(spark, sf, k_prime=K_PRIME):
     """``query_id, chunk_id, doc, position, embedding, emb, qlm, mrf, rank``, stored: the graph, its seeds and the scores all start from them."""
     best = stored(retrieval(spark, sf).top(k_prime, only("qlm"), ["qlm"], rising="qlm", carry=["emb", "qlm", "mrf"]).drop("score"), "best")
-    placed = chunks(spark, sf).select("chunk_id", "doc", "position")
-    return stored(best.join(placed, "chunk_id").join(chunk_vectors(spark, sf).withColumnRenamed("v", "embedding"), "chunk_id"), "nodes")
+    return stored(best.join(placed(spark, sf), "chunk_id").join(chunk_vectors(spark, sf).withColumnRenamed("v", "embedding"), "chunk_id"), "nodes")
 
 
 def links(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import pairwise, ranking
+from ..operators.quantiles import exact_quantiles
 from ..operators.keep import shared_folder, stored
 from ..operators.stats import tfidf_smooth, top_unique_terms
 from .common import table, vectors
@@ -239,10 +240,11 @@ def prep_report(spark, sf):
     """Lengths of the texts, difficulty of the pairs, and the share of chunks that some pair uses."""
     from ..functions.text import whitespace_words
 
-    five = lambda c, name: [F.avg(c).alias(f"mean_{name}"), F.stddev_pop(c).alias(f"std_{name}"), F.min(c).alias(f"min_{name}"), F.max(c).alias(f"max_{name}"), F.percentile(c, 0.5).alias(f"median_{name}")]
-    n = table(spark, sf, "documents").select(F.size(whitespace_words(F.col("text"))).cast("long").alias("n"))
+    five = lambda c, name: [F.avg(c).alias(f"mean_{name}"), F.stddev_pop(c).alias(f"std_{name}"), F.min(c).alias(f"min_{name}"), F.max(c).alias(f"max_{name}")]
+    median = lambda df, c, name: exact_quantiles(df, [c], [], {"median": 0.5}).select(F.col(f"{c}_median").alias(f"median_{name}"))
+    n = stored(table(spark, sf, "documents").select(F.size(whitespace_words(F.col("text"))).cast("long").alias("n")), "lengths")
     pairs = stored(blocked(spark, sf), "pairs")
     used = pairs.select(F.explode(F.array("anchor", "positive", "negative")).alias("id")).distinct().agg(F.count(F.lit(1)).alias("_used"))
     every = chunk_table(spark, sf).agg(F.count(F.lit(1)).alias("_all"))
-    out = n.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("total_words"), *five("n", "words")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("n_pairs"), *five("difficulty", "difficulty"))).crossJoin(used).crossJoin(every)  # one row each
+    out = n.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("total_words"), *five("n", "words")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("n_pairs"), *five("difficulty", "difficulty"))).crossJoin(median(n, "n", "words")).crossJoin(median(pairs, "difficulty", "difficulty")).crossJoin(used).crossJoin(every)  # one row each
     return out.withColumn("coverage", F.col("_used") / F.col("_all")).drop("_used", "_all")
