@@ -7,28 +7,70 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+
+def with_links(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``nodes`` with ``links``: the chunks each one is linked with, either way, as often as it is."""
+    if links is None:
+        return nodes.withColumn("links", F.array().cast(f"array<{nodes.schema['chunk_id'].dataType.simpleString()}>"))
+    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).join(nodes.select(F.col("chunk_id").alias("src")).distinct(), "src", "left_semi")
+    listed = both.groupBy(F.col("src").alias("chunk_id")).agg(F.collect_list("dst").alias("links"))
+    return nodes.join(listed, "chunk_id", "left")
+
+
+def _dense(own: pd.DataFrame, weights: tuple[float, float, float], keep: float, decay: float) -> np.ndarray:
+    """The symmetric weights of one query's candidates, in their order; 0 where there is no edge."""
+    n, filled = len(own), [e for e in own["embedding"] if e is not None]
+    v = np.zeros((n, len(filled[0]) if filled else 1))
+    for i, e in enumerate(own["embedding"]):
+        if e is not None:
+            v[i] = e
+    norm = np.sqrt((v * v).sum(1))
+    near = np.divide(v @ v.T, norm[:, None] * norm[None, :], out=np.zeros((n, n)), where=norm[:, None] * norm[None, :] > 0)
+    doc, place = pd.factorize(own["doc"])[0], own["position"].to_numpy(np.float64)
+    inside = np.where((doc[:, None] == doc[None, :]) & (doc[:, None] >= 0), np.exp(-np.abs(place[:, None] - place[None, :]) / decay), 0.0)
+    ids = own["chunk_id"].to_numpy()
+    linked = np.zeros((n, n))
+    order = np.argsort(ids, kind="stable")
+    for i, other in enumerate(own["links"]):
+        if other is not None and len(other):
+            at = np.searchsorted(ids[order], other)
+            at = order[at[(at < n) & (ids[order][np.minimum(at, n - 1)] == other)]]
+            np.add.at(linked[i], at, 1.0)
+    made = np.round(weights[0] * near + weights[1] * inside + weights[2] * linked, 9)
+    return np.where((made > keep) & (ids[:, None] != ids[None, :]), made, 0.0)
 
 
 def build_graph(nodes: DataFrame, links: DataFrame | None = None, weights: tuple[float, float, float] = (0.6, 0.25, 0.15), keep: float = 0.01, decay: float = 5.0) -> DataFrame:
     """``query_id, src, dst, weight`` over ``nodes(query_id, chunk_id, doc, position, embedding)``.
 
-    alpha * cosine + beta * exp(-distance / 5) inside a document + gamma for each link either way. Weights are
-    symmetric, so pairs are made once and mirrored. A query's nodes are its candidates, a bounded list.
+    alpha * cosine + beta * exp(-distance / 5) inside a document + gamma for each link either way. A query's nodes are its
+    candidates, a bounded list, whose weights are one small matrix in one task.
     """
-    a = nodes.select("query_id", F.col("chunk_id").alias("src"), F.col("doc").alias("d1"), F.col("position").alias("p1"), F.col("embedding").alias("e1"))
-    b = nodes.select("query_id", F.col("chunk_id").alias("dst"), F.col("doc").alias("d2"), F.col("position").alias("p2"), F.col("embedding").alias("e2"))
-    pairs = a.join(b, "query_id").where("src < dst")
-    near = F.coalesce(cosine(F.col("e1"), F.col("e2")), F.lit(0.0))
-    inside = F.when(F.col("d1") == F.col("d2"), F.exp(-F.abs(F.col("p1") - F.col("p2")) / decay)).otherwise(F.lit(0.0))
-    linked = F.lit(0.0)
-    if links is not None:
-        both = links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_links"))
-        pairs = pairs.join(both, ["src", "dst"], "left")
-        linked = F.coalesce("n_links", F.lit(0)).cast("double")
-    weight = weights[0] * near + weights[1] * inside + weights[2] * linked
-    half = pairs.select("query_id", "src", "dst", F.round(weight, 9).alias("weight")).where(F.col("weight") > keep)
-    return half.unionByName(half.select("query_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+    def edges(key, own):
+        w, ids = _dense(own, weights, keep, decay), own["chunk_id"].to_numpy()
+        i, j = np.nonzero(w)
+        return pd.DataFrame({"query_id": key[0], "src": ids[i], "dst": ids[j], "weight": w[i, j]})
+
+    kind = nodes.schema["chunk_id"].dataType.simpleString()
+    rows = with_links(nodes.select("query_id", "chunk_id", "doc", "position", "embedding"), links)
+    return rows.groupBy("query_id").applyInPandas(edges, f"query_id {nodes.schema['query_id'].dataType.simpleString()}, src {kind}, dst {kind}, weight double")
+
+
+def ppr_of_nodes(nodes: DataFrame, links: DataFrame | None, n_seeds: int, damping: float = 0.85, tol: float = 1e-6, iterations: int = 100, weights: tuple[float, float, float] = (0.6, 0.25, 0.15), keep: float = 0.01, decay: float = 5.0) -> DataFrame:
+    """``ppr`` of ``build_graph`` with the ``n_seeds`` first by ``rank``: each query's graph is made and solved in one task, and no edge leaves it."""
+
+    def solve(key, own):
+        own = own.drop_duplicates("chunk_id").sort_values("chunk_id", ignore_index=True)
+        src, dst = np.nonzero(w := _dense(own, weights, keep, decay))
+        seed = (own["rank"] <= n_seeds).to_numpy()
+        restart = seed / max(1, seed.sum())
+        p = pagerank(src, dst, w[src, dst], restart, damping, tol, iterations) if seed.any() else np.zeros(len(own))
+        return pd.DataFrame({"query_id": key[0], "chunk_id": own["chunk_id"], "score": p})
+
+    kinds = [f"{c} {nodes.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id")]
+    rows = with_links(nodes.select("query_id", "chunk_id", "doc", "position", "embedding", "rank"), links)
+    return rows.groupBy("query_id").applyInPandas(solve, f"{', '.join(kinds)}, score double")
 
 
 def graph_enhanced(nodes: DataFrame, edges: DataFrame, decay: float = 5.0, beta: float = 0.25, reach: int = 2) -> DataFrame:

@@ -129,7 +129,7 @@ def ppr_scores_for_candidates(spark, sf):
 
 def ppr_raw(spark, sf, n=None):
     n = nodes(spark, sf) if n is None else n
-    return G.ppr(n, edges(spark, sf, n), n.where(F.col("rank") <= SEEDS))
+    return G.ppr_of_nodes(n, links(spark, sf), SEEDS)
 
 
 @query("l1_diff", f"WITH RECURSIVE {GRAPH}, {_iterated(_RESTART)} SELECT query_id, sum(abs(pr.p - start.r)) AS l1 FROM pr JOIN start USING (query_id, chunk_id) GROUP BY ALL", "l1")
