@@ -66,7 +66,6 @@ def augmented_eval(spark, sf):
     return E.topn_accuracy(first_position(scores, relevant, ["query_id"]), [])
 
 
-@query("sample_sentences")
 def sample_sentences(spark, sf):
     """A thousand sentences: the samples, and each of four ways to introduce them."""
     times = 1000 // (5 * len(TEXTS))

@@ -83,7 +83,6 @@ def union_docs(spark, sf):
     return doc_ranked(spark, sf).select("query_id", "doc").distinct()
 
 
-@query("model_pairs", "SELECT a.m AS a, b.m AS b FROM (SELECT unnest(['even', 'odd', 'full']) AS m) a JOIN (SELECT unnest(['even', 'odd', 'full']) AS m) b ON a.m < b.m")
 def model_pairs(spark, sf):
     m = spark.createDataFrame([("even",), ("odd",), ("full",)], "a string")
     return m.join(m.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
@@ -99,7 +98,6 @@ def grid(spark):
     return m.crossJoin(m.withColumnRenamed("ax", "bx")).select("ax", "bx", (F.col("ax") * WEIGHTS["even"]).alias("even"), (F.col("bx") * WEIGHTS["odd"]).alias("odd"))
 
 
-@query("weight_grid", f"WITH {_GRID} SELECT ax, bx, even / (even + odd) AS even, odd / (even + odd) AS odd FROM g", "ax bx even odd")
 def weight_grid(spark, sf):
     total = F.col("even") + F.col("odd")
     return grid(spark).select("ax", "bx", (F.col("even") / total).alias("even"), (F.col("odd") / total).alias("odd"))
@@ -116,7 +114,6 @@ def weight_search(spark, sf):
     return r.groupBy("ax", "bx").agg(F.avg(F.when(F.col("doc") == F.col("query_id") % 20, 1.0).otherwise(0.0)).alias("acc1"))
 
 
-@query("param_grid", "SELECT a AS normalize, b::BIGINT AS batch FROM (SELECT a, b, row_number() OVER (ORDER BY a, b) AS r FROM (SELECT unnest(['l2', 'none', 'z']) AS a) CROSS JOIN (SELECT unnest([8, 16, 32, 64]) AS b)) WHERE r % 2 = 1")
 def param_grid(spark, sf):
     g = spark.createDataFrame([("l2",), ("none",), ("z",)], "normalize string").crossJoin(spark.createDataFrame([(8,), (16,), (32,), (64,)], "batch int"))
     return ranking.rank_by(g.withColumn("one", F.lit(1)), ["one"], "one", ["normalize", "batch"]).where("rank % 2 = 1").select("normalize", "batch")

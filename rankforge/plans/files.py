@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.keep import shared_folder
-from ..sources import files, synthetic
+from ..sources import files, npz, synthetic
 from .common import qrels, table
 from .registry import query
 
@@ -98,6 +98,21 @@ def sink_npz(spark, sf):
     return spark.read.parquet(path).select("vec_id", F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+@query("src_npz", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]) + 1e-10, 6) + 0.0 AS total, 'whole' AS expansion, 64 AS dims FROM embeddings WHERE embedding IS NOT NULL")
+def src_npz(spark, sf):
+    """Vectors with their keys and configuration, written as archives and read back, each archive by its own task."""
+    npz.register(spark)
+    path = fresh(spark, "npz")
+    rows = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>"))
+    rows.write.format("npz").option("config", '{"expansion": "whole", "dims": 64}').mode("append").save(path)
+    back = spark.read.format("npz").load(path)
+    one = lambda name: back.where(F.col("array") == name)
+    keys = one("embeddings_keys").select("file", "row", F.get("numbers", F.lit(0)).cast("long").alias("vec_id"))
+    config = one("embeddings_config").select("file", F.from_json(F.get("texts", F.lit(0)), "expansion string, dims int").alias("c"))
+    total = F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x).alias("total")
+    return one("embeddings").select("file", "row", total).join(keys, ["file", "row"]).join(config, "file").select("vec_id", "total", "c.expansion", "c.dims")
+
+
 @query("src_models_dir", "SELECT kind, model, number, row_number() OVER (PARTITION BY kind ORDER BY number, model) AS rank FROM (SELECT source AS kind, 'model-0_' || lpad((doc_id * 7 % 9973)::VARCHAR, 4, '0') AS model, ('0.' || lpad((doc_id * 7 % 9973)::VARCHAR, 4, '0'))::DOUBLE AS number FROM documents)", "number")
 def src_models_dir(spark, sf):
     name = F.concat(F.lit("/models/"), F.col("source"), F.lit("/model-0_"), F.lpad((F.col("doc_id") * 7 % 9973).cast("string"), 4, "0"))
@@ -116,7 +131,6 @@ def merge_text_files(spark, sf):
 DEFAULTS = {"k": 30, "k_prime": 100, "mu": 1500.0, "window": 8, "fusion": {"embedding": 0.45, "ppr": 0.25, "qlm": 0.2, "mrf": 0.1}}
 
 
-@query("config_io", "SELECT * FROM (VALUES ('k', 3), ('k_prime', 10), ('window', 8)) t(name, value)")
 def config_io(spark, sf):
     path = fresh(spark, "config")
     files.save_config(spark, {"k": 3, "k_prime": 10}, path)
@@ -124,12 +138,10 @@ def config_io(spark, sf):
     return spark.createDataFrame([(n, made[n]) for n in ("k", "k_prime", "window")], "name string, value long")
 
 
-@query("src_synthetic_chunks", "SELECT 'chunk_' || lpad(i::VARCHAR, 3, '0') AS id, 'doc_' || lpad((i // 10)::VARCHAR, 2, '0') AS doc_id, i % 10 AS position, 384 AS dims, 'category_' || i % 5 AS category FROM range(100) t(i)")
 def src_synthetic_chunks(spark, sf):
     return synthetic.chunks(spark, 100).select("id", "doc_id", "position", F.size("embedding").alias("dims"), F.col("meta")["category"].alias("category"))
 
 
-@query("src_synthetic_qrels")
 def src_synthetic_qrels(spark, sf):
     """About a fifth of the chunks for each of five queries; by Spark's hash, which SQL elsewhere lacks."""
     return synthetic.qrels(synthetic.chunks(spark, 100))

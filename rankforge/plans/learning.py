@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import fusion as N
 from ..operators import learning
 from ..operators import retrieval as R
-from ..operators.keep import stored
+from ..operators.keep import shared_folder, stored
+from ..streaming import history
 from .evaluation import POSITIONS, positions
 from .fusion import _other_mrf, found, ranked_sql, retrieval
 from .lexical import ENSEMBLE
@@ -55,6 +57,29 @@ def history_weights(spark, sf):
     return learning.history_weights(stored(patterns(spark, sf), "patterns"), known_patterns(spark), success(spark, sf))
 
 
+@query("learning_history_stream", f"WITH {POSITIONS}, {_HISTORY} SELECT query_id, n_similar, m / (m + e) AS mrf_weight, e / (m + e) AS emb_weight FROM hw", "mrf_weight emb_weight")
+def learning_history_stream(spark, sf):
+    """The same weights from a stream: queries come in the order of their ids, each followed by its feedback; two batches share their state."""
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    made = stored(patterns(spark, sf).join(success(spark, sf), "query_id", "left").fillna(0, ["mrf", "emb"]), "history")
+    flags = [F.col(c) for c in learning.FLAGS]
+    asks = made.select(F.lit("all").alias("scope"), (2 * F.col("query_id")).alias("seq"), F.lit("query").alias("kind"), "query_id", "pattern", F.col("n_words").cast("int").alias("n_words"), "mean_length", *flags, F.lit(None).cast("int").alias("mrf"), F.lit(None).cast("int").alias("emb"))
+    tells = made.select(F.lit("all").alias("scope"), (2 * F.col("query_id") + 1).alias("seq"), F.lit("feedback").alias("kind"), "query_id", "pattern", F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("double").alias("mean_length"), *[F.lit(None).cast("boolean").alias(c) for c in learning.FLAGS], F.col("mrf").cast("int").alias("mrf"), F.col("emb").cast("int").alias("emb"))
+    events = stored(asks.unionByName(tells), "events")
+    middle = 2 * ((made.agg(F.max("query_id")).first()[0] or 0) // 2)
+    known = [tuple(r) for r in known_patterns(spark).collect()]  # 24 rows
+    before = spark.conf.get(history.STORE[0], None)
+    for part in (F.col("seq") < middle, F.col("seq") >= middle):
+        events.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(history.EVENTS).parquet(f"{folder}/in")
+        history.run(stream, known, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state").awaitTermination()
+    if before is None:
+        spark.conf.unset(history.STORE[0])
+    else:
+        spark.conf.set(history.STORE[0], before)
+    return spark.read.schema("scope string, query_id long, n_similar long, mrf_weight double, emb_weight double").parquet(f"{folder}/out").drop("scope")
+
+
 _LEARNT = """lw AS (SELECT query_id, CASE WHEN n_similar > 0 THEN 0.5 WHEN n_words <= 3 THEN 0.4 WHEN n_words <= 6 THEN 0.5 WHEN n_words <= 10 THEN 0.7 ELSE 0.8 END AS wm, CASE WHEN n_similar > 0 THEN 0.5 WHEN n_words <= 3 THEN 0.6 WHEN n_words <= 6 THEN 0.5 WHEN n_words <= 10 THEN 0.3 ELSE 0.2 END AS we
         FROM (SELECT ft.query_id, any_value(ft.n_words) AS n_words, count(e.query_id) AS n_similar FROM ft LEFT JOIN ps a ON a.query_id = ft.query_id AND a.similarity > 0.7 LEFT JOIN ft e ON e.pattern = a.pattern AND e.query_id < ft.query_id GROUP BY ft.query_id)),
     ls AS (SELECT query_id, chunk_id, wm * mrf + we * CASE WHEN v.v IS NULL THEN 0.0 ELSE emb END AS total FROM s2 JOIN lw USING (query_id) LEFT JOIN v ON v.vec_id = chunk_id)"""

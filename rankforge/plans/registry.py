@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 EPSILON = 1e-10
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("text", "corpus", "lexical", "vectors", "fusion", "graphs", "evaluation", "ensembles", "experiments", "preparation", "learning", "files", "augmentation")
+_MODULES = ("text", "corpus", "lexical", "vectors", "fusion", "graphs", "evaluation", "ensembles", "experiments", "preparation", "objectives", "learning", "files", "augmentation")
 
 
 def comparable(df: DataFrame) -> DataFrame:

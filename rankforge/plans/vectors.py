@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import pairwise
+from ..operators import neighbours, pairwise
 from ..operators.expand import standard_scale as scaled
 from ..operators.keep import stored
 from .common import table, vectors
@@ -121,12 +121,12 @@ _BOTH = f"{_PAIRS}, d AS (SELECT a AS i, b AS j, euclidean FROM p UNION ALL SELE
 
 @query("min_neighbour_distance", f"WITH {_BOTH} SELECT i AS vec_id, min(euclidean) AS least FROM d GROUP BY i", "least")
 def min_neighbour_distance(spark, sf):
-    return pairwise.nearest(vectors(spark, sf), 1).select(F.col("a").alias("vec_id"), F.col("value").alias("least"))
+    return neighbours.nearest(vectors(spark, sf), 1).select(F.col("a").alias("vec_id"), F.col("value").alias("least"))
 
 
 @query("neighbours_topk", f"WITH {_BOTH} SELECT i AS vec_id, j AS neighbour, euclidean AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(euclidean, 6), j) AS rank FROM d) WHERE rank <= 5", "distance")
 def neighbours_topk(spark, sf):
-    n = pairwise.nearest(vectors(spark, sf), 5)
+    n = neighbours.nearest(vectors(spark, sf), 5)
     return n.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), F.col("value").alias("distance"), "rank")
 
 
@@ -147,7 +147,7 @@ def discrimination_quality(spark, sf):
     v = vectors(spark, sf)
     z = stored(scaled(v), "scaled")
     var = lambda d, name: d.select(F.explode("v").alias("x")).agg(F.var_pop("x").alias(name))
-    least = pairwise.nearest(z.select("vec_id", "v"), 1).agg(F.avg("value").alias("mean_least"))
+    least = neighbours.nearest(z.select("vec_id", "v"), 1).agg(F.avg("value").alias("mean_least"))
     out = least.crossJoin(var(z, "_new")).crossJoin(var(v, "_old")).crossJoin(pairwise.silhouette(z).select("silhouette"))  # one row each
     return out.select("mean_least", (F.col("_new") / F.col("_old")).alias("variance_ratio"), "silhouette")
 
