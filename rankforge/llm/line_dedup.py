@@ -1,20 +1,18 @@
 """Line deduplication with a sharded minimal perfect hash.
 
 1. Each text gives its distinct line keys as 128-bit hashes (map side, one row per key and text), and an
-   aggregate that is partial on the map side gives each key's number of documents and largest id.
+   aggregate that is partial on the map side gives each key's number of documents (distinct ids) and largest id.
 2. Keys of enough documents are dealt to shards of bounded size. A shard's minimal perfect hash is built
    in levels: at each level keys that fall alone on a bit of a bitmap keep it, the others go on to the
-   next, and a key's index is the rank of its bit. Beside it lie two arrays by index: a compact
-   fingerprint (32 bits of the hash that no level uses) with the rest of the hash to exclude any mistake,
-   and the largest document id with the count.
+   next, and a key's index is the rank of its bit. Beside it lie arrays by index: all 128 bits of the
+   key's hash, so that no other key is taken for it, and the largest document id with the count.
 3. Texts are read once more; their keys probe the arrays and the lines to drop are left out. While the
    arrays are below a stated size, every worker gets all of them; beyond it the probes (hash and
-   id, no text) travel to the shards, salted, so that a frequent line spreads over many tasks.
+   id, no text) travel to the shards, by as many salts as keep a task's probes bounded, so that a frequent line spreads.
 
-Defined results: a null or empty text is one empty line; rows that repeat an id are documents of their
-own that all count as the largest holder when their id is; a null id never holds a line against another
-id (its lines drop where the key is frequent, unless no other id holds it); an empty table gives an empty
-result; other columns are ignored.
+Defined results: a null or empty text is one empty line; rows that repeat an id are one document when documents are
+counted, and all keep what the largest id keeps when that id is theirs; rows without an id don't count as documents
+and keep nothing of a frequent key; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +31,8 @@ SHARD_KEYS = 100_000
 #: Arrays up to this size (by their number of keys) go to every worker.
 BROADCAST_BYTES = 48 << 20
 BYTES_PER_KEY = 40
+#: Probes of a shard's task, where they travel.
+TASK_PROBES = 500_000
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -137,19 +137,21 @@ _BLOB = "shard int, levels array<binary>, sizes array<int>, left binary, a binar
 
 
 def _keys_of(rows: DataFrame, least: int) -> DataFrame:
-    """``a, b, _id``: distinct line hashes of each text."""
+    """``a, b, _id, _text_hash``: distinct line hashes of each text."""
 
     def run(batches):
         for batch in text_batches(batches):
-            digests, ids = [], []
+            digests, ids, texts = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {h for h in line_hashes(text, least)[1] if h is not None}
                 digests += own
                 ids += [i] * len(own)
+                texts += [xxhash.xxh64_intdigest(text.encode(), 42) if i is None else 0] * len(own)
             a, b = _halves(digests)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids, pa.int64())], ["a", "b", "_id"])
+            of = np.array(texts, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids, pa.int64()), pa.array(of)], ["a", "b", "_id", "_text_hash"])
 
-    return rows.mapInArrow(run, "a long, b long, _id long")
+    return rows.mapInArrow(run, "a long, b long, _id long, _text_hash long")
 
 
 def _shards(frequent: DataFrame, n: int) -> DataFrame:
@@ -175,7 +177,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id_
     """A row per input row: ``id_col, n_lines, n_dropped, kept_text`` (the lines that stay, joined by line feeds)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    counts = _keys_of(rows, least_chars).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.max("_id"), F.lit(int(_NULL_ID))).alias("_largest"))
+    counts = _keys_of(rows, least_chars).groupBy("a", "b").agg(F.count_distinct("_id").alias("_n"), F.coalesce(F.max("_id"), F.lit(int(_NULL_ID))).alias("_largest"))
     frequent = checkpoint(counts.where(F.col("_n") >= least_docs))
     n_keys = frequent.count()
     n_shards = -(-n_keys // SHARD_KEYS) or 1
@@ -191,7 +193,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id_
 
         out = rows.mapInArrow(probe, schema)
     else:
-        out = _probe_by_shard(rows, shards, n_shards, least_chars, schema)
+        held = frequent.agg(F.sum("_n")).first()[0] or 0
+        out = _probe_by_shard(rows, shards, n_shards, least_chars, schema, salts=int(min(4096, max(1, -(-held // (n_shards * TASK_PROBES))))))
     return out.select(F.col("_id").alias(id_col), "n_lines", "n_dropped", F.col("_kept").cast("string").alias("kept_text"))
 
 
@@ -214,23 +217,29 @@ def _decide(batch, own: dict[int, Shard], n_shards: int, least: int):
         yield lines, [h is not None and next(flags) for h in hashes]
 
 
-def _probe_by_shard(rows: DataFrame, shards: DataFrame, n_shards: int, least: int, schema: str, salts: int = 64) -> DataFrame:
-    """Probes go to the shards by (shard, salt); what drops comes back as line hashes of each id."""
+def _probe_by_shard(rows: DataFrame, shards: DataFrame, n_shards: int, least: int, schema: str, salts: int) -> DataFrame:
+    """Probes go to the shards by (shard, salt); what drops comes back as line hashes of each id.
+
+    Whether a key drops depends on it and the id alone, so rows of one id may share their drops. Rows without an id go by
+    their text as well, or all would meet in one group.
+    """
     probes = _keys_of(rows, least).withColumn("shard", F.pmod("a", F.lit(n_shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("_id", "b"), F.lit(salts)).cast("int"))
     copies = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"_id": pd.Series([], dtype="Int64"), "a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+            return pd.DataFrame({"_id": pd.Series([], dtype="Int64"), "_text_hash": pd.Series([], dtype="int64"), "a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
         a, b = left["a"].to_numpy().view(np.uint64), left["b"].to_numpy().view(np.uint64)
         found, largest = Shard(right.iloc[0].to_dict()).holder(a, b)
         owner = left["_id"].astype("Int64").fillna(int(_NULL_ID)).to_numpy(np.int64)
         hit = found & (largest != owner)
-        return pd.DataFrame({"_id": left["_id"].astype("Int64")[hit], "a": left["a"][hit], "b": left["b"][hit]})
+        return pd.DataFrame({"_id": left["_id"].astype("Int64")[hit], "_text_hash": left["_text_hash"][hit], "a": left["a"][hit], "b": left["b"][hit]})
 
-    drops = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "_id long, a long, b long")
-    per_doc = drops.groupBy("_id").agg(F.collect_set(F.struct("a", "b")).alias("_drops"))  # at most a text's own lines
-    joined = rows.join(per_doc.withColumnRenamed("_id", "_of"), F.col("_id").eqNullSafe(F.col("_of")), "left").select("_id", "_text", "_drops")
+    drops = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "_id long, _text_hash long, a long, b long")
+    per_doc = drops.groupBy("_id", "_text_hash").agg(F.collect_set(F.struct("a", "b")).alias("_drops"))  # at most a text's own lines
+    per_doc = per_doc.withColumnsRenamed({"_id": "_of", "_text_hash": "_of_text"})
+    joined = rows.withColumn("_h", F.when(F.col("_id").isNull(), F.xxhash64("_text")).otherwise(F.lit(0).cast("long")))
+    joined = joined.join(per_doc, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_of_text")), "left").select("_id", "_text", "_drops")
 
     def rewrite(batches):
         for batch in text_batches(batches):

@@ -120,6 +120,18 @@ def test_line_dedup_both_ways(docs, empty):
     assert line_dedup.dedup_lines(docs).count() == len(TEXTS) + 2 and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_repeated_and_missing_ids(spark, monkeypatch):
+    """Documents are counted by id; a third of all rows have none, and stay apart where probes travel."""
+    monkeypatch.setattr(line_dedup, "TASK_PROBES", 10)
+    two, three = "a line that only two documents hold", "a line that three documents hold indeed"
+    rows = [(1, two), (1, two), (2, two), (3, three), (3, three), (4, three), (5, f"{three}\nown"), (None, three), (None, two)] + [(None, f"{three}\nrow {i} of those without an id") for i in range(60)] + [(100 + i, f"text {i} of its own") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for bound in (1 << 20, 0):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df, broadcast_bytes=bound).collect())
+        want = [(i is None, i or 0, int(three in t and i != 5), "\n".join(x for x in t.split("\n") if x != three or i == 5)) for i, t in rows]
+        assert got == sorted(want)
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 5000)).astype(np.uint64)
