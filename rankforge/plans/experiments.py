@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import expand as X
+from ..operators import manifold as M
+from ..operators.expand import standard_scale as scaled
 from ..operators.keep import stored
 from ..operators.pairwise import query_cosines
 from ..operators.ranking import first_position
@@ -85,3 +87,23 @@ def kmeans_silhouette(spark, sf):
 
     v = vectors(spark, sf)
     return silhouette(v.select("vec_id", "v").join(X.kmeans(v, 8), "vec_id").withColumnRenamed("cluster", "label"))
+
+
+def _standard(spark, sf):
+    return stored(scaled(vectors(spark, sf).where("v IS NOT NULL").select("vec_id", "v")), "scaled")
+
+
+@query("tsne")
+def tsne(spark, sf):
+    """A map of all vectors, standardised first: perplexity 30 over 45 neighbours, 30 steps; tests hold its parts against plain Python."""
+    v = _standard(spark, sf)
+    edges = stored(M.affinities(M.neighbour_graph(v, 45), 30.0), "edges")
+    return M.tsne(edges, v.select(F.col("vec_id").alias("i")), steps=30, early=10).select(F.col("i").alias("vec_id"), F.col("y0").alias("x"), F.col("y1").alias("y"))
+
+
+@query("umap")
+def umap(spark, sf):
+    """A map of all vectors, standardised first: 15 neighbours by cosine, 30 epochs."""
+    v = _standard(spark, sf)
+    edges = stored(M.memberships(M.neighbour_graph(v, 15, by_cosine=True)), "edges")
+    return M.umap(edges, v.select(F.col("vec_id").alias("i")), epochs=30).select(F.col("i").alias("vec_id"), F.col("y0").alias("x"), F.col("y1").alias("y"))
