@@ -37,12 +37,19 @@ def improvement(new: Column, base: Column) -> Column:
     return F.when(base > 0, F.try_divide(new - base, base) * 100).when(new > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
 
 
-def metrics_aggregate(metrics: DataFrame, names: tuple[str, ...] = ("recall", "precision", "ndcg", "f1")) -> DataFrame:
+def metrics_aggregate(metrics: DataFrame, names: tuple[str, ...] = ("recall", "precision", "ndcg", "f1", "mrr")) -> DataFrame:
     """``k, metric, mean, std, min, max`` over queries."""
     long = metrics.unpivot(["query_id", "k"], list(names), "metric", "value")
     return long.groupBy("k", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
+def improvements_aggregate(changes: DataFrame) -> DataFrame:
+    """``k, n, n_finite, mean, std, min, max`` of the finite changes in percent."""
+    finite = F.when(F.abs("change") < float("inf"), F.col("change"))
+    made = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    return changes.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count(finite).alias("n_finite"), *[f(finite).alias(name) for name, f in made.items()])
+
+
 def topn_accuracy(positions: DataFrame, by: list[str]) -> DataFrame:
     """``by, n, top1, top3, top5, mrr`` over ``positions(by..., position)``; a missing position adds 0."""
     share = lambda k: F.avg(F.when(F.col("position") <= k, 1.0).otherwise(0.0)).alias(f"top{k}")

@@ -193,6 +193,24 @@ FAMILIES = {
 CLUSTERS = 5
 
 
+def _plain(c: float):
+    return lambda x, s: x.flat(c * s)
+
+
+_bell = lambda x, s: x.bell(0.0, s)
+_double = lambda x, s: x.double(s)
+_times = lambda kernel, c: lambda x, s: kernel(x, c * s)
+#: What each family draws for a query, in equal sections; nothing of it follows other vectors or sections.
+QUERY_KERNELS = {
+    "uniform": [_uniform], "gaussian": [_gaussian], "mixed": [_uniform, _gaussian],
+    "extreme_uniform": [_plain(1.0)], "extreme_gaussian": [_bell], "extreme_hybrid": [_plain(1.2), _times(_bell, 1.1), _double], "extreme_cluster": [_plain(1.0)],
+    "extreme_sequential": [_plain(1.0), _times(_bell, 1.1), _times(_double, 0.8), _plain(1.5)], "extreme_adaptive": [_plain(1.5)],
+    "ultra_semantic": [_plain(0.5)], "ultra_progressive": [_plain(0.6)], "ultra_document": [_plain(0.7)], "ultra_balance": [_plain(0.6)],
+    "ultra_cluster": [_plain(0.8)], "ultra_sequential": [_plain(0.7)], "ultra_hybrid": [_plain(0.8)], "ultra_max": [_plain(0.9)],
+    "final_similarity": [_plain(0.3)], "final_fingerprint": [_plain(0.5)], "final_progressive": [_plain(0.6)], "final_balance": [_plain(0.4)], "final_content": [_plain(0.7)],
+}
+
+
 def described(vectors: DataFrame, neighbours: bool = True) -> DataFrame:
     """``vectors`` with what the kernels read: ``_mean, _sd, _least, _most``, cosines ``_near`` and ``_far``, and ``_members`` of the cluster."""
     from .pairwise import extremes
@@ -215,8 +233,8 @@ def _drawn(kernel, seed: str, scale: float):
 
 
 def expand(rows: DataFrame, family: str, dims: int, scale: float, side: str = "doc") -> DataFrame:
-    """``described`` vectors with ``dims`` more dimensions of the family's noise, from hashes: ``vec_id, label, v``."""
-    _, kernels, carry = FAMILIES[family]
+    """``described`` vectors with ``dims`` more dimensions of the family's noise, from hashes: ``vec_id, label, v``; queries (``side``) have kernels of their own."""
+    _, kernels, carry = FAMILIES[family] if side == "doc" else (None, QUERY_KERNELS[family], 0.0)
     each, noise = dims // len(kernels), None
     for k, kernel in enumerate(kernels):
         first, last = k * each, (dims if k == len(kernels) - 1 else (k + 1) * each) - 1

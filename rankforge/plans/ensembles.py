@@ -161,13 +161,33 @@ def overlap_only_b(spark, sf):
     return _right(p, "odd").exceptAll(_right(p, "even"))
 
 
-@query("overlap_report", f"WITH {_OUTCOMES} SELECT count(*) AS n, count(*) FILTER (WHERE a = 1 AND b = 1) AS both1, count(*) FILTER (WHERE a = 1 AND b IS DISTINCT FROM 1) AS only_a1, count(*) FILTER (WHERE b = 1 AND a IS DISTINCT FROM 1) AS only_b1, count(*) FILTER (WHERE a BETWEEN 2 AND 5 AND b BETWEEN 2 AND 5) AS both5, 100.0 * count(*) FILTER (WHERE a = 1 AND b = 1) / count(*) AS both1_percent FROM ab", "both1_percent")
+#: First places, and the bucket of places 2 to 5, of both models.
+_PLACES = {"1": ("a = 1", "b = 1"), "5": ("a BETWEEN 2 AND 5", "b BETWEEN 2 AND 5")}
+
+
+def _overlap_sql() -> str:
+    out = ["count(*) AS n"]
+    for k, (a, b) in _PLACES.items():
+        a, b = f"coalesce({a}, false)", f"coalesce({b}, false)"
+        parts = {f"a{k}": a, f"b{k}": b, f"both{k}": f"{a} AND {b}", f"only_a{k}": f"{a} AND NOT {b}", f"only_b{k}": f"{b} AND NOT {a}"}
+        out += [f"count(*) FILTER (WHERE {c}) AS {name}" for name, c in parts.items()]
+        out += [f"100.0 * count(*) FILTER (WHERE {parts[name]}) / count(*) AS {name}_percent" for name in (f"both{k}", f"only_a{k}", f"only_b{k}")]
+    return ", ".join(out)
+
+
+_PERCENTS = " ".join(f"{name}{k}_percent" for k in _PLACES for name in ("both", "only_a", "only_b"))
+
+
+@query("overlap_report", f"WITH {_OUTCOMES} SELECT {_overlap_sql()} FROM ab", _PERCENTS)
 def overlap_report(spark, sf):
-    """Top-1 and the bucket from 2 to 5."""
-    a, b = F.coalesce(F.col("even") == 1, F.lit(False)), F.coalesce(F.col("odd") == 1, F.lit(False))
-    n = lambda c: F.count(F.when(c, 1))
-    both5 = n(F.col("even").between(2, 5) & F.col("odd").between(2, 5))
-    return outcomes(spark, sf).agg(F.count(F.lit(1)).alias("n"), n(a & b).alias("both1"), n(a & ~b).alias("only_a1"), n(b & ~a).alias("only_b1"), both5.alias("both5"), (100.0 * n(a & b) / F.count(F.lit(1))).alias("both1_percent"))
+    """How many queries each model has right, alone and with the other, at the first place and in the bucket from 2 to 5, also in percent of all."""
+    n, made = (lambda c: F.count(F.when(c, 1))), [F.count(F.lit(1)).alias("n")]
+    for k, low, high in (("1", 1, 1), ("5", 2, 5)):
+        a, b = (F.coalesce(F.col(m).between(low, high), F.lit(False)) for m in ("even", "odd"))
+        parts = {f"a{k}": a, f"b{k}": b, f"both{k}": a & b, f"only_a{k}": a & ~b, f"only_b{k}": b & ~a}
+        made += [n(c).alias(name) for name, c in parts.items()]
+        made += [(100.0 * n(parts[name]) / F.count(F.lit(1))).alias(f"{name}_percent") for name in (f"both{k}", f"only_a{k}", f"only_b{k}")]
+    return outcomes(spark, sf).agg(*made)
 
 
 @query("ensemble_unique_wins", f"WITH {_OUTCOMES} SELECT query_id FROM ab WHERE f = 1 AND a IS DISTINCT FROM 1 AND b IS DISTINCT FROM 1")

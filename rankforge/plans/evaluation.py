@@ -73,7 +73,7 @@ def evaluate_reranker(spark, sf):
     return metrics(spark, sf, "keywords")
 
 
-_AGG = """, lm AS (UNPIVOT (SELECT query_id, k, recall, precision, ndcg, f1 FROM metrics) ON recall, precision, ndcg, f1 INTO NAME metric VALUE value)
+_AGG = """, lm AS (UNPIVOT (SELECT query_id, k, recall, precision, ndcg, f1, mrr FROM metrics) ON recall, precision, ndcg, f1, mrr INTO NAME metric VALUE value)
     SELECT k::BIGINT AS k, metric, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM lm GROUP BY ALL"""
 
 
@@ -87,9 +87,12 @@ def evaluate_multiple(spark, sf):
     return E.metrics_aggregate(metrics(spark, sf, "mrf"))
 
 
-@query("improvements", f"""WITH {_metrics('likelihood')}, base AS (SELECT b.query_id, k, count(rank) FILTER (WHERE rank <= k)::DOUBLE / k AS precision FROM (SELECT DISTINCT query_id FROM ranked) b CROSS JOIN (SELECT unnest({KS}) AS k)
+_IMPROVED = f""" {_metrics('likelihood')}, base AS (SELECT b.query_id, k, count(rank) FILTER (WHERE rank <= k)::DOUBLE / k AS precision FROM (SELECT DISTINCT query_id FROM ranked) b CROSS JOIN (SELECT unnest({KS}) AS k)
     LEFT JOIN (SELECT r.query_id, r.rank FROM ranked r JOIN rel USING (query_id, chunk_id) WHERE strategy = 'embeddings') h ON h.query_id = b.query_id GROUP BY b.query_id, k)
-    SELECT query_id, k::BIGINT AS k, CASE WHEN base.precision > 0 THEN (metrics.precision - base.precision) / base.precision * 100 WHEN metrics.precision > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS change FROM metrics JOIN base USING (query_id, k)""", "change")
+    im AS (SELECT query_id, k::BIGINT AS k, CASE WHEN base.precision > 0 THEN (metrics.precision - base.precision) / base.precision * 100 WHEN metrics.precision > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS change FROM metrics JOIN base USING (query_id, k))"""
+
+
+@query("improvements", f"WITH {_IMPROVED} SELECT * FROM im", "change")
 def improvements(spark, sf):
     """Change of precision against ranking by embeddings, in percent."""
     new, base = metrics(spark, sf, "likelihood", "embeddings")
@@ -97,6 +100,16 @@ def improvements(spark, sf):
     return new.join(base, ["query_id", "k"]).select("query_id", "k", E.improvement(F.col("new"), F.col("base")).alias("change"))
 
 
+@query(
+    "improvements_aggregate",
+    f"WITH {_IMPROVED} SELECT k, count(*) AS n, count(*) FILTER (WHERE isfinite(change)) AS n_finite, avg(change) FILTER (WHERE isfinite(change)) AS mean, stddev_pop(change) FILTER (WHERE isfinite(change)) AS std, min(change) FILTER (WHERE isfinite(change)) AS min, max(change) FILTER (WHERE isfinite(change)) AS max FROM im GROUP BY k",
+    "mean std min max",
+)
+def improvements_aggregate(spark, sf):
+    """Over the queries whose change is finite: one from nothing to something has no percentage."""
+    return E.improvements_aggregate(improvements(spark, sf))
+
+
 POSITIONS = f"""{RANKED}, pos AS (SELECT st.strategy, r.query_id, min(k.rank) AS position, any_value(top.score) AS score FROM (SELECT DISTINCT query_id FROM rel) r CROSS JOIN (SELECT DISTINCT strategy FROM ranked) st
     LEFT JOIN (SELECT ranked.* FROM ranked JOIN rel USING (query_id, chunk_id)) k ON k.query_id = r.query_id AND k.strategy = st.strategy LEFT JOIN ranked top ON top.query_id = r.query_id AND top.strategy = st.strategy AND top.rank = 1 GROUP BY ALL)"""
 

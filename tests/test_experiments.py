@@ -128,3 +128,34 @@ def test_odd_bytes_and_configurations(spark, tmp_path):
         with pytest.raises(ValueError):
             files.load_config(spark, str(tmp_path / "c"), {"k": 3, "k_prime": 10, "fusion": {"a": 1.0}})
     assert math.isclose(files.models(spark.createDataFrame([("/x/kind/model-0_0029",), ("/x/other",)], "path string")).first()["number"], 0.0029)
+
+
+def test_query_noise_of_every_family(spark):
+    """Bounds, middles and deviations of what queries draw, section by section."""
+    from rankforge.operators import expand as X
+
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, rng.normal(0.2, 0.5, 16).tolist()) for i in range(12)]
+    df = X.described(spark.createDataFrame(rows, "vec_id long, label int, v array<double>"), neighbours=False)
+    sd = lambda half: half / np.sqrt(3)
+    flat = {"extreme_uniform": 1, "extreme_cluster": 1, "extreme_adaptive": 1.5, "ultra_semantic": 0.5, "ultra_progressive": 0.6, "ultra_document": 0.7, "ultra_balance": 0.6, "ultra_cluster": 0.8, "ultra_sequential": 0.7, "ultra_hybrid": 0.8, "ultra_max": 0.9, "final_similarity": 0.3, "final_fingerprint": 0.5, "final_progressive": 0.6, "final_balance": 0.4, "final_content": 0.7}
+    wanted = {k: [(c, sd(c))] for k, c in flat.items()}
+    wanted |= {"extreme_gaussian": [(None, 1)], "extreme_hybrid": [(1.2, sd(1.2)), (None, 1.1), (None, np.sqrt(2))], "extreme_sequential": [(1, sd(1)), (None, 1.1), (None, 0.8 * np.sqrt(2)), (1.5, sd(1.5))]}
+    assert {*wanted, "uniform", "gaussian", "mixed"} == set(X.FAMILIES) == set(X.QUERY_KERNELS)
+    for family, sections in wanted.items():
+        dims, scale = X.FAMILIES[family][0][0]
+        got = {r.vec_id: np.array(r.v) for r in X.expand(df, family, dims, scale, "query").collect()}
+        assert all(len(v) == 16 + dims and (v[:16] == rows[i][2]).all() for i, v in got.items())
+        noise, each = np.array([v[16:] for v in got.values()]), dims // len(sections)
+        for k, (most, spread) in enumerate(sections):
+            own = noise[:, k * each : dims if k == len(sections) - 1 else (k + 1) * each]
+            assert most is None or np.abs(own).max() <= most * scale
+            assert abs(own.std() - spread * scale) < 0.08 * spread * scale and abs(own.mean()) < 0.1 * spread * scale
+    for family in ("uniform", "gaussian", "mixed"):
+        dims, scale = X.FAMILIES[family][0][0]
+        for r in X.expand(df, family, dims, scale, "query").collect():
+            v = np.array(rows[r.vec_id][2])
+            noise = np.array(r.v)[16:]
+            assert abs(noise.mean() - v.mean()) < 0.2 * v.std() * scale and noise.std() < 1.3 * v.std() * scale
+            if family != "gaussian":
+                assert np.abs(noise[: dims // 2] - v.mean()).max() <= v.std() * scale + 1e-12
