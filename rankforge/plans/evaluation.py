@@ -88,7 +88,7 @@ def evaluate_multiple(spark, sf):
 
 
 _IMPROVED = f""" {_metrics('likelihood')}, base AS (SELECT b.query_id, k, count(rank) FILTER (WHERE rank <= k)::DOUBLE / k AS precision FROM (SELECT DISTINCT query_id FROM ranked) b CROSS JOIN (SELECT unnest({KS}) AS k)
-    LEFT JOIN (SELECT r.query_id, r.rank FROM ranked r JOIN rel USING (query_id, chunk_id) WHERE strategy = 'embeddings') h ON h.query_id = b.query_id GROUP BY b.query_id, k)
+    LEFT JOIN (SELECT r.query_id, r.rank FROM ranked r JOIN rel USING (query_id, chunk_id) WHERE strategy = 'embeddings') h ON h.query_id = b.query_id GROUP BY b.query_id, k),
     im AS (SELECT query_id, k::BIGINT AS k, CASE WHEN base.precision > 0 THEN (metrics.precision - base.precision) / base.precision * 100 WHEN metrics.precision > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS change FROM metrics JOIN base USING (query_id, k))"""
 
 
