@@ -156,6 +156,6 @@ def test_query_noise_of_every_family(spark):
         for r in X.expand(df, family, dims, scale, "query").collect():
             v = np.array(rows[r.vec_id][2])
             noise = np.array(r.v)[16:]
-            assert abs(noise.mean() - v.mean()) < 0.2 * v.std() * scale and noise.std() < 1.3 * v.std() * scale
+            assert abs(noise.mean() - v.mean()) < 0.5 * v.std() * scale and noise.std() < 1.3 * v.std() * scale  # the mean of 100 draws strays by a tenth
             if family != "gaussian":
                 assert np.abs(noise[: dims // 2] - v.mean()).max() <= v.std() * scale + 1e-12
