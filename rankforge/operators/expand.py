@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -46,16 +47,38 @@ def gram(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return mean, outer - n * np.outer(mean, mean), n
 
 
-def pca(vectors: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Centred projections on the first ``k`` components and their shares of variance; the largest loading is positive."""
-    mean, scatter, _ = gram(vectors)
+@dataclass
+class Principal:
+    """The leading components of a table of vectors: ``axes`` (a row each, largest loading positive), standard deviations along them, shares of variance."""
+
+    mean: np.ndarray
+    axes: np.ndarray
+    deviations: np.ndarray
+    shares: np.ndarray
+
+    def project(self, vectors: DataFrame) -> DataFrame:
+        """``v`` centred and projected; other columns stay. Any vectors of these dimensions, such as queries, go through the same fit."""
+        centred = F.zip_with("v", F.array(*[F.lit(float(m)) for m in self.mean]), lambda x, m: x - m)
+        dot = lambda axis: F.aggregate(F.zip_with("_centred", F.array(*[F.lit(float(a)) for a in axis]), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x)
+        rest = [c for c in vectors.columns if c != "v"]
+        return vectors.select(*rest, F.explode(F.array(centred)).alias("_centred")).select(*rest, F.array(*[dot(a) for a in self.axes]).alias("v"))
+
+
+def principal(vectors: DataFrame, k: int) -> Principal:
+    """From the scatter matrix, which is all that reaches the driver; deviations divide by n - 1."""
+    mean, scatter, n = gram(vectors)
     values, axes = np.linalg.eigh(scatter)
     order = np.argsort(values)[::-1][:k]
-    axes = axes[:, order]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(len(order))])
-    centred = F.zip_with("v", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)
-    dot = lambda axis: F.aggregate(F.zip_with(centred, F.array(*[F.lit(float(a)) for a in axis]), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x)
-    return vectors.select(*[c for c in vectors.columns if c != "v"], F.array(*[dot(axes[:, i]) for i in range(len(order))]).alias("v")), values[order] / values.sum()
+    axes = axes[:, order].T
+    axes = axes * np.sign(axes[np.arange(len(order)), np.abs(axes).argmax(1)])[:, None]
+    values, total = np.maximum(values, 0.0), max(float(values.sum()), np.finfo(float).tiny)
+    return Principal(mean, axes, np.sqrt(values[order] / max(1, n - 1)), values[order] / total)
+
+
+def pca(vectors: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """Centred projections on the first ``k`` components and their shares of variance."""
+    made = principal(vectors, k)
+    return made.project(vectors), made.shares
 
 
 def uniform(seed: str, *keys: Column) -> Column:

@@ -22,11 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder until the session's JVM ends."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; what is written there goes when the session's JVM ends."""
     name = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(name)
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(name)
+    return name
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder until the session's JVM ends."""
+    name = fresh_path(df.sparkSession, label)
+    df.write.parquet(name)
+    return df.sparkSession.read.schema(df.schema).parquet(name)

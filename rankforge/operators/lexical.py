@@ -30,9 +30,8 @@ class Index:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """Stored, in at least as many files as there are cores: few input splits would otherwise mean few tasks for the work on pairs."""
-        made, cores = stored(self.source, "tokens"), self.source.sparkSession.sparkContext.defaultParallelism
-        return made if len(made.inputFiles()) >= cores else stored(made.repartition(cores), "tokens")
+        """Stored once; the work on pairs has a task for each file, so ``source`` should have as many parts as there are cores."""
+        return stored(self.source, "tokens")
 
     @cached_property
     def query_terms(self) -> DataFrame:

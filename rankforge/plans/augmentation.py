@@ -11,7 +11,7 @@ from ..operators import lexical as L
 from ..operators.keep import stored
 from ..operators.ranking import first_position
 from ..sources.synthetic import TEXTS
-from .common import asked, qrels, texts
+from .common import asked, qrels, spread, texts
 from .registry import query
 
 
@@ -58,7 +58,7 @@ def augment_corpus(spark, sf):
 @query("augmented_eval")
 def augmented_eval(spark, sf):
     """Likelihood over the augmented corpus; a variant counts for its document, which its name before the suffix tells."""
-    made = stored(corpus(spark, sf), "corpus").withColumn("id", F.col("chunk_id") * 10 + F.col("variant"))
+    made = stored(spread(corpus(spark, sf)), "corpus").withColumn("id", F.col("chunk_id") * 10 + F.col("variant"))
     i = L.Index(asked(spark, sf).select("query_id", tokenize(F.col("text")).alias("tokens")), made.select(F.col("id").alias("chunk_id"), tokenize(F.col("text")).alias("tokens")))
     scores = stored(L.qlm_dirichlet(i), "scores")
     base = qrels(spark, sf).select("query_id", F.concat(F.lit("doc"), F.col("chunk_id").cast("string")).alias("base"))

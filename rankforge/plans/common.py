@@ -40,7 +40,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("chunk_id", tokenize(F.col("text")).alias("tokens"))
+    return spread(texts(spark, sf_dir)).select("chunk_id", tokenize(F.col("text")).alias("tokens"))
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:

@@ -65,19 +65,54 @@ def expansion_eval(spark, sf):
     return E.topn_accuracy(first_position(scores, relevant, ["config", "query_id"]).join(lang, ["config", "query_id"]), ["config", "lang"])
 
 
+#: Numbers of components of the reductions and of the analysis.
+REDUCTIONS, ANALYSED = (2, 5, 10, 15), 20
+
+
 @query("pca")
 def pca(spark, sf):
-    """Centred projections on five components; signs make the largest loading positive."""
-    return X.pca(vectors(spark, sf), 5)[0].select("vec_id", F.posexplode("v").alias("component", "value"))
+    """Centred projections on twenty components, which hold those on fewer; signs make the largest loading positive."""
+    return X.pca(vectors(spark, sf), ANALYSED)[0].select("vec_id", F.posexplode("v").alias("component", "value"))
+
+
+@query("pca_loadings")
+def pca_loadings(spark, sf):
+    """Weight of each dimension in each component of the standardised vectors."""
+    axes = X.principal(_standard(spark, sf), ANALYSED).axes
+    rows = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(axes)], "component int, axis array<double>")
+    return rows.select("component", F.posexplode("axis").alias("dimension", "loading"))
+
+
+@query("component_importance")
+def component_importance(spark, sf):
+    """Of the standardised vectors: share of variance, its running sum, and the standard deviation along each component."""
+    made = X.principal(_standard(spark, sf), ANALYSED)
+    rows = zip(made.shares.tolist(), made.shares.cumsum().tolist(), made.deviations.tolist())
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "component int, share double, cumulative double, deviation double")
+
+
+@query("pca_reductions")
+def pca_reductions(spark, sf):
+    """Each reduction: variance it explains and how well a projected query (every fiftieth vector, by the same fit) finds its own among all by cosine."""
+    v = vectors(spark, sf).where("v IS NOT NULL").select("vec_id", "v")
+    made = X.principal(v, max(REDUCTIONS))
+    long = stored(made.project(v), "projected")
+    all_dims = lambda df: df.select(F.explode(F.array(*map(F.lit, REDUCTIONS))).alias("dims"), "vec_id", "v").withColumn("v", F.slice("v", F.lit(1), F.col("dims")))
+    queries = all_dims(long.where("vec_id % 50 = 0"))
+    scores = stored(query_cosines(queries, all_dims(long), ["dims"]).withColumnRenamed("cosine", "score"), "scores")
+    own = queries.select("dims", F.col("vec_id").alias("query_id"), F.col("vec_id").alias("chunk_id"))
+    found = E.topn_accuracy(first_position(scores, own, ["dims", "query_id"]), ["dims"])
+    share = F.element_at(F.create_map(*[F.lit(x) for d in REDUCTIONS for x in (d, float(made.shares[:d].sum()))]), F.col("dims"))
+    return found.withColumn("explained", share)
 
 
 @query("cumulative_variance")
 def cumulative_variance(spark, sf):
     from ..operators.ranking import cumulative_share
 
-    shares = X.pca(vectors(spark, sf), 64)[1]
-    rows = spark.createDataFrame([(0, i, float(s)) for i, s in enumerate(shares)], "g int, component int, share double")
-    return cumulative_share(rows, "share", [F.col("component")], ["g"]).select("component", "share", "cumulative")
+    made = X.principal(vectors(spark, sf), 64)
+    rows = spark.createDataFrame([(0, i, float(s), float(d)) for i, (s, d) in enumerate(zip(made.shares, made.deviations))], "g int, component int, share double, deviation double")
+    return cumulative_share(rows, "share", [F.col("component")], ["g"]).select("component", "share", "cumulative", "deviation")
 
 
 @query("kmeans_silhouette")

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators.keep import shared_folder
+from ..operators.keep import fresh_path
 from ..sources import files, npz, synthetic
 from .common import qrels, table
 from .registry import query
 
 
 def fresh(spark, label):
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return fresh_path(spark, label)
 
 
 @query("src_chunks_jsonl", "SELECT doc_id::VARCHAR AS id, source AS doc_id, doc_id % 10 AS position, md5(text) AS digest, len(embedding) AS dims FROM documents LEFT JOIN embeddings ON vec_id = documents.doc_id WHERE text IS NOT NULL")

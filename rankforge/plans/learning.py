@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import fusion as N
 from ..operators import learning
 from ..operators import retrieval as R
-from ..operators.keep import shared_folder, stored
+from ..operators.keep import fresh_path, stored
 from ..streaming import history
 from .evaluation import POSITIONS, positions
 from .fusion import _other_mrf, found, ranked_sql, retrieval
@@ -60,7 +59,7 @@ def history_weights(spark, sf):
 @query("learning_history_stream", f"WITH {POSITIONS}, {_HISTORY} SELECT query_id, n_similar, m / (m + e) AS mrf_weight, e / (m + e) AS emb_weight FROM hw", "mrf_weight emb_weight")
 def learning_history_stream(spark, sf):
     """The same weights from a stream: queries come in the order of their ids, each followed by its feedback; two batches share their state."""
-    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "history")
     made = stored(patterns(spark, sf).join(success(spark, sf), "query_id", "left").fillna(0, ["mrf", "emb"]), "history")
     flags = [F.col(c) for c in learning.FLAGS]
     asks = made.select(F.lit("all").alias("scope"), (2 * F.col("query_id")).alias("seq"), F.lit("query").alias("kind"), "query_id", "pattern", F.col("n_words").cast("int").alias("n_words"), "mean_length", *flags, F.lit(None).cast("int").alias("mrf"), F.lit(None).cast("int").alias("emb"))

@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import whitespace_words
 from ..operators import pairwise, ranking
 from ..operators.quantiles import exact_quantiles
-from ..operators.keep import shared_folder, stored
+from ..operators.keep import fresh_path, stored
 from ..operators.stats import tfidf_smooth, top_unique_terms
 from .common import table, vectors
 from .corpus import _TFIDF, plain_tokens
 from .registry import query
 
 PICKED, POSITIVES, NEGATIVES = 10, 3, 5
+#: How chunks are made, as a training set's description tells it.
+SETTINGS = {"chunk_size": 384, "overlap": 128, "min_chunk_words": 20}
 
 
 @query(
@@ -81,32 +84,38 @@ def pair_type_counts(spark, sf):
     return negatives(spark, sf).groupBy("pair_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def diverse(found, terms, most=PICKED, first=64):
+def diverse(found, terms, most=PICKED, batch=64):
     """``anchor, negative, similarity, pair_type, place``: in order of similarity, each that shares fewer than two terms with those picked before.
 
-    A fold over each anchor's best ``first`` candidates; anchors that are not full by then take four times as many, until
-    all are full or have no more.
+    A fold over each anchor's best ``batch`` candidates. Anchors that are not full by then go on after the last one seen, with the terms
+    used so far; what clashes with these can't be picked any more and is left out, so each pass picks at least one, and there
+    are at most ``most`` passes that find any.
     """
-    found, done = stored(found.join(terms, found["negative"] == terms["id"], "left").select("anchor", "negative", "similarity", "pair_type", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "candidates"), None
-    k, open_ = first, found.select("anchor").distinct()
-    start = F.struct(F.array().cast("array<struct<negative:bigint,similarity:double,pair_type:string>>").alias("picked"), F.array().cast("array<string>").alias("used"))
+    found = stored(found.join(terms, found["negative"] == terms["id"], "left").select("anchor", "negative", "similarity", "pair_type", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "candidates")
+    kinds = dict(found.dtypes)
+    picks = F.array().cast(f"array<struct<negative:{kinds['negative']},similarity:double,pair_type:string>>")
+    done, open_ = None, found.select("anchor").distinct().select(F.col("anchor").alias("_of"), picks.alias("_picked"), F.array().cast("array<string>").alias("_used"), F.lit(None).cast("double").alias("_s"), F.lit(None).cast(kinds["negative"]).alias("_n"))
 
     def take(acc, x):
         ok = (F.size(acc["picked"]) < most) & (F.size(F.array_intersect(x["terms"], acc["used"])) < 2)
         one = F.array(F.struct(x["negative"].alias("negative"), x["similarity"].alias("similarity"), x["pair_type"].alias("pair_type")))
         return F.struct(F.when(ok, F.concat(acc["picked"], one)).otherwise(acc["picked"]).alias("picked"), F.when(ok, F.array_union(acc["used"], x["terms"])).otherwise(acc["used"]).alias("used"))
 
+    after = F.col("_s").isNull() | (F.col("similarity") < F.col("_s")) | ((F.col("similarity") == F.col("_s")) & (F.col("negative") > F.col("_n")))
     while True:
-        best = ranking.top_k(found.join(open_, "anchor", "left_semi"), k, ["anchor"], "similarity", ["negative"], digits=9)
+        rest = found.join(open_, F.col("anchor") == F.col("_of")).where(after & (F.size(F.array_intersect("terms", "_used")) < 2))
+        best = ranking.top_k(rest, batch, ["anchor"], "similarity", ["negative"], digits=9)
         each = F.struct("rank", "negative", "similarity", "pair_type", "terms")
-        lists = best.groupBy("anchor").agg(F.sort_array(F.collect_list(each)).alias("xs"))  # at most k
-        made = stored(lists.select("anchor", F.size("xs").alias("seen"), F.aggregate("xs", start, take, lambda acc: acc["picked"]).alias("picked")), "diverse")
-        full = made.where((F.size("picked") >= most) | (F.col("seen") < k))
-        done = full if done is None else done.unionByName(full)
-        open_ = made.where((F.size("picked") < most) & (F.col("seen") >= k)).select("anchor")
+        lists = best.groupBy("anchor").agg(F.sort_array(F.collect_list(each)).alias("xs"), F.first("_picked").alias("_picked"), F.first("_used").alias("_used"))  # at most ``batch``
+        folded = F.aggregate("xs", F.struct(F.col("_picked").alias("picked"), F.col("_used").alias("used")), take)
+        last = F.element_at("xs", -1)
+        made = stored(lists.select(F.col("anchor").alias("_of"), folded.alias("f"), F.size("xs").alias("_seen"), last["similarity"].alias("_s"), last["negative"].alias("_n"), F.size("_picked").alias("_before")), "diverse")
+        new = made.select(F.col("_of").alias("anchor"), F.posexplode("f.picked").alias("place", "p"), "_before").where("place >= _before")
+        new = new.select("anchor", "p.negative", "p.similarity", "p.pair_type", F.col("place").cast("long").alias("place"))
+        done = new if done is None else done.unionByName(new)
+        open_ = made.where((F.size("f.picked") < most) & (F.col("_seen") >= batch)).select("_of", F.col("f.picked").alias("_picked"), F.col("f.used").alias("_used"), "_s", "_n")
         if open_.isEmpty():
-            return done.select("anchor", F.posexplode("picked").alias("place", "p")).select("anchor", "p.negative", "p.similarity", "p.pair_type", F.col("place").cast("long").alias("place"))
-        k *= 4
+            return done
 
 
 def unique_terms(spark, sf):
@@ -114,7 +123,8 @@ def unique_terms(spark, sf):
     return top.groupBy(F.col("chunk_id").alias("id")).agg(F.collect_set("term").alias("terms"))  # five each
 
 
-_DIVERSE = f"""{_CHUNKS}, {_TFIDF}, ut AS MATERIALIZED (SELECT chunk_id AS id, list(term) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(weight, 6) DESC, term) AS r FROM tfidf) WHERE r <= 5 GROUP BY chunk_id),
+_UNIQUE = "ut AS MATERIALIZED (SELECT chunk_id AS id, list(term) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(weight, 6) DESC, term) AS r FROM tfidf) WHERE r <= 5 GROUP BY chunk_id)"
+_DIVERSE = f"""{_CHUNKS}, {_TFIDF}, {_UNIQUE},
     cand AS MATERIALIZED (SELECT anchor, negative, similarity, pair_type, coalesce(terms, []::VARCHAR[]) AS terms, row_number() OVER (PARTITION BY anchor ORDER BY similarity DESC, negative) AS r FROM neg LEFT JOIN ut ON ut.id = neg.negative),
     walk AS (SELECT DISTINCT anchor, 0::BIGINT AS r, []::BIGINT[] AS picked, []::VARCHAR[] AS used FROM cand UNION ALL
         SELECT w.anchor, c.r, CASE WHEN len(list_intersect(c.terms, used)) < 2 THEN list_append(picked, c.negative) ELSE picked END, CASE WHEN len(list_intersect(c.terms, used)) < 2 THEN list_concat(used, c.terms) ELSE used END
@@ -202,8 +212,6 @@ _VALID = r"ta <> tp AND ta <> tn AND tp <> tn AND " + " AND ".join(rf"len(list_f
 
 
 def valid(pairs):
-    from ..functions.text import whitespace_words
-
     long = [F.size(whitespace_words(F.col(t))) >= 10 for t in ("ta", "tp", "tn")]
     return pairs.where("ta <> tp AND ta <> tn AND tp <> tn").where(long[0] & long[1] & long[2])
 
@@ -219,27 +227,58 @@ def _split(doc):
     return F.when(h < 80, "train").when(h < 90, "val").otherwise("test")
 
 
-@query("sink_training_jsonl", f"WITH {_BLOCKED}, {_TEXTS} SELECT CASE WHEN (doc * 7919) % 100 < 80 THEN 'train' WHEN (doc * 7919) % 100 < 90 THEN 'val' ELSE 'test' END AS split, anchor AS anchor_id, positive AS positive_id, negative AS negative_id, md5(ta) AS anchor, md5(tp) AS positive, md5(tn) AS negative, difficulty, pair_type AS type FROM ht WHERE {_VALID}", "difficulty")
-def sink_training_jsonl(spark, sf):
-    """Valid pairs written as JSON lines, a folder for each split (of the anchor's document), and read back."""
-    import uuid
+_SPLIT_CASE = "CASE WHEN (doc * 7919) % 100 < 80 THEN 'train' WHEN (doc * 7919) % 100 < 90 THEN 'val' ELSE 'test' END"
+
+
+def training_set(spark, sf):
+    """The folder of a training set: valid pairs with their split (of the anchor's document), every chunk, and the description."""
+    from ..sources import training
 
     ids = F.struct(F.col("anchor").alias("anchor"), F.col("positive").alias("positive"), F.col("negative").alias("negative")).alias("ids")
-    rows = valid(hydrated(spark, sf)).select(_split(F.col("doc")).alias("split"), F.col("ta").alias("anchor"), F.col("tp").alias("positive"), F.col("tn").alias("negative"), "difficulty", F.col("pair_type").alias("type"), ids)
-    path = f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
-    rows.write.partitionBy("split").json(path)
-    back = spark.read.schema("anchor string, positive string, negative string, difficulty double, type string, ids struct<anchor:bigint,positive:bigint,negative:bigint>, split string").json(path)
+    pairs = valid(hydrated(spark, sf)).select(_split(F.col("doc")).alias("split"), F.col("ta").alias("anchor"), F.col("tp").alias("positive"), F.col("tn").alias("negative"), "difficulty", F.col("pair_type").alias("type"), ids)
+    c, total = chunk_table(spark, sf), F.count(F.lit(1)).over(Window.partitionBy("doc"))  # ten chunks a document
+    terms = unique_terms(spark, sf).select(F.col("id").alias("_of"), F.array_sort("terms").alias("unique_terms"))
+    named = c.select(F.col("id").alias("chunk_id"), F.col("doc").alias("doc_id"), "text", (F.col("i") / total).alias("position"), F.size(whitespace_words(F.col("text"))).alias("length"), F.col("i").alias("chunk_index"), total.alias("total_chunks"))
+    chunks = named.join(terms, F.col("chunk_id") == F.col("_of"), "left").drop("_of")
+    return training.write_training_set(pairs, chunks, fresh_path(spark, "training"), SETTINGS)
+
+
+@query("sink_training_jsonl", f"WITH {_BLOCKED}, {_TEXTS} SELECT {_SPLIT_CASE} AS split, anchor AS anchor_id, positive AS positive_id, negative AS negative_id, md5(ta) AS anchor, md5(tp) AS positive, md5(tn) AS negative, difficulty, pair_type AS type FROM ht WHERE {_VALID}", "difficulty")
+def sink_training_jsonl(spark, sf):
+    """Valid pairs written as JSON lines, a folder for each split, and read back."""
+    from ..sources import training
+
+    back = training.read_pairs(spark, training_set(spark, sf))
     return back.select("split", F.col("ids.anchor").alias("anchor_id"), F.col("ids.positive").alias("positive_id"), F.col("ids.negative").alias("negative_id"), F.md5("anchor").alias("anchor"), F.md5("positive").alias("positive"), F.md5("negative").alias("negative"), "difficulty", "type")
 
 
+@query("sink_training_chunks", rf"""WITH {_CHUNKS}, {_TFIDF}, {_UNIQUE} SELECT ck.id AS chunk_id, doc AS doc_id, md5(text) AS text, i::DOUBLE / count(*) OVER (PARTITION BY doc) AS position, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS length,
+    i AS chunk_index, count(*) OVER (PARTITION BY doc) AS total_chunks, array_to_string(list_sort(terms), ' ') AS unique_terms FROM ck LEFT JOIN ut ON ut.id = ck.id""", "position")
+def sink_training_chunks(spark, sf):
+    """The chunks beside the pairs, written and read back."""
+    from ..sources import training
+
+    return training.read_training_chunks(spark, training_set(spark, sf)).withColumns({"text": F.md5("text"), "unique_terms": F.when(F.col("unique_terms").isNotNull(), F.concat_ws(" ", "unique_terms"))})
+
+
+@query("sink_training_metadata", f"""WITH {_BLOCKED}, {_TEXTS}, w AS (SELECT {_SPLIT_CASE} AS split, pair_type FROM ht WHERE {_VALID})
+    SELECT (SELECT count(*) FROM ck) AS total_chunks, (SELECT count(DISTINCT doc) FROM ck) AS total_documents, 384 AS chunk_size, 128 AS overlap, 20 AS min_chunk_words, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test,
+    count(*) FILTER (split = 'train' AND pair_type = 'hard') AS hard, count(*) FILTER (split = 'train' AND pair_type = 'semi-hard') AS semi_hard, count(*) FILTER (split = 'train' AND pair_type = 'easy') AS easy FROM w""")
+def sink_training_metadata(spark, sf):
+    """The description: sizes, settings, pairs of each split, types of the training pairs; 0 where there are none."""
+    from ..sources import training
+
+    m = training.read_metadata(spark, training_set(spark, sf))
+    part = lambda of, key: F.coalesce(F.col(of)[key], F.lit(0)).alias(key.replace("-", "_"))
+    return m.select("total_chunks", "total_documents", *SETTINGS, *[part("splits", k) for k in ("train", "val", "test")], *[part("pair_types", k) for k in RATIOS])
+
+
 @query("prep_report", rf"""WITH {_BLOCKED}, l AS (SELECT len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents)
     SELECT (SELECT count(*) FROM l) AS n_docs, (SELECT sum(n)::BIGINT FROM l) AS total_words, (SELECT avg(n) FROM l) AS mean_words, (SELECT stddev_pop(n) FROM l) AS std_words, (SELECT min(n) FROM l) AS min_words, (SELECT max(n) FROM l) AS max_words, (SELECT quantile_cont(n::DOUBLE, 0.5) FROM l) AS median_words,
     count(*) AS n_pairs, avg(difficulty) AS mean_difficulty, stddev_pop(difficulty) AS std_difficulty, min(difficulty) AS min_difficulty, max(difficulty) AS max_difficulty, quantile_cont(difficulty, 0.5) AS median_difficulty,
     (SELECT count(*) FROM (SELECT anchor FROM bp UNION SELECT positive FROM bp UNION SELECT negative FROM bp))::DOUBLE / (SELECT count(*) FROM ck) AS coverage FROM bp""", "mean_words std_words median_words mean_difficulty std_difficulty min_difficulty max_difficulty median_difficulty coverage")
 def prep_report(spark, sf):
     """Lengths of the texts, difficulty of the pairs, and the share of chunks that some pair uses."""
-    from ..functions.text import whitespace_words
-
     five = lambda c, name: [F.avg(c).alias(f"mean_{name}"), F.stddev_pop(c).alias(f"std_{name}"), F.min(c).alias(f"min_{name}"), F.max(c).alias(f"max_{name}")]
     median = lambda df, c, name: exact_quantiles(df, [c], [], {"median": 0.5}).select(F.col(f"{c}_median").alias(f"median_{name}"))
     n = stored(table(spark, sf, "documents").select(F.size(whitespace_words(F.col("text"))).cast("long").alias("n")), "lengths")

@@ -68,6 +68,50 @@ def test_components_and_clusters(spark, vectors):
     assert X.kmeans(vectors, 3).select("cluster").distinct().count() == 3
 
 
+def test_principal_components_of_standardised_vectors(spark, vectors):
+    rows = sorted(vectors.collect())
+    x = np.array([r["v"] for r in rows])
+    z = (x - x.mean(0)) / x.std(0)
+    made = X.principal(X.standard_scale(vectors.select("vec_id", "v")), 6)
+    _, singular, axes = np.linalg.svd(z, full_matrices=False)
+    assert made.deviations == pytest.approx(singular[:6] / math.sqrt(len(x) - 1)) and made.shares == pytest.approx(singular[:6] ** 2 / (singular**2).sum())
+    assert np.abs(np.sum(made.axes * axes[:6], 1)) == pytest.approx(1) and (made.axes[np.arange(6), np.abs(made.axes).argmax(1)] > 0).all()
+    few = X.principal(spark.createDataFrame([(1, [2.0, 2.0]), (2, [2.0, 2.0])], "vec_id long, v array<double>"), 2)  # no variance at all
+    assert few.shares.tolist() == [0, 0] and few.deviations.tolist() == [0, 0]
+
+
+def test_reductions_and_expansions_find_their_own(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((150, 24))
+    spark.createDataFrame([(i, r.tolist(), i % 2) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    from rankforge.plans import registry
+
+    got = {r["dims"]: r for r in registry.queries()["pca_reductions"](spark, str(tmp_path)).collect()}
+    c = x - x.mean(0)
+    _, s, axes = np.linalg.svd(c, full_matrices=False)
+    assert sorted(got) == [2, 5, 10, 15]
+    for d, r in got.items():
+        assert r["explained"] == pytest.approx((s[:d] ** 2).sum() / (s**2).sum(), abs=1e-5) and r["n"] == 3
+        p = c @ axes[:d].T
+        p /= np.linalg.norm(p, axis=1, keepdims=True)
+        places = [1 + int((np.round(p @ p[q], 6) > round(float(p[q] @ p[q]), 6)).sum() + (np.round(p @ p[q], 6)[:q] == 1).sum()) for q in (0, 50, 100)]
+        assert r["mrr"] == pytest.approx(np.mean([1 / k for k in places]), abs=1e-6)
+    # Expanded queries against expanded vectors: the places that numpy finds in the same vectors.
+    from rankforge.plans import experiments
+
+    rows = experiments.described(spark, str(tmp_path))
+    docs, queries = ({(r["config"], r["vec_id"]): (r["label"], np.array(r["v"])) for r in experiments.configurations(*a).collect()} for a in ((rows,), (rows.where("vec_id % 50 = 0"), "query")))
+    want = {}
+    for (config, q), (label, v) in queries.items():
+        cos = {i: round(float(v @ u / np.linalg.norm(v) / np.linalg.norm(u)), 6) for (k, i), (_, u) in docs.items() if k == config}
+        place = 1 + sum((s, -i) > (cos[q], -q) for i, s in cos.items())
+        want.setdefault((config, "ca" if label % 2 == 0 else "es"), []).append(place)
+    got = {(r["config"], r["lang"]): r for r in registry.queries()["expansion_eval"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    for k, places in want.items():
+        assert (got[k]["n"], got[k]["mrr"]) == (len(places), pytest.approx(np.mean([1 / p for p in places]), abs=2e-2 / len(places)))
+
+
 def test_average_path_against_a_search(spark):
     rng = np.random.default_rng(6)
     edges = {(a, b) for a in range(30) for b in (int(rng.integers(0, 30)), (a + 1) % 30) if a != b}
