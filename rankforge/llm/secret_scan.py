@@ -2,7 +2,8 @@
 
 A candidate is a run of at least 12 key-like characters with a digit, with password marks (dots among them)
 between; after a key word and ``=`` or ``:``, or after Bearer, any value of 12 characters is one, with or without a
-digit. Its features are its length, shares of character classes, transitions between them, distinct characters,
+digit, and so is a value of 6 with a digit or a mark inside (``&`` too, unless a field's name and ``=`` follow it). In an address what
+stands between ``://user:`` and ``@`` is one, from 4 characters. Its features are its length, shares of character classes, transitions between them, distinct characters,
 dictionary coverage, whether it stands in a path, and what stands around it: the words before and after, and of
 its own word the characters next to it, up to where the next field (``,;&{}``) begins. The forest is trained on labelled findings: a table
 ``finding, before, word, after, secret``. The tables at hand hold none, so ``labelled_findings`` makes a bounded
@@ -30,20 +31,24 @@ _RUN = rf"(?<![{_CLASS}])(?<![{_CLASS}][{_MARK}]{{1,8}})(?=[A-Za-z_+/\-{_MARK}]*
 #: Words that speak for and against a secret nearby, and common English words.
 _FOR = "password|passwd|pwd|secret|token|api|key|auth|bearer|credential|private|access"
 #: A value after a key word: more marks, no digit needed; a full stop or question mark at its end isn't part of it.
-_VALUE = rf"[{_CLASS}{_MARK}=?|]{{11,}}[{_CLASS}!@$#%^*~=|]"
+_IN_VALUE = rf"(?:[{_CLASS}{_MARK}=?|]|&(?![A-Za-z_][A-Za-z0-9_\-]{{0,40}}=))"
+_LAST = rf"[{_CLASS}!@$#%^*~=|]"
+_VALUE = rf"(?:{_IN_VALUE}{{11,}}{_LAST}|(?=[A-Za-z]{{1,40}}[^A-Za-z\s]|[^A-Za-z\s]){_IN_VALUE}{{5,}}{_LAST})"
+#: The password of an address.
+_LOGIN = r"(?<=://[^/:@\s]{1,64}:)[^/@\s]{4,}(?=@)"
 _NAME = rf"(?i:{_FOR})[A-Za-z0-9_\-]{{0,40}}[\"'`\]\\]{{0,3}}"
 _OPEN = r"[\"'`(\\]{0,3}"
 #: Within a word, at the start of a word that a key word before leads to, and in whole texts (to pass over the others).
-_IN_WORD = rf"(?:(?<=[:=]{_OPEN})(?<={_NAME}[:=]{{1,2}}>?{_OPEN}){_VALUE}|{_RUN})"
+_IN_WORD = rf"(?:{_LOGIN}|(?<=[:=]{_OPEN})(?<={_NAME}[:=]{{1,2}}>?{_OPEN}){_VALUE}|{_RUN})"
 _LED = rf"(?:(?<=^{_OPEN}){_VALUE}|{_IN_WORD})"
 _LEADS = rf"{_NAME}[:=]{{1,2}}>?$|(?i:bearer)$"
 _LEADS_APART = rf"{_NAME}[ ](?:[:=]{{1,2}}>?)$"
-_IN_TEXT = rf"{_RUN}|{_NAME}{SPACE_CLASS}*[:=]{{1,2}}>?{SPACE_CLASS}*{_OPEN}{_VALUE}|(?i:bearer){SPACE_CLASS}+{_OPEN}{_VALUE}"
+_IN_TEXT = rf"{_RUN}|://[^/:@\s]{{1,64}}:[^/@\s]{{4,}}@|{_NAME}{SPACE_CLASS}*[:=]{{1,2}}>?{SPACE_CLASS}*{_OPEN}{_VALUE}|(?i:bearer){SPACE_CLASS}+{_OPEN}{_VALUE}"
 #: Characters of the word that stand next to a finding: at least so many where there are as many.
 _NEXT = 64
-_AGAINST = "commit|sha|md5|checksum|uuid|guid|card|visa|phone|order|isbn|version|revision|date|build|digest|blob|ref"
-_WORDS = "the|and|that|with|this|from|have|tion|ing|ment|house|time|year|world|school|state|point|home|water|room|mother|area|money|story|fact|month|right|study|book|word|business|issue|side|kind|head|service|friend|father|power|hour|game|line|member|city|team|minute|idea|body|back|parent|face|level|office|door|health|person|art|history|party|result|change|morning|reason|research|girl|guy|moment|air|teacher|force|education|release|image|report|final|test|user|data|file|index|page|static|assets"
-FEATURES = ["length", "digits", "uppers", "lowers", "turns", "distinct", "vowels", "hex_only", "digits_only", "marks", "prefix", "covered", "in_path", "speaks_for", "speaks_against", "assigned", "quoted"]
+_AGAINST = "commit|sha|md5|checksum|uuid|guid|card|visa|phone|order|isbn|version|revision|date|build|digest|blob|ref|expir|count|length|limit|size|max_|min_|ttl|policy|created|timestamp"
+_WORDS = "the|and|that|with|this|from|have|tion|ing|ment|house|time|year|world|school|state|point|home|water|room|mother|area|money|story|fact|month|right|study|book|word|business|issue|side|kind|head|service|friend|father|power|hour|game|line|member|city|team|minute|idea|body|back|parent|face|level|office|door|health|person|art|history|party|result|change|morning|reason|research|girl|guy|moment|air|teacher|force|education|release|image|report|final|test|user|data|file|index|page|static|assets|your|here|required|invalid|missing|default|string|value|null|true|false|enter|field|minimum|manager|session|login|account|number|code|name|mail|config|server|client|public|policy|change|reset|local|host|none|must|sample|dummy|placeholder|password|secret|token"
+FEATURES = ["length", "digits", "uppers", "lowers", "turns", "distinct", "vowels", "hex_only", "digits_only", "marks", "prefix", "covered", "in_path", "speaks_for", "speaks_against", "assigned", "quoted", "login", "placeholder"]
 
 
 def with_features(findings: DataFrame) -> DataFrame:
@@ -79,11 +84,13 @@ def with_features(findings: DataFrame) -> DataFrame:
         "speaks_against": flag(near.rlike(_AGAINST)),
         "assigned": flag(F.concat(left, right).rlike("[=:]") | F.col("before").rlike("[=:]$")),
         "quoted": flag(F.concat(left, right).rlike("[\"'`]")),
+        "login": flag(F.col("left").rlike("://[^/:@]{1,64}:$") & F.col("right").startswith("@")),
+        "placeholder": flag(c.rlike(r"^[$%<{*]|^(.)\1+$|^[Xx*.]{4,}") | F.concat(left, right).rlike(r"\$\{?$|[{]{2}$|<$")),
     }
     return findings.withColumns(made)
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 8000) -> DataFrame:
     """``n`` findings of about equally many kinds, made by hashing their number."""
     i = F.col("id")
     hexes = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), i.cast("string")), 256)
@@ -98,7 +105,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     uuid = F.concat_ws("-", *[F.substring(hexes("u"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     bare = lambda salt: F.translate(letters(salt), "0123456789", "aBcDeFgHiJ")
     part = lambda salt, k: F.substring(letters(salt), 1, k)
-    kinds = [  # finding, word before, word, secret
+    kinds = [  # finding, word before, what precedes it in its word, secret, what follows it there
         (F.concat(F.lit("AKIA"), F.substring(F.upper(F.translate(letters("a"), "019", "XYZ")), 1, 15), F.lit("7")), some("b"), None, 1),
         (cut(hexes("c"), 16, 40, "n"), some("b"), F.concat(name("k", keys), F.lit("=")), 1),
         (cut(hexes("d"), 20, 64, "n"), F.lit("="), F.lit('"'), 1),
@@ -122,12 +129,21 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(some("x"), some("y"), some("z"), some("w")), F.concat(name("k", keys), F.lit(":")), None, 0),
         (F.concat(some("x"), F.lit("."), some("y"), F.lit("_"), some("z"), F.lit("."), some("w")), some("b"), F.concat(name("k", keys), F.lit("=")), 0),
         (F.substring(hexes("j"), 1, 40), some("b"), F.concat(F.lit('{"'), name("w", plain), F.lit('":"')), 0),
+        (F.concat(cut(letters("sa"), 4, 8, "n"), numbers("sb", 1), name("m3", ["!", "", "#", "", "&x"])), some("b"), F.concat(name("k", keys), F.lit("=")), 1),
+        (F.concat(F.lower(cut(bare("sc"), 5, 9, "n")), numbers("sd", 2)), F.concat(name("k", keys), F.lit(":")), None, 1),
+        (F.lower(cut(bare("se"), 14, 24, "n")), F.concat(name("k", keys), F.lit(" =")), None, 1),
+        (F.concat(cut(letters("sf"), 5, 16, "n"), numbers("sg", 1)), some("b"), F.concat(name("v", ["postgres", "redis", "https", "amqp", "mysql"]), F.lit("://"), some("x"), F.lit(":")), 1, F.concat(F.lit("@"), some("y"), F.lit(".example.net/app"))),
+        (cut(numbers("sh", 12), 6, 12, "n"), some("b"), F.concat(name("nn", ["max_tokens", "token_count", "key_size", "token_limit", "password_length"]), F.lit("=")), 0),
+        (numbers("si", 14), some("b"), F.concat(name("nx", ["access_token", "token", "key", "secret"]), name("ny", ["_expires", "_created", "_timestamp"]), F.lit("=")), 0),
+        (F.concat(name("np", ["your_", "YOUR_", "<your-", "${", "example-", "xxxxxx"]), some("x"), name("nq", ["_here", "-1", "_token", "}"])), some("b"), F.concat(name("k", keys), F.lit("=")), 0),
+        (F.concat(name("fa", ["scan_", "photo-", "draft_", "chapter-"]), some("x"), F.lit("_"), numbers("fb", 4), name("fc", [".png", ".pdf", ".txt", ".jpg"])), some("b"), None, 0),
+        (F.concat(some("x"), name("nr", ["-", "_", "."]), some("y"), numbers("sj", 1)), F.concat(name("k", keys), F.lit(":")), None, 0),
     ]
     kind = F.pmod(i, F.lit(len(kinds)))
     pick = lambda column: F.element_at(F.array(*[column(k) for k in kinds]), (kind + 1).cast("int"))
     rows = spark.range(0, n, 1, 1).select(
         pick(lambda k: k[0]).alias("finding"), pick(lambda k: k[1]).alias("before"),
-        pick(lambda k: F.concat(k[2] if k[2] is not None else F.lit(""), k[0])).alias("word"), some("after").alias("after"), pick(lambda k: F.lit(k[3])).alias("secret"),
+        pick(lambda k: F.concat(k[2] if k[2] is not None else F.lit(""), k[0], k[4] if len(k) > 4 else F.lit(""))).alias("word"), some("after").alias("after"), pick(lambda k: F.lit(k[3])).alias("secret"),
     )
     return rows
 
@@ -136,7 +152,7 @@ def _vectors(findings: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(with_features(findings))
 
 
-def train_forest(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) -> RandomForestClassificationModel:
+def train_forest(labelled: DataFrame, trees: int = 40, depth: int = 9, seed: int = 11) -> RandomForestClassificationModel:
     """A forest over a bounded table of labelled findings (one partition, so that a rerun gives the same trees)."""
     rows = _vectors(labelled.coalesce(1)).select("_features", F.col("secret").cast("double").alias("label"))
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, maxBins=32, subsamplingRate=0.8)
