@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..operators import blocks
 from ..operators import fusion as N
 from ..operators import ranking
 from ..operators.keep import stored
-from ..operators.pairwise import query_cosines
 from .common import vectors
 from .registry import query
 from .vectors import VEC
@@ -17,16 +19,23 @@ HALF = 32
 WEIGHTS = {"even": 0.571, "odd": 0.429}
 
 
-def model_scores(spark, sf):
-    """``query_id, model, chunk_id, doc, score``, stored: every fiftieth vector (the stated query set) against all, by two half vectors.
+def scored(q, c):
+    """Scores of a block by both half vectors, to nine digits; where either side lacks a vector, minus infinity."""
+    x, y = q.v, c.v
+    made = [np.concatenate([blocks.nine(blocks.cosine(x[t, k::2], y[:, k::2])) for t in blocks.tiles(len(q.ids))]) for k in (0, 1)]
+    for m in made:
+        m[~(q.ok[:, None] & c.ok[None, :])] = -np.inf
+    return made
 
-    Halves and lengths are cut once; vectors meet in blocks, each pair of blocks one matrix product.
-    """
-    v = vectors(spark, sf)
-    half = lambda odd: F.filter("v", lambda x, i: i % 2 == odd)
-    both = v.select("vec_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), half(k).alias("v")) for k, m in enumerate(("even", "odd"))])).alias("m")).select("vec_id", "m.model", "m.v")
-    made = query_cosines(both.where("vec_id % 50 = 0"), both, ["model"])
-    return stored(made.select("query_id", "model", "chunk_id", (F.col("chunk_id") % 20).alias("doc"), F.round("cosine", 9).alias("score")), "models")
+
+def halves(spark, sf, run, schema, more=None):
+    """``run(q, c, even, odd)`` of each block of queries (every fiftieth vector, the stated query set) with each block of all vectors; ``more`` goes with the queries."""
+    v = vectors(spark, sf).select("vec_id", "label", "v")
+    q = v.where("vec_id % 50 = 0")
+    return blocks.meet(q if more is None else q.join(more, "vec_id"), v, lambda q, c: run(q, c, *scored(q, c)), schema)
+
+
+NAMES = np.array(["even", "odd", "fused"])
 
 
 MODELS = f"""{VEC}, h AS MATERIALIZED (SELECT vec_id, label, list_filter(v, lambda x, i: i % 2 = 1) AS e, list_filter(v, lambda x, i: i % 2 = 0) AS o FROM v),
@@ -46,8 +55,36 @@ def weights(spark):
     return spark.createDataFrame(list(WEIGHTS.items()), "model string, weight double").coalesce(1)
 
 
+DOCS = 20
+
+
 def doc_best(spark, sf):
-    return model_scores(spark, sf).groupBy("query_id", "model", "doc").agg(F.max("score").alias("score"))
+    """``query_id, model, doc, score``: the best chunk of each document, from the best of each block."""
+
+    def run(q, c, *scores):
+        doc, out = c.ids % DOCS, []
+        order = np.argsort(doc, kind="stable")
+        kinds, first = np.unique(doc[order], return_index=True)
+        for name, s in zip(NAMES, scores):
+            most = np.maximum.reduceat(s[:, order], first, axis=1).ravel()
+            found = most > -np.inf
+            out.append(pa.table({"query_id": np.repeat(q.ids, len(kinds))[found], "model": [name] * int(found.sum()), "doc": np.tile(kinds, len(q.ids))[found], "score": most[found]}))
+        return pa.concat_tables(out)
+
+    return halves(spark, sf, run, "query_id long, model string, doc long, score double").groupBy("query_id", "model", "doc").agg(F.max("score").alias("score"))
+
+
+def chunk_best(spark, sf, k):
+    """``query_id, model, chunk_id, doc, score, rank`` of the k best chunks, from the k best of each block."""
+
+    def run(q, c, *scores):
+        out = []
+        for name, s in zip(NAMES, scores):
+            at, to = blocks.firsts(blocks.units(s), k)
+            out.append(pa.table({"query_id": q.ids[at], "model": [name] * len(at), "chunk_id": c.ids[to], "doc": c.ids[to] % DOCS, "score": s[at, to]}))
+        return pa.concat_tables(out)
+
+    return ranking.top_k(halves(spark, sf, run, "query_id long, model string, chunk_id long, doc long, score double"), k, ["query_id", "model"])
 
 
 @query("weighted_average_fusion", f"WITH {MODELS} {_top5('wavg')}", "score")
@@ -58,7 +95,7 @@ def weighted_average_fusion(spark, sf):
 
 @query("rrf_fusion", f"WITH {MODELS} {_top5('rrf')}", "score")
 def rrf_fusion(spark, sf):
-    ranked = ranking.top_k(model_scores(spark, sf), 20, ["query_id", "model"])
+    ranked = chunk_best(spark, sf, 20)
     return ranking.top_k(N.rrf_fusion(ranked, weights(spark), ["query_id"]), 5, ["query_id"], "score", ["doc"])
 
 
@@ -127,16 +164,42 @@ _OUTCOMES = f"""{MODELS}, fs AS (SELECT query_id, chunk_id, 'fused' AS model, su
 
 
 def outcomes(spark, sf):
-    """``query_id, even, odd, fused``, stored: the rank of the first other vector of the query's label, by model."""
-    one = model_scores(spark, sf)
-    fused = one.join(F.broadcast(weights(spark)), "model").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
-    every = one.select("query_id", "chunk_id", "model", "score").unionByName(fused.withColumn("model", F.lit("fused"))).where("chunk_id <> query_id")
-    label = vectors(spark, sf).select("vec_id", "label")
-    every = every.join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_l")), "query_id").join(label.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
-    order = F.struct(F.round("score", 6).alias("s"), (-F.col("chunk_id")).alias("t"))
-    best = every.where("_l = label").groupBy("query_id", "model").agg(F.max(order).alias("best"))
-    ahead = every.join(best, ["query_id", "model"]).where(order >= F.col("best"))
-    return stored(ahead.groupBy("query_id").pivot("model", ["even", "odd", "fused"]).agg(F.count(F.lit(1))), "outcomes")
+    """``query_id, even, odd, fused``, stored: the rank of the first other vector of the query's label, by model.
+
+    One pass finds the best of the label, a second counts what is not behind it; both see the pairs in their blocks only.
+    """
+
+    def three(q, c, even, odd):
+        every = [even, odd, WEIGHTS["even"] * even + WEIGHTS["odd"] * odd]
+        for s in every:
+            s[q.ids[:, None] == c.ids[None, :]] = -np.inf
+        return [blocks.units(s) for s in every]
+
+    def same(q, c):
+        codes = {}
+        own, other = (np.array([-1 if x is None else codes.setdefault(x, len(codes)) for x in side.table.column("label").to_pylist()]) for side in (q, c))
+        return (own[:, None] == other[None, :]) & (own[:, None] >= 0)
+
+    def best(q, c, even, odd):
+        alike, out = same(q, c), []
+        for name, s in zip(NAMES, three(q, c, even, odd)):
+            at, to = blocks.firsts(np.where(alike, s, -np.inf), 1)
+            out.append(pa.table({"query_id": q.ids[at], "model": [name] * len(at), "s": s[at, to], "t": -c.ids[to]}))
+        return pa.concat_tables(out)
+
+    first = halves(spark, sf, best, "query_id long, model string, s double, t long").groupBy("query_id", "model").agg(F.max(F.struct("s", "t")).alias("b"))
+    first = stored(first.groupBy(F.col("query_id").alias("vec_id")).pivot("model", NAMES.tolist()).agg(F.max("b")), "firsts")
+    named = first.select("vec_id", *[F.coalesce(F.col(f"{m}.{x}"), F.lit(v)).alias(f"{m}_{x}") for m in NAMES.tolist() for x, v in (("s", float("inf")), ("t", 0))])
+
+    def ahead(q, c, even, odd):
+        out = {"query_id": q.ids}
+        for name, s in zip(NAMES, three(q, c, even, odd)):
+            least, t = q.column(f"{name}_s")[:, None], q.column(f"{name}_t")[:, None]
+            out[str(name)] = ((s > least) | ((s == least) & (-c.ids[None, :] >= t))).sum(1)
+        return out
+
+    counts = halves(spark, sf, ahead, "query_id long, even long, odd long, fused long", named).groupBy("query_id")
+    return stored(counts.agg(*[F.when(F.sum(m) > 0, F.sum(m)).alias(m) for m in NAMES.tolist()]), "outcomes")
 
 
 def _right(p, name):
