@@ -71,3 +71,29 @@ def test_training_set_without_rows(spark):
     assert training.read_pairs(spark, path).count() == 0 and training.read_training_chunks(spark, path).count() == 0
     m = training.read_metadata(spark, path).first()
     assert (m["total_chunks"], m["total_documents"], m["splits"], m["pair_types"]) == (0, 0, {}, {})
+
+
+def test_diverse_negatives_from_blocks(spark, monkeypatch):
+    """Several blocks and passes, many copies of texts and vectors; against all negatives and the plain walk."""
+    from rankforge.operators import blocks
+    from rankforge.plans import preparation as P
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((25, 5))
+    v = [(i, i // 10, base[i % 25].tolist() if i % 3 else rng.standard_normal(5).tolist()) for i in range(150)]
+    words = {i: sorted({f"w{x}" for x in rng.integers(0, 9, int(rng.integers(0, 4)))}) if i % 3 else [f"w{i % 4}", "w8", "w9"] for i in range(150)}
+    made = spark.createDataFrame(v, "vec_id long, doc long, v array<double>")
+    terms = spark.createDataFrame([(i, t) for i, t in words.items() if t], "id long, terms array<string>")
+    monkeypatch.setattr(blocks, "VECTORS", 40)
+    monkeypatch.setattr(blocks.meet, "__defaults__", ((40, 40),))
+    got = sorted(P.diverse_from(made, terms, most=6, batch=4).collect(), key=lambda r: (r["anchor"], r["place"]))
+    x = np.array([r[2] for r in v])
+    c = np.round(x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None, :]), 9)
+    for a in (0, 50, 100):
+        found = sorted((-c[a, b], b) for b in range(150) if b // 10 != a // 10 and c[a, b] <= 0.9)
+        picked, used = [], set()
+        for s, b in found:
+            if len(picked) < 6 and len(used & set(words[b])) < 2:
+                picked.append(b)
+                used |= set(words[b])
+        assert [r["negative"] for r in got if r["anchor"] == a] == picked
