@@ -245,7 +245,10 @@ def mrf_unordered(index: Index, window: int = 8) -> DataFrame:
 
 def mrf_windows(index: Index, sizes: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
     """``query_id, chunk_id, window, score``: every size from one table of least distances."""
-    made = index.gather(*window_parts(index, sizes))
+    return by_window(index.gather(*window_parts(index, sizes)), sizes)
+
+
+def by_window(made: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"w{w}").cast("double").alias("score")) for w in sizes])).alias("x")
     return made.select("query_id", "chunk_id", each).select("query_id", "chunk_id", "x.score", "x.window")
 
@@ -332,8 +335,12 @@ def mrf_enhanced(index: Index, window: int = 8) -> DataFrame:
     gaps = stored(min_gaps(index, window), "gaps")
     parts = index.gather(unigram_part(index), ordered_part(index), *window_parts(index, (window,), gaps), position_part(index, window, gaps))
     parts = parts.withColumn("unigram", unigram())
+    return parts.select("query_id", "chunk_id", enhanced(window).alias("score"))
+
+
+def enhanced(window: int = 8) -> Column:
     weight = adaptive_feature_weights(F.col("n"), F.coalesce(F.try_divide("hit", "n"), F.lit(0.0)))
-    return parts.select("query_id", "chunk_id", (weight[0] * F.col("unigram") + weight[1] * F.col("ordered") + weight[2] * F.col(f"w{window}") + 0.1 * F.col("position")).alias("score"))
+    return weight[0] * F.col("unigram") + weight[1] * F.col("ordered") + weight[2] * F.col(f"w{window}") + 0.1 * F.col("position")
 
 
 #: Windows by query length with their weights, and the mixtures of the ensemble.

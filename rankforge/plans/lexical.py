@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize, whitespace_words
 from ..operators import lexical as L
+from ..operators import retrieval as R
 from ..operators import subwords as S
 from .common import CTE, asked, index, mrf_cte, spread, texts
 from .registry import query
@@ -24,6 +25,12 @@ _JM = f"""
 """
 
 
+def dependence(spark, sf, windows, position=False):
+    """Features of every passage and document, made where the documents are; nothing of a pair is exchanged."""
+    sized = lambda df, key: df.select(key, tokenize(F.col("text")).alias("tokens"), F.size(whitespace_words(F.col("text"))).alias("n_words"))
+    return R.Retrieval(sized(asked(spark, sf), "query_id"), sized(spread(texts(spark, sf)), "chunk_id")).features(windows, position)
+
+
 @query("qlm_dirichlet", _DIRICHLET, "score")
 def qlm_dirichlet(spark, sf):
     return L.qlm_dirichlet(index(spark, sf))
@@ -75,22 +82,22 @@ def mrf_unigram(spark, sf):
 
 @query("mrf_ordered", f"WITH {mrf_cte(8)} SELECT query_id, chunk_id, o AS score FROM ordered", "score")
 def mrf_ordered(spark, sf):
-    return L.mrf_ordered(index(spark, sf))
+    return dependence(spark, sf, (1,)).select("query_id", "chunk_id", F.col("ordered").alias("score"))
 
 
 @query("mrf_unordered", f"WITH {mrf_cte(8)} SELECT query_id, chunk_id, x AS score FROM feat WHERE w = 8", "score")
 def mrf_unordered(spark, sf):
-    return L.mrf_unordered(index(spark, sf), 8)
+    return dependence(spark, sf, (8,)).select("query_id", "chunk_id", F.col("w8").alias("score"))
 
 
 @query("mrf_sd", f"WITH {mrf_cte(8)} SELECT query_id, chunk_id, 0.8 * u + 0.1 * o + 0.1 * x AS score FROM feat WHERE w = 8", "score")
 def mrf_sd(spark, sf):
-    return L.mrf_sd(index(spark, sf))
+    return dependence(spark, sf, (8,)).select("query_id", "chunk_id", L.mixed().alias("score"))
 
 
 @query("mrf_windows", f"WITH {mrf_cte(4, 8, 16, 32)} SELECT query_id, chunk_id, x AS score, w::BIGINT AS \"window\" FROM feat", "score")
 def mrf_windows(spark, sf):
-    return L.mrf_windows(index(spark, sf))
+    return L.by_window(dependence(spark, sf, (4, 8, 16, 32)), (4, 8, 16, 32))
 
 
 _POSITION = """position AS (
@@ -102,7 +109,7 @@ _POSITION = """position AS (
 
 @query("mrf_position", f"WITH {mrf_cte(8)}, {_POSITION} SELECT query_id, chunk_id, pos AS score FROM position", "score")
 def mrf_position(spark, sf):
-    return L.mrf_position(index(spark, sf))
+    return dependence(spark, sf, (1,), position=True).select("query_id", "chunk_id", F.col("position").alias("score"))
 
 
 _ADAPTIVE = """adapted AS (
@@ -128,7 +135,7 @@ def mrf_adaptive_weights(spark, sf):
     "score",
 )
 def mrf_enhanced(spark, sf):
-    return L.mrf_enhanced(index(spark, sf))
+    return dependence(spark, sf, (8,), position=True).select("query_id", "chunk_id", L.enhanced().alias("score"))
 
 
 OPTIMIZED = """optimized AS (
@@ -146,7 +153,7 @@ ENSEMBLE = """qw AS (SELECT item_id AS query_id, len(list_filter(regexp_split_to
 
 @query("mrf_optimized_windows", f"WITH {mrf_cte(3, 4, 5, 6, 7, 8, 9)}, {OPTIMIZED} SELECT * FROM optimized", "score")
 def mrf_optimized_windows(spark, sf):
-    return L.mrf_optimized_windows(index(spark, sf))
+    return dependence(spark, sf, L.OPTIMIZED_SIZES).select("query_id", "chunk_id", L.optimized().alias("score"))
 
 
 def query_words(spark, sf):
@@ -159,7 +166,7 @@ def chunk_words(spark, sf):
 
 @query("mrf_ensemble", f"WITH {mrf_cte(4, 6, 8, 10, 12)}, {ENSEMBLE} SELECT * FROM ensemble", "score")
 def mrf_ensemble(spark, sf):
-    return L.mrf_ensemble(index(spark, sf), query_words(spark, sf))
+    return dependence(spark, sf, L.ENSEMBLE_SIZES).select("query_id", "chunk_id", L.ensemble().alias("score"))
 
 
 KEYWORDS = r"""cw AS (SELECT doc_id AS chunk_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_words FROM documents),
