@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import augment as A
 from ..functions.text import normalize_doc_name, tokenize
 from ..operators import evaluate as E
-from ..operators import lexical as L
 from ..operators.keep import stored
-from ..operators.ranking import first_position
+from ..operators.retrieval import Retrieval
 from ..sources.synthetic import TEXTS
 from .common import asked, qrels, spread, texts
 from .registry import query
@@ -42,7 +41,11 @@ def augment_context(spark, sf):
 
 def corpus(spark, sf):
     """``chunk_id, variant, name, text``: each document, two paraphrases and one context at most, named after it."""
-    d = texts(spark, sf).select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+    return varied(texts(spark, sf))
+
+
+def varied(d):
+    d = d.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
     key = F.col("chunk_id").cast("string")
     own = _numbered(d, A.paraphrases(F.col("text"), key, 2)).withColumn("kind", F.when(F.col("variant") == 0, "Original").otherwise(F.concat(F.lit("Paráfrasis "), F.col("variant").cast("string"))))
     led = _numbered(d, A.contexts(F.col("text"), key, 1)).where("variant > 0").withColumn("kind", F.concat(F.lit("Contexto "), F.col("variant").cast("string"))).withColumn("variant", F.col("variant") + 5)
@@ -58,12 +61,12 @@ def augment_corpus(spark, sf):
 @query("augmented_eval")
 def augmented_eval(spark, sf):
     """Likelihood over the augmented corpus; a variant counts for its document, which its name before the suffix tells."""
-    made = stored(spread(corpus(spark, sf)), "corpus").withColumn("id", F.col("chunk_id") * 10 + F.col("variant"))
-    i = L.Index(asked(spark, sf).select("query_id", tokenize(F.col("text")).alias("tokens")), made.select(F.col("id").alias("chunk_id"), tokenize(F.col("text")).alias("tokens")))
-    scores = stored(L.qlm_dirichlet(i), "scores")
-    base = qrels(spark, sf).select("query_id", F.concat(F.lit("doc"), F.col("chunk_id").cast("string")).alias("base"))
-    relevant = made.select(F.col("id").alias("chunk_id"), normalize_doc_name(F.col("name")).alias("base")).join(base, "base").select("query_id", "chunk_id")
-    return E.topn_accuracy(first_position(scores, relevant, ["query_id"]), [])
+    d, rel = spread(texts(spark, sf)), stored(qrels(spark, sf), "relevant")
+    coded = lambda df: varied(df).select((F.col("chunk_id") * 10 + F.col("variant")).alias("chunk_id"), tokenize(F.col("text")).alias("tokens"), normalize_doc_name(F.col("name")).alias("base"))
+    base = rel.groupBy(F.concat(F.lit("doc"), F.col("chunk_id").cast("string")).alias("base")).agg(F.collect_set("query_id").alias("wanted"))  # the queries whose passage a document holds
+    relevant = coded(d.join(rel.select("chunk_id").distinct(), "chunk_id", "left_semi")).join(base, "base").select("chunk_id", "tokens", "wanted")
+    queries = asked(spark, sf).select("query_id", tokenize(F.col("text")).alias("tokens"), F.lit(0).alias("n_words"))
+    return E.topn_accuracy(Retrieval(queries, coded(d).drop("base")).first_position(relevant), [])
 
 
 def sample_sentences(spark, sf):

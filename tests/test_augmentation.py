@@ -95,3 +95,26 @@ def test_empty_tables(spark, tmp_path):
     _tables(spark, tmp_path, [], [])
     assert augmentation.corpus(spark, str(tmp_path)).count() == 0
     assert registry.queries()["augmented_eval"](spark, str(tmp_path)).first()["n"] == 0
+
+
+def test_first_relevant_place_without_a_table_of_scores(spark, monkeypatch):
+    """Counted where the documents are, over several sets of queries and blocks; against the ranks of all scores."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rankforge.operators import lexical, retrieval
+    from rankforge.operators.ranking import first_position
+
+    rng = random.Random(3)
+    docs = [(i, [f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 9))]) for i in range(120)] + [(200, ["w1", "w2"]), (201, ["w1", "w2"])]
+    queries = [(q, [f"w{rng.randrange(14)}" for _ in range(3)]) for q in range(7)] + [(7, ["w1"]), (8, ["zz"])]
+    rel = [(q, d) for q in range(7) for d in rng.sample(range(120), 3)] + [(7, 201), (8, 5)]
+    d, q = spark.createDataFrame(docs, "chunk_id long, tokens array<string>").repartition(3), spark.createDataFrame(queries, "query_id long, tokens array<string>")
+    relevant = spark.createDataFrame(rel, "query_id long, chunk_id long")
+    want = {r.query_id: r.position for r in first_position(lexical.qlm_dirichlet(lexical.Index(q, d)), relevant, ["query_id"]).collect()}
+    monkeypatch.setattr(retrieval, "SET_TERMS", 9)
+    monkeypatch.setattr(retrieval, "BLOCK_PAIRS", 64)
+    wanted = relevant.groupBy("chunk_id").agg(F.collect_set("query_id").alias("wanted"))
+    got = retrieval.Retrieval(q.withColumn("n_words", F.lit(0)), d).first_position(d.join(wanted, "chunk_id"))
+    assert {r.query_id: r.position for r in got.collect()} == want and len(want) == 9
