@@ -18,9 +18,10 @@ from .keep import stored
 
 #: Most pivots (their vectors are held by the driver and every task), vectors to a part that pivots are chosen for, and vectors to a block.
 PIVOTS, PART, BLOCK = 512, 512, 2048
+#: Blocks are exchanged in runs of at most ``WIDE`` of them; a table is dealt to ``SIDES`` runs where that suffices.
+WIDE, SIDES = 32, 8
 #: What rounding of distances to six digits may hide.
 SLACK = 2e-6
-SMALL_ROWS = 100_000
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -68,7 +69,12 @@ class Parts:
         stats = {r.part: r for r in self.dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()}  # a row for each pivot
         self.sizes = np.array([stats[p].n if p in stats else 0 for p in range(len(pivots))])
         self.low, self.high = (np.array([getattr(stats[p], c) if p in stats else 0.0 for p in range(len(pivots))]) for c in ("low", "high"))
-        self.blocks = -(-self.sizes // BLOCK)
+        self.blocks = (-(-self.sizes // BLOCK)).astype(np.int64)
+        self.reach = max(min(BLOCK, self.n), min(WIDE * BLOCK, -(-self.n // SIDES)), 1)
+        self.first = np.concatenate([[0], np.cumsum(self.blocks)])[:-1]  # blocks in the order of their parts
+        self.part_of = np.repeat(np.arange(len(pivots)), self.blocks)
+        filled = np.repeat(self.sizes / np.maximum(self.blocks, 1), self.blocks)
+        self.run_of = (np.maximum(np.cumsum(filled) - 1, 0) // self.reach).astype(np.int64)
         blocks = F.array(*[F.lit(max(1, int(b))) for b in self.blocks]) if len(pivots) else F.array(F.lit(1))
         placed = self.dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(blocks, F.col("part"))).cast("int"))
 
@@ -105,6 +111,29 @@ class Parts:
 
         return self.rows.select("vec_id", "v", "part", "block", "bound").mapInPandas(reach, "vec_id long, v array<double>, bound double, to int, to_block int")
 
+    def run_visits(self) -> DataFrame:
+        """``vec_id, v, bound, mine, to``: its block, and the runs of blocks that hold one it has to visit, each once."""
+        pivots, low, high, first, run_of, blocks = self.pivots, self.low, self.high, self.first, self.run_of, self.blocks
+
+        def reach(frames):
+            for pdf in frames:
+                for at in range(0, len(pdf), 1024):  # vectors are repeated, so in small frames
+                    own = pdf.iloc[at : at + 1024]
+                    may = _may(_distances(_matrix(own["v"]), pivots), own["bound"].to_numpy(), low, high)
+                    wide = np.repeat(may, blocks, axis=1)  # a column for each block
+                    mine = first[own["part"].to_numpy()] + own["block"].to_numpy()
+                    wide[np.arange(len(own)), mine] = False
+                    i, to = np.nonzero(np.stack([wide[:, run_of == r].any(1) for r in range(run_of.max() + 1)], axis=1))
+                    yield pd.DataFrame({"vec_id": own["vec_id"].to_numpy()[i], "v": own["v"].to_numpy()[i], "bound": own["bound"].to_numpy()[i], "mine": mine[i].astype("int32"), "to": to.astype("int32")})
+
+        return self.rows.select("vec_id", "v", "part", "block", "bound").mapInPandas(reach, "vec_id long, v array<double>, bound double, mine int, to int")
+
+
+def _may(far: np.ndarray, bound: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether a part's ball, and the hollow around its pivot, leave room for something within a vector's bound."""
+    bound = bound[:, None] * (1 + 1e-9) + SLACK
+    return (far - high <= bound) & (low - far <= bound)
+
 
 def visited_share(parts: Parts) -> DataFrame:
     """``vectors, blocks, visits, share``: how much of all vectors with all other blocks has to be compared."""
@@ -116,22 +145,39 @@ def nearest(vectors: DataFrame, k: int) -> DataFrame:
     """``a, b, value, rank``: the k nearest others of each vector by Euclidean distance to six digits, then id. Null vectors have and are no neighbours."""
     parts = Parts(vectors, k)
     inside = parts.rows.select(F.col("vec_id").alias("a"), F.explode("near").alias("x")).select("a", "x.b", "x.value")
-    visits = stored(parts.visits(), "visits")
-    loads = stored(visits.groupBy("to", "to_block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")), "loads")
-    small = lambda df: F.broadcast(df) if loads.count() <= SMALL_ROWS else df
-    left = visits.join(small(loads), ["to", "to_block"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
-    right = parts.rows.select("vec_id", "v", F.col("part").alias("to"), F.col("block").alias("to_block")).join(small(loads), ["to", "to_block"])
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    visits, wide = parts.run_visits(), parts.reach
+    loads = stored(visits.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / wide).cast("int").alias("chunks")), "loads")  # a row for each run
+    listed = lambda xs: F.array(*[F.lit(int(x)) for x in xs]) if len(xs) else F.array(F.lit(0))
+    rows = parts.rows.withColumn("at", (F.get(listed(parts.first), F.col("part")) + F.col("block")).cast("int"))
+    left = visits.join(F.broadcast(loads), "to").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).select("vec_id", "v", "bound", "mine", "to", "chunk")
+    right = rows.select("vec_id", "v", "at", F.get(listed(parts.run_of), F.col("at")).cast("int").alias("to")).join(F.broadcast(loads), "to")
+    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("vec_id", "v", "at", "to", "chunk")
+    pivots, low, high, part_of = parts.pivots, parts.low, parts.high, parts.part_of
 
     def compare(key, q, c):
+        """Products of bounded size: some vectors with a part's, as far as the bound lets them."""
         if not len(q) or not len(c):
             return pd.DataFrame(_EMPTY)
-        a, b = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
-        far = _distances(_matrix(q["v"]), _matrix(c["v"]))
-        out = (a[:, None] == b[None, :]) | (far > q["bound"].to_numpy()[:, None] * (1 + 1e-9) + SLACK)
-        return _best(a, b, np.where(out, np.inf, far), k)
-
-    keys = ["to", "to_block", "chunk"]
+        out, sides = [], []
+        for block, own in c.groupby("at"):
+            sides.append((block, own["vec_id"].to_numpy(), _matrix(own["v"])))
+        for at in range(0, len(q), BLOCK):
+            some = q.iloc[at : at + BLOCK]
+            a, x, bound, mine = some["vec_id"].to_numpy(), _matrix(some["v"]), some["bound"].to_numpy(), some["mine"].to_numpy()
+            may, own = _may(_distances(x, pivots), bound, low, high), []
+            for block, b, y in sides:
+                rows = np.flatnonzero(may[:, part_of[block]] & (mine != block))
+                if len(rows):
+                    far = _distances(x[rows], y)
+                    gone = (a[rows, None] == b[None, :]) | (far > bound[rows, None] * (1 + 1e-9) + SLACK)
+                    own.append(_best(a[rows], b, np.where(gone, np.inf, far), k))
+            if own:
+                own = pd.concat(own)
+                own = own.assign(_r=own["value"].round(6)).sort_values(["a", "_r", "b"]).drop(columns="_r")
+                out.append(own[own.groupby("a").cumcount() < k])
+        return pd.concat(out) if out else pd.DataFrame(_EMPTY)
+
+    keys = ["to", "chunk"]
     left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # new identities: both are of one origin
     outside = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long, value double")
     return ranking.top_k(inside.unionByName(outside), k, ["a"], "value", ["b"], descending=False)
