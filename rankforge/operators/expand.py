@@ -255,8 +255,8 @@ def _drawn(kernel, seed: str, scale: float):
     return lambda i: kernel(Noise(seed, i), scale)
 
 
-def expand(rows: DataFrame, family: str, dims: int, scale: float, side: str = "doc") -> DataFrame:
-    """``described`` vectors with ``dims`` more dimensions of the family's noise, from hashes: ``vec_id, label, v``; queries (``side``) have kernels of their own."""
+def expand(rows: DataFrame, family: str, dims: int, scale: float, side: str = "doc", keep: list[str] = ()) -> DataFrame:
+    """``described`` vectors with ``dims`` more dimensions of the family's noise, from hashes: ``vec_id, label, keep..., v``; queries (``side``) have kernels of their own."""
     _, kernels, carry = FAMILIES[family] if side == "doc" else (None, QUERY_KERNELS[family], 0.0)
     each, noise = dims // len(kernels), None
     for k, kernel in enumerate(kernels):
@@ -268,7 +268,7 @@ def expand(rows: DataFrame, family: str, dims: int, scale: float, side: str = "d
             rows = rows.withColumn("_section", F.transform("_section", lambda x: x + shift))
         noise = F.col("_section") if noise is None else F.concat("_noise", "_section")
         rows = rows.withColumn("_noise", noise)
-    return rows.select("vec_id", "label", F.concat("v", "_noise").alias("v"))
+    return rows.select("vec_id", "label", *keep, F.concat("v", "_noise").alias("v"))
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, iterations: int = 20) -> DataFrame:

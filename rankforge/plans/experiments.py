@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine
 from ..operators import blocks
 from ..operators import evaluate as E
 from ..operators import expand as X
 from ..operators import manifold as M
 from ..operators.expand import standard_scale as scaled
 from ..operators.keep import stored
-from ..operators.pairwise import query_cosines
-from ..operators.ranking import first_position
-from .common import vectors
+from .common import spread, vectors
 from .registry import query
 
 
@@ -58,12 +57,19 @@ def expand_query(spark, sf):
 @query("expansion_eval")
 def expansion_eval(spark, sf):
     """Each configuration by language (the parity of the label): how well an expanded query finds its own expanded vector."""
-    rows = described(spark, sf)
-    docs, queries = stored(configurations(rows), "docs"), stored(configurations(rows.where("vec_id % 50 = 0"), "query"), "queries")
-    scores = stored(query_cosines(queries, docs, ["config"]).withColumnRenamed("cosine", "score"), "scores")
-    relevant = queries.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("chunk_id"))
-    lang = queries.select("config", F.col("vec_id").alias("query_id"), F.when(F.col("label") % 2 == 0, "ca").otherwise("es").alias("lang"))
-    return E.topn_accuracy(first_position(scores, relevant, ["config", "query_id"]).join(lang, ["config", "query_id"]), ["config", "lang"])
+    rows = stored(spread(described(spark, sf).where("v IS NOT NULL")), "rows")
+    asked, kept = rows.where("vec_id % 50 = 0"), [c for c in rows.columns if c not in ("vec_id", "label")]
+    queries, docs = None, {}
+    for family, (configs, _, _) in X.FAMILIES.items():
+        dims, scale = configs[0]
+        docs[f"{family}_{dims}"] = X.expand(rows, family, dims, scale).select("vec_id", "v")
+        own = X.expand(asked.withColumn("_v", F.col("v")), family, dims, scale, keep=[*(c for c in kept if c != "v"), "_v"]).withColumnsRenamed({"v": "_own", "_v": "v"})
+        made = X.expand(own, family, dims, scale, "query", ["_own"]).select(F.lit(f"{family}_{dims}").alias("group"), "vec_id", "label", "v", F.coalesce(cosine(F.col("v"), F.col("_own")), F.lit(0.0)).alias("own"))
+        queries = made if queries is None else queries.unionByName(made)
+    queries = stored(queries, "queries")
+    found = blocks.position_of_own(queries, docs).join(queries.select("group", F.col("vec_id").alias("query_id"), "label"), ["group", "query_id"])
+    lang = F.when(F.col("label") % 2 == 0, "ca").otherwise("es").alias("lang")
+    return E.topn_accuracy(found.select(F.col("group").alias("config"), lang, "position"), ["config", "lang"])
 
 
 #: Numbers of components of the reductions and of the analysis.
