@@ -1,8 +1,9 @@
 """Near copies by the similarity of their sets of word shingles, decided exactly.
 
-The SimHash fingerprints of two texts whose five-word shingles have a Jaccard similarity of 0.8 differ in
-about 10 of 64 bits, up to some 26. No piece of a fingerprint is selective at such a distance, so candidates
-meet elsewhere: ``BANDS`` keys of a text, each a hash of ``ROWS`` min-wise sampled shingles. A pair at 0.8
+Candidates are first texts whose SimHash fingerprints differ in at most 2 bits, met by pigeonring keys of
+fingerprint pieces (``simhash.hamming_links``); none of these pairs is missed. But the fingerprints of two texts whose
+five-word shingles have a Jaccard similarity of 0.8 differ in about 10 of 64 bits, up to some 26. No piece of a
+fingerprint is selective at such a distance, so what is further apart also meets elsewhere: ``BANDS`` keys of a text, each a hash of ``ROWS`` min-wise sampled shingles. A pair at 0.8
 shares a key with a probability of 1 - (1 - 0.8^5)^20 = 0.9996. Candidates then pass
 
 1. the ratio of the sets' sizes,
@@ -11,7 +12,7 @@ shares a key with a probability of 1 - (1 - 0.8^5)^20 = 0.9996. Candidates then
 3. the full Hamming check (2 and 3 only where both sets have enough shingles for it to be safe), and
 4. the Jaccard similarity of the shingle sets themselves.
 
-Pairs of a key are not all tried. Each text is first tried against the smallest id it meets, and what was
+Pairs of a key are not all tried. Each text that fingerprints didn't bring to another is first tried against the smallest id it meets, and what was
 linked is one component. Only where a key still holds several components are texts outside the largest of
 them tried against those of other components, in bounded blocks. A key of copies thus costs as much as it has
 texts; only texts that share a key but are all unlike each other are tried in pairs.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._base import checkpoint, discard, free_name, join_by_size, release, stored, text_batches, text_or_empty
 from .components import connected_components
-from .simhash import fingerprint, ring_chain, shingle_hashes
+from .simhash import fingerprint, hamming_links, ring_chain, shingle_hashes
 
 BANDS, ROWS = 20, 5
 #: Bits that fingerprints of a pair at 0.8 may differ in: 5.6 standard deviations above the mean of 9.7 (one pair in 10^8
@@ -92,6 +93,18 @@ def _possible(a: str, b: str, least: float) -> Column:
     return fit & ((F.least(f"{a}._n", f"{b}._n") < SMALL) | near)
 
 
+def _ring_pairs(made: DataFrame, least: float) -> DataFrame:
+    """``a, b, _size`` as ``_verified`` takes them: texts of sizes that fit, whose fingerprints are equal or linked at 2 bits; the smallest id of a fingerprint stands for it."""
+    values = checkpoint(made.groupBy("_fp").agg(F.min(F.struct("_id", "_n")).alias("_m"), F.count(F.lit(1)).alias("_size")))
+    first = lambda fp, name: values.select(F.col("_fp").alias(fp), F.col("_m").alias(name))
+    near = hamming_links(values.select("_fp")).join(first("a", "l"), "a").join(first("b", "m"), "b")
+    near = near.select(F.least("l", "m").alias("l"), F.greatest("l", "m").alias("m"), F.lit(1).cast("long").alias("_size"))
+    shared = values.where("_size > 1").select("_fp", F.col("_m").alias("l"), "_size")
+    same = join_by_size(made.select("_fp", F.struct("_id", "_n").alias("m")), shared, ["_fp"], "_size").where("l._id < m._id")
+    fit = F.least("l._n", "m._n") >= F.greatest("l._n", "m._n") * least
+    return near.unionByName(same.select("l", "m", "_size")).where(fit).select(F.col("l._id").alias("a"), F.col("m._id").alias("b"), "_size")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """``pairs(a, b, _size)`` -> the ``a, b`` that are alike. ``_size`` tells how often its ``a`` may come up.
 
@@ -185,9 +198,11 @@ def near_copy_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("_salt")
     keys = keyed.groupBy("_key").agg(F.min("m").alias("l"), F.max("m._id").alias("_last"), F.count(F.lit(1)).alias("_size")).where("l._id < _last")
     met = stored(keyed.join(keys.select("_key", "l", "_size", salts), ["_key", "_salt"]).select("_key", "_salt", "m", "l", "_size"), "met")
+    ring = checkpoint(_ring_pairs(made, least))
     release(docs.sparkSession)
     led = met.where("l._id < m._id").where(_possible("l", "m", least))
     first = led.groupBy(F.col("m._id").alias("b")).agg(F.min(F.struct("l._id", "_size")).alias("p")).select("p._id", "b", "p._size").withColumnRenamed("_id", "a")
+    first = first.join(ring.select("b"), "b", "left_anti").unionByName(ring)
     links = checkpoint(_verified(first, rows, words, least))
     release(docs.sparkSession)
     parts = connected_components(links)
