@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._base import checkpoint, discard, free_name, join_by_size, release, stored, text_batches, text_or_empty
-from .components import connected_components
+from .components import connected_components, joined_components
 from .simhash import fingerprint, hamming_links, ring_chain, shingle_hashes
 
 BANDS, ROWS = 20, 5
@@ -143,8 +143,18 @@ def _chains(diff: np.ndarray) -> np.ndarray:
     return fits.any(axis=-1) & (d.sum(axis=-1) <= FAR)
 
 
+def _banded(keys: list[list[int]]) -> np.ndarray:
+    """A row of ``BANDS`` keys each; the one key of an empty set stands in every band."""
+    return np.array([k if len(k) == BANDS else k * BANDS for k in keys], np.int64).reshape(len(keys), BANDS)
+
+
+def _first_shared(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The smallest key that each row has in the same band as ``own``; the largest number where there is none."""
+    return np.where(keys == own, keys, np.iinfo(np.int64).max).min(axis=1)
+
+
 def _block_links(split: DataFrame, made: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Links ``a, b`` between components that share a key, from blocks of at most about ``_SIDE`` texts a side.
+    """Links ``a, b`` of components (by their names) that share a key, from blocks of at most about ``_SIDE`` texts a side.
 
     A pair is tried under the smallest key that it shares, and not where the block has joined it already.
     """
@@ -160,7 +170,7 @@ def _block_links(split: DataFrame, made: DataFrame, rows: DataFrame, words: int,
             return pa.table({"a": group.column("_id").slice(0, 0), "b": group.column("_id").slice(0, 0)})
         key, main = group.column("_key")[0].as_py(), group.column("_main")[0].as_py()
         ids, part, is_x = (group.column(c).to_pylist() for c in ("_id", "_part", "_x"))
-        texts, keys = group.column("_text"), group.column("_keys")
+        texts, keys = group.column("_text"), _banded(group.column("_keys").to_pylist())
         fp = group.column("_fp").to_numpy().view(np.uint64)
         size = group.column("_n").to_numpy()
         xs, ys = (np.array([i for i, f in enumerate(is_x) if f == side], np.int64) for side in (True, False))
@@ -178,11 +188,11 @@ def _block_links(split: DataFrame, made: DataFrame, rows: DataFrame, words: int,
 
         for i in xs.tolist():
             small, large = np.minimum(size[i], size[ys]), np.maximum(size[i], size[ys])
-            for j in ys[(small >= large * least) & ((small < SMALL) | _chains(fp[ys] ^ fp[i]))].tolist():
-                if (part[j] == main or ids[i] < ids[j]) and top(part[i]) != top(part[j]):
-                    if min(set(keys[i].as_py()) & set(keys[j].as_py())) == key and alike(shingles(i), shingles(j), least):
-                        root[top(part[i])] = top(part[j])
-                        a.append(ids[i]), b.append(ids[j])
+            fit = ys[(small >= large * least) & ((small < SMALL) | _chains(fp[ys] ^ fp[i]))]
+            for j in fit[_first_shared(keys[fit], keys[i]) == key].tolist():
+                if (part[j] == main or ids[i] < ids[j]) and top(part[i]) != top(part[j]) and alike(shingles(i), shingles(j), least):
+                    root[top(part[i])] = top(part[j])
+                    a.append(part[i]), b.append(part[j])
         kind = group.schema.field("_id").type
         return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
@@ -216,9 +226,9 @@ def near_copy_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col
     split = stored(found.join(mixed, ["_key", "_salt"]).select("_key", "m", "_part", "_main", "_nx", "_ny"), "split")
     release(docs.sparkSession)
     if not split.isEmpty():
-        links = checkpoint(links.union(_block_links(split, made, rows, words, least)))
+        between = checkpoint(_block_links(split, made, rows, words, least).distinct())
         release(docs.sparkSession)
-        parts = connected_components(links)
+        parts = joined_components(parts, between)
     discard(made, met, split)
     return parts.select(F.col("node").alias("_id"), "component")
 
