@@ -34,12 +34,16 @@ for _family in X.FAMILIES:
     _register(_family)
 
 
+def configured():
+    """``config, family, dimensions, scale`` of every configuration of every family."""
+    return [(f"{family}_{dims}", family, dims, scale) for family, (configs, _, _) in X.FAMILIES.items() for dims, scale in configs]
+
+
 def configurations(rows, side="doc"):
-    """``config, vec_id, label, v``: the first configuration of every family."""
+    """``config, vec_id, label, v``: the expanded vectors of every configuration."""
     out = None
-    for family, (configs, _, _) in X.FAMILIES.items():
-        dims, scale = configs[0]
-        made = X.expand(rows, family, dims, scale, side).select(F.lit(f"{family}_{dims}").alias("config"), "vec_id", "label", "v")
+    for config, family, dims, scale in configured():
+        made = X.expand(rows, family, dims, scale, side).select(F.lit(config).alias("config"), "vec_id", "label", "v")
         out = made if out is None else out.unionByName(made)
     return out
 
@@ -60,11 +64,10 @@ def expansion_eval(spark, sf):
     rows = stored(spread(described(spark, sf).where("v IS NOT NULL")), "rows")
     asked, kept = rows.where("vec_id % 50 = 0"), [c for c in rows.columns if c not in ("vec_id", "label")]
     queries, docs = None, {}
-    for family, (configs, _, _) in X.FAMILIES.items():
-        dims, scale = configs[0]
-        docs[f"{family}_{dims}"] = X.expand(rows, family, dims, scale).select("vec_id", "v")
+    for config, family, dims, scale in configured():
+        docs[config] = X.expand(rows, family, dims, scale).select("vec_id", "v")
         own = X.expand(asked.withColumn("_v", F.col("v")), family, dims, scale, keep=[*(c for c in kept if c != "v"), "_v"]).withColumnsRenamed({"v": "_own", "_v": "v"})
-        made = X.expand(own, family, dims, scale, "query", ["_own"]).select(F.lit(f"{family}_{dims}").alias("group"), "vec_id", "label", "v", F.coalesce(cosine(F.col("v"), F.col("_own")), F.lit(0.0)).alias("own"))
+        made = X.expand(own, family, dims, scale, "query", ["_own"]).select(F.lit(config).alias("group"), "vec_id", "label", "v", F.coalesce(cosine(F.col("v"), F.col("_own")), F.lit(0.0)).alias("own"))
         queries = made if queries is None else queries.unionByName(made)
     queries = stored(queries, "queries")
     found = blocks.position_of_own(queries, docs).join(queries.select("group", F.col("vec_id").alias("query_id"), "label"), ["group", "query_id"])
