@@ -1,10 +1,10 @@
 """Two-dimensional maps of vectors: t-SNE and UMAP over the exact neighbour graph.
 
-Affinities come from a row for each vector that holds its own k neighbours. Each step of t-SNE joins the edges with the present
-places for the attraction; the repulsion of all pairs comes from a grid of bounded size: vectors spread a charge to nodes around them (an
-aggregate), the grid is convolved with the kernel by FFT, and each vector reads its potential back, so the work of a step grows with edges and
-vectors, never with pairs. UMAP's epochs move both ends of sampled edges and push away vertices drawn by hash. Places are tables; the
-driver sees the grid, sums and extents alone..
+Affinities come from a row for each vector that holds its own k neighbours. t-SNE deals vectors and their edges to bounded blocks once; in
+each step a block sends the places that others' edges ask for (one exchange) and adds up its own attraction. The repulsion of all pairs comes
+from a grid of bounded size: vectors spread a charge to nodes around them, the grid is convolved with the kernel by FFT, and each vector reads its
+potential back, so the work of a step grows with edges and vectors, never with pairs. UMAP's epochs move both ends of sampled edges
+and push away vertices drawn by hash. Places stay in the tasks; the driver sees the grid, sums and extents alone.
 """
 
 from __future__ import annotations
@@ -13,15 +13,23 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keep import stored
+from .keep import deleted, deleted_on_exit, stored
 from .neighbours import nearest
 from .ranking import numbered
 
-#: Most and least nodes of the grid to a side, and the distance of nodes between the two.
-NODES, LEAST, SPACING = 256, 60, 0.2
+#: Most and least nodes of the grid to a side. Nodes are ``SPACING`` apart while ``FINE`` of them do, then a ``COARSE``, up to the most.
+NODES, LEAST, SPACING, FINE, COARSE = 1024, 60, 0.2, 252, 1 / 3
+#: Most places of a block, fewest of one where there are several, and blocks that a table is dealt to where these suffice.
+WIDE, NARROW, SIDES = 65_536, 2048, 6
+#: Edges of a record, and steps from one checkpoint of the places to the next.
+EDGES, KEPT = 1 << 20, 10
+#: What a record of a block is: its places, what it sends to another, what it got of one, its edges.
+OWN, SEND, GOT, EDGE = range(4)
 #: The curve 1 / (1 + a d^2b) for a least distance of 0.1.
 CURVE_A, CURVE_B = 1.577, 0.8951
 
@@ -106,9 +114,10 @@ class Grid:
 
     def __init__(self, low: np.ndarray, high: np.ndarray):
         extent = float((high - low).max())
-        self.step = extent / min(NODES - 4, max(LEAST, math.ceil(extent / SPACING))) or SPACING
+        nodes = max(LEAST, min(FINE, math.ceil(extent / SPACING)), math.ceil(extent / COARSE))
+        self.step = extent / min(NODES - 4, nodes) or SPACING
         self.low, self.n = low - 1.5 * self.step, int(np.ceil(extent / self.step)) + 4
-        self.potential = np.zeros((4, self.n, self.n))
+        self.potential, self.total = None, 0.0
 
     def weights(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each axis the middle node of each place, and the weights of it and those beside it."""
@@ -117,25 +126,28 @@ class Grid:
         t = at - mid
         return mid, np.stack([t * (t - 1) / 2, 1 - t * t, t * (t + 1) / 2], axis=-1)
 
+    def holds(self, low: np.ndarray, high: np.ndarray) -> bool:
+        """Whether places up to ``low`` and ``high`` have nodes on all sides."""
+        return bool((low >= self.low + 0.5 * self.step).all() and (high <= self.low + (self.n - 1.5) * self.step).all())
+
     def spread(self, y: np.ndarray) -> np.ndarray:
         """Charges 1, y0, y1 of the places on the nodes."""
         mid, w = self.weights(y)
-        out = np.zeros((3, self.n * self.n))
-        for a in range(3):
-            for b in range(3):
-                cell, part = (mid[:, 0] + a - 1) * self.n + mid[:, 1] + b - 1, w[:, 0, a] * w[:, 1, b]
-                for k, charge in enumerate((part, part * y[:, 0], part * y[:, 1])):
-                    out[k] += np.bincount(cell, charge, self.n * self.n)
-        return out.reshape(3, self.n, self.n)
+        cell = np.concatenate([(mid[:, 0] + a - 1) * self.n + mid[:, 1] + b - 1 for a in range(3) for b in range(3)])
+        part = np.stack([w[:, 0, a] * w[:, 1, b] for a in range(3) for b in range(3)])
+        out = [np.bincount(cell, charge.ravel(), self.n * self.n) for charge in (part, part * y[:, 0], part * y[:, 1])]
+        return np.stack(out).reshape(3, self.n, self.n)
 
     def solve(self, charges: np.ndarray) -> None:
-        """Potentials of the kernels w (of charge 1) and w^2 (of all three), w = 1 / (1 + d^2)."""
+        """Potentials of the kernels w (of charge 1) and w^2 (of all three), w = 1 / (1 + d^2); ``total`` is the sum of w over all pairs of two."""
         n = self.n
-        line = np.minimum(np.arange(2 * n), 2 * n - np.arange(2 * n)) * self.step
+        size = min(f << k for f in (2, 3, 5) for k in range(12) if f << k >= 2 * n)  # lengths that are fast
+        line = np.minimum(np.arange(size), size - np.arange(size)) * self.step
         w = 1 / (1 + line[:, None] ** 2 + line[None, :] ** 2)
-        at = np.fft.rfft2(charges, s=(2 * n, 2 * n))
+        at = np.fft.rfft2(charges, s=(size, size))
         once, twice = np.fft.rfft2(w), np.fft.rfft2(w * w)
-        self.potential = np.fft.irfft2(np.concatenate([at[:1] * once, at * twice]), s=(2 * n, 2 * n))[:, :n, :n]
+        self.potential = np.fft.irfft2(np.concatenate([at[:1] * once, at * twice]), s=(size, size))[:, :n, :n]
+        self.total = float((charges[0] * self.potential[0]).sum() - charges[0].sum())
 
     def read(self, y: np.ndarray) -> np.ndarray:
         """The four potentials at the places."""
@@ -169,42 +181,183 @@ def _grid(places: DataFrame) -> Grid:
     return grid
 
 
+def _dealt(edges: DataFrame, ids: DataFrame, seed: int, blocks: int) -> DataFrame:
+    """``block, kind, other, x, y, z``, arrays as bytes: each block's ids and first places, its edges (own row, place among what it gets, p), and the ids it asks of each block."""
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    left, right = _start(ids, seed, 1e-2).withColumn("block", of("i")), edges.select("i", "j", "p", of("i").alias("block"), of("j").alias("other"))
+    names = ["block", "kind", "other", "x", "y", "z"]
+
+    def deal(key, places: pa.Table, own: pa.Table) -> pa.Table:
+        block, places = key[0].as_py(), places.sort_by("i")
+        ids = places["i"].to_numpy()
+        rows = [(block, OWN, 0, ids.tobytes(), np.stack([places["y0"].to_numpy(), places["y1"].to_numpy()], axis=1).tobytes(), b"")]
+        i, j, p, other = (own[c].to_numpy() for c in ("i", "j", "p", "other"))
+        order = np.lexsort((j, other))
+        first = np.ones(len(j), dtype=bool)
+        first[1:] = (j[order][1:] != j[order][:-1]) | (other[order][1:] != other[order][:-1])
+        at = np.empty(len(j), dtype=np.int32)
+        at[order] = np.cumsum(first) - 1
+        asked, source = j[order][first], other[order][first]
+        rows += [(int(s), SEND, block, asked[source == s].tobytes(), b"", b"") for s in np.unique(source)]
+        row = np.searchsorted(ids, i).astype(np.int32)
+        order = np.lexsort((at, row))
+        row, at, p = row[order], at[order], p[order]
+        rows += [(block, EDGE, k, *(c[k : k + EDGES].tobytes() for c in (row, at, p))) for k in range(0, len(p), EDGES)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 3 + [pa.binary()] * 3)], names=names)
+
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(deal, "block int, kind int, other int, x binary, y binary, z binary")
+
+
+def _arranged(records):
+    """What is asked of a block by id becomes rows of it; the ids stay with what they name."""
+    records = list(records)
+    ids = {block: x[0] for block, (kind, _, *x) in records if kind == OWN}
+    for block, (kind, other, *x) in records:
+        if kind == SEND:
+            yield block, (SEND, other, np.searchsorted(ids[block], x[0]).astype(np.int32))
+
+
+def _sent(records):
+    """The places that blocks ask for, in single precision; a block's own record comes before what it sends."""
+    own = {}
+    for block, (kind, other, *x) in records:
+        if kind == OWN:
+            own[block] = x[0].astype(np.float32)
+        else:
+            yield other, (GOT, block, own[block][x[0]])
+
+
+def _moved(held):
+    """Places, speeds and gains after a step: records of places come first, then what was sent, then the edges."""
+
+    def run(records):
+        grid, more, momentum, rate, divergence = held.value
+        own, got, there, pull, logs = {}, {}, {}, {}, {}
+        for block, (kind, other, *x) in records:
+            if kind == OWN:
+                own[block], pull[block], logs[block] = x, np.zeros((2, len(x[0]))), 0.0
+            elif kind == GOT:
+                got.setdefault(block, {})[other] = x[0]
+            else:
+                if block not in there:
+                    some = got.pop(block)
+                    there[block] = np.ascontiguousarray(np.concatenate([some[s] for s in sorted(some)]).T, dtype=np.float64)
+                (row, at, p), y, m = x, own[block][0], len(own[block][0])
+                gap = [y[row, k] - there[block][k][at] for k in range(2)]
+                q = 1 / (1 + gap[0] * gap[0] + gap[1] * gap[1])
+                if divergence:
+                    logs[block] -= float((p * np.log(q)).sum())
+                q *= p
+                for k in range(2):
+                    pull[block][k] += np.bincount(row, q * gap[k], m)
+        for block, (y, v, g) in own.items():
+            slope = 4 * (more * pull[block].T - grid.repulsion(y)[1] / max(grid.total, 1e-300))
+            gain = np.maximum(0.01, np.where(slope * v < 0, g + 0.2, g * 0.8))
+            speed = momentum * v - rate * gain * slope
+            yield block, (OWN, logs[block], y + speed, speed, gain)
+
+    return run
+
+
+def _record(row):
+    kinds = {OWN: ("int64", "float64"), SEND: ("int64",), EDGE: ("int32", "int32", "float64")}[row.kind]
+    return row.block, (row.kind, row.other, *(np.frombuffer(bytes(x), t) for x, t in zip((row.x, row.y, row.z), kinds)))
+
+
+def _same(records):
+    return iter(records)
+
+
+def _first(records):
+    """Places before the first step, with no speed and gains of 1."""
+    for block, (_, _, _, y) in records:
+        y = y.reshape(-1, 2)
+        yield block, (OWN, 0.0, y, np.zeros_like(y), np.ones_like(y))
+
+
+def _listed(records):
+    """``i, y0, y1``: the places come before the names."""
+    own = {}
+    for block, (_, _, x, y, *more) in records:
+        if more:
+            own[block] = x
+        else:
+            yield from ((i, *p) for i, p in zip(x.tolist(), own[block].tolist()))
+
+
+def _charged(grid: Grid | None):
+    """Of a partition: extent, sum of logarithms, and the charges on a grid that was chosen before, where it holds the places."""
+
+    def run(records):
+        own = sorted((block, x[1], x[2]) for block, x in records)
+        if own:
+            y = np.concatenate([x[2] for x in own])
+            low, high = y.min(0), y.max(0)
+            yield low, high, sum(x[1] for x in own), grid.spread(y) if grid is not None and grid.holds(low, high) else None
+
+    return run
+
+
+def _survey(places: RDD, grid: Grid | None, reach: float) -> tuple[Grid, np.ndarray, np.ndarray, float]:
+    """The solved grid of the present places, their extent and the sum of logarithms; a grid that fits is made where ``grid`` doesn't, ``reach`` wider."""
+    while True:
+        parts = places.mapPartitions(_charged(grid)).collect()  # an array of the grid's size from each task
+        low, high = np.min([p[0] for p in parts], axis=0), np.max([p[1] for p in parts], axis=0)
+        if all(p[3] is not None for p in parts):
+            grid.solve(sum(p[3] for p in parts))
+            return grid, low, high, sum(p[2] for p in parts)
+        grid = Grid(low - reach, high + reach)
+
+
 def tsne(edges: DataFrame, ids: DataFrame, steps: int = 60, early: int = 20, exaggeration: float = 12.0, rate: float | None = None, seed: int = 1, history: list | None = None) -> DataFrame:
     """``i, y0, y1`` from ``affinities`` (stored) and ``ids(i)``; ``history`` collects the divergence of each step."""
-    places = _start(ids, seed, 1e-2).select("*", *[F.lit(0.0).alias(c) for c in ("v0", "v1")], *[F.lit(1.0).alias(c) for c in ("g0", "g1")])
-    places = stored(places, "places")
-    n = places.count()
+    spark, context = ids.sparkSession, ids.sparkSession.sparkContext
+    known = stored(ids.select("i").distinct(), "ids")
+    n = known.count()
     if n < 2:
-        return places.select("i", "y0", "y1")
+        return _start(ids, seed, 1e-2)
+    blocks = max(-(-n // WIDE), min(SIDES, -(-n // NARROW)))
+    parts = max(1, min(blocks, context.defaultParallelism))
     rate = max(n / exaggeration / 4, 10.0) if rate is None else rate
-    entropy = edges.agg(F.sum(F.col("p") * F.ln("p"))).first()[0] or 0.0
+    entropy = (edges.agg(F.sum(F.col("p") * F.ln("p"))).first()[0] or 0.0) if history is not None else 0.0
+    dealt = stored(_dealt(edges, known, seed, blocks), "dealt")
+
+    def records(kinds: list[int], make) -> RDD:
+        rows = dealt.where(F.col("kind").isin(kinds)).rdd.map(_record).partitionBy(parts)
+        return rows.mapPartitions(make, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+    asked, links, places, names = records([OWN, SEND], _arranged), records([EDGE], _same), records([OWN], _first), records([OWN], _same)
+    grid, low, high, _ = _survey(places, None, 0.0)
+    sent, written = [], None
     for t in range(steps):
-        grid = _grid(places)
         more, momentum = (exaggeration, 0.5) if t < early else (1.0, 0.8)
-        here, there = places.select("i", "y0", "y1"), places.select(F.col("i").alias("j"), F.col("y0").alias("x0"), F.col("y1").alias("x1"))
-        d0, d1 = F.col("y0") - F.col("x0"), F.col("y1") - F.col("x1")
-        pull = edges.join(there, "j").join(here, "i").withColumn("q", 1 / (1 + d0 * d0 + d1 * d1))
-        pull = pull.groupBy("i").agg(F.sum(F.col("p") * F.col("q") * d0).alias("a0"), F.sum(F.col("p") * F.col("q") * d1).alias("a1"), F.sum(-F.col("p") * F.ln("q")).alias("log"))
-        both = places.join(pull, "i", "left").fillna(0.0, ["a0", "a1", "log"])
-
-        def push(frames, grid=grid):
-            for pdf in frames:
-                z, r = grid.repulsion(pdf[["y0", "y1"]].to_numpy())
-                yield pdf.assign(z=z, r0=r[:, 0], r1=r[:, 1])
-
-        kinds = ", ".join(f"{c} {'long' if c == 'i' else 'double'}" for c in [*both.columns, "z", "r0", "r1"])
-        moved = stored(both.mapInPandas(push, kinds), "pushed")
-        z, log = moved.agg(F.sum("z"), F.sum("log")).first()
+        total = grid.total
+        sent.append(context.broadcast((grid, more, momentum, rate, history is not None)))
+        got = context.union([places, asked]).mapPartitions(_sent).partitionBy(parts)
+        moved = context.union([places, got, links]).mapPartitions(_moved(sent[-1]), preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+        if t % KEPT == KEPT - 1:
+            moved.checkpoint()
+        margin = 1.5 * max(np.abs(low - before[0]).max(), np.abs(high - before[1]).max()) + 0.02 * (high - low).max() if t else 0.5 * (high - low).max()
+        before = low, high
+        grid, low, high, log = _survey(moved, Grid(low - margin, high + margin), margin)
         if history is not None:
-            history.append(entropy + log + math.log(max(z, 1e-300)))
-        made = {}
-        for k in "01":
-            slope = 4 * (more * F.col(f"a{k}") - F.col(f"r{k}") / max(z, 1e-300))
-            gain = F.greatest(F.lit(0.01), F.when(F.signum(slope) != F.signum(f"v{k}"), F.col(f"g{k}") + 0.2).otherwise(F.col(f"g{k}") * 0.8))
-            speed = momentum * F.col(f"v{k}") - rate * gain * slope
-            made |= {f"g{k}": gain, f"v{k}": speed, f"y{k}": F.col(f"y{k}") + speed}
-        places = stored(moved.select("i", *[made[c].alias(c) for c in ("y0", "y1", "v0", "v1", "g0", "g1")]), "places")
-    return places.select("i", "y0", "y1")
+            history.append(entropy + log + math.log(max(total, 1e-300)))
+        places.unpersist()
+        places = moved
+        if t % KEPT == KEPT - 1:
+            got.cleanShuffleDependencies()  # what was sent before the checkpoint
+            for one in sent[:-1]:  # the last one still belongs to the places
+                one.destroy()
+            if written:
+                deleted(spark, written)
+            sent, written = sent[-1:], deleted_on_exit(spark, moved.getCheckpointFile())
+    made = spark.createDataFrame(context.union([places, names]).mapPartitions(_listed), "i long, y0 double, y1 double", verifySchema=False)
+    made = stored(made, "places")
+    for one in (asked, links, places, names):
+        one.unpersist()
+    for one in sent:
+        one.destroy()
+    return ids.join(made, "i", "left").select("i", "y0", "y1")
 
 
 def umap(edges: DataFrame, ids: DataFrame, epochs: int = 40, negatives: int = 5, rate: float = 1.0, seed: int = 1) -> DataFrame:

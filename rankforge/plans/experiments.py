@@ -139,12 +139,16 @@ def _standard(spark, sf):
     return stored(scaled(vectors(spark, sf).where("v IS NOT NULL").select("vec_id", "v")), "scaled")
 
 
+#: Fixed values, those of the reference's library: perplexity (three times as many neighbours, and one), steps of the map, and those of them that exaggerate.
+PERPLEXITY, STEPS, EARLY = 30, 1000, 250
+
+
 @query("tsne")
 def tsne(spark, sf):
-    """A map of all vectors, standardised first: perplexity 30 over 45 neighbours, 30 steps; tests hold its parts against plain Python."""
+    """A map of all vectors, standardised first: perplexity 30 over 91 neighbours, 1000 steps; tests hold its parts against plain Python."""
     v = _standard(spark, sf)
-    edges = stored(M.affinities(M.neighbour_graph(v, 45), 30.0), "edges")
-    return M.tsne(edges, v.select(F.col("vec_id").alias("i")), steps=30, early=10).select(F.col("i").alias("vec_id"), F.col("y0").alias("x"), F.col("y1").alias("y"))
+    edges = stored(M.affinities(M.neighbour_graph(v, 3 * PERPLEXITY + 1), float(PERPLEXITY)), "edges")
+    return M.tsne(edges, v.select(F.col("vec_id").alias("i")), steps=STEPS, early=EARLY).select(F.col("i").alias("vec_id"), F.col("y0").alias("x"), F.col("y1").alias("y"))
 
 
 @query("umap")
