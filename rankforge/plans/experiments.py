@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
@@ -65,7 +67,7 @@ def expansion_eval(spark, sf):
     asked, kept = rows.where("vec_id % 50 = 0"), [c for c in rows.columns if c not in ("vec_id", "label")]
     queries, docs = None, {}
     for config, family, dims, scale in configured():
-        docs[config] = X.expand(rows, family, dims, scale).select("vec_id", "v")
+        docs[config] = rows, partial(X.expanded, draw=X.noise(family, dims, scale))
         own = X.expand(asked.withColumn("_v", F.col("v")), family, dims, scale, keep=[*(c for c in kept if c != "v"), "_v"]).withColumnsRenamed({"v": "_own", "_v": "v"})
         made = X.expand(own, family, dims, scale, "query", ["_own"]).select(F.lit(config).alias("group"), "vec_id", "label", "v", F.coalesce(cosine(F.col("v"), F.col("_own")), F.lit(0.0)).alias("own"))
         queries = made if queries is None else queries.unionByName(made)
