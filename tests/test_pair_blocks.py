@@ -47,3 +47,20 @@ def test_only_what_may_enter_is_sorted(monkeypatch):
     for at in (1000, 2000):
         P._raised(best, np.arange(64), c[:, at : at + 1000], 0, 1)
     assert (best == -np.sort(-c, axis=1)[:, :5]).all()
+
+
+@pytest.mark.parametrize("rows, block", [(256, 2048), (8, 24), (5, 9)])
+def test_sums_over_larger_ids(table, monkeypatch, rows, block):
+    monkeypatch.setattr(P, "ROWS", rows)
+    monkeypatch.setattr(P.pd.DataFrame, "groupby", None)  # sums are taken of matrices, not of a frame with a row for each pair
+    own, df = table
+    ids = sorted(own)
+    x = np.array([own[i] for i in ids])
+    c, d = _cosines(x), np.linalg.norm(x[:, None] - x[None], axis=2)
+    got = {r.a: r for r in P.by_smaller(df, block).collect()}
+    assert sorted(got) == ids[:-1]
+    for k, i in enumerate(ids[:-1]):
+        r, later = got[i], slice(k + 1, None)
+        assert r.n == len(ids) - 1 - k
+        assert (r.cosine, r.most_cosine) == pytest.approx((c[k, later].sum(), c[k, later].max()), abs=1e-9)
+        assert (r.euclidean, r.most_euclidean) == pytest.approx((d[k, later].sum(), d[k, later].max()), abs=1e-5)
