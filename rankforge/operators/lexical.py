@@ -98,35 +98,16 @@ def _ask(index: Index, base: DataFrame) -> DataFrame:
     return index.sent(base)
 
 
-def likelihood_parts(index: Index, mu: float = 1500.0) -> tuple[list[DataFrame], DataFrame]:
-    """What ``gather`` needs for Dirichlet smoothing (``gain``, ``lift``), and each query's ``c, known``.
-
-    Without the floor the score is a constant of the query, the chunk's length and the shared terms. The floor only acts for terms a
-    long chunk lacks (dl > mu p / 1e-6 - mu); lengths and terms meet in powers of two, so that is an equi join.
-    """
-    terms = stored(index.with_p().select("query_id", "term", "qn", "p"), "terms")
-    base = terms.groupBy("query_id").agg(F.sum(F.col("qn") * F.ln(mu * F.col("p"))).alias("c"), F.sum("qn").alias("known"))
-    shared = index.tf.join(index.sent(terms), "term")
-    gain = shared.select("query_id", "chunk_id", (F.col("qn") * (F.ln(F.col("tf") + mu * F.col("p")) - F.ln(mu * F.col("p")))).alias("gain"))
-    power = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1.0)))).cast("int")
-    from_ = power(mu * F.col("p") / FLOOR - mu)
-    rare = terms.where(from_ <= 40).withColumn("_power", F.explode(F.sequence(from_, F.lit(40))))
-    long = index.lengths.withColumn("_power", power(F.col("dl").cast("double"))).join(index.sent(rare, 40), "_power").where(mu * F.col("p") < FLOOR * (F.col("dl") + mu))
-    lacking = long.join(index.tf, ["chunk_id", "term"], "left")
-    have = (F.coalesce("tf", F.lit(0)) + mu * F.col("p")) / (F.col("dl") + mu)
-    lift = lacking.where(have < FLOOR).select("query_id", "chunk_id", (F.col("qn") * (F.ln(F.lit(FLOOR)) - F.ln(have))).alias("lift"))
-    return [gain, lift], base
-
-
 def likelihood(mu: float = 1500.0) -> Column:
     """The score from ``dl, c, known, gain, lift``."""
     return F.when((F.col("dl") == 0) | F.col("c").isNull(), F.lit(0.0)).otherwise(F.col("c") - F.col("known") * F.ln(F.col("dl") + mu) + F.col("gain") + F.col("lift"))
 
 
 def qlm_dirichlet(index: Index, mu: float = 1500.0) -> DataFrame:
-    """Sum of ln(max((tf + mu p) / (dl + mu), 1e-6)) over the query's tokens that the corpus knows."""
-    parts, base = likelihood_parts(index, mu)
-    return index.gather(*parts).join(_ask(index, base), "query_id", "left").select("query_id", "chunk_id", likelihood(mu).alias("score"))
+    """Sum of ln(max((tf + mu p) / (dl + mu), 1e-6)) over the query's tokens that the corpus knows; made where the chunks are, so no pair is exchanged."""
+    from .retrieval import Retrieval
+
+    return Retrieval(index.queries.withColumn("n_words", F.lit(0)), index.source, mu).likelihoods()
 
 
 def qlm_jelinek_mercer(index: Index, lam: float = 0.5) -> DataFrame:
