@@ -4,12 +4,13 @@ Affinities come from a row for each vector that holds its own k neighbours. t-SN
 each step a block sends the places that others' edges ask for (one exchange) and adds up its own attraction. The repulsion of all pairs comes
 from a grid of bounded size: vectors spread a charge to nodes around them, the grid is convolved with the kernel by FFT, and each vector reads its
 potential back, so the work of a step grows with edges and vectors, never with pairs. UMAP's epochs move both ends of sampled edges
-and push away vertices drawn by hash. Places stay in the tasks; the driver sees the grid, sums and extents alone.
+and push away vertices drawn by hash. The driver sees sums, extents and the grid, or the places where these are less than a grid.
 """
 
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ NODES, LEAST, SPACING, FINE, COARSE = 1024, 60, 0.2, 252, 1 / 3
 WIDE, NARROW, SIDES = 65_536, 2048, 6
 #: Edges of a record, and steps from one checkpoint of the places to the next.
 EDGES, KEPT = 1 << 20, 10
+#: Edges that a step works on at once, and transforms that the driver works on at once.
+TILE, THREADS = 1 << 15, 4
 #: What a record of a block is: its places, what it sends to another, what it got of one, its edges.
 OWN, SEND, GOT, EDGE = range(4)
 #: The curve 1 / (1 + a d^2b) for a least distance of 0.1.
@@ -144,9 +147,11 @@ class Grid:
         size = min(f << k for f in (2, 3, 5) for k in range(12) if f << k >= 2 * n)  # lengths that are fast
         line = np.minimum(np.arange(size), size - np.arange(size)) * self.step
         w = 1 / (1 + line[:, None] ** 2 + line[None, :] ** 2)
-        at = np.fft.rfft2(charges, s=(size, size))
-        once, twice = np.fft.rfft2(w), np.fft.rfft2(w * w)
-        self.potential = np.fft.irfft2(np.concatenate([at[:1] * once, at * twice]), s=(size, size))[:, :n, :n]
+        ahead = lambda x: np.fft.fft(np.fft.rfft(x, size, axis=1), size, axis=0)  # noqa: E731  rows of zeros are left out, here and in what is read back
+        back = lambda x, kernel: np.fft.irfft(np.fft.ifft(x * kernel, axis=0)[:n], size, axis=1)[:, :n]
+        with ThreadPoolExecutor(THREADS) as pool:
+            *at, once, twice = pool.map(ahead, [*charges, w, w * w])
+            self.potential = np.stack(list(pool.map(back, [at[0], *at], [once, twice, twice, twice])))
         self.total = float((charges[0] * self.potential[0]).sum() - charges[0].sum())
 
     def read(self, y: np.ndarray) -> np.ndarray:
@@ -232,24 +237,30 @@ def _moved(held):
 
     def run(records):
         grid, more, momentum, rate, divergence = held.value
-        own, got, there, pull, logs = {}, {}, {}, {}, {}
+        own, got, there, here, pull, logs = {}, {}, {}, {}, {}, {}
         for block, (kind, other, *x) in records:
             if kind == OWN:
-                own[block], pull[block], logs[block] = x, np.zeros((2, len(x[0]))), 0.0
+                own[block], here[block], pull[block], logs[block] = x, np.ascontiguousarray(x[0].T), np.zeros((2, len(x[0]))), 0.0
             elif kind == GOT:
                 got.setdefault(block, {})[other] = x[0]
             else:
                 if block not in there:
                     some = got.pop(block)
                     there[block] = np.ascontiguousarray(np.concatenate([some[s] for s in sorted(some)]).T, dtype=np.float64)
-                (row, at, p), y, m = x, own[block][0], len(own[block][0])
-                gap = [y[row, k] - there[block][k][at] for k in range(2)]
-                q = 1 / (1 + gap[0] * gap[0] + gap[1] * gap[1])
-                if divergence:
-                    logs[block] -= float((p * np.log(q)).sum())
-                q *= p
-                for k in range(2):
-                    pull[block][k] += np.bincount(row, q * gap[k], m)
+                for first in range(0, len(x[0]), TILE):  # rows are in order, so a tile adds to few
+                    row, at, p = (c[first : first + TILE] for c in x)
+                    gap = [here[block][k].take(row) for k in range(2)]
+                    for k in range(2):
+                        gap[k] -= there[block][k].take(at)
+                    q = gap[0] * gap[0]
+                    q += gap[1] * gap[1]
+                    q += 1
+                    if divergence:
+                        logs[block] += float((p * np.log(q)).sum())
+                    np.divide(p, q, out=q)
+                    low, high = int(row[0]), int(row[-1]) + 1
+                    for k in range(2):
+                        pull[block][k, low:high] += np.bincount(row - low, q * gap[k], high - low)
         for block, (y, v, g) in own.items():
             slope = 4 * (more * pull[block].T - grid.repulsion(y)[1] / max(grid.total, 1e-300))
             gain = np.maximum(0.01, np.where(slope * v < 0, g + 0.2, g * 0.8))
@@ -286,14 +297,15 @@ def _listed(records):
 
 
 def _charged(grid: Grid | None):
-    """Of a partition: extent, sum of logarithms, and the charges on a grid that was chosen before, where it holds the places."""
+    """Of a partition: extent, sum of logarithms, and, where a grid that was chosen before holds the places, the charges on it or the places, whichever is less."""
 
     def run(records):
         own = sorted((block, x[1], x[2]) for block, x in records)
         if own:
             y = np.concatenate([x[2] for x in own])
             low, high = y.min(0), y.max(0)
-            yield low, high, sum(x[1] for x in own), grid.spread(y) if grid is not None and grid.holds(low, high) else None
+            fits = grid is not None and grid.holds(low, high)
+            yield low, high, sum(x[1] for x in own), (y if y.size < 3 * grid.n**2 else grid.spread(y)) if fits else None
 
     return run
 
@@ -301,10 +313,11 @@ def _charged(grid: Grid | None):
 def _survey(places: RDD, grid: Grid | None, reach: float) -> tuple[Grid, np.ndarray, np.ndarray, float]:
     """The solved grid of the present places, their extent and the sum of logarithms; a grid that fits is made where ``grid`` doesn't, ``reach`` wider."""
     while True:
-        parts = places.mapPartitions(_charged(grid)).collect()  # an array of the grid's size from each task
+        parts = places.mapPartitions(_charged(grid)).collect()  # an array of the grid's size at most from each task
         low, high = np.min([p[0] for p in parts], axis=0), np.max([p[1] for p in parts], axis=0)
         if all(p[3] is not None for p in parts):
-            grid.solve(sum(p[3] for p in parts))
+            few, charges = [p[3] for p in parts if p[3].ndim == 2], [p[3] for p in parts if p[3].ndim == 3]
+            grid.solve(sum(charges + [grid.spread(y) for y in few]))
             return grid, low, high, sum(p[2] for p in parts)
         grid = Grid(low - reach, high + reach)
 
